@@ -47,3 +47,17 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """
+
+EMBEDDINGS = r"""
+with recursive v as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+ok as (
+  select r, vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+link as (
+  select a.r as a, b.r as b, a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach as (select x, y from link union select reach.x, link.y from reach join link on reach.y = link.x)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, coalesce(vec_id = least(vec_id, coalesce(c, vec_id)), false) as kept
+from v left join (select a, count(*) as n from link group by a) l on v.r = l.a left join (select x, min(y) as c from reach group by x) k on v.vec_id = k.x
+"""

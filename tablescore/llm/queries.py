@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracles
+from . import embeddings, oracles, simhash
 from .decontaminate import decontaminate
 from .mixing import mix
 
@@ -15,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -24,8 +34,8 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op7_mix)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op5_decontaminate, op7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": oracles.DECONTAMINATE, "op7_mix": oracles.MIX}
+    return {"op1_embedding_dedup": oracles.EMBEDDINGS, "op5_decontaminate": oracles.DECONTAMINATE, "op7_mix": oracles.MIX}
