@@ -68,6 +68,27 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(column).to_pylist()
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, of rows sorted by them, as tables of a few thousand rows or a whole run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in keys]
+        rows = list(zip(*cols, strict=True))
+        start = 0
+        for i, r in enumerate(rows):
+            if r != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, r
+        if start < len(rows):
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Label of each of n nodes: the smallest node that it reaches by the edges (a, b)."""
     label = np.arange(n)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, local_stars, partitions
+from .common import connected_components, cut, groups, local_stars, partitions
 
 TABLES = 32
 PROJECTIONS = 10
@@ -97,27 +97,6 @@ def hashed(classes: DataFrame, tables: int, projections: int, width: float) -> D
     return classes.mapInArrow(run, out)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, of rows sorted by them, as tables of a few thousand rows or a whole run."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in keys]
-        rows = list(zip(*cols, strict=True))
-        start = 0
-        for i, r in enumerate(rows):
-            if r != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, last = [], i, r
-        if start < len(rows):
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def bucket_links(t: pa.Table, number: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(id, weight, head) of the classes of one bucket, or of one pair of blocks of it: size of the other
     classes linked here first, and the smallest class that it hangs together with here."""

@@ -61,3 +61,21 @@ reach as (select x, y from link union select reach.x, link.y from reach join lin
 select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, coalesce(vec_id = least(vec_id, coalesce(c, vec_id)), false) as kept
 from v left join (select a, count(*) as n from link group by a) l on v.r = l.a left join (select x, min(y) as c from reach group by x) k on v.vec_id = k.x
 """
+
+SUFFIXES = r"""
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+p as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from d, unnest(range(0, len(h) // 2 - 49)) as u(p) where len(h) >= 100),
+f as (select s, min(doc_id) as first from p group by s),
+gone as (select doc_id, p from p join f using (s) where doc_id > first),
+b as (select doc_id, p, max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as before from gone),
+r as (select doc_id, p, sum((before is null or p > before + 50)::int) over (partition by doc_id order by p) as run from b),
+s as (select doc_id, run, min(p) as a, max(p) + 50 as z from r group by all),
+k as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as from_, lead(a) over (partition by doc_id order by a) as next from s),
+t as (
+  select k.doc_id, sum(z - a)::bigint as n_removed, count(*) as n_spans,
+         string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)) || case when next is null then substr(h, 2 * z + 1) else '' end, '' order by a) as kept
+  from k join d using (doc_id) group by k.doc_id)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join t on d.doc_id = t.doc_id
+"""

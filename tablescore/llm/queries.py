@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, oracles, pii, secrets, simhash
+from . import embeddings, langid, oracles, pii, secrets, simhash, suffixes
 from .decontaminate import decontaminate
 from .mixing import mix
 
@@ -43,13 +43,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op7_mix, op8_secrets)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op6_suffix_dedup, op7_mix, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": oracles.EMBEDDINGS, "op5_decontaminate": oracles.DECONTAMINATE, "op7_mix": oracles.MIX}
+    return {"op1_embedding_dedup": oracles.EMBEDDINGS, "op5_decontaminate": oracles.DECONTAMINATE, "op6_suffix_dedup": oracles.SUFFIXES, "op7_mix": oracles.MIX}
