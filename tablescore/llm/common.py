@@ -15,17 +15,19 @@ from pyspark.sql import types as T
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the session names in spark.checkpoint.dir; set one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one is set only where none is."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor costs no recomputation of what is above."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

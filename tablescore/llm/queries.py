@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, oracles, pii, secrets, simhash, suffixes
+from . import embeddings, langid, oracles, pii, secrets, simhash, suffixes, tokens, warc
 from .decontaminate import decontaminate
 from .mixing import mix
 
@@ -51,8 +51,17 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return records.withColumn("content_length", F.octet_length("block").cast("long")).withColumn("block_sha256", F.sha2("block", 256)).drop("block")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op6_suffix_dedup, op7_mix, op8_secrets)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op6_suffix_dedup, op7_mix, op8_secrets, op9_token_counts, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
