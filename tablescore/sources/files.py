@@ -28,7 +28,7 @@ def images(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
 
 def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, ground_truth_path, gt_html) of the HTML files right in folder, stripped."""
-    found = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.html").text(folder).withColumn("path", F.col("_metadata.file_path"))
+    found = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return found.select(stem(F.col("path")).alias("stem"), F.col("path").alias("ground_truth_path"), strip(F.col("value")).alias("gt_html"))
 
 
