@@ -38,29 +38,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups, partitions, slices
+from .common import partitions, slices
 from .mixing import shuffle_key
 
 LENGTH = 50
 #: Bytes of an anchor.
 GRAM = 16
-#: Bytes of documents that are worked on at a time.
-PIECE = 2 << 20
+#: Bytes of documents that are hashed at a time, and in a slice.
+PIECE, SLICE = 1 << 19, 4 << 20
 #: Occurrences above which an anchor's strings are dealt out one by one: in all, and in a slice of documents.
-HOT, OFTEN = 4_096, 16
-#: Buckets for each shuffle partition.
-BUCKETS = 4
+HOT, OFTEN = 4_096, 64
 #: Documents at least in the sample from which splitters are taken, and anchors of each.
 SAMPLE, EACH = 500, 64
-#: Rows that the quicksort leaves to a plain sort.
-SMALL = 1 << 14
+#: Rows that the quicksort leaves to a plain sort, and segments that are sorted at a time.
+SMALL, SEGMENTS = 1 << 14, 8_000
 
 Arrays = dict[str, np.ndarray]
 
 
 @functools.cache
 def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    return zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
 
 
 def pack(arrays: Arrays) -> bytes:
@@ -136,9 +134,11 @@ def anchors(data: list[bytes], length: int) -> Arrays:
 
 def by_key(key: np.ndarray, arrays: Arrays) -> Iterator[tuple[int, Arrays]]:
     """The rows of arrays with each value of key."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
-    edges = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(key) else []
+    edges = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
     for lo, hi in zip(edges, [*edges[1:], len(key)], strict=True):
         yield int(sorted_key[lo]), {k: v[order[lo:hi]] for k, v in arrays.items()}
 
@@ -168,9 +168,10 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
 def classes(rows: np.ndarray) -> np.ndarray:
     """Number of the class of equal rows of each row of bytes (rows x width), in sorted order."""
     n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    words = padded.view(">u8").astype(np.uint64)
+    full = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    full[:, :width] = rows
+    words = full.view(">u8").astype(np.uint64)
+    del full
     order = multikey_order(words)
     s = words[order]
     out = np.zeros(n, np.int64)
@@ -178,10 +179,14 @@ def classes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    """data with room for a row of matrix() at its last place."""
+    return np.concatenate([data, np.zeros(2 * 255, np.uint8)])
+
+
 def matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Rows of width bytes from data at start, of which size count; the others are 0."""
-    padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+    """Rows of width bytes from padded data at start, of which size count; the others are 0."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[start]
     rows[np.arange(width) >= size[:, None]] = 0
     return rows
 
@@ -204,18 +209,33 @@ def spans_of(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, length: int) -
     return {"doc": doc[first], "tag": tag[first], "from": start[first], "to": start[last] + length}
 
 
-def resolve(a: Arrays, length: int) -> Arrays:
-    """Spans to remove, out of a bucket's segments: doc, tag, start, n (strings), data (the bytes of all of them)."""
+def resolve(a: Arrays, length: int) -> Iterator[Arrays]:
+    """Spans to remove, out of a bucket's segments: doc, tag, start, n (strings), head (place of the bytes by
+    which it was dealt out), data (the bytes of all of them). Equal strings have equal heads, so the segments
+    are sorted in runs of whole heads."""
     size = a["n"].astype(np.int64) + length - 1
     at = np.cumsum(size) - size
-    rows = matrix(a["data"], at, size, 2 * length - GRAM)
+    data = padded(a.pop("data"))
+    head = matrix(data, at + a["head"], np.full(len(at), 8), 8).view(">u8").ravel()
+    order = np.argsort(head, kind="stable")
+    ends = np.append(np.flatnonzero(head[order][1:] != head[order][:-1]) + 1, len(order))
+    lo = 0
+    while lo < len(order):
+        hi = int(ends[min(np.searchsorted(ends, lo + SEGMENTS), len(ends) - 1)])
+        own = order[lo:hi]
+        yield resolved({k: a[k][own] for k in ("doc", "tag", "start", "n")}, data, at[own], size[own], length)
+        lo = hi
+
+
+def resolved(a: Arrays, data: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> Arrays:
+    rows = matrix(data, at, size, 2 * length - GRAM)
     whole = classes(np.concatenate([rows, a["n"][:, None].astype(np.uint8)], axis=1))
     del rows
     low = first_documents(whole, a["doc"])
     _, one = np.unique(whole, return_index=True)
     n = a["n"][one].astype(np.int64)
     begin = ranges(at[one], n)
-    string = classes(matrix(a["data"], begin, np.full(len(begin), length), length))
+    string = classes(matrix(data, begin, np.full(len(begin), length), length))
     earlier = first_documents(string, np.repeat(low[one], n)) < np.repeat(low[one], n)
     base = (np.cumsum(n) - n)[whole]
     full = ranges(base, a["n"].astype(np.int64))
@@ -235,8 +255,8 @@ def tag_of(data: bytes) -> int:
 
 
 PACKED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
-#: Kinds of packed rows: for a bucket of documents, and for a bucket of anchors or strings.
-TO_DOCS, TO_STRINGS = 0, 2
+#: Kinds of packed rows: for a bucket of documents, documents, and for a bucket of anchors or strings.
+TO_DOCS, DOCUMENTS, TO_STRINGS = 0, 1, 2
 
 
 def packed_rows(found: Iterator[tuple[int, int, Arrays]]) -> Iterator[pa.RecordBatch]:
@@ -270,48 +290,87 @@ def to_docs(arrays: Arrays, n: int) -> Iterator[tuple[int, int, Arrays]]:
         yield b, TO_DOCS, x
 
 
+def dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows in one partition for each bucket."""
+    n = partitions(packed.sparkSession)
+    return packed.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int"))
+
+
+def ragged(data: np.ndarray, size: np.ndarray, key: np.ndarray, arrays: Arrays) -> Iterator[tuple[int, Arrays]]:
+    """by_key for rows that have runs of size bytes, one after the other, in data."""
+    at = np.cumsum(size) - size
+    for b, x in by_key(key, arrays | {"size": size, "at": at}):
+        place = x.pop("at")
+        yield b, x | {"data": data[ranges(place, x["size"])]}
+
+
+def packed_documents(docs: DataFrame, n: int) -> DataFrame:
+    """docs (id, text) as packed rows for their buckets."""
+
+    def found(part: pa.RecordBatch) -> Iterator[tuple[int, int, Arrays]]:
+        data = [utf8(x) for x in part.column("text").to_pylist()]
+        ids = part.column("id").to_numpy()
+        for b, x in ragged(np.frombuffer(b"".join(data), np.uint8), np.array([len(x) for x in data], np.int64), id_hash(ids) % n, {"id": ids}):
+            yield b, DOCUMENTS, x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text", SLICE):
+                yield from packed_rows(found(part))
+
+    return docs.mapInArrow(run, PACKED)
+
+
 def with_blocks(docs: DataFrame, blocks: DataFrame, n: int, work: Callable[[list[tuple[int, bytes]], Arrays | None], Iterator[pa.RecordBatch]], out: T.StructType) -> DataFrame:
     """Deal docs (id, text) and blocks out by bucket; work gets a few MB of documents at a time and their bucket's arrays."""
-    d = docs.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("bucket"), F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("block"))
-    dealt = d.unionByName(blocks.select("bucket", "kind", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "block"))
-    dealt = dealt.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+    rows = dealt(packed_documents(docs, n).unionByName(blocks)).sortWithinPartitions("bucket", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks, arrays = None, [], None
-        for whole in batches:
-            for batch in slices(whole, "text", 2 * PIECE):
-                held: list[tuple[int, bytes]] = []
-                for b, kind, i, text, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "id", "text", "block")), strict=True):
-                    if b != bucket:
-                        if held:
-                            yield from work(held, arrays)
-                            held = []
-                        bucket, blocks, arrays = b, [], None
-                    if kind == TO_DOCS:
-                        blocks.append(block)
-                        continue
-                    if blocks:
-                        arrays, blocks = gathered(blocks), []
-                    held.append((i, utf8(text)))
-                if held:
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for b, kind, block in zip(*(batch.column(c).to_pylist() for c in PACKED.names), strict=True):
+                if held and (b != bucket or size > SLICE):
                     yield from work(held, arrays)
-
-    return dealt.mapInArrow(run, out)
+                    held, size = [], 0
+                if b != bucket:
+                    bucket, blocks, arrays = b, [], None
+                if kind == TO_DOCS:
+                    blocks.append(block)
+                    continue
+                if blocks:
+                    arrays, blocks = gathered(blocks), []
+                x = unpack(block)
+                raw, edge = x["data"].tobytes(), np.cumsum([0, *x["size"]]).tolist()
+                held += [(i, raw[s:e]) for i, s, e in zip(x["id"].tolist(), edge[:-1], edge[1:], strict=True)]
+                size += len(raw)
+        if held:
+            yield from work(held, arrays)
+
+    return rows.mapInArrow(run, out)
 
 
 def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, int, Arrays]]]) -> DataFrame:
     """work on the arrays of each bucket of anchors or strings; rows for documents pass through."""
-    dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("bucket",)):
-            kind = g.column("kind").to_numpy()
+        bucket, blocks = None, []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
             if (kind == TO_DOCS).any():
-                yield from g.filter(pa.array(kind == TO_DOCS)).to_batches()
-            if (kind == TO_STRINGS).any():
-                yield from packed_rows(work(gathered(g.filter(pa.array(kind == TO_STRINGS)).column("block").to_pylist())))
+                yield batch.filter(pa.array(kind == TO_DOCS))
+            mine = batch.filter(pa.array(kind == TO_STRINGS))
+            for b, block in zip(mine.column("bucket").to_pylist(), mine.column("block").to_pylist(), strict=True):
+                if b != bucket:
+                    if blocks:
+                        yield from packed_rows(work(gathered(blocks)))
+                    bucket, blocks = b, []
+                blocks.append(block)
+        if blocks:
+            yield from packed_rows(work(gathered(blocks)))
 
-    return dealt.mapInArrow(run, PACKED)
+    return dealt(packed).sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
 
 def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -> DataFrame:
@@ -341,7 +400,7 @@ def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", 2 * PIECE):
+            for part in slices(whole, "text", SLICE):
                 yield from packed_rows(found(part))
 
     def work(x: Arrays) -> Iterator[tuple[int, int, Arrays]]:
@@ -365,7 +424,7 @@ def splitters(docs: DataFrame, length: int, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", 2 * PIECE):
+            for part in slices(whole, "text", SLICE):
                 data = [utf8(x) for x in part.column("text").to_pylist()]
                 a = anchors(data, length)
                 step = np.maximum(1, np.bincount(a["doc"], minlength=len(data)) // EACH)[a["doc"]]
@@ -394,12 +453,14 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
     """Packed segments around the shared anchors, for buckets of strings, and spans that are settled here, for buckets of documents."""
     limits = docs.sparkSession.sparkContext.broadcast(splitters(docs, length, n))
 
-    def segments(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray, buf: np.ndarray, at: np.ndarray, head: np.ndarray) -> Iterator[tuple[int, int, Arrays]]:
-        """at: place of each segment in buf; head: of the bytes by which it is dealt out."""
-        route = np.searchsorted(limits.value, matrix(buf, head, np.full(len(head), GRAM), GRAM).view(f"S{GRAM}").ravel(), "right")
-        for b, x in by_key(route, {"doc": doc, "tag": tag, "start": start, "n": many, "at": at}):
+    def segments(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray, head: np.ndarray, buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, Arrays]]:
+        """at: place of each segment in buf; head: place in it of the bytes by which it is dealt out."""
+        lead = matrix(buf, at + head, np.full(len(head), GRAM), GRAM).view(f"S{GRAM}").ravel()
+        route = np.searchsorted(limits.value, lead, "right")
+        order = np.lexsort((lead, route))
+        for b, x in by_key(route[order], {"doc": doc[order], "tag": tag[order], "start": start[order], "n": many[order], "head": head[order], "at": at[order]}):
             place = x.pop("at")
-            yield b, TO_STRINGS, x | {"n": x["n"].astype(np.uint8), "data": buf[ranges(place, x["n"] + length - 1)]}
+            yield b, TO_STRINGS, x | {"n": x["n"].astype(np.uint8), "head": x["head"].astype(np.uint8), "data": buf[ranges(place, x["n"] + length - 1)]}
 
     def found(held: list[tuple[int, bytes]], c: Arrays) -> Iterator[tuple[int, int, Arrays]]:
         data = [x for _, x in held]
@@ -408,13 +469,13 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
         pick, hot = wanted(a, ids, c)
         if not len(pick):
             return
-        buf = np.frombuffer(b"".join(data), np.uint8)
+        buf = padded(np.frombuffer(b"".join(data), np.uint8))
         edge = np.cumsum([0, *map(len, data)])
         doc, first, last, at = (a[k][pick] for k in ("doc", "first", "last", "at"))
         cool = ~hot
         if cool.any():
             d = doc[cool]
-            yield from segments(ids[d], tags[d], first[cool], last[cool] - first[cool] + 1, buf, edge[d] + first[cool], edge[d] + at[cool])
+            yield from segments(ids[d], tags[d], first[cool], last[cool] - first[cool] + 1, at[cool] - first[cool], buf, edge[d] + first[cool])
         if hot.any():
             d, many = np.repeat(doc[hot], last[hot] - first[hot] + 1), last[hot] - first[hot] + 1
             start = ranges(first[hot], many)
@@ -423,7 +484,7 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
             if later.any():
                 yield from to_docs(spans_of(ids[d[later]], tags[d[later]], start[later], length), n)
             d, start = d[~later], start[~later]
-            yield from segments(ids[d], tags[d], start, np.ones(len(d), np.int64), buf, edge[d] + start, edge[d] + start)
+            yield from segments(ids[d], tags[d], start, np.ones(len(d), np.int64), np.zeros(len(d), np.int64), buf, edge[d] + start)
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
         if c is not None:
@@ -465,10 +526,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, ho
     """
     if not GRAM < length < 256:
         raise ValueError(f"length is from {GRAM + 1} to 255")
-    n = BUCKETS * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     known = every.where("id is not null")
-    spans = by_string(strings(known, shared_anchors(known, length, n, often, hot), length, n), lambda x: to_docs(resolve(x, length), n))
+    spans = by_string(strings(known, shared_anchors(known, length, n, often, hot), length, n), lambda x: (y for spans in resolve(x, length) for y in to_docs(spans, n)))
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -486,7 +547,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, ho
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", 2 * PIECE):
+            for part in slices(whole, "text", SLICE):
                 yield cut_batch([(None, utf8(x), []) for x in part.column("text").to_pylist()], kept)
 
     return with_blocks(known, spans, n, work, CUT).unionByName(every.where("id is null").mapInArrow(plain, CUT))
