@@ -165,6 +165,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABL
     comp = connected_components(found.select(F.col("id").alias("a"), F.col("head").alias("b")))
     c = classes.join(weight, "id", "left").join(comp, "id", "left")
     c = c.select("label", "vec", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = p.join(c, ["label", "vec"], "left")
+    out = p.join(c, ["label", "vec"], "left").withColumns({x: F.when(F.col("vec_id").isNotNull(), F.col(x)) for x in ("n", "c")})
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -125,7 +125,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     for r in train.select("lang", "text").mapInArrow(run, "lang string, v binary").toLocalIterator():
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.v, dtype=np.float64)
     names = sorted(sums, key=lambda s: s.encode())
-    return Profiles(names, np.array([sums[k] for k in names]).reshape(len(names), -1))
+    return Profiles(names, np.array([sums[k] for k in names]).reshape(len(names), DIMENSIONS))
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
