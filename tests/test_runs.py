@@ -115,3 +115,12 @@ def test_streaming(spark, folders, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("scores.levenshtein").collect()] == [1.0, 1.0]
+
+
+def test_command_line(spark, folders, tmp_path, capsys):
+    from tablescore.cli import main
+
+    (tmp_path / "p.json").write_text(json.dumps({"stem": "a", "family": "vision", "model": "v", "payload": html([["a"]]), "seconds": 1.0}))
+    main(["--image", folders[0], "--ground-truth", f"{folders[1]}/a.html", "--payloads", str(tmp_path / "p.json"), "--output", str(tmp_path / "o")], spark)
+    assert "v" in capsys.readouterr().out
+    assert S.read_runs(spark, str(tmp_path / "o")).first().scores.teds == 1.0
