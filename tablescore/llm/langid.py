@@ -29,6 +29,8 @@ DIMENSIONS = 1_024
 SEED = 20_240_502
 #: Training documents of a language at most.
 SAMPLE = 500
+#: Sampled documents, all languages together, up to which their ids are broadcast.
+BROADCAST_ROWS = 200_000
 #: Distinct trigrams whose vectors are held at a time.
 HELD = 4_096
 #: Texts below this score fit no learned language; see recognised().
@@ -107,10 +109,12 @@ class Profiles:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from docs (doc_id, text, lang); rows reach the driver as one vector per language and slice of the sample."""
+    """Profiles from docs (doc_id, text, lang); one vector for each language reaches the driver."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(shuffle_key(F.col("doc_id")), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    if chosen.count() <= BROADCAST_ROWS:  # else a shuffle of the texts
+        chosen = F.broadcast(chosen)
     train = rows.where("text is not null").select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +125,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
                 for lang in sorted(set(langs)):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([x[langs == lang].sum(axis=0, dtype=np.float64).tobytes()], pa.binary())], names=["lang", "v"])
 
-    sums: dict[str, np.ndarray] = {}
-    for r in train.select("lang", "text").mapInArrow(run, "lang string, v binary").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.v, dtype=np.float64)
+    def total(rows: pa.Table) -> pa.Table:
+        sums = np.frombuffer(b"".join(rows.column("v").to_pylist()), dtype=np.float64).reshape(-1, DIMENSIONS)
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "v": pa.array([sums.sum(axis=0).tobytes()], pa.binary())})
+
+    kinds = "lang string, v binary"
+    sums = {r.lang: np.frombuffer(r.v, dtype=np.float64) for r in train.select("lang", "text").mapInArrow(run, kinds).groupBy("lang").applyInArrow(total, kinds).collect()}
     names = sorted(sums, key=lambda s: s.encode())
     return Profiles(names, np.array([sums[k] for k in names]).reshape(len(names), DIMENSIONS))
 
