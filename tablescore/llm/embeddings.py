@@ -61,13 +61,13 @@ def packed(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("embedding")
+            flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan")), dtype="<f8")
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))
             out = []
-            for x in batch.column("embedding").to_pylist():
-                v = None
-                if x and None not in x:
-                    v = np.asarray(x, dtype="<f8")
-                    v = v.tobytes() if np.isfinite(v).all() and 0 < float(np.linalg.norm(v / (np.abs(v).max() or 1))) else None
-                out.append(v)
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                v = flat[start:end]
+                out.append(v.tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
     kinds = T.StructType([T.StructField("vec_id", T.LongType()), vectors.schema["label"], T.StructField("vec", T.BinaryType())])

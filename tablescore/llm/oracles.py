@@ -64,7 +64,7 @@ from v left join (select a, count(*) as n from link group by a) l on v.r = l.a l
 
 SUFFIXES = r"""
 with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
-p as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from d, unnest(range(0, len(h) // 2 - 49)) as u(p) where len(h) >= 100),
+p as (select doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) as s from d, unnest(range(0, len(h) // 2 - 49)) as u(p) where len(h) >= 100),
 f as (select s, min(doc_id) as first from p group by s),
 gone as (select doc_id, p from p join f using (s) where doc_id > first),
 b as (select doc_id, p, max(p) over (partition by doc_id order by p rows between unbounded preceding and 1 preceding) as before from gone),
