@@ -79,16 +79,24 @@ def unpack(block: bytes) -> Arrays:
     return out
 
 
-def gathered(blocks: list[bytes]) -> Arrays:
-    parts = [unpack(b) for b in blocks]
+def joined(parts: list[Arrays]) -> Arrays:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
+def gathered(blocks: list[bytes]) -> Arrays:
+    return joined([unpack(b) for b in blocks])
+
+
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... n[0] numbers, then those from start[1], and so on."""
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Anchors have the least hashes of their strings; mixed once more, they fill all buckets alike."""
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
 def anchors(data: list[bytes], length: int) -> Arrays:
     """doc, order (in its document), at, first, last, hash of each anchor of the byte strings data: it is
     the anchor of the strings that start from first to last. All places count from the document's start."""
@@ -124,10 +132,10 @@ def anchors(data: list[bytes], length: int) -> Arrays:
         last = np.append(first[1:], len(at)) - 1
         piece = np.searchsorted(edges, at[first], "right") - 1
         shift = np.array([p[1] for p in group])[piece] - edges[piece]
-        out.append({"doc": np.array([p[0] for p in group])[piece], "at": at[first] + shift, "first": start[first] + shift, "last": start[last] + shift, "hash": h[at[first]]})
+        out.append({"doc": np.array([p[0] for p in group])[piece], "at": at[first] + shift, "first": start[first] + shift, "last": start[last] + shift, "hash": spread(h[at[first]])})
     if not out:
         return {n: np.zeros(0, np.int64) for n in ("doc", "order", "at", "first", "last")} | {"hash": np.zeros(0, np.uint64)}
-    a = {n: np.concatenate([x[n] for x in out]) for n in out[0]}
+    a = joined(out)
     a["order"] = np.arange(len(a["doc"])) - np.searchsorted(a["doc"], a["doc"])
     return a
 
@@ -529,7 +537,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, ho
     n = partitions(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     known = every.where("id is not null")
-    spans = by_string(strings(known, shared_anchors(known, length, n, often, hot), length, n), lambda x: (y for spans in resolve(x, length) for y in to_docs(spans, n)))
+    spans = by_string(strings(known, shared_anchors(known, length, n, often, hot), length, n), lambda x: to_docs(joined(list(resolve(x, length))), n))
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
         rows = []
