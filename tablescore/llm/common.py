@@ -66,8 +66,27 @@ def with_columns(df: DataFrame, column: str, added: T.StructType, fn: Callable[[
     return df.select(*keep).mapInArrow(run, out)
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(column).to_pylist()
+def filter_rows(df: DataFrame, column: str, keep: Callable[[pa.RecordBatch], np.ndarray], max_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of df for which keep is true, all columns as they are, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, column, max_bytes):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_columns(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict], max_bytes: int = 4 << 20) -> DataFrame:
+    """df with new values in those of its columns that fn returns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, column, max_bytes):
+                new = fn(part)
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in part.schema.names], names=part.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, with_columns
+from .common import filter_rows, slices, with_columns
 
 #: Words of a window.
 WINDOW = 10
@@ -129,24 +129,29 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
 
+def overlap(found: list, w: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]]]:
+    """Number of words of each document that a window of the broadcast indexes hits, and the items that occur in it."""
+    items: list[set[str]] = [set() for _ in w]
+    edge = None
+    for b in found:
+        starts, hits, places = b.value.find(w)
+        if edge is None:
+            edge = np.zeros(starts[-1] + WINDOW + 1, dtype=np.int64)
+        np.add.at(edge, hits[:, 0], 1)
+        np.add.at(edge, hits.sum(axis=1), -1)
+        for d, i in np.unique(places[places[:, 1] >= 0][:, :2], axis=0).tolist():
+            items[d].add(b.value.ids[i])
+    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+    return covered[starts[1:]] - covered[starts[:-1]], items
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated; columns of these names are replaced."""
     found = blocks(benchmark)
 
     def run(batch: pa.RecordBatch) -> dict:
         w = [words(x) for x in batch.column("text").to_pylist()]
-        items: list[set[str]] = [set() for _ in w]
-        edge = None
-        for b in found:
-            starts, hits, places = b.value.find(w)
-            if edge is None:
-                edge = np.zeros(starts[-1] + WINDOW + 1, dtype=np.int64)
-            np.add.at(edge, hits[:, 0], 1)
-            np.add.at(edge, hits.sum(axis=1), -1)
-            for d, i in np.unique(places[places[:, 1] >= 0][:, :2], axis=0).tolist():
-                items[d].add(b.value.ids[i])
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
-        n_hit = covered[starts[1:]] - covered[starts[:-1]]
+        n_hit, items = overlap(found, w)
         return {
             "n_words": pa.array([len(x) for x in w], pa.int64()),
             "n_hit": pa.array(n_hit, pa.int64()),
@@ -176,4 +181,5 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a window of the benchmark."""
-    return decontaminate(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    found = blocks(benchmark)
+    return filter_rows(docs, "text", lambda batch: overlap(found, [words(x) for x in batch.column("text").to_pylist()])[0] == 0, SHARD_BYTES)

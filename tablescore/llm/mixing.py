@@ -126,9 +126,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, each once per copy, with all columns and the number of the copy."""
-    m = mix(docs, **options)
-    kept = m.where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
-    d = docs.drop("copy").withColumn("m_words", word_count(F.col("text")))
-    on = d.doc_id.eqNullSafe(kept.m_id) & d.source.eqNullSafe(kept.m_source) & (d.m_words == kept.m_size)
-    out = d.join(kept, on).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    key = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size")), {"ignoreNullFields": "false"})
+    # Rows alike in these three share a list, which is of one number unless a doc_id repeats.
+    kept = mix(docs, **options).groupBy(key(F.col("size")).alias("_mix_key")).agg(F.sort_array(F.collect_list("copies"), False).alias("_mix_copies")).where(F.col("_mix_copies")[0] > 0)
+    d = docs.drop("copy").withColumn("_mix_key", key(word_count(F.col("text")))).join(kept, "_mix_key")
+    number = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.xxhash64("text")))
+    copies = F.get(F.col("_mix_copies"), F.col("_mix_number") - 1)
+    out = d.withColumn("_mix_number", number).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return out.select(*[c for c in docs.columns if c != "copy"], "copy")

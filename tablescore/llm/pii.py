@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .boosting import Boosted, least_threshold
-from .common import with_columns
+from .common import replace_columns, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SEED = 20_240_503
@@ -253,19 +253,17 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with all spans in text replaced; null stays null, and n_chars, where there is one, follows the text."""
-    columns = docs.columns
+    """docs with all spans in text replaced; null stays null, and n_chars, where there is one, follows a changed text."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        raw = batch.column("source_text").to_pylist()
+        raw = batch.column("text").to_pylist()
         texts = [x or "" for x in raw]
         base = [base_spans(x) for x in texts]
         clean = [None if x is None else redacted(x, b + a) for x, b, a in zip(raw, base, added_spans(texts, base), strict=True)]
-        return {"text": pa.array(clean, pa.string())}
-
-    out = with_columns(docs.withColumnRenamed("text", "source_text"), "source_text", T.StructType([docs.schema["text"]]), run)
-    if "n_chars" in columns:
-        from pyspark.sql import functions as F
+        out = {"text": pa.array(clean, batch.column("text").type)}
+        if "n_chars" in batch.schema.names:
+            n = batch.column("n_chars")
+            out["n_chars"] = pa.array([k if x == c else len(c) for k, x, c in zip(n.to_pylist(), raw, clean, strict=True)], n.type)
+        return out
 
-        out = out.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("source_text")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    return replace_columns(docs, "text", run)

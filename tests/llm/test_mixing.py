@@ -52,6 +52,16 @@ def test_repeated_rows_and_reruns(spark):
     assert key(mixing.mix(df)) == key(mixing.mix(df.repartition(7)))
 
 
+def test_repeated_documents(spark):
+    df = spark.createDataFrame(table(6, 60) * 3, "doc_id long, text string, source string")
+    m = sorted((r.doc_id, r.copies) for r in mixing.mix(df).collect() if r.copies)
+    want = {}
+    for i, n in m:
+        want[i] = want.get(i, 0) + n
+    rows = [r.doc_id for r in mixing.mixed_documents(df).collect()]
+    assert pd.Series(rows).value_counts().to_dict() == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == mixing.mixed_documents(df).count() == 0

@@ -38,7 +38,7 @@ def test_run_equals_brute_force(spark):
 
 def test_stages_take_odd_rows(spark, tmp_path):
     rows = [(1, "the cat and the dog " * 9, "en", "s", 1), (1, "the cat and the dog " * 9, "en", "s", 1), (2, None, None, None, None), (None, "the bird sings", "en", None, 5), (3, "", "en", "s", 0), (4, "x" * 200_000, "en", "t", 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", mixing.F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: mixing.F.lit(7) for c in ("score", "size", "copies", "contaminated", "spans", "fp", "id", "bits", "block", "component_id")})
     pd.DataFrame({"item_id": [1], "text": ["q " * 12]}).to_parquet(tmp_path / "benchmark.parquet")
     for data in (df, df.limit(0)):
         d = data
@@ -48,4 +48,5 @@ def test_stages_take_odd_rows(spark, tmp_path):
             if data is df and k == 3:
                 ids = [r.doc_id for r in d.collect()]
                 assert ids.count(1) == 1 and None in ids and 2 not in ids and 3 not in ids
+                assert all(v == 7 for r in d.collect() for v in r[len(rows[0]) :])
         assert data is df or d.count() == 0
