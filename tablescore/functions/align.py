@@ -40,8 +40,8 @@ def best_alignment(matches: Column, gap: float) -> Column:
 
 
 def row_alignment(a: Column, b: Column) -> Column:
-    """Best alignment of two rows of cells."""
-    return best_alignment(F.transform(a, lambda x: F.transform(b, lambda y: cell_similarity(x, y))), CELL_GAP)
+    """Best alignment of two rows of cells; equal rows match in every cell, which nothing can exceed."""
+    return F.when(a == b, F.size(a).cast("double")).otherwise(best_alignment(F.transform(a, lambda x: F.transform(b, lambda y: cell_similarity(x, y))), CELL_GAP))
 
 
 def padded(grid: Column, width: Column) -> Column:
@@ -60,7 +60,7 @@ def content_score(a: Column, b: Column) -> Column:
     rows = F.transform(pa, lambda x: F.transform(pb, lambda y: ROW_BONUS + row_alignment(x, y)))
     top = F.greatest(F.size(a), F.size(b)) * (ROW_BONUS + width)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(rows, ROW_GAP) / top))
-    return F.when(a.isNull() | b.isNull(), None).when((F.size(a) == 0) | (F.size(b) == 0) | (width == 0), 0.0).otherwise(score)
+    return F.when(a.isNull() | b.isNull(), None).when((F.size(a) == 0) | (F.size(b) == 0) | (width == 0), 0.0).when(pa == pb, 1.0).otherwise(score)
 
 
 def floor_score(rows_a: Column, rows_b: Column, width: Column) -> Column:

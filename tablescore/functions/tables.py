@@ -220,9 +220,12 @@ def tree_score(truth: str, guess: str) -> float:
     """1 less the tree edit distance over the larger number of nodes below `table`; 0 if a side has no row."""
     if nothing_to_compare(truth) or nothing_to_compare(guess):
         return 0.0
-    a, b = Tree(truth), Tree(guess)
+    a = Tree(truth)
+    b = a if truth == guess else Tree(guess)
     if not a.labels or not b.labels:
         return 0.0
+    if truth == guess:
+        return 1.0
     return max(0.0, 1.0 - tree_distance(a, b) / max(a.size, b.size))
 
 

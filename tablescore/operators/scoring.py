@@ -69,7 +69,7 @@ def prepared(trees: bool):
             score = None
             if trees:
                 try:
-                    score = 1.0 if ca == cb and "<tr>" in ca and ca.startswith("<table>") and "<td" in ca else tree_score(ca, cb)
+                    score = tree_score(ca, cb)
                 except (ValueError, OverflowError, RecursionError) as e:
                     score, error = 0.0, str(e)
             rows.append((ga, gb, score, error))

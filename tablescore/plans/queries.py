@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.align import cell_similarity, content_score, floor_score, row_alignment
 from ..functions.text import collapse, normalised_cell, stem
 from ..operators import converters as X
-from ..operators.runs import POLICIES, registry, summary, worst_wait
-from ..operators.scoring import canonical_html, html_grid, row_alignment_score, row_pairs, score_tables, tree_similarity
+from ..operators.runs import POLICIES, records, registry, summary, validated, worst_wait
+from ..operators.scoring import align_rows, canonical_html, html_grid, row_alignment_score, row_pairs, score_tables, tree_similarity
 from ..sources.files import encoded, paired, scaled_size
 from . import report
 from .fixtures import WRONG, decorated_html, order_tables, plain_html, run_log, scored_pairs, table
@@ -339,3 +339,43 @@ def a9_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RUNS + """ select m.*, t.time_seconds, coalesce(levenshtein > max(levenshtein) over (order by time_seconds, levenshtein desc rows between unbounded preceding and 1 preceding), true) as best_of_its_speed from m join t using (name)""")
 def a11_trade_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.trade_off(named_scores(spark, sf_dir), named_times(spark, sf_dir))
+
+
+@query("select p_partkey, levenshtein(p_name, p_type)::int as distance from part")
+def l2_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").alias("distance"))
+
+
+@query()
+def l6_alignment_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each order against its last, gaps as dashes."""
+    o = order_tables(spark, sf_dir).select("l_orderkey", align_rows(F.get("grid", F.lit(0)), F.element_at("grid", -1)).alias("t"))
+    shown = lambda x: F.array_join(F.transform(x, lambda c: F.coalesce(c, F.lit("-"))), "|")
+    return o.select("l_orderkey", shown(F.col("t.a")).alias("a"), shown(F.col("t.b")).alias("b"), six(F.col("t.score")).alias("score"))
+
+
+@query(ROWS + " select l_orderkey, 0.0::double as levenshtein, 0.0::double as teds, true as failed from l group by l_orderkey")
+def m2_metric_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions whose grid cannot be built and that have no table: both scores are 0, the run goes on."""
+    o = order_tables(spark, sf_dir).select("l_orderkey", plain_html(F.col("grid")).alias("gt_html"), F.concat(F.lit('<p>x</p><div><tr><td colspan="inf">'), F.col("l_orderkey").cast("string"), F.lit("</td></tr></div>")).alias("pred_html"))
+    s = score_tables(o, metrics=("levenshtein", "teds"))
+    return s.select("l_orderkey", "scores.levenshtein", "scores.teds", F.col("score_error").isNotNull().alias("failed"))
+
+
+@query("select event_id, event_type not in ('error', 'signup') as success from events")
+def r5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing or an empty result is no success."""
+    e = table(spark, sf_dir, "events")
+    result = F.when(F.col("event_type") == "signup", "").when(F.col("event_type") != "error", F.col("event_type"))
+    return e.select("event_id", validated(result).alias("success"))
+
+
+@query("""
+select event_type as model, count(*) filter (where user_id % 7 <> 0) as successes, count(*) as runs, round(avg(value) filter (where user_id % 7 <> 0), 6) as seconds, count(*) filter (where user_id % 7 = 0) as errors from events group by event_type""")
+def r7_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records of recorded answers, every one scored; each seventh user's answer is missing."""
+    e = table(spark, sf_dir, "events")
+    html = F.concat(F.lit("<table><tr><td>"), F.col("event_type"), F.lit("</td></tr></table>"))
+    x = e.select(F.lit("vision").alias("family"), F.col("event_type").alias("model"), F.col("event_id").cast("string").alias("image_path"), F.lit("g").alias("ground_truth_path"), html.alias("gt_html"), F.when(F.col("user_id") % 7 != 0, html).alias("pred_html"), F.lit(None).cast("string").alias("error"), F.col("value").alias("processing_time"))
+    r = records(x)
+    return r.groupBy("model").agg(F.count_if(F.col("success") & (F.col("scores.teds") == 1)).alias("successes"), F.count(F.lit(1)).alias("runs"), six(F.avg(F.when(F.col("success"), F.col("total_time")))).alias("seconds"), F.count("error").alias("errors"))
