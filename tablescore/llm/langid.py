@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, with_columns
+from .common import filter_rows, slices, with_columns
 from .mixing import shuffle_key
 
 DIMENSIONS = 1_024
 SEED = 20_240_502
 #: Training documents of a language at most.
 SAMPLE = 500
-#: Sampled documents, all languages together, up to which their ids are broadcast.
+#: Rows of languages or of sampled ids up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Distinct trigrams whose vectors are held at a time.
 HELD = 4_096
@@ -108,14 +108,20 @@ class Profiles:
         return [self.languages[k] if m else "und" for k, m in zip(best.tolist(), norm.tolist(), strict=True)], np.where(norm, score, 0.0)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from docs (doc_id, text, lang); one vector for each language reaches the driver."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    # Ids whose hashes are low enough for about twice the sample, so that few rows of a frequent language meet in the window.
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample + 100) / F.count(F.lit(1))).alias("share"))
+    low = rows.select("doc_id", "lang").join(sent(share), "lang").where(shuffle_key(F.col("doc_id")) <= F.col("share") * 2.0**60)
     order = Window.partitionBy("lang").orderBy(shuffle_key(F.col("doc_id")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
-    if chosen.count() <= BROADCAST_ROWS:  # else a shuffle of the texts
-        chosen = F.broadcast(chosen)
-    train = rows.where("text is not null").select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    train = rows.where("text is not null").select("doc_id", "lang", "text").join(sent(chosen), ["doc_id", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,5 +157,10 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 def recognised(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the documents that fit no learned language: those that are `und` or score below least."""
-    found = identify(docs, learn(docs, sample))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        lang, score = model.value.predict(batch.column("text").to_pylist())
+        return (np.array(lang, dtype=object) != "und") & (score >= least)
+
+    return filter_rows(docs, "text", keep, 1 << 20)
