@@ -180,7 +180,7 @@ def tree_distance(a: Tree, b: Tree) -> float:
         if a.labels[i] != b.labels[j]:
             return 1.0
         x, y = a.contents[i], b.contents[j]
-        if not x and not y:
+        if x == y or (not x and not y):
             return 0.0
         if (i, j) not in known:
             known[i, j] = edit_distance(x, y) / max(len(x), len(y))
@@ -194,19 +194,28 @@ def tree_distance(a: Tree, b: Tree) -> float:
     for i in roots(a):
         for j in roots(b):
             li, lj = a.left[i], b.left[j]
+            if li == i and lj == j:  # two leaves; a rename costs no more than 1
+                whole[i][j] = rename(i, j)
+                continue
             last = [float(k) for k in range(j - lj + 2)]
             rows = [last]
             for x in range(li, i + 1):
-                row = [last[0] + 1.0]
-                left_x = a.left[x]
+                before = last[0] + 1.0
+                row = [before]
+                on_edge, apart, done = a.left[x] == li, rows[a.left[x] - li], whole[x]
                 for y in range(lj, j + 1):
-                    best = min(last[y - lj + 1], row[-1]) + 1.0
-                    if left_x == li and b.left[y] == lj:
+                    best = last[y - lj + 1] + 1.0
+                    if before + 1.0 < best:
+                        best = before + 1.0
+                    if on_edge and b.left[y] == lj:
                         best = min(best, last[y - lj] + rename(x, y))
-                        whole[x][y] = best
+                        done[y] = best
                     else:
-                        best = min(best, rows[left_x - li][b.left[y] - lj] + whole[x][y])
+                        other = apart[b.left[y] - lj] + done[y]
+                        if other < best:
+                            best = other
                     row.append(best)
+                    before = best
                 rows.append(row)
                 last = row
     return whole[n - 1][m - 1]
