@@ -8,9 +8,10 @@ doc_id goes. Of all suffixes, only those that can matter are sorted:
    hashes meet in buckets; an anchor that one document only has is dropped.
 2. Suffixes. The strings around each anchor that is left go to a bucket by the leading bytes of the
    anchor's suffix: splitters are quantiles of a bounded sample. An anchor with more than HOT
-   occurrences is dealt out string by string, by the strings' own leading bytes, after equal
-   strings of a task have been reduced to their first document. So equal strings always meet in one
-   bucket, whatever the splitters are, and no comparison across bucket boundaries is left open.
+   occurrences is dealt out string by string, by a hash of the whole string, as its leading bytes
+   cannot be split; equal strings of a task have been reduced to their first document before. So
+   equal strings always meet in one bucket, whatever the splitters are, and no comparison across
+   bucket boundaries is left open.
 3. Each bucket sorts its suffixes with multikey quicksort, eight bytes at a time; runs of equal
    strings give the first document of each.
 4. The documents are cut where their strings have an earlier document.
@@ -49,7 +50,7 @@ PIECE, SLICE = 1 << 19, 4 << 20
 #: Occurrences above which an anchor's strings are dealt out one by one: in all, and in a slice of documents.
 HOT, OFTEN = 4_096, 64
 #: Documents at least in the sample from which splitters are taken, and anchors of each.
-SAMPLE, EACH = 500, 64
+SAMPLE, EACH = 1_000, 128
 #: Rows that the quicksort leaves to a plain sort, and segments that are sorted at a time.
 SMALL, SEGMENTS = 1 << 14, 8_000
 
@@ -173,6 +174,16 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
+def row_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(0, rows.shape[1], 8):
+        part = np.zeros((len(rows), 8), np.uint8)
+        part[:, : rows.shape[1] - k] = rows[:, k : k + 8]
+        h = spread(h ^ part.view("<u8").ravel())
+    return h ^ (h >> np.uint64(32))
+
+
 def classes(rows: np.ndarray) -> np.ndarray:
     """Number of the class of equal rows of each row of bytes (rows x width), in sorted order."""
     n, width = rows.shape
@@ -461,10 +472,10 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
     """Packed segments around the shared anchors, for buckets of strings, and spans that are settled here, for buckets of documents."""
     limits = docs.sparkSession.sparkContext.broadcast(splitters(docs, length, n))
 
-    def segments(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray, head: np.ndarray, buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, Arrays]]:
-        """at: place of each segment in buf; head: place in it of the bytes by which it is dealt out."""
+    def segments(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray, head: np.ndarray, buf: np.ndarray, at: np.ndarray, route: np.ndarray | None = None) -> Iterator[tuple[int, int, Arrays]]:
+        """at: place of each segment in buf; head: place in it of the bytes that equal strings share; route: bucket, if these do not tell."""
         lead = matrix(buf, at + head, np.full(len(head), GRAM), GRAM).view(f"S{GRAM}").ravel()
-        route = np.searchsorted(limits.value, lead, "right")
+        route = np.searchsorted(limits.value, lead, "right") if route is None else route
         order = np.lexsort((lead, route))
         for b, x in by_key(route[order], {"doc": doc[order], "tag": tag[order], "start": start[order], "n": many[order], "head": head[order], "at": at[order]}):
             place = x.pop("at")
@@ -487,12 +498,13 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
         if hot.any():
             d, many = np.repeat(doc[hot], last[hot] - first[hot] + 1), last[hot] - first[hot] + 1
             start = ranges(first[hot], many)
-            string = classes(matrix(buf, edge[d] + start, np.full(len(d), length), length))
+            rows = matrix(buf, edge[d] + start, np.full(len(d), length), length)
+            string, route = classes(rows), row_hash(rows) % np.uint64(n)
             later = ids[d] > first_documents(string, ids[d])
             if later.any():
                 yield from to_docs(spans_of(ids[d[later]], tags[d[later]], start[later], length), n)
-            d, start = d[~later], start[~later]
-            yield from segments(ids[d], tags[d], start, np.ones(len(d), np.int64), np.zeros(len(d), np.int64), buf, edge[d] + start)
+            d, start, route = d[~later], start[~later], route[~later].astype(np.int64)
+            yield from segments(ids[d], tags[d], start, np.ones(len(d), np.int64), np.zeros(len(d), np.int64), buf, edge[d] + start, route)
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
         if c is not None:
