@@ -49,7 +49,7 @@ GRAM = 16
 PIECE, SLICE = 1 << 19, 4 << 20
 #: Occurrences above which an anchor's strings are dealt out one by one: in all, and in a slice of documents.
 HOT, OFTEN = 4_096, 64
-#: Documents at least in the sample from which splitters are taken, and anchors of each.
+#: Documents in the sample from which splitters are taken, and anchors of each.
 SAMPLE, EACH = 1_000, 128
 #: Rows that the quicksort leaves to a plain sort, and segments that are sorted at a time.
 SMALL, SEGMENTS = 1 << 14, 8_000
@@ -438,8 +438,9 @@ def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -
 
 
 def splitters(docs: DataFrame, length: int, n: int) -> np.ndarray:
-    """Quantiles of the leading bytes of anchors in a sample of max(SAMPLE, n / 4) documents, EACH of them at most."""
-    chosen = docs.withColumn("key", shuffle_key(F.col("id"))).orderBy("key").limit(max(SAMPLE, n // 4)).select("text")
+    """Quantiles of the leading bytes of anchors, about EACH of a document, in a sample of about max(SAMPLE, n / 4) documents by a hash of the id."""
+    share = max(SAMPLE, n // 4) / max(1, docs.count())
+    chosen = docs.where(shuffle_key(F.col("id")) <= share * 2.0**60).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
