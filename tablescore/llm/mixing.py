@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows in a run of the shuffled order that one task sums up, and in the last bucket of the cut.
-RUN_ROWS = 5_000
+#: Rows of a source in a run of the shuffled order that one task sums up, and in the last bucket of the cut.
+RUN_ROWS = 1_000
 #: Buckets of the histogram in which the cut is sought; as many sums reach the driver at most.
 CUT_BUCKETS = 4_096
 #: Java regex of a word.
@@ -39,7 +39,7 @@ def shuffle_key(doc_id: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """(source, rank, source_size, target) for each source of sized (source, size).
+    """(source, rank, documents, source_size, target) for each source of sized (source, size).
 
     Sources in code-point order, null last, take the weights in turn and share the sum of all sizes.
     No target is above max_repeats times its source's size; the excess is shared by weight among the
@@ -47,7 +47,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), max_rep
     shows the level of all that do. One row per source meets in the windows here, never the documents.
     """
     w = F.element_at(F.array(*(F.lit(x) for x in weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("source_size"))
     s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", w)
     s = s.withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
     order = Window.orderBy("ratio", "rank")
@@ -57,21 +57,19 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), max_rep
     level = F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(every)
     s = s.withColumn("share", level * F.col("w"))
     cap = F.col("cap").cast("double")
-    return s.select("source", "rank", "source_size", F.least(cap, F.coalesce("share", cap)).alias("target"))
+    return s.select("source", "rank", "documents", "source_size", F.least(cap, F.coalesce("share", cap)).alias("target"))
 
 
 def queue(sized: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
     """sized (doc_id, source, size) with rank, source_size, target and cum, the source's running sum in shuffled order."""
-    rows = sized.count()
-    runs = max(1, rows // RUN_ROWS)
-    r = sized.withColumn("key", shuffle_key(F.col("doc_id"))).withColumn("run", F.floor(F.col("key").cast("double") / 2.0**60 * runs))
-    sums = r.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    ahead = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("run_size").over(ahead), F.lit(0)))
     t = source_targets(sized, weights, max_repeats)
-    sums = sums.join(t, sums.source.eqNullSafe(t.source)).select(sums.source.alias("s_source"), F.col("run").alias("s_run"), "ahead", "rank", "source_size", "target")
-    r = r.join(sums, r.source.eqNullSafe(sums.s_source) & (r.run == sums.s_run)).drop("s_source", "s_run")
+    r = sized.join(t.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    r = r.withColumn("key", shuffle_key(F.col("doc_id"))).withColumn("run", F.floor(F.col("key").cast("double") / 2.0**60 * F.ceil(F.col("documents") / RUN_ROWS)))
+    sums = r.groupBy("rank", "run").agg(F.sum("size").alias("run_size"))
+    ahead = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rank", "run", F.coalesce(F.sum("run_size").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("rank", "run").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(sums, ["rank", "run"])
     return r.select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("ahead") + F.sum("size").over(within)).alias("cum"))
 
 
