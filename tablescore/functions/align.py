@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 CELL_GAP, ROW_GAP, ROW_BONUS = 1.0, 3.0, 5.0
 
 
@@ -34,9 +36,12 @@ def best_alignment(matches: Column, gap: float) -> Column:
         new = F.aggregate(cells, F.array(F.lit(0.0)), next_cell)
         return F.struct(new.alias("above"), F.greatest(state["best"], F.element_at(new, -1)).alias("best"))
 
-    width = F.coalesce(F.size(F.get(matches, F.lit(0))), F.lit(0))
-    start = F.struct(F.array_repeat(F.lit(0.0), width + 1).alias("above"), F.lit(0.0).alias("best"))
-    return F.aggregate(matches, start, next_row, lambda s: F.greatest(s["best"], F.array_max(s["above"])))
+    def folded(m: Column) -> Column:
+        width = F.coalesce(F.size(F.get(m, F.lit(0))), F.lit(0))
+        start = F.struct(F.array_repeat(F.lit(0.0), width + 1).alias("above"), F.lit(0.0).alias("best"))
+        return F.aggregate(m, start, next_row, lambda s: F.greatest(s["best"], F.array_max(s["above"])))
+
+    return let(matches, folded)
 
 
 def row_alignment(a: Column, b: Column) -> Column:
@@ -55,12 +60,18 @@ def width_of(grid: Column) -> Column:
 
 def content_score(a: Column, b: Column) -> Column:
     """Score from 0 to 1 of two grids of cells that are ready to be compared; 0 if one has no row."""
-    width = F.greatest(width_of(a), width_of(b))
-    pa, pb = padded(a, width), padded(b, width)
-    rows = F.transform(pa, lambda x: F.transform(pb, lambda y: ROW_BONUS + row_alignment(x, y)))
-    top = F.greatest(F.size(a), F.size(b)) * (ROW_BONUS + width)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(rows, ROW_GAP) / top))
-    return F.when(a.isNull() | b.isNull(), None).when((F.size(a) == 0) | (F.size(b) == 0) | (width == 0), 0.0).when(pa == pb, 1.0).otherwise(score)
+
+    def scored(p: Column) -> Column:
+        x, y, width = p["x"], p["y"], p["width"]
+        rows = F.transform(x, lambda r: F.transform(y, lambda s: ROW_BONUS + row_alignment(r, s)))
+        top = F.greatest(F.size(x), F.size(y)) * (ROW_BONUS + width)
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(rows, ROW_GAP) / top))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0) | (width == 0), 0.0).when(x == y, 1.0).otherwise(score)
+
+    def filled(width: Column) -> Column:
+        return F.struct(padded(a, width).alias("x"), padded(b, width).alias("y"), width.alias("width"))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(let(F.greatest(width_of(a), width_of(b)), filled), scored))
 
 
 def floor_score(rows_a: Column, rows_b: Column, width: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it: inside lambdas Spark shares no common expressions."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")

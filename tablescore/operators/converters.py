@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dom import parse
-from ..functions.text import lines, strip, tokens, truthy
+from ..functions.text import let, lines, strip, tokens, truthy
 
 EMPTY = "<table></table>"
 
@@ -73,16 +73,18 @@ def layout_table(table: Column) -> Column:
     )
     cells = F.filter(cells, lambda x: x["r"].between(0, rows - 1) & x["c"].between(0, columns - 1))
 
-    def shown(r: Column, c: Column) -> Column:
+    def shown(cells: Column, r: Column, c: Column) -> Column:
         touching = F.filter(cells, lambda x: r.between(x["r"], F.greatest(x["r"], x["r"] + x["down"] - 1)) & c.between(x["c"], F.greatest(x["c"], x["c"] + x["across"] - 1)))
         touching = F.filter(touching, lambda x: ((x["r"] == r) & (x["c"] == c)) | ((x["down"] > 0) & (x["across"] > 0)))
-        last = F.try_element_at(touching, F.lit(-1))
+        return let(F.try_element_at(touching, F.lit(-1)), lambda last: markup(last, r, c))
+
+    def markup(last: Column, r: Column, c: Column) -> Column:
         tag = F.when(F.coalesce(last["kind"].isin(*HEADER_KINDS), F.lit(False)), "th").otherwise("td")
         attribute = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
         cell = F.concat(F.lit("<"), tag, attribute("rowspan", last["down"]), attribute("colspan", last["across"]), F.lit(">"), last["content"], F.lit("</"), tag, F.lit(">"))
         return F.when(last.isNull(), "<td></td>").when((last["r"] == r) & (last["c"] == c), cell).otherwise("")
 
-    return table_of(F.transform(sequence(rows), lambda r: F.array_join(F.transform(sequence(columns), lambda c: shown(r, c)), "")))
+    return let(cells, lambda own: table_of(F.transform(sequence(rows), lambda r: F.array_join(F.transform(sequence(columns), lambda c: shown(own, r, c)), ""))))
 
 
 def layout_to_html(tables: Column) -> Column:
