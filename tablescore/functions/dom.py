@@ -7,6 +7,7 @@ before any element stands in a paragraph of the body.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -22,6 +23,14 @@ CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot")
 STRENGTH = {"p": 10, "div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 
 
+#: Markup that one pattern cuts into the events that the parser would find: no references, comments or odd
+#: attributes, and no elements whose content is not markup.
+SIMPLE = re.compile(r'(?:[^<>&]++|</?[a-zA-Z][a-zA-Z0-9]*+(?: [a-zA-Z][a-zA-Z-]*+="[^"<>&]*+")*+>)*+')
+TOKEN = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][a-zA-Z-]*="[^"]*")*)>|</([a-zA-Z][a-zA-Z0-9]*)>|([^<]+)')
+ATTRIBUTE = re.compile(r'([a-zA-Z-]+)="([^"]*)"')
+OPAQUE = re.compile(r"<(?:iframe|noembed|noframes|noscript|plaintext|script|style|textarea|title|xmp)\b", re.I)
+
+
 def ended_by(tag: str) -> frozenset[str]:
     """Open elements that the start of tag ends, as long as they are innermost."""
     if tag in CELLS:
@@ -166,6 +175,15 @@ class Builder(HTMLParser):
 def parse(html: str, repair: bool = True) -> Node:
     """The body of html. repair: end open elements as browsers' table models ask; else nesting is as written."""
     b = Builder(repair)
-    b.feed(html)
-    b.close()
+    if SIMPLE.fullmatch(html) and not OPAQUE.search(html):
+        for tag, attrs, end, text in TOKEN.findall(html):
+            if text:
+                b.handle_data(text)
+            elif end:
+                b.handle_endtag(end.lower())
+            else:
+                b.handle_starttag(tag.lower(), [(k.lower(), v) for k, v in ATTRIBUTE.findall(attrs)])
+    else:
+        b.feed(html)
+        b.close()
     return b.body

@@ -203,3 +203,19 @@ def test_plain_tables_need_no_parser(source):
         assert outcome() == short
     finally:
         t.PLAIN = pattern
+
+
+SIMPLE_PIECE = st.sampled_from(["<table>", "</table>", "<TR>", "</tr>", "<td>", "</td>", '<th rowspan="2" class="a b">', '<span class="math-inline">', "</span>", "<p>", "</p>", "<br>", "<b>", "</b>", "text ", "\n", "é", '<td a="1" a="2">', "</x>", "<div>", '<td colspan="2" >', "</td x>", "<br/>"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(SIMPLE_PIECE, max_size=14).map("".join))
+def test_simple_markup_needs_no_parser(source):
+    from tablescore.functions import dom
+
+    short = [dom.parse(source, repair).markup() for repair in (True, False)]
+    pattern, dom.SIMPLE = dom.SIMPLE, t.re.compile(r"(?!)")
+    try:
+        assert [dom.parse(source, repair).markup() for repair in (True, False)] == short
+    finally:
+        dom.SIMPLE = pattern
