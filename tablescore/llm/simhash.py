@@ -179,7 +179,8 @@ def hamming_forest(ids: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS)
     parts = [rows.where("large is null").select(*TRIE.names)]
     for depth in sorted({d for _, d in first}):
         again = [(k, *x) for k, x in enumerate(layouts(node_rows * 64, budget, depth))]
-        parts.append(planted(rows.where("large").where(F.col("depth") == depth), again))
+        # Numbers from 64 on, so that no trie of the second kind shares one with the first.
+        parts.append(planted(rows.where("large").where(F.col("depth") == depth).withColumn("trie", F.col("trie") + 1), again))
     dealt = parts[0]
     for p in parts[1:]:
         dealt = dealt.unionByName(p)

@@ -66,7 +66,7 @@ def test_one_doc_id_with_two_texts_hangs_together(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 6: 1}
 
 
-@pytest.mark.parametrize("node_rows", [50_000, 4])
+@pytest.mark.parametrize("node_rows", [50_000, 40, 4, 1])
 def test_trie_join(spark, node_rows):
     r = np.random.default_rng(2)
     keys = set()
