@@ -215,9 +215,9 @@ FAMILIES = {
 
 
 def payload_to_html(family: Column, payload: Column) -> Column:
-    """HTML of a recorded payload, by its family; null for an unknown family."""
+    """HTML of a recorded payload, by its family; null for an unknown family or without payload."""
     out = F.lit(None).cast("string")
     for name, (schema, convert) in FAMILIES.items():
         own = F.when(family == name, payload)
         out = F.when(family == name, convert(own if schema is None else F.from_json(own, schema))).otherwise(out)
-    return out
+    return F.when(payload.isNotNull(), out)
