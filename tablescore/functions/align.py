@@ -68,10 +68,12 @@ def content_score(a: Column, b: Column) -> Column:
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(rows, ROW_GAP) / top))
         return F.when((F.size(x) == 0) | (F.size(y) == 0) | (width == 0), 0.0).when(x == y, 1.0).otherwise(score)
 
-    def filled(width: Column) -> Column:
-        return F.struct(padded(a, width).alias("x"), padded(b, width).alias("y"), width.alias("width"))
+    def filled(p: Column) -> Column:
+        width = F.greatest(width_of(p["a"]), width_of(p["b"]))
+        return let(width, lambda w: F.struct(padded(p["a"], w).alias("x"), padded(p["b"], w).alias("y"), w.alias("width")))
 
-    return F.when(a.isNotNull() & b.isNotNull(), let(let(F.greatest(width_of(a), width_of(b)), filled), scored))
+    # a and b stand outside all lambdas, as they may come from Python, which Spark cannot run inside one.
+    return F.when(a.isNotNull() & b.isNotNull(), let(let(F.struct(a.alias("a"), b.alias("b")), filled), scored))
 
 
 def floor_score(rows_a: Column, rows_b: Column, width: Column) -> Column:

@@ -85,10 +85,13 @@ def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_ht
     computed is 0 and leaves the reason in score_error. Where truth or prediction is null, so are the
     scores. Scoring needs no shuffle: a pair is a row.
     """
-    p = pairs.withColumn("prepared", prepared("teds" in metrics)(F.col(truth), F.col(guess)))
+    # The array of one keeps Spark from merging the expressions that make the inputs into the Python call, which it
+    # cannot take out of the plan if they hold nested lambdas, as those of converters do.
+    p = pairs.select("*", F.explode(F.array(F.struct(F.col(truth).alias("truth"), F.col(guess).alias("guess")))).alias("scored_pair"))
+    p = p.withColumn("prepared", prepared("teds" in metrics)(F.col("scored_pair.truth"), F.col("scored_pair.guess")))
     content = content_score(F.col("prepared.truth"), F.col("prepared.guess")) if "levenshtein" in metrics else F.lit(None).cast("double")
     scores = F.struct(content.alias("levenshtein"), F.col("prepared.teds").alias("teds"))
-    return p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error")).drop("prepared")
+    return p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error")).drop("prepared", "scored_pair")
 
 
 def by_cost(pairs: DataFrame, partitions: int, truth: str = "gt_html", guess: str = "pred_html") -> DataFrame:
