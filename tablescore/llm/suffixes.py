@@ -46,7 +46,7 @@ LENGTH = 50
 #: Bytes of an anchor.
 GRAM = 16
 #: Bytes of documents that are hashed at a time, and in a slice.
-PIECE, SLICE = 1 << 19, 4 << 20
+PIECE, SLICE = 1 << 16, 4 << 20
 #: Occurrences above which an anchor's strings are dealt out one by one: in all, and in a slice of documents.
 HOT, OFTEN = 4_096, 64
 #: Documents in the sample from which splitters are taken, and anchors of each.
@@ -152,6 +152,25 @@ def by_key(key: np.ndarray, arrays: Arrays) -> Iterator[tuple[int, Arrays]]:
         yield int(sorted_key[lo]), {k: v[order[lo:hi]] for k, v in arrays.items()}
 
 
+def small_order(words: np.ndarray) -> np.ndarray:
+    """Order of few rows: by the first character, then all ties at once by the next, until none is left."""
+    n, m = words.shape
+    order, new = np.arange(n), np.zeros(n + 1, bool)
+    new[[0, n]] = True
+    for k in range(m):
+        tied = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(tied):
+            break
+        own = order[tied]
+        group = np.cumsum(new[:-1])[tied].astype(np.uint16)
+        by_word = np.argsort(words[own, k])
+        own = own[by_word[np.argsort(group[by_word], kind="stable")]]
+        order[tied] = own
+        w = words[own, k]
+        new[tied[1:]] |= w[1:] != w[:-1]
+    return order
+
+
 def multikey_order(words: np.ndarray) -> np.ndarray:
     """Order of the rows of words (rows x 64-bit characters): three-way quicksort on one character after the other."""
     n, m = words.shape
@@ -163,7 +182,7 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
             continue
         own = order[lo:hi]
         if hi - lo <= SMALL:
-            order[lo:hi] = own[np.lexsort(words[own, depth:].T[::-1])]
+            order[lo:hi] = own[small_order(words[own, depth:])]
             continue
         key = words[own, depth]
         pivot = np.sort(key[:: max(1, len(key) // 15)])[8]
