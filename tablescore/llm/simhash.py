@@ -10,6 +10,14 @@ copies stays linear; components over all subtrees follow.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id
 are one document. Null doc_ids are linked to nothing.
+
+one_of_each() asks for more: every two documents whose sets of five-word shingles have a Jaccard
+similarity of SIMILAR or more. Such fingerprints differ in 15 % of their bits, too many for exact
+blocks. They have WIDE_BITS bits there, each of TABLES tries has DEPTH bits of its own choice first,
+and the pairs below one of its nodes that differ in WIDE_BUDGET bits or fewer are candidates; links
+are those whose sets, compared exactly, are similar. A first pass sends each row's nearest
+predecessor below a node, which joins large groups with few pairs; a second sends all pairs that
+are still in different components.
 """
 
 from __future__ import annotations
@@ -34,6 +42,11 @@ NODE_ROWS = 50_000
 FRONTIER = 1 << 18
 #: Node pairs with at most so many leaf pairs are compared outright.
 LEAF_PAIRS = 64
+#: Words of a shingle and least Jaccard similarity of the documents that one_of_each() takes for the same.
+WORDS, SIMILAR = 5, 0.8
+#: Fingerprints for that: their bits, those that candidates may differ in, those that lead in a trie, and the tries.
+WIDE_BITS, WIDE_BUDGET, DEPTH, TABLES = 128, 38, 14, 76
+LEADS = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:DEPTH] for k in range(TABLES)])
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -215,8 +228,148 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFram
     return fps.join(whole, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id, and all rows without doc_id."""
-    heads = near_duplicates(docs, size, budget).where("doc_id = component_id").select("doc_id").distinct()
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of WORDS words."""
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Stands for a set of shingles."""
+    return xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two words: a bit is 1 if it is set in over half of the hashes, then in over half of the hashes mixed once more."""
+    out = []
+    for salt in (None, 0x9E3779B97F4A7C15):
+        h = hashes
+        if salt:
+            h = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(32))
+        ones = np.zeros(BITS, dtype=np.int64)
+        for k in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+    return out[0], out[1]
+
+
+WIDE = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "x", "y", "n")])
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, x, y, n): the set key, the wide fingerprint and the size of the set of every row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text", 4 << 20):
+                rows = [(set_key(s), *wide_fingerprint(s), len(s)) for s in map(shingle_set, part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in np.array(rows, dtype=np.uint64).T.copy())], names=["doc_id", *WIDE.names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *WIDE]))
+
+
+def near_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of candidates in runs of equal slots: each j with its last i, or with all i of other components."""
+    end = np.append(np.flatnonzero(slot[1:] != slot[:-1]) + 1, len(slot))
+    end = np.repeat(end, np.diff(end, prepend=0))
+    at, d = np.arange(len(slot)), 1
+    last = np.full(len(slot), -1)
+    while len(at := at[at + d < end[at]]):
+        j = at + d
+        ok = np.bitwise_count(x[at] ^ x[j]).astype(np.int16) + np.bitwise_count(y[at] ^ y[j]) <= WIDE_BUDGET
+        ok &= np.minimum(n[at], n[j]) >= SIMILAR * np.maximum(n[at], n[j])
+        if component is not None:
+            ok &= component[at] != component[j]
+            yield at[ok], j[ok]
+        else:
+            a, b = at[ok], j[ok]
+            new = last[b] < 0
+            last[b[new]] = a[new]
+        d += 1
+    if component is None:
+        yield last[last >= 0], np.flatnonzero(last >= 0)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b), keys of nodes (key, x, y, n), as near_pairs() finds them; by component if nodes has that column."""
+    names = ["slot", *(c for c in nodes.columns if c in (*WIDE.names, "component"))]
+    kind = ", ".join(f"{c} long" for c in names)
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([np.asarray(batch.column(c)) for c in ("x", "y")], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(words).astype("<i8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+            for k, chosen in enumerate(LEADS):
+                slot = bits[:, chosen].astype(np.int64) @ (1 << np.arange(DEPTH)) + (k << DEPTH)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), *(batch.column(c) for c in names[1:])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = {c: pa.Table.from_batches(held).column(c).to_numpy() for c in names}
+        held.clear()
+        order = np.lexsort((t["key"], t["slot"]))
+        slot, key, x, y, n = (t[c][order] for c in ("slot", "key", "x", "y", "n"))
+        found, size = [], 0
+        for i, j in near_pairs(slot, x.view(np.uint64), y.view(np.uint64), n, t["component"][order] if "component" in t else None):
+            found.append((key[i], key[j]))
+            size += len(i)
+            if size >= FRONTIER:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                found, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    rows = nodes.select(*names[1:]).mapInArrow(plant, kind)
+    return rows.repartition(partitions(nodes.sparkSession), "slot").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a Jaccard similarity of SIMILAR or more; nodes (key, id) names a doc_id with each set."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text", 4 << 20):
+                found = [shingle_set(x) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in found], dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                p, q = np.frombuffer(u, dtype=np.uint64), np.frombuffer(v, dtype=np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= SIMILAR * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = nodes.join(wanted, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    known = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "key long, hashes binary")
+    known = cut(known.groupBy("key").agg(F.first("hashes").alias("hashes")))
+    whole = pairs.join(known.select(F.col("key").alias("a"), F.col("hashes").alias("u")), "a").join(known.select(F.col("key").alias("b"), F.col("hashes").alias("v")), "b")
+    return cut(whole.select("a", "b", "u", "v").mapInArrow(compare, "a long, b long"))
+
+
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with their component by links, as a key."""
+    comp = connected_components(links).select(F.col("id").alias("key"), "component")
+    return nodes.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of similar documents, that of the smallest doc_id, and all rows without doc_id."""
+    known = cut(wide_fingerprints(docs.where("doc_id is not null")))
+    nodes = cut(known.groupBy(*WIDE.names).agg(F.min("doc_id").alias("id")))
+    # The sets of one doc_id hang together.
+    twice = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
+    links = known.join(twice, "doc_id").select("a", F.col("key").alias("b"))
+    links = links.unionByName(similar(docs, nodes, candidates(nodes)))
+    first = cut(labelled(nodes, links))
+    links = links.unionByName(similar(docs, nodes, candidates(first)))
+    groups = labelled(nodes, links).select("key", "component")
+    heads = known.select("doc_id", "key").join(groups, "key").groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -150,3 +150,24 @@ def test_embedding_recall_of_the_production_tables():
 
 def test_embedding_query_equals_sql(spark):
     same(spark, queries.op1_embedding_dedup, oracles.EMBEDDINGS, SMALL)
+
+
+def test_one_of_each_joins_what_has_four_fifths_of_its_five_word_shingles_in_common(spark):
+    """Copies with some words replaced, a group of them too, against all pairs of sets; few are within three bits of three-word fingerprints."""
+    r = np.random.default_rng(5)
+    rows = []
+    for base in range(60):
+        w = [f"w{k}" for k in r.integers(0, 5_000, 300)]
+        for changed in r.integers(0, 14, 30 if base == 7 else 2).tolist():
+            v = list(w)
+            for k in r.choice(300, changed, replace=False).tolist():
+                v[k] = f"x{r.integers(0, 5_000)}"
+            rows.append((len(rows), " ".join(v)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for _, x in rows)]
+    adjacent = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    fp = np.array([fingerprint(x) for _, x in rows], dtype=np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 3
+    assert (adjacent & ~near).sum() > 40 and not adjacent.all(1).any()
+    want = reachable(adjacent, range(len(rows)))
+    got = sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(set(want))
