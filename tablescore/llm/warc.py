@@ -41,7 +41,11 @@ HEADERS = {
     "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "page_id": "X-Page-ID",
 }
 
-HIDDEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|head)\b[^<>]*>(?:.*?</\1\s*>|.*\Z)", re.S | re.I)
+#: Starts of what is not shown, and what a head can hold; its end tag may be left out.
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^<>]*>", re.I)
+HELD = re.compile(r"\s+|<!--|<(script|style|noscript|template|title|noframes)\b[^<>]*>|</?(?:base|basefont|bgsound|link|meta|title|noscript|template|noframes)\b[^<>]*>|<[!?][^<>]*>", re.I)
+HEAD_END = re.compile(r"</head\s*>", re.I)
+ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title", "noframes")} | {None: re.compile("-->")}
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 BLANKS, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
@@ -57,9 +61,41 @@ def identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
 
 
+def shown(page: str) -> str:
+    """page without comments, heads and hidden elements.
+
+    A head ends at the first text or element that it cannot hold, as in a browser; comments, scripts
+    and styles without an end run to the end of the page.
+    """
+    out, at = [], 0
+    endless: set[str] = set()
+
+    def end(m: re.Match) -> int:
+        name = m[1] and m[1].lower()
+        found = None if name in endless else ENDS[name].search(page, m.end())
+        if found:
+            return found.end()
+        if name in (None, "script", "style"):
+            return len(page)
+        endless.add(name)
+        return m.end()
+
+    while m := HIDDEN.search(page, at):
+        out.append(page[at : m.start()])
+        if m[1] and m[1].lower() == "head":
+            at = m.end()
+            while h := HELD.match(page, at):
+                at = end(h) if h[1] or h[0] == "<!--" else h.end()
+            if h := HEAD_END.match(page, at):
+                at = h.end()
+        else:
+            at = end(m)
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: block elements end a line, blanks collapse, character references are resolved."""
-    x = HIDDEN.sub("", page)
+    x = shown(page)
     x = TAG.sub("", BREAK.sub("\n", BLANKS.sub(" ", x.replace("\n", " "))))
     if "&" in x:
         x = html_entities.unescape(x)
@@ -87,7 +123,7 @@ def derivatives(r: dict) -> list[dict]:
     status, headers, payload = split_http(r["block"] or b"")
     page = payload.decode("utf-8", "replace")
     title = TITLE.search(page)
-    links = list(dict.fromkeys(html_entities.unescape(a or b or c) for a, b, c in LINK.findall(HIDDEN.sub("", page))))
+    links = list(dict.fromkeys(html_entities.unescape(a or b or c) for a, b, c in LINK.findall(shown(page))))
     meta = {
         "refers-to": r["record_id"], "target-uri": r["target_uri"], "date": r["date"], "payload-digest": r["payload_digest"], "block-digest": r["block_digest"],
         "warc-headers": [[HEADERS[k], str(r[k])] for k in HEADERS if r[k] is not None], "http-status": status, "http-headers": headers,

@@ -87,3 +87,19 @@ def test_archive_query(spark):
     rows = queries.op10_warc(spark, SMALL).collect()
     assert len(rows) == 2 * spark.read.parquet(f"{SMALL}/pages.parquet").count()
     assert {r.record_type for r in rows} == {"metadata", "conversion"} and len({r.record_id for r in rows}) == len(rows)
+
+
+def test_a_head_without_an_end_tag_ends_where_the_body_begins():
+    body = '<p>Hello <a href="/l">world</a></p></body></html>'
+    heads = ["<title>t</title>", "<title>a <p> b</title><meta charset=utf-8>", "<script>x='<p>'</script><style>p{}</style>", "<!-- <p> --> <link rel=x href=y>\n<noscript><img></noscript>", ""]
+    for head in heads:
+        for start in ("<body>", "<body class=x>", "", "</head><body>", "</head>"):
+            page = f"<html><head>{head}{start}{body}"
+            r = warc.response(1, "http://x", page)
+            meta, text = (d["block"].decode() for d in warc.derivatives(r))
+            assert text == "Hello world" and json.loads(meta)["links"] == ["/l"], page
+    assert warc.plain_text("<head><title>t</title>plain <b>text</b>") == "plain text"
+    assert warc.plain_text("<p>a<script>b<p>c") == warc.plain_text("<p>a<style>b<p>c") == warc.plain_text("<head></head>a<!-- b") == "a"
+    assert warc.plain_text("<p>a<noscript>b<p>c") == "ab\nc" and warc.plain_text("a<template>b</template>c<header>d</header>") == "ac\nd"
+    for x in ("<head>", "<noscript>", "<head><title>", "<head ", "<template", "<!--", "<head><meta>"):
+        warc.plain_text(x * 20_000)
