@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and the novelty of strings to a dictionary-primed zstandard.
 
 The base spans of the three kinds follow fixed patterns and always stay. Besides, every run of
-token characters that mixes letters and digits, and stands near a word that announces a secret, is a
-candidate. Its novelty is the marginal number of compressed bytes that it costs: zstandard, primed
+token characters that mixes letters and digits is a candidate if a word that announces a secret stands
+within CUE characters on either side, or in the name to which the run is assigned. '=' is no such
+character, except as padding at the end. Its novelty is the marginal number of compressed bytes that it costs: zstandard, primed
 with a dictionary of identifiers, keywords and usual words, compresses the text around the candidate
 with and without it. Names, paths and prose cost little; random strings cost most of their length.
 A candidate at or above NOVELTY bits a character is reported as kind `novel`, if it overlaps no base span.
@@ -15,6 +16,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from .common import with_columns
 
 KINDS = ("assign", "access", "hex", "novel")
-#: Code points on either side of a candidate that are compressed with it, and between a cue and a candidate.
+#: Code points on either side of a candidate that are compressed with it or hold its name, and between a cue and a candidate.
 CONTEXT, CUE = 200, 48
 #: Marginal bits a character from which a candidate counts as incompressible; random hexadecimal has 4.
 NOVELTY = 3.6
@@ -37,7 +40,8 @@ PIECES = re.compile(r"[A-Za-z0-9]+")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{14,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+NAME = re.compile(r"""([A-Za-z0-9_.-]+)["']?\s*[:=]\s*["']?\Z""")
 CUES = re.compile(r"pass(?:word|wd|phrase)|secret|token|api.?key|credential|bearer|authorization|private|access.?key|client.?id", re.I | re.A)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -87,19 +91,31 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * (size(before + own + after) - size(before + after)) / len(own)
 
 
+def mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and max(map(len, PIECES.findall(s))) >= PIECE
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Incompressible strings in a sensitive context that overlap no base span."""
+    cues = [c.span() for c in CUES.finditer(text)]
+    if not cues:
+        return []
+    cue_ends = [e for _, e in cues]
+    starts, reach = [b for b, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     out: list[Span] = []
-    done = 0
-    for cue in CUES.finditer(text):
-        # The search ends where the last start can be; the match then runs to where its own characters end.
-        while m := CANDIDATE.search(text, max(done, cue.end()), cue.end() + CUE + LEAST):
-            start, end = m.start(), CANDIDATE.match(text, m.start()).end()
-            done = end
-            s = text[start : min(end, start + MOST)]
-            mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and max(map(len, PIECES.findall(s))) >= PIECE
-            if mixed and not any(start < e and b < end for b, e, _ in base) and novelty(text, start, start + len(s)) >= NOVELTY:
-                out.append((start, end, "novel"))
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        s = text[start : min(end, start + MOST)]
+        if end - start < LEAST or not mixed(s):
+            continue
+        k = bisect_left(cue_ends, start - CUE)
+        if k == len(cues) or cues[k][0] > end + CUE:
+            name = NAME.search(text[max(0, start - CONTEXT) : start])
+            if not name or not CUES.search(name[1]):
+                continue
+        k = bisect_left(starts, end)
+        if not (k and reach[k - 1] > start) and novelty(text, start, start + len(s)) >= NOVELTY:
+            out.append((start, end, "novel"))
     return out
 
 

@@ -103,3 +103,17 @@ def test_novel_secrets():
 def test_findings(spark):
     df = spark.createDataFrame([(1, "é token = abcdef123 end"), (2, None)], "doc_id long, text string")
     assert [tuple(r) for r in secrets.findings(df).collect()] == [(1, "assign", 2, 19, "token = abcdef123")]
+
+
+def test_novel_secrets_in_assignments_and_before_their_cue():
+    found = lambda x: [x[s:e] for s, e, _ in secrets.novel_spans(x, secrets.base_spans(x))]
+    key = "hT7sK2mQ9vLx4ZpW8rNbJ3fYc6GdA1uEo5iXkRtB"
+    for name in ("AWS_SECRET_ACCESS_KEY", "private_key", "client_secret_value", "credential", "private_key_of_the_service_that_takes_the_orders_of_all_our_shops", "export ACCESS_KEY"):
+        assert found(f"{name}={key}\n") == [key], name
+        assert found(f"a=1\n{name}={key}==\nb=2") == [key + "=="], name
+    assert found(f"https://x.org/a?id=7&access_key={key}&page=2") == [key]
+    assert found(f"{key} is the private key of the server") == [key]
+    for clean in (f"name={key}", "AWS_SECRET_ACCESS_KEY=config_default_value_1", f"{key} " + "word " * 30 + "private key", "private_key=/path/to/document1/index"):
+        assert found(clean) == [], clean
+    for x in ("access_key=" * 30_000, "credential a1b2c3d4e5f6g7h8 " * 3_000):
+        secrets.novel_spans(x, [])
