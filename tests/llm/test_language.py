@@ -53,3 +53,15 @@ def test_encoding_does_not_depend_on_neighbours():
 def test_many_distinct_trigrams():
     text = "".join(chr(0x4E00 + k) for k in range(6_000))
     assert np.array_equal(langid.encode([text, "x"])[0], langid.encode([text])[0])
+
+
+def test_unlearned_scripts_are_not_recognised(spark):
+    """Letters of scripts that no training text has, whose scores are noise; texts that no prototype contains stay."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    r = np.random.default_rng(6)
+    scripts = [range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x627, 0x64B), range(0xAC00, 0xD7A3)]
+    foreign = [" ".join("".join(map(chr, r.choice(s, r.integers(2, 9)))) for _ in range(n)) for s in scripts for n in (10, 200) for _ in range(10)]
+    model = langid.learn(docs)
+    assert not (model.predict(foreign)[1] >= langid.LEAST_SCORE).any()
+    unseen = [x.text for x in docs.where(langid.held_out(langid.F.col("doc_id"))).collect()]
+    assert (model.predict(unseen)[1] >= langid.LEAST_SCORE).all()
