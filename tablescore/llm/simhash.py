@@ -46,6 +46,8 @@ LEAF_PAIRS = 64
 WORDS, SIMILAR = 5, 0.8
 #: Fingerprints for that: their bits, those that candidates may differ in, those that lead in a trie, and the tries.
 WIDE_BITS, WIDE_BUDGET, DEPTH, TABLES = 128, 38, 14, 76
+#: Tries of the first pass, which only saves the second one pairs.
+FIRST = 32
 LEADS = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:DEPTH] for k in range(TABLES)])
 
 
@@ -291,7 +293,7 @@ def near_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, co
         yield last[last >= 0], np.flatnonzero(last >= 0)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
     """Distinct (a, b), keys of nodes (key, x, y, n), as near_pairs() finds them; by component if nodes has that column."""
     names = ["slot", *(c for c in nodes.columns if c in (*WIDE.names, "component"))]
     kind = ", ".join(f"{c} long" for c in names)
@@ -300,7 +302,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             words = np.stack([np.asarray(batch.column(c)) for c in ("x", "y")], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).astype("<i8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-            for k, chosen in enumerate(LEADS):
+            for k, chosen in enumerate(LEADS[:tables]):
                 slot = bits[:, chosen].astype(np.int64) @ (1 << np.arange(DEPTH)) + (k << DEPTH)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), *(batch.column(c) for c in names[1:])], names=names)
 
@@ -366,7 +368,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # The sets of one doc_id hang together.
     twice = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
     links = known.join(twice, "doc_id").select("a", F.col("key").alias("b"))
-    links = links.unionByName(similar(docs, nodes, candidates(nodes)))
+    links = links.unionByName(similar(docs, nodes, candidates(nodes, FIRST)))
     first = cut(labelled(nodes, links))
     links = links.unionByName(similar(docs, nodes, candidates(first)))
     groups = labelled(nodes, links).select("key", "component")
