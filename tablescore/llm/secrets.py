@@ -6,7 +6,7 @@ within CUE characters on either side, or in the name to which the run is assigne
 character, except as padding at the end. Its novelty is the marginal number of compressed bytes that it costs: zstandard, primed
 with a dictionary of identifiers, keywords and usual words, compresses the text around the candidate
 with and without it. Names, paths and prose cost little; random strings cost most of their length.
-A candidate at or above NOVELTY bits a character is reported as kind `novel`, if it overlaps no base span.
+A candidate at or above NOVELTY bits a character is reported as kind `novel`, if it overlaps no base span; a long one if any piece of MOST characters is.
 
 Null texts are empty. Offsets count code points, ends are exclusive. Texts are processed whole.
 """
@@ -105,8 +105,10 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        s = text[start : min(end, start + MOST)]
-        if end - start < LEAST or not mixed(s):
+        # Pieces overlap by half, so that a secret is not split among pieces that each hold little of it.
+        spans = [(a, min(end, a + MOST)) for a in range(start, max(start + 1, end - MOST // 2), MOST // 2)]
+        spans = [(a, b) for a, b in spans if mixed(text[a:b])]
+        if end - start < LEAST or not spans:
             continue
         k = bisect_left(cue_ends, start - CUE)
         if k == len(cues) or cues[k][0] > end + CUE:
@@ -114,7 +116,7 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
             if not name or not CUES.search(name[1]):
                 continue
         k = bisect_left(starts, end)
-        if not (k and reach[k - 1] > start) and novelty(text, start, start + len(s)) >= NOVELTY:
+        if not (k and reach[k - 1] > start) and any(novelty(text, a, b) >= NOVELTY for a, b in spans):
             out.append((start, end, "novel"))
     return out
 

@@ -117,3 +117,12 @@ def test_novel_secrets_in_assignments_and_before_their_cue():
         assert found(clean) == [], clean
     for x in ("access_key=" * 30_000, "credential a1b2c3d4e5f6g7h8 " * 3_000):
         secrets.novel_spans(x, [])
+
+
+def test_long_runs_are_measured_over_their_whole_length():
+    r = random.Random(4)
+    key = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=512))
+    for lead in (512, 700, 3_000):
+        x = "private key " + "A" * lead + key + "A" * 300 + " end"
+        assert secrets.novel_spans(x, []) == [(12, len(x) - 4, "novel")]
+    assert secrets.novel_spans("private key " + "A1" * 2_000, []) == []
