@@ -64,7 +64,9 @@ def encode(texts: list[str]) -> np.ndarray:
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (doc[1:] != doc[:-1])
     codes, doc = codes[keep], doc[keep]
-    out = np.zeros((n, DIMENSIONS), dtype=np.float32)
+    # Sums of whole numbers, exact in any order: in single precision as long as no text has 2^24 letters.
+    kind = np.float32 if len(joined) < 1 << 24 else np.float64
+    out = np.zeros((n, DIMENSIONS), dtype=np.float64)
     if len(codes) < 3:
         return out
     grams = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
@@ -77,13 +79,13 @@ def encode(texts: list[str]) -> np.ndarray:
         alphabet, at = np.unique(np.concatenate([g >> np.uint64(42), (g >> np.uint64(21)) & mask, g & mask]), return_inverse=True)
         a, b, c = at.reshape(3, -1)
         v = np.stack([letter_vector(int(x)) for x in alphabet])
-        bound = (np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]).astype(np.float32)
+        bound = (np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]).astype(kind)
         if len(grams) > HELD:
             own = (place >= start) & (place < start + HELD)
             d, p = doc[own], place[own] - start
         else:
             d, p = doc, place
-        out += np.bincount(d * len(g) + p, minlength=n * len(g)).reshape(n, len(g)).astype(np.float32) @ bound
+        out += np.bincount(d * len(g) + p, minlength=n * len(g)).reshape(n, len(g)).astype(kind) @ bound
     return out
 
 
@@ -96,14 +98,15 @@ class Profiles:
     def __init__(self, languages: list[str], sums: np.ndarray):
         self.languages = languages
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        self.unit = (sums / np.where(norm, norm, 1)).astype(np.float32)
+        self.unit = sums / np.where(norm, norm, 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         x = encode([t or "" for t in texts])
         norm = np.linalg.norm(x, axis=1)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        cos = (x @ self.unit.T).astype(np.float64) / np.where(norm, norm, 1)[:, None]
+        # One product a row and language: a row's score does not depend on the rows beside it.
+        cos = np.stack([np.einsum("ij,j->i", x, u) for u in self.unit], axis=1) / np.where(norm, norm, 1)[:, None]
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(texts)), best], 0, 1)
         return [self.languages[k] if m else "und" for k, m in zip(best.tolist(), norm.tolist(), strict=True)], np.where(norm, score, 0.0)

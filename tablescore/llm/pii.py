@@ -7,7 +7,10 @@ them. Gradient-boosted trees over features of their format and context score eac
 kind, calibrated on rows that were not trained on, selects what is added. The training rows are
 written by a seeded generator, so the model needs no corpus and is the same everywhere.
 
-Null texts are empty. Offsets count code points, ends are exclusive. Texts are processed whole.
+Null texts are empty. Offsets count code points, ends are exclusive. Texts are processed whole, in
+time that is linear but for sorting. Of overlapping candidates the more probable one stays, of equal
+ones the one proposed first. Rows that repeat are found one by one, an empty table gives an empty one,
+and columns that find() adds replace those of the same names.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from bisect import bisect_left, insort
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +211,10 @@ def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """The selected candidates of each text that overlap neither a base span nor a better candidate."""
     rows, at = [], []
     for i, t in enumerate(texts):
+        starts, reach = [s for s, _, _ in base[i]], list(accumulate((e for _, e, _ in base[i]), max))
         for c in candidates(t):
-            if not any(c[0] < e and s < c[1] for s, e, _ in base[i]):
+            k = bisect_left(starts, c[1])
+            if not (k and reach[k - 1] > c[0]):
                 rows.append(c)
                 at.append(i)
     out: list[list[Span]] = [[] for _ in texts]
@@ -217,8 +224,9 @@ def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     p = trees.probability(np.array([features(texts[i], c) for i, c in zip(at, rows, strict=True)], dtype=float))
     for k in np.argsort(-p, kind="stable").tolist():
         c, own = rows[k], out[at[k]]
-        if p[k] >= least[c[2]] and not any(c[0] < e and s < c[1] for s, e, _ in own):
-            own.append(c)
+        # own is in order and free of overlaps, so that its last span before the end of c tells.
+        if p[k] >= least[c[2]] and not ((j := bisect_left(own, (c[1],))) and own[j - 1][1] > c[0]):
+            insort(own, c)
     return out
 
 

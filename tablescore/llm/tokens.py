@@ -9,7 +9,9 @@ The distinct pre-tokens of a slice of documents are walked in sorted order, whic
 walk of their trie: the forward costs of a shared prefix stay on a stack and are computed once. The
 result at a pre-token's last node is stored and added up for each document.
 
-Null and empty texts have no tokens. Rows that repeat a doc_id are documents of their own.
+Null and empty texts have no tokens. Rows that repeat a doc_id are documents of their own. Texts are
+counted whole; a pre-token of any length is walked once. An empty table gives an empty one. Columns
+that the operator adds replace those of the same names.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SHIFT = 2.7
-#: Low bits of a value that count tokens; the others hold the cost.
-COUNT_BITS = 24
+#: Low bits of a value that count tokens; the others hold the cost. No text has 2^32 bytes, and each token has one at least.
+COUNT_BITS = 32
 #: Pre-tokens whose values a worker keeps from one slice to the next.
 KEPT = 500_000
 

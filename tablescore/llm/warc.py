@@ -6,7 +6,8 @@ derived from the response's, so a rerun gives the same records. Digests are SHA-
 are bytes, and record_bytes() and parse() are each other's inverse.
 
 A null html is an empty payload, a null url a record without target; rows that repeat are records of
-their own with equal identifiers. Pages are processed whole.
+their own with equal identifiers. Pages are processed whole, in time linear in their length. An empty
+table gives an empty one. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscrip
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 BLANKS, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
+TITLE = re.compile(r"<title\b[^<>]*>", re.I)
 LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
 
 
@@ -102,6 +103,13 @@ def plain_text(page: str) -> str:
     return LINES.sub("\n", BLANKS.sub(" ", x)).strip()
 
 
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the next end tag of that name, which is sought once."""
+    begin = TITLE.search(page)
+    end = ENDS["title"].search(page, begin.end()) if begin else None
+    return html_entities.unescape(TAG.sub("", page[begin.end() : end.start()])).strip() if end else None
+
+
 def split_http(block: bytes) -> tuple[str, list[list[str]], bytes]:
     """Status line, headers and payload of an HTTP response."""
     head, _, payload = block.partition(b"\r\n\r\n")
@@ -122,12 +130,11 @@ def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of a response."""
     status, headers, payload = split_http(r["block"] or b"")
     page = payload.decode("utf-8", "replace")
-    title = TITLE.search(page)
     links = list(dict.fromkeys(html_entities.unescape(a or b or c) for a, b, c in LINK.findall(shown(page))))
     meta = {
         "refers-to": r["record_id"], "target-uri": r["target_uri"], "date": r["date"], "payload-digest": r["payload_digest"], "block-digest": r["block_digest"],
         "warc-headers": [[HEADERS[k], str(r[k])] for k in HEADERS if r[k] is not None], "http-status": status, "http-headers": headers,
-        "title": html_entities.unescape(TAG.sub("", title[1])).strip() if title else None, "links": links,
+        "title": title_of(page), "links": links,
     }
     out = []
     for kind, mime, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False).encode("utf-8", "surrogatepass")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "surrogatepass"))):
