@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the cluster names no spark.checkpoint.dir (tests, a single machine).
+#: Used only on a single machine whose session names no spark.checkpoint.dir.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows of one key that a single task joins without ado.
+HOT_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one is set only where none is."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where none is named, a single
+    machine gets one; a cluster raises, as its executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -31,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of what cut() returned; nothing may read it afterwards."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -125,24 +138,67 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Rows sorted by keys (integers), as tables of about so many rows that hold whole groups of equal keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        differs = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            differs |= c != c[-1]
+        last = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
+        if last or (len(held) > 1 and any(held[-2].column(k)[-1].as_py() != batch.column(k)[-1].as_py() for k in keys)):
+            held[-1] = batch.slice(0, last)
+            yield pa.Table.from_batches(held)
+            held, size = [batch.slice(last)], batch.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join_keyed(left: DataFrame, right: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right (key, size, ...) of unique keys; size tells how many of the total rows of left have a key.
+
+    A key with more than a quarter of a task's share of the rows is no single task's work: fewer than four keys
+    for each partition are so large, whatever the input, and their rows of right are broadcast. The others are
+    shuffled. how: inner or left.
+    """
+    names = [c for c in right.columns if c not in (key, size)]
+    bound = max(HOT_ROWS, total // (4 * partitions(left.sparkSession)))
+    if total <= bound:
+        return left.join(right.select(key, *names), key, how)
+    large = right.where(F.col(size) > bound)
+    hot = left.join(F.broadcast(large.select(key, *names)), key)
+    rest = left.join(F.broadcast(large.select(key)), key, "left_anti").join(right.where(F.col(size) <= bound).select(key, *names), key, how)
+    return hot.unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id reachable.
 
     Alternating large-star and small-star rounds; each is a join and an aggregation with map-side
     combining, and ends in a reliable checkpoint. Edges stay linear in the number of nodes, and only
-    a count and a checksum reach the driver.
+    counts and a checksum reach the driver. The centres of large stars are joined by join_keyed(), so
+    that no task gets a whole star.
     """
     e = cut(edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, total = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_keyed(both, low, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+        forget(before)
         if now == seen:
             break
-        seen = now
+        seen, total = now, now[0]
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,36 +2,55 @@
 
 A table hashes a vector to the floors of k random projections, shifted and divided by a width; with
 Gaussian projections two unit vectors at distance c share a floor with a probability that falls with
-c only. Vectors meet in a bucket of any table (same label, same length, same floors); of those pairs
-the cosine is computed in double precision. A pair counts in the first table where it meets, which
-both rows can tell from their bucket numbers, so pairs are never collected to be made distinct.
-Equal vectors are one class with a size. Buckets send for their vectors only if two classes are in
-them. Buckets over a bound are dealt out as pairs of blocks. With the default width a pair at cosine
-0.93 shares a floor with probability 0.80, a pair at 0.97 with 0.87; see recall() for the tables.
+c only. Vectors meet in a bucket of any table (same label, same length, same floors).
+
+What is shuffled stays small. A bucket gets a node number (64 bits of a digest of label and vector)
+and a sketch (the signs of 128 more projections), never the vector; each task sends a vector it has
+had before only once. Sketches that differ in more than SKETCH_BITS places are no pair: at cosine
+0.93 that befalls one pair in 10^7, and of unrelated pairs it leaves one in 10^6. What meets so hangs
+together in clusters, of which each bucket returns a spanning forest. Then every vector of a cluster is
+sent once, to its cluster, and all pairs there are compared by cosine in double precision, so a pair
+counts once, whatever tables it met in. Buckets with more than a few tasks' worth of rows and large
+clusters are dealt out as pairs of blocks; nothing is listed pair by pair. Equal vectors are one class
+with a size.
+
+With the default tables a pair at cosine 0.93 meets with probability 0.985, one at 0.97 with over 0.9999
+(see recall()); no pair below the limit is ever linked.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label
 or a null vec_id, link with nothing. Repeated rows are vectors of their own that link with each other.
+An empty table gives an empty one; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import erf, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, groups, local_stars, partitions
+from .common import connected_components, cut, groups, join_keyed, local_stars, partitions, whole_groups
 
-TABLES = 32
-PROJECTIONS = 10
-WIDTH = 1.5
+TABLES = 16
+PROJECTIONS = 9
+WIDTH = 2.0
 SEED = 20_240_501
-#: Classes of a bucket that are compared in one piece.
-BLOCK = 2_048
+#: Bits of a sketch (two words), and those in which a pair may differ.
+SKETCH, SKETCH_BITS = 128, 38
+#: Vectors of a cluster that are compared in one piece: eight times the root of its size, within these bounds.
+LEAST_BLOCK, BLOCK = 256, 4_096
+#: Sketches of a bucket that are compared in one piece, and vectors hashed at a time.
+BUCKET, PIECE = 4_096, 2_000
+#: Nodes that a task remembers having sent; one in so many is sampled to find large buckets.
+SENT, SAMPLED = 1 << 20, 16
+#: Classes up to which those in clusters are broadcast (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Rows of a block of the cosine matrix.
 STRIP = 512
 
@@ -43,68 +62,169 @@ def recall(cosine: float, tables: int = TABLES, projections: int = PROJECTIONS,
     return 1 - (1 - share**projections) ** tables
 
 
-def projections_of(dim: int, tables: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def projections_of(dim: int, tables: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     r = np.random.default_rng([SEED, dim])
-    return r.standard_normal((dim, tables * projections)), r.uniform(0, width, tables * projections), r.integers(1, 1 << 62, (tables, projections), dtype=np.int64).view(np.uint64) | np.uint64(1)
+    lines, shifts = r.standard_normal((dim, tables * projections)), r.uniform(0, width, tables * projections)
+    return lines, shifts, r.integers(1, 1 << 62, (tables, projections), dtype=np.int64).view(np.uint64) | np.uint64(1), r.standard_normal((dim, SKETCH))
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
-def buckets_of(unit: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
-    """64-bit bucket number of each unit vector in each table."""
-    a, b, mix = projections_of(unit.shape[1], tables, projections, width)
+def hashed(unit: np.ndarray, home: np.ndarray, tables: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket number of each unit vector in each table, by its home (a number for its label), and its sketch."""
+    a, b, mix, signs = projections_of(unit.shape[1], tables, projections, width)
     cell = np.floor((unit @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(unit), tables, projections)
-    h = (cell * mix[None]).sum(axis=2, dtype=np.uint64)
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = spread((cell * mix[None]).sum(axis=2, dtype=np.uint64) + np.arange(tables, dtype=np.uint64))
+    return spread(h + home[:, None].view(np.uint64)), np.packbits(unit @ signs > 0, axis=1).view("<u8").astype(np.uint64)
+
+
+def unit_of(rows: np.ndarray) -> np.ndarray:
+    m = rows.astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def kind_of(batch: pa.RecordBatch) -> str:
+    """How its components are kept: as they come."""
+    return "<f4" if pa.types.is_float32(batch.column("embedding").type.value_type) else "<f8"
+
+
+def read(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The components of each vector as bytes, null if it links with nothing."""
+    lists = batch.column("embedding")
+    kind = kind_of(batch)
+    flat = np.asarray(lists.flatten().cast(pa.float32() if kind == "<f4" else pa.float64()).fill_null(float("nan")), dtype=kind)
+    ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))
+    starts = ends - np.diff(ends, prepend=0)
+    fine = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    full = np.concatenate([[0], np.cumsum(flat != 0)])
+    ok = (fine[ends] == fine[starts]) & (full[ends] > full[starts])
+    ok &= ~np.asarray(pc.is_null(batch.column("label"))) & ~np.asarray(pc.is_null(batch.column("vec_id")))
+    raw, size = flat.tobytes(), flat.itemsize
+    return [raw[s * size : e * size] if k else None for s, e, k in zip(starts.tolist(), ends.tolist(), ok.tolist(), strict=True)]
+
+
+def digests(vectors: list[bytes | None], home: list[int]) -> np.ndarray:
+    """Two words for each vector and home; zero for null."""
+    none = bytes(16)
+    raw = b"".join(none if v is None else hashlib.blake2b(v, digest_size=16, salt=h.to_bytes(8, "little", signed=True)).digest() for v, h in zip(vectors, home, strict=True))
+    return np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+
+
+LIGHT = ("d1", "d2")
+
+
+def labelled(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", F.xxhash64("label").alias("home"))
 
 
-def packed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, vec): vec has the components as doubles, null if the vector links with nothing."""
+def with_digests(vectors: DataFrame, vec: bool = False) -> DataFrame:
+    """(vec_id, label, d1, d2) of every row, and the vector itself if asked for; all null but the first if it links with nothing."""
+    kinds = T.StructType([T.StructField("vec_id", T.LongType()), vectors.schema["label"], *(T.StructField(c, T.LongType()) for c in LIGHT), *([T.StructField("vec", T.BinaryType())] if vec else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("embedding")
-            flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan")), dtype="<f8")
-            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64))
-            out = []
-            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
-                v = flat[start:end]
-                out.append(v.tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
+            v = read(batch)
+            d = digests(v, batch.column("home").to_pylist())
+            none = np.array([x is None for x in v], dtype=bool)
+            label = pc.if_else(pa.array(none), pa.scalar(None, batch.column("label").type), batch.column("label"))
+            cols = [batch.column("vec_id"), label, *(pa.array(d[:, k], mask=none) for k in (0, 1)), *([pa.array(v, pa.binary())] if vec else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=kinds.names)
 
-    kinds = T.StructType([T.StructField("vec_id", T.LongType()), vectors.schema["label"], T.StructField("vec", T.BinaryType())])
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").mapInArrow(run, kinds)
+    return labelled(vectors).mapInArrow(run, kinds)
 
 
-def hashed(classes: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
-    """classes (id, label, size, vec) with the unit vector and its bucket numbers of all tables as bytes."""
-    out = T.StructType([*classes.schema, T.StructField("unit", T.BinaryType()), T.StructField("buckets", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+ROUTED = "slot long, node long, x long, y long"
+
+
+def memberships(vectors: DataFrame, tables: int, projections: int, width: float, every: int = 1) -> DataFrame:
+    """(slot, node, x, y): the bucket of each vector in each table, its node and its sketch, of one node in so many.
+
+    A task sends a node once, unless it has sent SENT others since."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(start, 2_000)
-                vecs = [np.frombuffer(x, dtype="<f8") for x in batch.column("vec").to_pylist()]
-                unit, keys = [b""] * len(vecs), np.zeros((len(vecs), tables), dtype=np.uint64)
-                for dim in {len(v) for v in vecs}:
-                    at = [i for i, v in enumerate(vecs) if len(v) == dim]
-                    m = np.array([vecs[i] for i in at])
-                    m = m / np.abs(m).max(axis=1, keepdims=True)
-                    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-                    keys[at] = buckets_of(m, tables, projections, width)
-                    for i, row in zip(at, m, strict=True):
-                        unit[i] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unit, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=out.names)
-
-    return classes.mapInArrow(run, out)
-
-
-def bucket_links(t: pa.Table, number: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, weight, head) of the classes of one bucket, or of one pair of blocks of it: size of the other
-    classes linked here first, and the smallest class that it hangs together with here."""
-    ids, size, block = (t.column(c).to_numpy() for c in ("id", "size", "block"))
-    order = np.argsort(block, kind="stable")
-    ids, size, block = ids[order], size[order], block[order]
-    unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype="<f8").reshape(len(ids), -1)[order]
-    early = np.frombuffer(b"".join(t.column("buckets").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)[order][:, :number]
+            for start in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(start, PIECE)
+                vecs = read(batch)
+                node = digests(vecs, batch.column("home").to_pylist())[:, 0]
+                by_size: dict[int, list[int]] = {}
+                for i, (v, n) in enumerate(zip(vecs, node.tolist(), strict=True)):
+                    if v is not None and n % every == 0 and n not in sent:
+                        sent.add(n)
+                        by_size.setdefault(len(v), []).append(i)
+                for at in by_size.values():
+                    unit = unit_of(np.array([np.frombuffer(vecs[i], dtype=kind_of(batch)) for i in at]))
+                    slot, sketch = hashed(unit, np.asarray(batch.column("home"))[at], tables, projections, width)
+                    each = [np.repeat(c, tables) for c in (node[at], *sketch.view(np.int64).T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64).ravel()), *map(pa.array, each)], names=["slot", "node", "x", "y"])
+                if len(sent) > SENT:
+                    sent.clear()
+
+    return labelled(vectors).mapInArrow(run, ROUTED)
+
+
+def sketch_forest(slot: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that connect, within runs of equal slots, all rows whose sketches hang together."""
+    n = len(slot)
+    edge = np.flatnonzero(np.concatenate([slot[1:] != slot[:-1], [True]])) + 1
+    size = np.diff(edge, prepend=0)
+    end = np.repeat(edge, size)
+    # The group of a row is a row of it; groups of one slot are joined until its rows are all one, or all are compared.
+    group, at, d = np.arange(n), np.arange(n), 1
+    while len(at := at[at + d < end[at]]):
+        apart = at[group[at] != group[at + d]]
+        near = apart[np.bitwise_count(x[apart] ^ x[apart + d]).astype(np.int16) + np.bitwise_count(y[apart] ^ y[apart + d]) <= SKETCH_BITS]
+        if len(near):
+            group = local_stars(n, group[near], group[near + d])[group]
+        if d & (d - 1) == 0:
+            one = np.minimum.reduceat(group, edge - size) == np.maximum.reduceat(group, edge - size)
+            at = at[~np.repeat(one, size)[at]]
+        d += 1
+    far = np.flatnonzero(group != np.arange(n))
+    return far, group[far]
+
+
+def meetings(vectors: DataFrame, tables: int, projections: int, width: float, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between nodes that meet in a bucket.
+
+    Buckets with more than a task's share of rows are found in a sample of the nodes and dealt out as pairs of blocks:
+    which ones these are changes the work and not the result, as any two rows of a bucket still meet.
+    """
+    spark = vectors.sparkSession
+    rows = memberships(vectors, tables, projections, width)
+    counts = cut(memberships(vectors, tables, projections, width, SAMPLED).groupBy("slot").count())
+    bound = max(bucket, (counts.agg(F.sum("count")).first()[0] or 0) * SAMPLED // (4 * partitions(spark)))
+    # Fewer than 8 buckets for each partition have so many rows in the sample.
+    blocks = F.ceil(F.col("count") * 2 * SAMPLED / bound).cast("int")
+    large = F.broadcast(counts.where(F.col("count") * 2 * SAMPLED > bound).select("slot", F.greatest(blocks, F.lit(2)).alias("blocks")))
+    both = rows.join(large, "slot", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))
+    both = both.withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0)))))
+    pair = F.xxhash64("slot", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = both.select(F.when(F.col("blocks").isNull(), F.col("slot")).otherwise(pair).alias("slot"), "node", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ("slot",)):
+            slot, node, x, y = (t.column(c).to_numpy() for c in ("slot", "node", "x", "y"))
+            a, b = sketch_forest(slot, x.view(np.uint64), y.view(np.uint64))
+            a, b = node[a], node[b]
+            yield pa.RecordBatch.from_arrays([pa.array(c[a != b]) for c in (a, b)], names=["a", "b"])
+
+    return dealt.repartition(partitions(spark), "slot").sortWithinPartitions("slot", "node").mapInArrow(run, "a long, b long")
+
+
+def cluster_links(t: pa.Table, cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """(id, d1, weight, head) of the classes of a cluster, or of one pair of blocks of it: size of the other
+    classes linked here, and the smallest id that a class hangs together with here."""
+    ids, d1, size, block = (t.column(c).to_numpy() for c in ("id", "d1", "size", "block"))
+    order = np.lexsort((d1, ids, block))
+    ids, d1, size, block = ids[order], d1[order], size[order], block[order]
+    unit = unit_of(np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=kind).reshape(len(ids), -1)[order])
     n = len(ids)
     two = block[0] != block[-1]
     weight, a, b = np.zeros(n, dtype=np.int64), [], []
@@ -114,57 +234,59 @@ def bucket_links(t: pa.Table, number: int, cosine: float) -> Iterator[tuple[np.n
         near[np.arange(near.shape[0]), np.arange(rows.start, rows.stop)] = False
         if two:
             near &= block[rows, None] != block[None]
+        weight[rows] += near @ size
         x, y = np.nonzero(near)
-        x += i
-        first = np.ones(len(x), dtype=bool)
-        for k in range(0, len(x), 1 << 16):
-            first[k : k + (1 << 16)] = ~(early[x[k : k + (1 << 16)]] == early[y[k : k + (1 << 16)]]).any(axis=1)
-        x, y = x[first], y[first]
-        np.add.at(weight, x, size[y])
         if len(x):
-            low = local_stars(n, x, y)
+            low = local_stars(n, x + i, y)
             far = np.flatnonzero(low != np.arange(n))
             a.append(far)
             b.append(low[far])
     if a:
         low = local_stars(n, np.concatenate(a), np.concatenate(b))
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, low, ids)
         linked = np.flatnonzero(weight)
-        yield ids[linked], weight[linked], ids[low[linked]]
-
-
-def links(classes: DataFrame, cosine: float, tables: int, projections: int, width: float, block: int = BLOCK) -> DataFrame:
-    """(id, weight, head) partial results of all buckets over classes (id, label, size, vec)."""
-    spark = classes.sparkSession
-    h = cut(hashed(classes, tables, projections, width))
-    met = h.select("id", "label", F.octet_length("vec").alias("bytes"), F.posexplode("keys").alias("number", "key"))
-    bucket = ["number", "key", "label", "bytes"]
-    count = met.groupBy(*bucket).count().where("count > 1")
-    pairs = met.join(count, bucket).withColumn("blocks", F.ceil(F.col("count") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("id", *bucket, "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    full = pairs.join(h.select("id", "size", "unit", "buckets"), "id")
-    key = ["number", "key", "label", "bytes", "b1", "b2"]
-    full = full.repartition(partitions(spark), *key).sortWithinPartitions(*key)
+        yield pa.RecordBatch.from_arrays([pa.array(c[linked]) for c in (ids, d1, weight, least[low])], names=["id", "d1", "weight", "head"])
+
+
+def links(members: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> DataFrame:
+    """(id, d1, weight, head) of members (cluster, label, id, d1, size, vec, n): partial results of all clusters of n members."""
+    spark = members.sparkSession
+    bound = F.least(F.greatest(8 * F.sqrt("n"), F.lit(min(LEAST_BLOCK, block))), F.lit(block))
+    m = members.withColumn("bytes", F.octet_length("vec")).withColumn("blocks", F.ceil(F.col("n") / bound).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", "d1"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+    key = ["cluster", "label", "bytes", "b1", "b2"]
+    m = m.select("id", "d1", "size", "vec", "block", *key).repartition(partitions(spark), *key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ("number", "key", "label", "bytes", "b1", "b2")):
+        for g in groups(batches, tuple(key)):
             if g.num_rows > 1 and (g.column("b1")[0] == g.column("b2")[0] or len(set(g.column("block").to_pylist())) == 2):
-                for out in bucket_links(g, g.column("number")[0].as_py(), cosine):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "weight", "head"])
+                yield from cluster_links(g, cosine, kind)
 
-    return full.select("id", "size", "unit", "buckets", "block", *key).mapInArrow(run, "id long, weight long, head long")
+    return m.mapInArrow(run, "id long, d1 long, weight long, head long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
-    p = cut(packed(vectors))
-    ok = p.where("vec is not null and label is not null and vec_id is not null")
-    classes = cut(ok.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
-    found = cut(links(classes, cosine, tables, projections, width, block))
-    weight = found.groupBy("id").agg(F.sum("weight").alias("weight"))
-    comp = connected_components(found.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    c = classes.join(weight, "id", "left").join(comp, "id", "left")
-    c = c.select("label", "vec", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
-    out = p.join(c, ["label", "vec"], "left").withColumns({x: F.when(F.col("vec_id").isNotNull(), F.col(x)) for x in ("n", "c")})
+    vectors = vectors.select("vec_id", "embedding", "label")
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    light = with_digests(vectors)
+    classes = cut(light.where("d1 is not null").groupBy("label", *LIGHT).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
+    clusters = connected_components(meetings(vectors, tables, projections, width)).select(F.col("id").alias("d1"), F.col("component").alias("cluster"))
+    found = cut(classes.join(clusters, "d1"))
+    count = found.count()
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"))
+    found = join_keyed(found, sizes, "cluster", "rows", count)
+    # The vector of a class comes from a row of its smallest vec_id.
+    vec = with_digests(vectors, vec=True).where("d1 is not null").select(F.col("vec_id").alias("id"), "label", *LIGHT, "vec")
+    members = vec.join(F.broadcast(found) if count <= BROADCAST_ROWS else found, ["id", "label", *LIGHT]).dropDuplicates(["id", "label", *LIGHT])
+    partial = cut(links(members, cosine, kind, block))
+    comp = connected_components(partial.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    weight = partial.groupBy("id", "d1").agg(F.sum("weight").alias("weight"))
+    c = classes.join(weight, ["id", "d1"], "left").join(comp, "id", "left")
+    c = c.select(F.struct("label", *LIGHT).alias("key"), "size", (F.col("size") - 1 + F.coalesce("weight", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
+    rows = light.select("vec_id", F.when(F.col("d1").isNotNull(), F.struct("label", *LIGHT)).alias("key"))
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    out = join_keyed(rows, c, "key", "size", total, "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

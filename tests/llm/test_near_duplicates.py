@@ -7,7 +7,7 @@ from conftest import SMALL
 from oracle import same
 
 from tablescore.llm import embeddings, oracles, queries, simhash
-from tablescore.llm.common import connected_components, local_stars
+from tablescore.llm.common import connected_components, join_keyed, local_stars
 
 
 def reachable(adjacent, ids):
@@ -148,6 +148,27 @@ def test_embedding_recall_of_the_production_tables():
     assert embeddings.recall(0.95) > 0.99 and embeddings.recall(0.93) > 0.95
 
 
+@pytest.mark.parametrize("bucket", [4_096, 8])
+def test_meetings_of_large_buckets(spark, bucket):
+    """Half of the vectors share every bucket; dealt out as pairs of blocks, they hang together all the same."""
+    r = np.random.default_rng(7)
+    rows = [(i, ([1.0] * 64 + r.standard_normal(64) * 1e-3).astype("f4").tolist() if i % 2 else r.standard_normal(64).astype("f4").tolist(), 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    node = {x.vec_id: x.d1 for x in embeddings.with_digests(df).collect()}
+    found = {x.id: x.component for x in connected_components(embeddings.meetings(df, 4, 9, 2.0, bucket)).collect()}
+    assert len({found[node[i]] for i in range(1, 400, 2)}) == 1
+    got = embeddings.near_duplicates(df, block=32).collect()
+    assert all((x.n_links, x.component_id) == ((199, 1) if x.vec_id % 2 else (0, x.vec_id)) for x in got)
+
+
+def test_hot_keys_are_joined_whole(spark):
+    left = spark.range(50_000).selectExpr("if(id < 30000, 1, id) as k", "id")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", queries.F.col("k") * 2).where("k <> 40000")
+    for how, want in (("inner", 49_999), ("left", 50_000)):
+        out = join_keyed(left, right, "k", "n", 50_000, how)
+        assert out.count() == want and out.where("x <> 2 * k").count() == 0 and out.where("x is null").count() == want - 49_999
+
+
 def test_embedding_query_equals_sql(spark):
     same(spark, queries.op1_embedding_dedup, oracles.EMBEDDINGS, SMALL)
 
