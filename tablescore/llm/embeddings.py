@@ -43,8 +43,8 @@ WIDTH = 2.0
 SEED = 20_240_501
 #: Bits of a sketch (two words), and those in which a pair may differ.
 SKETCH, SKETCH_BITS = 128, 38
-#: Vectors of a cluster that are compared in one piece: eight times the root of its size, within these bounds.
-LEAST_BLOCK, BLOCK = 256, 4_096
+#: Vectors of a cluster that are compared in one piece: four times the root of its size, within these bounds.
+LEAST_BLOCK, BLOCK = 64, 4_096
 #: Sketches of a bucket that are compared in one piece, and vectors hashed at a time.
 BUCKET, PIECE = 4_096, 2_000
 #: Nodes that a task remembers having sent; one in so many is sampled to find large buckets.
@@ -252,7 +252,7 @@ def cluster_links(t: pa.Table, cosine: float, kind: str) -> Iterator[pa.RecordBa
 def links(members: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> DataFrame:
     """(id, d1, weight, head) of members (cluster, label, id, d1, size, vec, n): partial results of all clusters of n members."""
     spark = members.sparkSession
-    bound = F.least(F.greatest(8 * F.sqrt("n"), F.lit(min(LEAST_BLOCK, block))), F.lit(block))
+    bound = F.least(F.greatest(4 * F.sqrt("n"), F.lit(min(LEAST_BLOCK, block))), F.lit(block))
     m = members.withColumn("bytes", F.octet_length("vec")).withColumn("blocks", F.ceil(F.col("n") / bound).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", "d1"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
     key = ["cluster", "label", "bytes", "b1", "b2"]

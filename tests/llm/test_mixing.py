@@ -19,7 +19,6 @@ def table(seed, n=300):
 def test_mix_equals_sql(spark, tmp_path, monkeypatch, seed, small):
     if small:
         monkeypatch.setattr(mixing, "RUN_ROWS", 7)
-        monkeypatch.setattr(mixing, "CUT_BUCKETS", 5)
     df = pd.DataFrame(table(seed), columns=["doc_id", "text", "source"])
     df["size"], df["rank"], df["target"] = 1, 2, 3
     df.to_parquet(tmp_path / "documents.parquet")
@@ -62,6 +61,21 @@ def test_repeated_documents(spark):
     assert pd.Series(rows).value_counts().to_dict() == want
 
 
+@pytest.mark.parametrize("run", [1_000, 7])
+def test_many_rows_alike(spark, monkeypatch, run):
+    """A third of all rows has no id, the same source and the same size; each copy is counted, and reruns take the same texts."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", run)
+    rows = [(None, f"{k} one two", "hot") for k in range(400)] + table(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.mix(df).collect()
+    assert len(m) == len(rows)
+    hot = sorted(r.copies for r in m if r.doc_id is None and r.source == "hot")
+    total = sum(r["size"] for r in m)
+    assert total - sum(r.taken for r in m) <= 3 * 50_000 and sum(r.taken for r in m) <= total
+    a, b = (sorted(x.text for x in mixing.mixed_documents(d).collect() if x.source == "hot") for d in (df, df.repartition(5)))
+    assert a == b and len(a) == sum(hot) and max(hot) - min(hot) <= 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == mixing.mixed_documents(df).count() == 0
