@@ -1,13 +1,19 @@
 """Benchmark decontamination with suffix arrays of the training documents.
 
-Each shard (a few MB of documents) gets an array of its word suffixes in sorted order. Every suffix
-of every test item is sought in it by binary search; the hits of consecutive suffixes chain to the
-longest verbatim matches and their places. Only suffixes that begin with words of the benchmark's
-own vocabulary can match, so only those enter the array; that loses nothing.
+Each shard (a few MB of documents) gets a suffix array over its words: the places of its suffixes, sorted
+by their words as far as the longest test item goes. Every suffix of every test item is sought in it by
+binary search, for all suffixes at once: by its first window, which gives the range of the places where a
+match of at least a window's length starts, and from there on to the matches' whole length (longest()).
+As each window of a longest match is itself found, the ranges cover just the words that longest matches
+cover, and name every item that matches. Only words of the benchmark's own vocabulary can match; others end a suffix, which
+loses nothing. Test suffixes with the same window are sought as one, and windows of the same items name
+them as one set, so a passage that stands in m documents and n items costs m + n, not m times n.
 
 Lower-cases A-Z; words are runs of ASCII letters and digits and of all characters from U+0080. Null
 and empty texts have no words. Rows that repeat an item_id are one item, rows that repeat a doc_id
-are documents of their own; a null item_id marks words but is not listed.
+are documents of their own; a null item_id marks words but is not listed. Texts of any length are read
+whole; one longer than a shard is a shard. Empty documents give an empty result, an empty benchmark
+marks nothing. Columns that are added replace those of the same names; clean_documents() adds none.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +34,8 @@ from .common import filter_rows, slices, with_columns
 WINDOW = 10
 #: Bytes of benchmark texts in one index; a larger benchmark is sought block by block.
 BLOCK_BYTES = 16 << 20
-#: Bytes of documents in a shard.
-SHARD_BYTES = 4 << 20
+#: Bytes of documents in a shard, and in those that are held while several blocks are sought one after the other.
+SHARD_BYTES, HELD_BYTES = 4 << 20, 64 << 20
 
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -37,30 +44,86 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
+def suffix_array(ids: np.ndarray, least: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, words up to the next 0) of the suffixes of ids that have least words, in the order of their first depth words.
+
+    Ranks by four words (two of a large vocabulary) come from one sort; those still tied are sorted on by the rank of what follows,
+    which doubles the words that count.
+    """
+    gaps = np.flatnonzero(ids == 0)
+    known = np.flatnonzero(ids)
+    end = np.searchsorted(gaps, known)
+    # Only runs that are long enough, but with their tails, as these rank what is before them.
+    long = gaps[end] - np.where(end, gaps[end - 1] + 1, 0) >= least
+    place, run = known[long], (gaps[end] - known)[long]
+    n = len(place)
+    if not n:
+        return place, run
+    step = 4 if ids.max() < 1 << 16 else 2
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(step):
+        key = (key << np.uint64(64 // step)) | np.where(run > k, ids[np.minimum(place + k, len(ids) - 1)], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    # The rank of a suffix is the place of its group in the order, from 1 on; 0 is the end of a suffix.
+    rank = np.zeros(len(ids), dtype=np.int64)
+    rank[place[order]] = np.repeat(first, np.diff(np.append(first, n))) + 1
+    tied = np.flatnonzero(np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n))))
+    while len(tied) and step < depth:
+        own = order[tied]
+        p = place[own]
+        after = np.where(run[own] > step, rank[np.minimum(p + step, len(ids) - 1)], 0)
+        again = np.lexsort((after, rank[p]))
+        order[tied] = own[again]
+        p, after = p[again], after[again]
+        group = rank[p]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(p)))
+        rank[p] = np.repeat(tied[first], size) + 1
+        tied = tied[np.repeat(size > 1, size)]
+        step *= 2
+    kept = run[order] >= least
+    return place[order][kept], run[order][kept]
+
+
 class Index:
-    """The windows of some items: distinct word sequences by length, each with the (item, place) pairs where it stands."""
+    """The suffixes of some items: distinct windows by their length, each with its (item, place) pairs and the number of its set of items."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.window, self.vocabulary, self.ids = window, {}, sorted({str(i) for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.ids)}
         found: dict[int, dict[tuple, list]] = {}
+        self.texts: list[np.ndarray] = []
+        owner: list[int] = []
         for item, text in items:
             w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
             size = min(window, len(w))
+            self.texts.append(np.array(w, dtype=">u4"))
+            owner.append(number[str(item)] if item is not None else -1)
             for j in range(len(w) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(w[j : j + size]), []).append((number[str(item)] if item is not None else -1, j))
+                found.setdefault(size, {}).setdefault(tuple(w[j : j + size]), []).append((len(self.texts) - 1, j))
+        self.owner = np.array(owner, dtype=np.int64)
+        self.depth = max(map(len, self.texts), default=0)
         self.kind = np.dtype(">u2" if len(self.vocabulary) < 1 << 16 else ">u4")
+        self.sets: list[tuple[int, ...]] = []
+        named: dict[tuple[int, ...], int] = {}
         self.by_size = []
         for size, at in sorted(found.items()):
             order = sorted(at)
-            places = [at[k] for k in order]
-            self.by_size.append((size, self.packed(np.array(order, dtype=self.kind)), np.cumsum([0, *map(len, places)]), np.array([p for x in places for p in x], dtype=np.int64).reshape(-1, 2)))
+            groups = []
+            for k in order:
+                own = tuple(sorted({owner[t] for t, _ in at[k]} - {-1}))
+                groups.append(named.setdefault(own, len(named)))
+            self.by_size.append((size, self.packed(np.array(order, dtype=self.kind)), np.array(groups), [at[k] for k in order]))
+        self.sets = list(named)
 
     def packed(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * self.kind.itemsize}").ravel()
 
-    def shard(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the documents, the sorted suffixes and their keys of window words."""
+    def search(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Starts of the documents, their words as numbers, the suffix array, and for each length of windows
+        (length, those that occur, first and end of their ranges)."""
         get = self.vocabulary.get
         ids = np.zeros(sum(map(len, docs)) + len(docs) + self.window, dtype=np.uint32)
         starts, at = np.zeros(len(docs) + 1, dtype=np.int64), 0
@@ -68,57 +131,57 @@ class Index:
             ids[at : at + len(d)] = [get(x, 0) for x in d]
             at += len(d) + 1
             starts[k + 1] = at
-        least = min((s for s, *_ in self.by_size), default=self.window)
-        gaps = np.flatnonzero(ids == 0)
-        known = np.flatnonzero(ids)
-        run = gaps[np.searchsorted(gaps, known)] - known
-        pos, run = known[run >= least], run[run >= least]
-        keys = np.zeros((len(pos), self.window), dtype=self.kind)
+        place, run = suffix_array(ids, min((s for s, *_ in self.by_size), default=self.window), self.depth)
+        keys = np.zeros((len(place), self.window), dtype=self.kind)
         for k in range(self.window):
-            keys[:, k] = np.where(run > k, ids[pos + k], 0)
-        keys = self.packed(keys)
-        order = np.argsort(keys, kind="stable")
-        return starts, pos[order], keys[order]
-
-    def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts; (place, size) of each window that occurs, once per place; (doc, item, place, place in item, size), once per place and item."""
-        starts, suffixes, keys = self.shard(docs)
-        hits, places = [np.zeros((0, 2), dtype=np.int64)], [np.zeros((0, 5), dtype=np.int64)]
-        if len(suffixes):
-            for size, windows, offset, at in self.by_size:
+            keys[:, k] = np.where(run > k, ids[place + k], 0)
+        out = []
+        if len(place):
+            keys = self.packed(keys)
+            for size, windows, _, _ in self.by_size:
                 width = size * self.kind.itemsize
                 head = keys if size == self.window else np.ascontiguousarray(keys.view(np.uint8).reshape(len(keys), -1)[:, :width]).view(f"S{width}").ravel()
                 left, right = np.searchsorted(head, windows, "left"), np.searchsorted(head, windows, "right")
                 there = np.flatnonzero(right > left)
-                n = right[there] - left[there]
-                index = np.repeat(left[there] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                pos, window = suffixes[index], np.repeat(there, n)
-                hits.append(np.stack([pos, np.full(len(pos), size)], axis=1))
-                m = offset[window + 1] - offset[window]
-                pick = np.repeat(offset[window] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                pos = np.repeat(pos, m)
-                places.append(np.stack([np.searchsorted(starts, pos, "right") - 1, at[pick, 0], pos, at[pick, 1], np.full(len(pos), size)], axis=1))
-        return starts, np.concatenate(hits), np.concatenate(places)
-
-    def longest(self, docs: list[list[bytes]]) -> np.ndarray:
-        """(doc, item, first word in doc, first word in item, words) of every match that cannot be made longer."""
-        starts, _, p = self.find(docs)
-        p = p[p[:, 1] >= 0]
-        p = p[np.lexsort((p[:, 2], p[:, 2] - p[:, 3], p[:, 1], p[:, 0]))]
-        if not len(p):
-            return p
-        new = np.ones(len(p), dtype=bool)
-        new[1:] = (p[1:, 0] != p[:-1, 0]) | (p[1:, 1] != p[:-1, 1]) | (p[1:, 2] - p[1:, 3] != p[:-1, 2] - p[:-1, 3]) | (p[1:, 2] != p[:-1, 2] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(p)) - 1
-        out = p[first].copy()
-        out[:, 4] = p[last, 2] + p[last, 4] - p[first, 2]
-        out[:, 2] -= starts[out[:, 0]]
-        return out
-
+                out.append((size, there, left[there], right[there]))
+        return starts, ids, place, out
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcast indexes over the benchmark; each holds about block_bytes of texts, whatever the size of the whole."""
+    def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts; (place, size) of each window that occurs, once per place; distinct (document, number of a set of items)."""
+        starts, _, place, ranges = self.search(docs)
+        hits, sets = [np.zeros((0, 2), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
+        for (_, _, groups, _), (size, there, left, right) in zip(self.by_size, ranges, strict=False):
+            n = right - left
+            pos = place[np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            hits.append(np.stack([pos, np.full(len(pos), size)], axis=1))
+            sets.append(np.unique(np.stack([np.searchsorted(starts, pos, "right") - 1, np.repeat(groups[there], n)], axis=1), axis=0))
+        return starts, np.concatenate(hits), np.concatenate(sets)
+
+    def longest(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(doc, text number, first word in doc, first word in item, words) of every match that cannot be made longer at either end."""
+        starts, ids, place, ranges = self.search(docs)
+        for (_, _, _, owners), (size, there, left, right) in zip(self.by_size, ranges, strict=False):
+            for w, lo, hi in zip(there.tolist(), left.tolist(), right.tolist(), strict=True):
+                for t, j in owners[w]:
+                    item, p = self.texts[t], place[lo:hi]
+                    if j:
+                        p = p[(p == 0) | (ids[p - 1] != item[j - 1])]
+                    n = np.full(len(p), size)
+                    on = np.arange(len(p))
+                    for k in range(size, len(item) - j):
+                        on = on[ids[p[on] + k] == item[j + k]]
+                        if not len(on):
+                            break
+                        n[on] += 1
+                    d = np.searchsorted(starts, p, "right") - 1
+                    yield from ((x, t, y, j, z) for x, y, z in zip(d.tolist(), (p - starts[d]).tolist(), n.tolist(), strict=True))
+
+
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """Broadcast indexes over the benchmark; each holds about block_bytes of texts, whatever the size of the whole.
+
+    The driver builds one after the other and keeps none; a worker holds one at a time, see held().
+    """
     b = benchmark.select("item_id", "text")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
@@ -126,21 +189,34 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
     return [b.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in (b if n == 1 else b.where(part == k)).collect()])) for k in range(n)]
 
 
+def held(found: list[Broadcast]) -> Iterator[Index]:
+    """The indexes, each let go before the next is read from the executor's disk, unless there is but one."""
+    for b in found:
+        yield b.value
+        if len(found) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def at_a_time(found: list[Broadcast]) -> int:
+    """Bytes of documents for which the blocks are read once."""
+    return min(HELD_BYTES, SHARD_BYTES * len(found))
+
+
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
 
-def overlap(found: list, w: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]]]:
-    """Number of words of each document that a window of the broadcast indexes hits, and the items that occur in it."""
+def overlap(found: list[Broadcast], w: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]]]:
+    """Number of words of each document that a match with the broadcast indexes covers, and the items that match."""
     items: list[set[str]] = [set() for _ in w]
-    edge = None
-    for b in found:
-        starts, hits, places = b.value.find(w)
+    edge = starts = None
+    for index in held(found):
+        starts, hits, sets = index.find(w)
         if edge is None:
             edge = np.zeros(starts[-1] + WINDOW + 1, dtype=np.int64)
         np.add.at(edge, hits[:, 0], 1)
         np.add.at(edge, hits.sum(axis=1), -1)
-        for d, i in np.unique(places[places[:, 1] >= 0][:, :2], axis=0).tolist():
-            items[d].add(b.value.ids[i])
+        for d, s in sets.tolist():
+            items[d].update(index.ids[i] for i in index.sets[s])
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
     return covered[starts[1:]] - covered[starts[:-1]], items
 
@@ -160,11 +236,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "contaminated": pa.array(n_hit > 0),
         }
 
-    return with_columns(docs, "text", HITS, run, SHARD_BYTES)
+    return with_columns(docs, "text", HITS, run, at_a_time(found))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words) of every maximal verbatim match of at least a window."""
+    """(doc_id, item_id, doc_word, item_word, n_words) of every verbatim match of at least a window that cannot be made
+    longer. This lists each place with each item; decontaminate() and clean_documents() need no such list."""
     found = blocks(benchmark)
     kind = docs.schema["doc_id"].dataType
 
@@ -172,14 +249,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for whole in batches:
             for part in slices(whole, "text", SHARD_BYTES):
                 w = [words(x) for x in part.column("text").to_pylist()]
-                for b in found:
-                    m = b.value.longest(w)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(m[:, 0])), pa.array([b.value.ids[i] for i in m[:, 1].tolist()], pa.string()), *(pa.array(m[:, k]) for k in (2, 3, 4))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+                for index in held(found):
+                    rows = [m for m in index.longest(w) if index.owner[m[1]] >= 0]
+                    ids = part.column("doc_id").take(pa.array([m[0] for m in rows], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[index.owner[m[1]]] for m in rows], pa.string()), *(pa.array([m[k] for m in rows], pa.int64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("doc_word", "item_word", "n_words"))]))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a window of the benchmark."""
+    """docs without the documents that hold a match of at least a window of the benchmark."""
     found = blocks(benchmark)
-    return filter_rows(docs, "text", lambda batch: overlap(found, [words(x) for x in batch.column("text").to_pylist()])[0] == 0, SHARD_BYTES)
+    return filter_rows(docs, "text", lambda batch: overlap(found, [words(x) for x in batch.column("text").to_pylist()])[0] == 0, at_a_time(found))

@@ -68,11 +68,52 @@ def test_longest_matches(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "5", 2, 0, 12), (2, "5", 0, 0, 11)]
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("n", [5, 70_000])
+def test_suffix_array_is_sorted(n):
+    r = np.random.default_rng(8)
+    ids = np.concatenate([*([*r.integers(1, 4, r.integers(0, 60)), *[0] * r.integers(1, 3)] for _ in range(80)), r.integers(1, n, 50), [0] * 10]).astype(np.uint32)
+    for depth in (4, 11, 64):
+        place, run = D.suffix_array(ids, 3, depth)
+        own = [ids[p : p + k].tolist() for p, k in zip(place, run, strict=True)]
+        assert all(0 not in x and ids[p + k] == 0 for x, p, k in zip(own, place, run, strict=True))
+        assert [x[:depth] for x in own] == sorted(x[:depth] for x in own)
+        assert sorted(place) == [p for p in range(len(ids) - 2) if (ids[p : p + 3] > 0).all()]
+
+
+def test_longest_matches_equal_brute_force():
     docs, items = corpus(2)
-    index = D.Index([x for x in items if x[1]])
-    starts, pos, keys = index.shard([D.words(x) for _, x in docs])
-    assert (keys[1:] >= keys[:-1]).all() and len(starts) == len(docs) + 1
+    items = [x for x in items if x[1]]
+    index = D.Index(items)
+    d, v = [D.words(x) for _, x in docs], [D.words(x) for _, x in items]
+    want = set()
+    for a, w in enumerate(d):
+        for t, x in enumerate(v):
+            for i in range(len(w)):
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    if n >= min(10, len(x)) and (not i or not j or w[i - 1] != x[j - 1]):
+                        want.add((a, t, i, j, n))
+    got = list(index.longest(d))
+    assert set(got) == want and len(got) == len(want) and max(x[-1] for x in got) > 10
+
+
+def test_a_passage_in_many_documents_and_items_is_listed_once_each():
+    passage = " ".join(f"w{k}" for k in range(40))
+    index = D.Index([(k, passage) for k in range(500)])
+    docs = [D.words(passage)] * 500
+    starts, hits, sets = index.find(docs)
+    assert len(hits) == 500 * 31 and len(sets) == 500 and len(index.sets) == 1
+
+
+def test_a_very_long_text():
+    """A text longer than a shard, all of words of the benchmark, and one that repeats a window."""
+    items = [(1, " ".join(f"w{k}" for k in range(30))), (2, "z " * 12)]
+    index = D.Index(items)
+    docs = [D.words("w3 w9 " * 300_000 + items[0][1]), D.words("z " * 200_000)]
+    starts, hits, sets = index.find(docs)
+    assert len(hits) == 21 + 200_000 - 9 and [[index.ids[i] for i in index.sets[k]] for _, k in sets] == [["1"], ["2"]]
 
 
 def brute_cut(docs, length):
