@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Used only on a single machine whose session names no spark.checkpoint.dir.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bits of a Maybe, which is broadcast: 16 MB.
+MAYBE_BITS = 27
 #: Rows of one key that a single task joins without ado.
 HOT_ROWS = 10_000
 
@@ -123,6 +125,35 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    """XXH64 with seed 42 of 8-byte integers, as Spark's xxhash64 has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = turn((p5 + np.uint64(50)) ^ (turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Maybe:
+    """Which ids may be in a set: true for all of its ids, and for few others, which an exact join takes out again.
+
+    MAYBE_BITS bits whatever the size of the set: with 3 million ids it passes 2 % of the others, with 100 million half of them.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << MAYBE_BITS))
+        part = ids.select(F.shiftright(h, 15).alias("part"), F.pmod(h, F.lit(1 << 15)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        self.bits = np.zeros(1 << (MAYBE_BITS - 3), dtype=np.uint8)
+        for r in part.collect():
+            self.bits[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        """False for null."""
+        h = id_hash(np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))) & ((1 << MAYBE_BITS) - 1)
+        return (self.bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 > 0) & np.asarray(pc.is_valid(ids))
+
+
 def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Label of each of n nodes: the smallest node that it reaches by the edges (a, b)."""
     label = np.arange(n)

@@ -13,26 +13,29 @@ are one document. Null doc_ids are linked to nothing.
 
 one_of_each() asks for more: every two documents whose sets of five-word shingles have a Jaccard
 similarity of SIMILAR or more. Such fingerprints differ in 15 % of their bits, too many for exact
-blocks. They have WIDE_BITS bits there, each of TABLES tries has DEPTH bits of its own choice first,
-and the pairs below one of its nodes that differ in WIDE_BUDGET bits or fewer are candidates; links
-are those whose sets, compared exactly, are similar. A first pass sends each row's nearest
-predecessor below a node, which joins large groups with few pairs; a second sends all pairs that
-are still in different components.
+blocks. They have WIDE_BITS bits there, each trie has other bits first (see tries()), and the pairs below
+one of its nodes that differ in WIDE_BUDGET bits or fewer are candidates; links are those whose sets,
+compared exactly, are similar. A first pass sends one partner of each row, which joins large groups with
+few pairs; a second sends all pairs that are still in different components.
+
+Texts of any length are read whole. An empty table gives an empty one. near_duplicates() reads no other
+columns, one_of_each() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, local_stars, partitions, slices
+from .common import Maybe, connected_components, cut, filter_rows, join_keyed, local_stars, partitions, slices, whole_groups
 
 SEED = 42
 BITS = 64
@@ -44,11 +47,14 @@ FRONTIER = 1 << 18
 LEAF_PAIRS = 64
 #: Words of a shingle and least Jaccard similarity of the documents that one_of_each() takes for the same.
 WORDS, SIMILAR = 5, 0.8
-#: Fingerprints for that: their bits, those that candidates may differ in, those that lead in a trie, and the tries.
-WIDE_BITS, WIDE_BUDGET, DEPTH, TABLES = 128, 38, 14, 76
+#: Fingerprints for that: their bits, and those in which candidates may differ.
+WIDE_BITS, WIDE_BUDGET = 128, 34
+#: Fingerprints below one node of its tries, by which their depth follows; and the share of pairs at SIMILAR that may meet in none.
+NODE, MISSED = 256, 3.5e-4
 #: Tries of the first pass, which only saves the second one pairs.
-FIRST = 32
-LEADS = np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:DEPTH] for k in range(TABLES)])
+FIRST = 8
+#: Pairs of one document that one task compares, and rows up to which routes (some 40 bytes each) are broadcast.
+COMPARED, BROADCAST_ROWS = 1_000, 500_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -201,19 +207,16 @@ def hamming_forest(ids: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS)
         dealt = dealt.unionByName(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        trie, depth, bits, own = (t.column(c).to_numpy() for c in ("trie", "depth", "bits", "id"))
-        for k in np.unique(trie):
-            at = np.flatnonzero(trie == k)
-            at = at[np.argsort(bits[at].view(np.uint64))]
-            a, b = trie_links(bits[at].view(np.uint64), depth[at], budget)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(own[at[a]]), pa.array(own[at[b]])], names=["a", "b"])
+        for t in whole_groups(batches, ("trie", "lead")):
+            trie, depth, bits, own = (t.column(c).to_numpy() for c in ("trie", "depth", "bits", "id"))
+            for k in np.unique(trie):
+                at = np.flatnonzero(trie == k)
+                at = at[np.argsort(bits[at].view(np.uint64))]
+                a, b = trie_links(bits[at].view(np.uint64), depth[at], budget)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at[a]]), pa.array(own[at[b]])], names=["a", "b"])
 
-    return dealt.repartition(partitions(spark), "trie", "lead").mapInArrow(run, "a long, b long")
+    return dealt.repartition(partitions(spark), "trie", "lead").sortWithinPartitions("trie", "lead").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
@@ -221,13 +224,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFram
     fps = cut(fingerprints(docs, size))
     known = fps.where("doc_id is not null")
     # The smallest doc_id stands for a fingerprint; the fingerprints of one doc_id hang together.
-    nodes = known.groupBy(F.col("fp").alias("bits")).agg(F.min("doc_id").alias("id"))
+    nodes = cut(fps.groupBy(F.col("fp").alias("bits")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")))
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     again = known.join(twice, "doc_id", "left_semi").join(nodes, F.col("fp") == F.col("bits")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = hamming_forest(nodes, budget)
+    links = hamming_forest(nodes.where("id is not null").select("id", "bits"), budget)
     comp = connected_components(links.unionByName(again))
-    whole = nodes.join(comp, "id", "left").select(F.col("bits").alias("fp"), F.least("id", F.coalesce("component", "id")).alias("component_id"))
-    return fps.join(whole, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    whole = nodes.join(comp, "id", "left").select(F.col("bits").alias("fp"), "rows", F.least("id", F.coalesce("component", "id")).alias("component_id"))
+    return join_keyed(fps, whole, "fp", "rows", fps.count()).select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -271,88 +274,129 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *WIDE]))
 
 
-def near_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, component: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of candidates in runs of equal slots: each j with its last i, or with all i of other components."""
-    end = np.append(np.flatnonzero(slot[1:] != slot[:-1]) + 1, len(slot))
-    end = np.repeat(end, np.diff(end, prepend=0))
-    at, d = np.arange(len(slot)), 1
-    last = np.full(len(slot), -1)
-    while len(at := at[at + d < end[at]]):
-        j = at + d
-        ok = np.bitwise_count(x[at] ^ x[j]).astype(np.int16) + np.bitwise_count(y[at] ^ y[j]) <= WIDE_BUDGET
-        ok &= np.minimum(n[at], n[j]) >= SIMILAR * np.maximum(n[at], n[j])
-        if component is not None:
-            ok &= component[at] != component[j]
-            yield at[ok], j[ok]
-        else:
-            a, b = at[ok], j[ok]
-            new = last[b] < 0
-            last[b[new]] = a[new]
+def tries(n: int) -> np.ndarray:
+    """The leading bits of each trie over n fingerprints: so many that a node has about NODE, in so many tries that at
+    most MISSED of the pairs of two sets of one size at SIMILAR are together below none of them."""
+    depth = min(max(ceil(log2(max(n, 1) / NODE)), 6), 32)
+    same = 1 - acos(2 * SIMILAR / (1 + SIMILAR)) / pi
+    return np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:depth] for k in range(ceil(log(MISSED) / log(1 - same**depth)))])
+
+
+def near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the rows a and b are candidates: few bits differ, and the sizes allow the similarity."""
+    few = np.bitwise_count(x[a] ^ x[b]).astype(np.int16) + np.bitwise_count(y[a] ^ y[b]) <= WIDE_BUDGET
+    return few & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]))
+
+
+def edges_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.ones(len(keys[0]) + 1, dtype=bool)
+    new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def first_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of candidates in runs of equal slots: each j with its first i."""
+    edge = edges_of(slot)
+    start = np.repeat(edge[:-1], np.diff(edge))
+    j, d = np.arange(len(slot)), 0
+    while len(j := j[start[j] + d < j]):
+        i = start[j] + d
+        ok = near(i, j, x, y, n)
+        yield i[ok], j[ok]
+        j, d = j[~ok], d + 1
+
+
+def other_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of all candidates in runs of equal slots that are in different components, by which the rows of a slot are sorted."""
+    whole, own = edges_of(slot), edges_of(slot, component)
+    end, after = np.repeat(whole[1:], np.diff(whole)), np.repeat(own[1:], np.diff(own))
+    i, d = np.arange(len(slot)), 0
+    while len(i := i[after[i] + d < end[i]]):
+        j = after[i] + d
+        ok = near(i, j, x, y, n)
+        yield i[ok], j[ok]
         d += 1
-    if component is None:
-        yield last[last >= 0], np.flatnonzero(last >= 0)
 
 
-def candidates(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Distinct (a, b), keys of nodes (key, x, y, n), as near_pairs() finds them; by component if nodes has that column."""
-    names = ["slot", *(c for c in nodes.columns if c in (*WIDE.names, "component"))]
+def candidates(nodes: DataFrame, leads: np.ndarray) -> DataFrame:
+    """Distinct (a, b), keys of nodes (key, x, y, n) that meet below a node of the tries with these leading bits: each row's
+    first partner, or all partners in other components if nodes has that column."""
+    by = "component" in nodes.columns
+    names = ["slot", *WIDE.names, *(["component"] if by else [])]
     kind = ", ".join(f"{c} long" for c in names)
+    depth = leads.shape[1]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = np.stack([np.asarray(batch.column(c)) for c in ("x", "y")], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).astype("<i8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-            for k, chosen in enumerate(LEADS[:tables]):
-                slot = bits[:, chosen].astype(np.int64) @ (1 << np.arange(DEPTH)) + (k << DEPTH)
+            for k, chosen in enumerate(leads):
+                slot = bits[:, chosen].astype(np.int64) @ (1 << np.arange(depth)) + (k << depth)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), *(batch.column(c) for c in names[1:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = {c: pa.Table.from_batches(held).column(c).to_numpy() for c in names}
-        held.clear()
-        order = np.lexsort((t["key"], t["slot"]))
-        slot, key, x, y, n = (t[c][order] for c in ("slot", "key", "x", "y", "n"))
-        found, size = [], 0
-        for i, j in near_pairs(slot, x.view(np.uint64), y.view(np.uint64), n, t["component"][order] if "component" in t else None):
-            found.append((key[i], key[j]))
-            size += len(i)
-            if size >= FRONTIER:
+        for t in whole_groups(batches, ("slot",)):
+            slot, key, x, y, n = (t.column(c).to_numpy() for c in names[:5])
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            found, size = [], 0
+            for i, j in other_pairs(slot, x, y, n, t.column("component").to_numpy()) if by else first_pairs(slot, x, y, n):
+                found.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j])))
+                size += len(i)
+                if size >= FRONTIER:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                    found, size = [], 0
+            if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-                found, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
     rows = nodes.select(*names[1:]).mapInArrow(plant, kind)
-    return rows.repartition(partitions(nodes.sparkSession), "slot").mapInArrow(run, "a long, b long").distinct()
+    order = ["slot", "component", "key"] if by else ["slot", "key"]
+    return rows.repartition(partitions(nodes.sparkSession), "slot").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a Jaccard similarity of SIMILAR or more; nodes (key, id) names a doc_id with each set."""
+    """Those of pairs (a, b) whose sets have a Jaccard similarity of SIMILAR or more; nodes (key, id) names a doc_id with each set.
+
+    The set of b goes to that of a, once for each pair; that of a goes along once for every COMPARED pairs, so a document
+    with many partners is no single task's work. Sets are made anew from the texts that are asked for, which move nowhere.
+    """
+    spark = docs.sparkSession
+    pairs = cut(pairs)
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / COMPARED).cast("int"))
+    whole = join_keyed(pairs, many, "a", "n", pairs.count())
+    to = whole.select(F.col("b").alias("key"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    routes = cut(to.unionByName(to.select(F.col("group").alias("key"), "group", "part", F.lit(0).alias("role")).distinct()))
+    count = routes.count()
+    wanted = Maybe(nodes.join(routes.select("key").distinct(), "key", "left_semi").select("id"), "id")
+    asked = spark.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in slices(whole, "text", 4 << 20):
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(asked.value.has(batch.column("doc_id")))), "text", 4 << 20):
                 found = [shingle_set(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in found], dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.array([set_key(s) for s in found], dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "key", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, p = None, None
         for batch in batches:
-            keep = []
-            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                p, q = np.frombuffer(u, dtype=np.uint64), np.frombuffer(v, dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= SIMILAR * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = nodes.join(wanted, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    known = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "key long, hashes binary")
-    known = cut(known.groupBy("key").agg(F.first("hashes").alias("hashes")))
-    whole = pairs.join(known.select(F.col("key").alias("a"), F.col("hashes").alias("u")), "a").join(known.select(F.col("key").alias("b"), F.col("hashes").alias("v")), "b")
-    return cut(whole.select("a", "b", "u", "v").mapInArrow(compare, "a long, b long"))
+            a, b = [], []
+            for g, part, role, key, hashes in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "role", "key", "hashes")), strict=True):
+                q = np.frombuffer(hashes, dtype=np.uint64)
+                if role == 0:
+                    group, p = (g, part), q
+                elif group == (g, part):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if both >= SIMILAR * (len(p) + len(q) - both):
+                        a.append(g)
+                        b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    # A set comes from its named doc_id only: once, unless a row repeats.
+    named = routes.join(nodes.select("key", "id"), "key")
+    known = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, key long, hashes binary")
+    sent = known.join(F.broadcast(named) if count <= BROADCAST_ROWS else named, ["key", "id"])
+    sent = sent.select("group", "part", "role", "key", "hashes").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
+    return cut(sent.mapInArrow(compare, "a long, b long"))
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -362,16 +406,27 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of similar documents, that of the smallest doc_id, and all rows without doc_id."""
+    """docs with one row of each group of similar documents, that of the smallest doc_id, and all rows without doc_id.
+
+    Of rows that share a doc_id, the one whose columns have the smallest hash stays. Texts move only where an id may go
+    or repeats: a set of such ids is broadcast (see Maybe), and its rows alone are joined.
+    """
     known = cut(wide_fingerprints(docs.where("doc_id is not null")))
     nodes = cut(known.groupBy(*WIDE.names).agg(F.min("doc_id").alias("id")))
+    leads = tries(nodes.count())
     # The sets of one doc_id hang together.
     twice = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    links = known.join(twice, "doc_id").select("a", F.col("key").alias("b"))
-    links = links.unionByName(similar(docs, nodes, candidates(nodes, FIRST)))
-    first = cut(labelled(nodes, links))
-    links = links.unionByName(similar(docs, nodes, candidates(first)))
-    groups = labelled(nodes, links).select("key", "component")
-    heads = known.select("doc_id", "key").join(groups, "key").groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    links = cut(known.join(twice, "doc_id").select("a", F.col("key").alias("b")))
+    # One partner of each in the first pass is enough to bring large groups together.
+    first = candidates(nodes, leads[:FIRST]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.unionByName(similar(docs, nodes, first))
+    links = links.unionByName(similar(docs, nodes, candidates(cut(labelled(nodes, links)), leads)))
+    heads = cut(labelled(nodes, links).groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id"))
+    rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(heads.withColumn("head", F.lit(True)), "doc_id", "left")
+    unsure = docs.sparkSession.sparkContext.broadcast(Maybe(rows.where("head is null or n > 1"), "doc_id"))
+    sure = filter_rows(docs, "text", lambda batch: ~unsure.value.has(batch.column("doc_id")))
+    rest = filter_rows(docs, "text", lambda batch: unsure.value.has(batch.column("doc_id")))
+    plain = [f.name for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "void"))]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*plain))
+    kept = rest.join(heads, "doc_id", "left_semi").withColumn("_near_number", F.row_number().over(order)).where("_near_number = 1")
+    return sure.unionByName(kept.select(*docs.columns))

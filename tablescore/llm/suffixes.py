@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, slices
+from .common import id_hash, partitions, slices
 from .mixing import shuffle_key
 
 LENGTH = 50
@@ -312,16 +312,6 @@ def packed_rows(found: Iterator[tuple[int, int, Arrays]]) -> Iterator[pa.RecordB
         yield batch()
 
 
-def id_hash(ids: np.ndarray) -> np.ndarray:
-    """XXH64 with seed 42 of 8-byte integers, as Spark's xxhash64 has it."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = turn((p5 + np.uint64(50)) ^ (turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-
 def to_docs(arrays: Arrays, n: int) -> Iterator[tuple[int, int, Arrays]]:
     """arrays, by the bucket of doc."""
     for b, x in by_key(id_hash(arrays["doc"]) % n, arrays):

@@ -1,7 +1,7 @@
 import duckdb
 import pandas as pd
 from conftest import SMALL
-from test_near_duplicates import fingerprint, reachable
+from test_near_duplicates import reachable
 from test_passages import words
 
 import corpus_pipeline
@@ -9,7 +9,7 @@ from tablescore.llm import langid, mixing, oracles, pii
 
 
 def test_run_equals_brute_force(spark):
-    """Each stage anew: languages text by text, all pairs of fingerprints, all windows, spans one by one, and SQL for the mix."""
+    """Each stage anew: languages text by text, all pairs of sets of five-word shingles, all windows, spans one by one, and SQL for the mix."""
     import numpy as np
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -17,8 +17,10 @@ def test_run_equals_brute_force(spark):
     rows = docs.toPandas()
     found = [model.predict([x]) for x in rows.text]
     rows = rows[[lang[0] != "und" and s[0] >= langid.LEAST_SCORE for lang, s in found]].sort_values("doc_id")
-    fp = np.array([fingerprint(x) for x in rows.text], dtype=np.uint64)
-    rows = rows[np.array(reachable(np.bitwise_count(fp[:, None] ^ fp[None]) <= 3, rows.doc_id.tolist())) == rows.doc_id]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.encode().lower().split() for x in rows.text)]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    assert near.sum() > len(rows)
+    rows = rows[np.array(reachable(near, rows.doc_id.tolist())) == rows.doc_id]
     windows = set()
     for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
         w = words(r.text)
