@@ -169,6 +169,32 @@ def local_stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def hamming(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which rows i and j of two words differ."""
+    return np.bitwise_count(x[i] ^ x[j]).astype(np.int16) + np.bitwise_count(y[i] ^ y[j])
+
+
+def run_forest(slot: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links that connect, within runs of equal slots, all rows that hang together by near(i, j)."""
+    n = len(slot)
+    edge = np.flatnonzero(np.concatenate([slot[1:] != slot[:-1], [True]])) + 1
+    size = np.diff(edge, prepend=0)
+    end = np.repeat(edge, size)
+    # The group of a row is a row of it; groups of one slot are joined until its rows are all one, or all are compared.
+    group, at, d = np.arange(n), np.arange(n), 1
+    while len(at := at[at + d < end[at]]):
+        apart = at[group[at] != group[at + d]]
+        apart = apart[near(apart, apart + d)]
+        if len(apart):
+            group = local_stars(n, group[apart], group[apart + d])[group]
+        if d & (d - 1) == 0:
+            one = np.minimum.reduceat(group, edge - size) == np.maximum.reduceat(group, edge - size)
+            at = at[~np.repeat(one, size)[at]]
+        d += 1
+    far = np.flatnonzero(group != np.arange(n))
+    return far, group[far]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1 << 17) -> Iterator[pa.Table]:
     """Rows sorted by keys (integers), as tables of about so many rows that hold whole groups of equal keys."""
     held: list[pa.RecordBatch] = []

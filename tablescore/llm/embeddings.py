@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, groups, join_keyed, local_stars, partitions, whole_groups
+from .common import connected_components, cut, groups, hamming, join_keyed, local_stars, partitions, run_forest, whole_groups
 
 TABLES = 16
 PROJECTIONS = 9
@@ -168,27 +168,6 @@ def memberships(vectors: DataFrame, tables: int, projections: int, width: float,
     return labelled(vectors).mapInArrow(run, ROUTED)
 
 
-def sketch_forest(slot: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of links that connect, within runs of equal slots, all rows whose sketches hang together."""
-    n = len(slot)
-    edge = np.flatnonzero(np.concatenate([slot[1:] != slot[:-1], [True]])) + 1
-    size = np.diff(edge, prepend=0)
-    end = np.repeat(edge, size)
-    # The group of a row is a row of it; groups of one slot are joined until its rows are all one, or all are compared.
-    group, at, d = np.arange(n), np.arange(n), 1
-    while len(at := at[at + d < end[at]]):
-        apart = at[group[at] != group[at + d]]
-        near = apart[np.bitwise_count(x[apart] ^ x[apart + d]).astype(np.int16) + np.bitwise_count(y[apart] ^ y[apart + d]) <= SKETCH_BITS]
-        if len(near):
-            group = local_stars(n, group[near], group[near + d])[group]
-        if d & (d - 1) == 0:
-            one = np.minimum.reduceat(group, edge - size) == np.maximum.reduceat(group, edge - size)
-            at = at[~np.repeat(one, size)[at]]
-        d += 1
-    far = np.flatnonzero(group != np.arange(n))
-    return far, group[far]
-
-
 def meetings(vectors: DataFrame, tables: int, projections: int, width: float, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between nodes that meet in a bucket.
 
@@ -211,7 +190,8 @@ def meetings(vectors: DataFrame, tables: int, projections: int, width: float, bu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ("slot",)):
             slot, node, x, y = (t.column(c).to_numpy() for c in ("slot", "node", "x", "y"))
-            a, b = sketch_forest(slot, x.view(np.uint64), y.view(np.uint64))
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            a, b = run_forest(slot, lambda i, j, x=x, y=y: hamming(x, y, i, j) <= SKETCH_BITS)
             a, b = node[a], node[b]
             yield pa.RecordBatch.from_arrays([pa.array(c[a != b]) for c in (a, b)], names=["a", "b"])
 

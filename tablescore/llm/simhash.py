@@ -13,10 +13,10 @@ are one document. Null doc_ids are linked to nothing.
 
 one_of_each() asks for more: every two documents whose sets of five-word shingles have a Jaccard
 similarity of SIMILAR or more. Such fingerprints differ in 15 % of their bits, too many for exact
-blocks. They have WIDE_BITS bits there, each trie has other bits first (see tries()), and the pairs below
-one of its nodes that differ in WIDE_BUDGET bits or fewer are candidates; links are those whose sets,
-compared exactly, are similar. A first pass sends one partner of each row, which joins large groups with
-few pairs; a second sends all pairs that are still in different components.
+blocks. They have WIDE_BITS bits there, each trie has other bits first (see tries()), and what meets below one
+of its nodes, where so wide a budget lets no pair of nodes be left, and differs in WIDE_BUDGET bits or fewer
+hangs together in families. All sets of a family are then compared exactly, block by block if it is large, so
+no pair is listed; links are those that are similar.
 
 Texts of any length are read whole. An empty table gives an empty one. near_duplicates() reads no other
 columns, one_of_each() keeps them, whatever their names.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Maybe, connected_components, cut, filter_rows, join_keyed, local_stars, partitions, slices, whole_groups
+from .common import Maybe, connected_components, cut, filter_rows, groups, hamming, join_keyed, local_stars, partitions, run_forest, slices, whole_groups
 
 SEED = 42
 BITS = 64
@@ -51,10 +51,11 @@ WORDS, SIMILAR = 5, 0.8
 WIDE_BITS, WIDE_BUDGET = 128, 34
 #: Fingerprints below one node of its tries, by which their depth follows; and the share of pairs at SIMILAR that may meet in none.
 NODE, MISSED = 256, 3.5e-4
-#: Tries of the first pass, which only saves the second one pairs.
-FIRST = 8
-#: Pairs of one document that one task compares, and rows up to which routes (some 40 bytes each) are broadcast.
-COMPARED, BROADCAST_ROWS = 1_000, 500_000
+#: Sets of a family that are compared in one piece: eight times the root of their number, within these bounds, and with so many
+#: hashes; columns of the matrix in which they are counted.
+LEAST_BLOCK, BLOCK, BLOCK_HASHES, COLUMNS = 256, 1_024, 1 << 21, 4_096
+#: Members of families up to which they are broadcast (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -282,49 +283,11 @@ def tries(n: int) -> np.ndarray:
     return np.stack([np.random.default_rng([SEED, k]).permutation(WIDE_BITS)[:depth] for k in range(ceil(log(MISSED) / log(1 - same**depth)))])
 
 
-def near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether the rows a and b are candidates: few bits differ, and the sizes allow the similarity."""
-    few = np.bitwise_count(x[a] ^ x[b]).astype(np.int16) + np.bitwise_count(y[a] ^ y[b]) <= WIDE_BUDGET
-    return few & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]))
-
-
-def edges_of(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin, and the end."""
-    new = np.ones(len(keys[0]) + 1, dtype=bool)
-    new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
-
-
-def first_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of candidates in runs of equal slots: each j with its first i."""
-    edge = edges_of(slot)
-    start = np.repeat(edge[:-1], np.diff(edge))
-    j, d = np.arange(len(slot)), 0
-    while len(j := j[start[j] + d < j]):
-        i = start[j] + d
-        ok = near(i, j, x, y, n)
-        yield i[ok], j[ok]
-        j, d = j[~ok], d + 1
-
-
-def other_pairs(slot: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of all candidates in runs of equal slots that are in different components, by which the rows of a slot are sorted."""
-    whole, own = edges_of(slot), edges_of(slot, component)
-    end, after = np.repeat(whole[1:], np.diff(whole)), np.repeat(own[1:], np.diff(own))
-    i, d = np.arange(len(slot)), 0
-    while len(i := i[after[i] + d < end[i]]):
-        j = after[i] + d
-        ok = near(i, j, x, y, n)
-        yield i[ok], j[ok]
-        d += 1
-
-
-def candidates(nodes: DataFrame, leads: np.ndarray) -> DataFrame:
-    """Distinct (a, b), keys of nodes (key, x, y, n) that meet below a node of the tries with these leading bits: each row's
-    first partner, or all partners in other components if nodes has that column."""
-    by = "component" in nodes.columns
-    names = ["slot", *WIDE.names, *(["component"] if by else [])]
-    kind = ", ".join(f"{c} long" for c in names)
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between keys of nodes (key, x, y, n) that connect all whose fingerprints meet below a node of a trie, differ
+    in WIDE_BUDGET bits or fewer, and whose sizes allow the similarity; a forest below each node, not all pairs."""
+    names = ["slot", *WIDE.names]
+    leads = tries(nodes.count())
     depth = leads.shape[1]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,38 +300,52 @@ def candidates(nodes: DataFrame, leads: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ("slot",)):
-            slot, key, x, y, n = (t.column(c).to_numpy() for c in names[:5])
+            slot, key, x, y, n = (t.column(c).to_numpy() for c in names)
             x, y = x.view(np.uint64), y.view(np.uint64)
-            found, size = [], 0
-            for i, j in other_pairs(slot, x, y, n, t.column("component").to_numpy()) if by else first_pairs(slot, x, y, n):
-                found.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j])))
-                size += len(i)
-                if size >= FRONTIER:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-                    found, size = [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    rows = nodes.select(*names[1:]).mapInArrow(plant, kind)
-    order = ["slot", "component", "key"] if by else ["slot", "key"]
-    return rows.repartition(partitions(nodes.sparkSession), "slot").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a Jaccard similarity of SIMILAR or more; nodes (key, id) names a doc_id with each set.
-
-    The set of b goes to that of a, once for each pair; that of a goes along once for every COMPARED pairs, so a document
-    with many partners is no single task's work. Sets are made anew from the texts that are asked for, which move nowhere.
+            a, b = run_forest(slot, lambda i, j: (hamming(x, y, i, j) <= WIDE_BUDGET) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j])))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], names=["a", "b"])
+
+    rows = nodes.select(*names[1:]).mapInArrow(plant, ", ".join(f"{c} long" for c in names))
+    return rows.repartition(partitions(nodes.sparkSession), "slot").sortWithinPartitions("slot", "key").mapInArrow(run, "a long, b long")
+
+
+def set_links(sets: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links that connect all sets with a Jaccard similarity of SIMILAR or more; of two blocks, only links between them."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    # Only shingles of two sets or more count, numbered anew.
+    shared = count[word] > 1
+    owner, word = owner[shared], (np.cumsum(count > 1) - 1)[word[shared]]
+    both = np.zeros((m, m), dtype=np.float32)
+    for start in range(0, int((count > 1).sum()), COLUMNS):
+        own = (word >= start) & (word < start + COLUMNS)
+        part = np.zeros((m, min(COLUMNS, int((count > 1).sum()) - start)), dtype=np.float32)
+        part[owner[own], word[own] - start] = 1
+        both += part @ part.T
+    near = both >= SIMILAR * (size[:, None] + size[None] - both.astype(np.float64))
+    if block[0] != block[-1]:
+        near &= block[:, None] != block[None]
+    a, b = np.nonzero(np.triu(near, 1))
+    low = local_stars(m, a, b)
+    far = np.flatnonzero(low != np.arange(m))
+    return far, low[far]
+
+
+def similar(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all keys of nodes (key, n, id) whose sets are similar and that hang together by links.
+
+    What hangs together is a family. Every set goes once to its family, or once for each pair of blocks of a large one, and
+    all sets there are compared. Sets are made anew from the texts of the documents id that are asked for, which move nowhere.
     """
     spark = docs.sparkSession
-    pairs = cut(pairs)
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / COMPARED).cast("int"))
-    whole = join_keyed(pairs, many, "a", "n", pairs.count())
-    to = whole.select(F.col("b").alias("key"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
-    routes = cut(to.unionByName(to.select(F.col("group").alias("key"), "group", "part", F.lit(0).alias("role")).distinct()))
-    count = routes.count()
-    wanted = Maybe(nodes.join(routes.select("key").distinct(), "key", "left_semi").select("id"), "id")
-    asked = spark.sparkContext.broadcast(wanted)
+    families = connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("family"))
+    members = cut(nodes.select("key", "n", "id").join(families, "key"))
+    count = members.count()
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes"))
+    bound = F.least(F.greatest(8 * F.sqrt("rows"), F.lit(LEAST_BLOCK)), F.lit(BLOCK))
+    sizes = sizes.select("family", "rows", F.ceil(F.greatest(F.col("rows") / bound, F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    asked = spark.sparkContext.broadcast(Maybe(members, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,33 +353,25 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 found = [shingle_set(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.array([set_key(s) for s in found], dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "key", "hashes"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, p = None, None
-        for batch in batches:
-            a, b = [], []
-            for g, part, role, key, hashes in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "role", "key", "hashes")), strict=True):
-                q = np.frombuffer(hashes, dtype=np.uint64)
-                if role == 0:
-                    group, p = (g, part), q
-                elif group == (g, part):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if both >= SIMILAR * (len(p) + len(q) - both):
-                        a.append(g)
-                        b.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    # A set comes from its named doc_id only: once, unless a row repeats.
-    named = routes.join(nodes.select("key", "id"), "key")
+    named = join_keyed(members.select("key", "id", "family"), sizes, "family", "rows", count)
     known = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "id long, key long, hashes binary")
     sent = known.join(F.broadcast(named) if count <= BROADCAST_ROWS else named, ["key", "id"])
-    sent = sent.select("group", "part", "role", "key", "hashes").repartition(partitions(spark), "group", "part").sortWithinPartitions("group", "part", "role")
-    return cut(sent.mapInArrow(compare, "a long, b long"))
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+    by = ("family", "b1", "b2")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, by):
+            # A row that repeats brings its set again.
+            key, first = np.unique(t.column("key").to_numpy(), return_index=True)
+            if len(key) > 1:
+                order = first[np.argsort(t.column("block").to_numpy()[first], kind="stable")]
+                hashes = t.column("hashes")
+                a, b = set_links([np.frombuffer(hashes[i].as_buffer(), dtype=np.uint64) for i in order.tolist()], t.column("block").to_numpy()[order])
+                key = t.column("key").to_numpy()[order]
+                yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], names=["a", "b"])
 
-def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with their component by links, as a key."""
-    comp = connected_components(links).select(F.col("id").alias("key"), "component")
-    return nodes.join(comp, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return cut(sent.select("key", "hashes", "block", *by).repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -413,15 +382,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     known = cut(wide_fingerprints(docs.where("doc_id is not null")))
     nodes = cut(known.groupBy(*WIDE.names).agg(F.min("doc_id").alias("id")))
-    leads = tries(nodes.count())
     # The sets of one doc_id hang together.
     twice = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    links = cut(known.join(twice, "doc_id").select("a", F.col("key").alias("b")))
-    # One partner of each in the first pass is enough to bring large groups together.
-    first = candidates(nodes, leads[:FIRST]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = links.unionByName(similar(docs, nodes, first))
-    links = links.unionByName(similar(docs, nodes, candidates(cut(labelled(nodes, links)), leads)))
-    heads = cut(labelled(nodes, links).groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id"))
+    links = similar(docs, nodes, candidates(nodes)).unionByName(known.join(twice, "doc_id").select("a", F.col("key").alias("b")))
+    comp = connected_components(links).select(F.col("id").alias("key"), "component")
+    heads = nodes.join(comp, "key", "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("id").alias("doc_id"))
+    heads = cut(heads.select("doc_id"))
     rows = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(heads.withColumn("head", F.lit(True)), "doc_id", "left")
     unsure = docs.sparkSession.sparkContext.broadcast(Maybe(rows.where("head is null or n > 1"), "doc_id"))
     sure = filter_rows(docs, "text", lambda batch: ~unsure.value.has(batch.column("doc_id")))
