@@ -8,7 +8,8 @@ before any element stands in a paragraph of the body.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 
@@ -89,28 +90,49 @@ class Node:
             stack += n.children[::-1]
         return "".join(out)
 
-    def unwrap(self) -> None:
-        p = self.parent
-        at = p.children.index(self)
-        for c in self.children:
-            c.parent = p
-        p.children[at : at + 1] = self.children
+    def dissolve(self, fate: Callable[[Node], bool | None]) -> None:
+        """Each element below for which fate is true gives way to what is in it, and goes with that for which it is false."""
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            todo, n.children = n.children[::-1], []
+            while todo:
+                c = todo.pop()
+                end = fate(c) if c.tag and c.tag != "#comment" else None
+                if end:
+                    todo += c.children[::-1]
+                elif end is None:
+                    c.parent = n
+                    n.children.append(c)
+            stack += [c for c in n.children if c.children]
 
-    def remove(self) -> None:
-        self.parent.children.remove(self)
+    def inner(self) -> str:
+        """The markup of what is in it."""
+        return written(self.children)
 
     def markup(self) -> str:
-        if self.tag is None:
-            return self.text if self.parent is not None and self.parent.tag in RAW else escape(self.text, quote=False)
-        if self.tag == "#comment":
-            return f"<!--{self.text}-->"
-        attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}/>"
-        return f"<{self.tag}{attrs}>{self.inner()}</{self.tag}>"
-
-    def inner(self) -> str:
-        return "".join(c.markup() for c in self.children)
+        return written([self])
+
+
+def written(nodes: list[Node]) -> str:
+    """The markup of nodes, however deep."""
+    out: list[str] = []
+    stack: list[Node | str] = nodes[::-1]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag is None:
+            out.append(n.text if n.parent is not None and n.parent.tag in RAW else escape(n.text, quote=False))
+        elif n.tag == "#comment":
+            out.append(f"<!--{n.text}-->")
+        else:
+            attrs = "".join(f' {k}="{escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in n.attrs.items())
+            out.append(f"<{n.tag}{attrs}/>" if n.tag in VOID else f"<{n.tag}{attrs}>")
+            if n.tag not in VOID:
+                stack.append(f"</{n.tag}>")
+                stack += n.children[::-1]
+    return "".join(out)
 
 
 class Builder(HTMLParser):
@@ -120,8 +142,13 @@ class Builder(HTMLParser):
         self.html = Node("html")
         self.head, self.body = self.html.add(Node("head")), self.html.add(Node("body"))
         self.open = [self.body]
+        self.count: Counter[str] = Counter()
         self.begun = False
 
+    def close_from(self, k: int) -> None:
+        self.count.subtract(n.tag for n in self.open[k:])
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         found = {k: v or "" for k, v in reversed(attrs)}
         if self.repair:
@@ -132,26 +159,30 @@ class Builder(HTMLParser):
             self.begun |= not in_head
             ends = ended_by(tag)
             while self.open[-1].tag in ends:
-                self.open.pop()
+                self.close_from(len(self.open) - 1)
             place = self.head if in_head and len(self.open) == 1 else self.open[-1]
         else:
             place = self.open[-1]
         node = place.add(Node(tag, dict(reversed(found.items()))))
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if self.open[-1].tag == tag and tag not in VOID:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or (self.repair and tag in ("html", "head", "body")):
             return
+        # An end tag that ends nothing is passed over at once, however many elements are open.
+        if not self.count[tag]:
+            return
         mine = STRENGTH.get(tag, 100)
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self.close_from(k)
                 return
             if self.repair and STRENGTH.get(self.open[k].tag, 100) > mine:
                 return
@@ -162,6 +193,7 @@ class Builder(HTMLParser):
                 return
             self.begun = True
             self.open.append(self.body.add(Node("p")))
+            self.count["p"] += 1
         last = self.open[-1].children[-1:]
         if last and last[0].tag is None:
             last[0].text += data

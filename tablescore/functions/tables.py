@@ -13,6 +13,7 @@ from .dom import Node, parse
 PLAIN = re.compile(r'<table>(?:<tr>(?:<td(?: rowspan="[^"<>&]+")?(?: colspan="[^"<>&]+")?>[^<>&]*</td>)*</tr>)*</table>')
 CELL = re.compile(r'<td(?: rowspan="([^"]+)")?(?: colspan="([^"]+)")?>([^<]*)</td>')
 EMPHASIS = ("b", "i", "strong", "em", "span")
+UNWRAPPED = ("thead", "tbody", "tfoot", *EMPHASIS)
 WHITE = re.compile(r"\s+")
 
 
@@ -32,19 +33,18 @@ def canonical(source: str) -> str:
     body = parse(source)
     table = next((n for n in body.walk() if n.tag == "table"), None)
     if table is None:
-        for n in body.find_all(*EMPHASIS):
-            n.unwrap()
+        body.dissolve(lambda n: True if n.tag in EMPHASIS else None)
         return one_spaced(body.inner())
-    for n in table.find_all("span"):
-        if n.has_class("math-inline"):
-            n.unwrap() if n.all_text().strip() else n.remove()
-    for n in table.find_all("tsv"):
-        n.remove()
-    for n in table.find_all("div"):
-        if n.has_class("inline-tabular"):
-            n.unwrap()
-    for n in table.find_all("thead", "tbody", "tfoot", *EMPHASIS):
-        n.unwrap()
+    blank: dict[int, bool] = {}
+    for n in reversed(list(table.walk())):
+        blank[id(n)] = all(not c.text.strip() if c.tag is None else c.tag == "#comment" or blank[id(c)] for c in n.children)
+
+    def fate(n: Node) -> bool | None:
+        if n.tag == "tsv" or (n.tag == "span" and n.has_class("math-inline") and blank[id(n)]):
+            return False
+        return True if n.tag in UNWRAPPED or (n.tag == "div" and n.has_class("inline-tabular")) else None
+
+    table.dissolve(fate)
     table.attrs = {}
     for n in table.walk():
         if n.tag == "th":
@@ -143,11 +143,17 @@ def blank_label(label: str | None) -> bool:
 def content_tokens(cell: Node) -> list[str]:
     """Characters of a cell, with one token for each start and end of inline markup."""
     out: list[str] = []
-    for c in cell.children:
-        if c.tag is None:
+    stack: list[Node | str] = cell.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag is None:
             out += c.text
         elif c.tag != "#comment":
-            out += [f"<{c.tag}>", *content_tokens(c), f"</{c.tag}>"]
+            out.append(f"<{c.tag}>")
+            stack.append(f"</{c.tag}>")
+            stack += c.children[::-1]
     return out
 
 
@@ -180,17 +186,19 @@ class Tree:
         if table:
             self.add(table)
 
-    def add(self, n: Node) -> int:
-        first = None
-        if n.tag != "td":
-            for c in n.children:
-                if c.tag and c.tag != "#comment":
-                    at = self.add(c)
-                    first = at if first is None else first
-        self.labels.append((n.tag, n.attrs.get("rowspan", "1"), n.attrs.get("colspan", "1")) if n.tag == "td" else (n.tag,))
-        self.contents.append(content_tokens(n) if n.tag == "td" else None)
-        self.left.append(len(self.labels) - 1 if first is None else first)
-        return self.left[-1]
+    def add(self, top: Node) -> None:
+        """top and all below it, a node after its children; its leftmost leaf is the first node that is added below it."""
+        stack: list[tuple[Node, int | None]] = [(top, None)]
+        while stack:
+            n, first = stack.pop()
+            below = [] if n.tag == "td" or first is not None else [c for c in n.children if c.tag and c.tag != "#comment"]
+            if below:
+                stack.append((n, len(self.labels)))
+                stack += [(c, None) for c in reversed(below)]
+                continue
+            self.labels.append((n.tag, n.attrs.get("rowspan", "1"), n.attrs.get("colspan", "1")) if n.tag == "td" else (n.tag,))
+            self.contents.append(content_tokens(n) if n.tag == "td" else None)
+            self.left.append(len(self.labels) - 1 if first is None else first)
 
 
 def edit_distance(a: list | str, b: list | str) -> int:

@@ -138,9 +138,7 @@ def math_table(html: pd.Series) -> pd.Series:
         table = next((n for n in parse(x, repair=False).walk() if n.tag == "table"), None)
         if table is None:
             return EMPTY
-        for n in table.find_all("latex"):
-            if "display: none" in n.attrs.get("style", ""):
-                n.remove()
+        table.dissolve(lambda n: False if n.tag == "latex" and "display: none" in n.attrs.get("style", "") else None)
         return table.markup()
 
     return html.map(one, na_action="ignore").astype(object)

@@ -7,6 +7,7 @@ policy and as many calls at a time as the family allows. Credentials belong to t
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -74,17 +75,19 @@ def region(*candidates: str | None) -> str:
 
 
 class Call:
-    """One request, as an extractor."""
+    """One request, as an extractor. With refresh, what send returns is the state of a task that is polled until it is completed."""
 
-    def __init__(self, send: Callable[[str, bytes], str], body: str):
-        self.send, self.body = send, body
+    def __init__(self, send: Callable[[str, bytes], str], body: str, refresh: Callable[[dict], dict] | None = None, every: float = 1.0):
+        self.send, self.body, self.refresh, self.every = send, body, refresh, every
 
     def extract(self, image: bytes, path: str) -> str | None:
-        return self.send(self.body, image)
+        answer = self.send(self.body, image)
+        return answer if self.refresh is None else json.dumps(polled(lambda: json.loads(answer), self.refresh, every=self.every))
 
 
-def called(samples: DataFrame, family: str, model: str, send: Callable[[str, bytes], str], prompt: str | None = None) -> DataFrame:
-    """samples (image_path, content, ...) with family, model, pred_html, error and processing_time."""
+def called(samples: DataFrame, family: str, model: str, send: Callable[[str, bytes], str], prompt: str | None = None, refresh: Callable[[dict], dict] | None = None, every: float = 1.0) -> DataFrame:
+    """samples (image_path, content, ...) with family, model, pred_html, error and processing_time; refresh asks for the
+    state of a task anew, every so many seconds."""
     policy, slots = POLICIES[family]
     asked = samples.withColumn("request", request(family, F.col("image_path"), F.col("content"), F.lit(model), F.lit(prompt) if prompt else None))
     kept = [c for c in samples.columns if c != "content"]
@@ -92,7 +95,7 @@ def called(samples: DataFrame, family: str, model: str, send: Callable[[str, byt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [call(lambda body=body: Call(send, body), c, p, policy) for body, c, p in zip(b["request"], b["content"], b["image_path"], strict=True)]
+            found = [call(lambda body=body: Call(send, body, refresh, every), c, p, policy) for body, c, p in zip(b["request"], b["content"], b["image_path"], strict=True)]
             yield b[kept].assign(payload=[f[0] for f in found], error=[f[1] for f in found], processing_time=[f[2] for f in found])
 
     out = asked.repartition(slots).mapInPandas(run, schema)

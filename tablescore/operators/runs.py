@@ -110,12 +110,12 @@ def validated(result: Column) -> Column:
 def records(extracted: DataFrame, metrics: tuple[str, ...] = ("levenshtein", "teds"), graded_in: float | None = None) -> DataFrame:
     """Run records of extracted (family, model, image_path, ground_truth_path, gt_html, pred_html, error, processing_time).
 
-    Failed runs are graded in no time and have no scores. graded_in: seconds of grading for each run
-    that succeeded; scores come from one distributed job, so none of them has a time of its own.
+    Failed runs are graded in no time and have no scores. graded_in: seconds of grading for each run that
+    succeeded; by default those that its own parsing, grids and trees took.
     """
     ok = validated(F.col("pred_html"))
-    s = score_tables(extracted.withColumn("scored_html", F.when(ok, F.col("pred_html"))), "gt_html", "scored_html", metrics)
-    grading = F.when(ok, F.lit(float(graded_in or 0.0))).otherwise(0.0)
+    s = score_tables(extracted.withColumn("scored_html", F.when(ok, F.col("pred_html"))), "gt_html", "scored_html", metrics, timed=True)
+    grading = F.when(ok, F.col("grading_seconds") if graded_in is None else F.lit(float(graded_in))).otherwise(0.0)
     error = F.when(~ok, F.coalesce(F.col("error"), F.when(F.col("pred_html") == "", "empty result").otherwise("no result")))
     values = {
         "processor": F.col("family"), "grading_time": grading, "total_time": F.col("processing_time") + grading, "result": F.when(ok, F.col("pred_html")), "error": error,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +16,22 @@ from ..functions.tables import canonical, compared, compared_grids, edit_distanc
 
 METRICS = ("levenshtein", "teds")
 GRID = T.ArrayType(T.ArrayType(T.StringType()))
-PREPARED = T.StructType([T.StructField("truth", GRID), T.StructField("guess", GRID), T.StructField("teds", T.DoubleType()), T.StructField("error", T.StringType())])
+PREPARED = T.StructType([T.StructField("truth", GRID), T.StructField("guess", GRID), T.StructField("teds", T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())])
+#: What a row's markup can raise: it costs that row its score, never the job.
+FAILURES = (ValueError, OverflowError, RecursionError, AssertionError, AttributeError, IndexError, KeyError, TypeError, MemoryError)
 
 
 @F.pandas_udf(T.StringType())
 def canonical_html(html: pd.Series) -> pd.Series:
-    """Canonical form of each table; null stays null."""
-    return html.map(canonical, na_action="ignore").astype(object)
+    """Canonical form of each table; null stays null, and what cannot be parsed is null."""
+
+    def one(x: str) -> str | None:
+        try:
+            return canonical(x)
+        except FAILURES:
+            return None
+
+    return html.map(one, na_action="ignore").astype(object)
 
 
 @F.pandas_udf(GRID)
@@ -32,7 +43,7 @@ def html_grid(html: pd.Series) -> pd.Series:
             return None
         try:
             return grid(x)
-        except (ValueError, OverflowError):
+        except FAILURES:
             return None
 
     return html.map(one)
@@ -46,8 +57,17 @@ def comparable(cell: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def tree_similarity(truth: pd.Series, guess: pd.Series) -> pd.Series:
-    """Tree score of two canonical HTML texts."""
-    return pd.Series([None if a is None or b is None else tree_score(a, b) for a, b in zip(truth, guess, strict=True)], dtype="float64")
+    """Tree score of two canonical HTML texts; 0 where it cannot be computed."""
+
+    def one(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        try:
+            return tree_score(a, b)
+        except FAILURES:
+            return 0.0
+
+    return pd.Series([one(a, b) for a, b in zip(truth, guess, strict=True)], dtype="float64")
 
 
 def prepared(trees: bool):
@@ -58,28 +78,33 @@ def prepared(trees: bool):
         rows = []
         for a, b in zip(truth, guess, strict=True):
             if a is None or b is None:
-                rows.append((None, None, None, "no prediction" if a is not None else "no truth"))
+                rows.append((None, None, None, "no prediction" if a is not None else "no truth", 0.0))
+                continue
+            began, error = time.perf_counter(), None
+            try:
+                ca, cb = canonical(a), canonical(b)
+            except FAILURES as e:
+                rows.append(([], [], 0.0 if trees else None, f"{type(e).__name__}: {e}", time.perf_counter() - began))
                 continue
-            ca, cb = canonical(a), canonical(b)
-            error = None
             try:
                 ga, gb = compared_grids(ca, cb)
-            except (ValueError, OverflowError) as e:
+            except FAILURES as e:
                 ga, gb, error = [], [], str(e)
             score = None
             if trees:
                 try:
                     score = tree_score(ca, cb)
-                except (ValueError, OverflowError, RecursionError) as e:
+                except FAILURES as e:
                     score, error = 0.0, str(e)
-            rows.append((ga, gb, score, error))
+            rows.append((ga, gb, score, error, time.perf_counter() - began))
         return pd.DataFrame(rows, columns=PREPARED.names)
 
     return run
 
 
-def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_html", metrics: Sequence[str] = ("levenshtein",)) -> DataFrame:
-    """pairs with scores, a struct of the two metrics, and score_error.
+def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_html", metrics: Sequence[str] = ("levenshtein",), timed: bool = False) -> DataFrame:
+    """pairs with scores, a struct of the two metrics, and score_error; with timed also grading_seconds, the wall time of
+    parsing both sides, building their grids and comparing their trees.
 
     A metric that is not asked for is null, unknown names are passed over. A metric that cannot be
     computed is 0 and leaves the reason in score_error. Where truth or prediction is null, so are the
@@ -91,7 +116,8 @@ def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_ht
     p = p.withColumn("prepared", prepared("teds" in metrics)(F.col("scored_pair.truth"), F.col("scored_pair.guess")))
     content = content_score(F.col("prepared.truth"), F.col("prepared.guess")) if "levenshtein" in metrics else F.lit(None).cast("double")
     scores = F.struct(content.alias("levenshtein"), F.col("prepared.teds").alias("teds"))
-    return p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error")).drop("prepared", "scored_pair")
+    p = p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error"))
+    return (p.withColumn("grading_seconds", F.col("prepared.seconds")) if timed else p).drop("prepared", "scored_pair")
 
 
 def by_cost(pairs: DataFrame, partitions: int, truth: str = "gt_html", guess: str = "pred_html") -> DataFrame:
@@ -121,30 +147,33 @@ ALIGNED = T.StructType([T.StructField("a", T.ArrayType(T.StringType())), T.Struc
 
 
 def aligned(a: list[str], b: list[str], gap: float = 1.0) -> tuple[list[str | None], list[str | None], float]:
-    """The best alignment itself, gaps as None; where values tie, a pair goes before a gap in b, that before a gap in a."""
+    """The best alignment from the start of both to its end, gaps as None.
+
+    Where values tie, a pair goes before a gap in b, that before a gap in a. The alignment ends at the corner unless
+    the last column has more, there at its first best place, unless the last row has more still; what is beyond
+    the end is not listed. Values are in single precision, in which ties are judged.
+    """
     n, m = len(a), len(b)
-    value = [[0.0] * (m + 1) for _ in range(n + 1)]
-    step = [[""] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            x, y = a[i - 1], b[j - 1]
+    value = np.zeros((n + 1, m + 1), dtype=np.float32)
+    step = [["h"] * (m + 1)] + [["v"] + [""] * m for _ in range(n)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
             like = 1.0 if x == y else -1.0 + 2.0 * (1.0 - edit_distance(x, y) / max(len(x), len(y)))
-            options = (value[i - 1][j - 1] + like, value[i - 1][j] - gap, value[i][j - 1] - gap)
-            best = max(options)
-            value[i][j], step[i][j] = best, "dvh"[options.index(best)]
-    ends = [(value[n][j], n, j) for j in range(m + 1)] + [(value[i][m], i, m) for i in range(n + 1)]
-    score, i, j = max(ends, key=lambda e: e[0])
-    left, right = list(a[i:]), list(b[j:])
-    tail_a, tail_b = left + [None] * len(right), [None] * len(left) + right
-    out_a: list[str | None] = []
-    out_b: list[str | None] = []
-    while i and j:
+            options = (value[i - 1, j - 1] + np.float32(like), value[i - 1, j] - np.float32(gap), value[i, j - 1] - np.float32(gap))
+            value[i, j] = max(options)
+            step[i][j] = "dvh"[options.index(value[i, j])]
+    i, j = n, m
+    if value[:, m].max() > value[i, j]:
+        i = int(value[:, m].argmax())
+    if value[n].max() > value[i, j]:
+        i, j = n, int(value[n].argmax())
+    score = float(value[i, j])
+    pairs: list[tuple[str | None, str | None]] = []
+    while i or j:
         s = step[i][j]
-        out_a.append(None if s == "h" else a[i - 1])
-        out_b.append(None if s == "v" else b[j - 1])
+        pairs.append((None if s == "h" else a[i - 1], None if s == "v" else b[j - 1]))
         i, j = i - (s != "h"), j - (s != "v")
-    head_a, head_b = [*a[:i], *[None] * j], [*[None] * i, *b[:j]]
-    return head_a + out_a[::-1] + tail_a, head_b + out_b[::-1] + tail_b, score
+    return [x for x, _ in reversed(pairs)], [y for _, y in reversed(pairs)], score
 
 
 @F.pandas_udf(ALIGNED)
