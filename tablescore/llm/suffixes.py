@@ -8,12 +8,12 @@ doc_id goes. Of all suffixes, only those that can matter are sorted:
    hashes meet in buckets; an anchor that one document only has is dropped.
 2. Suffixes. The strings around each anchor that is left go to a bucket by the leading bytes of the
    anchor's suffix: splitters are quantiles of a bounded sample. An anchor with more than HOT
-   occurrences is dealt out string by string, by a hash of the whole string, as its leading bytes
-   cannot be split; equal strings of a task have been reduced to their first document before. So
-   equal strings always meet in one bucket, whatever the splitters are, and no comparison across
-   bucket boundaries is left open.
+   occurrences cannot be split by these; its suffixes are dealt out one by one, by longer splitters
+   that compare all bytes of a string, and equal strings of a slice are reduced to their first document
+   before. Splitters lie between strings, never within a run of equal ones, so what a comparison across
+   a bucket's boundary would have to find, equal strings on both sides, is always on one side.
 3. Each bucket sorts its suffixes with multikey quicksort, eight bytes at a time; runs of equal
-   strings give the first document of each.
+   strings give the first document of each. Runs of up to SMALL rows are left to a plain sort.
 4. The documents are cut where their strings have an earlier document.
 
 Rows are packed into compressed blocks between these steps, so what is shuffled is the texts twice,
@@ -21,7 +21,7 @@ a few bytes for each anchor, and the strings that are in several documents.
 
 Null texts are empty. Rows that repeat a doc_id are one document: none of them is earlier than the
 other. A null doc_id is earlier than none, and nothing is removed from it. Texts are processed whole;
-matches never cross documents.
+matches never cross documents. An empty table gives an empty one; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ HOT, OFTEN = 4_096, 64
 #: Documents in the sample from which splitters are taken, and anchors of each.
 SAMPLE, EACH = 1_000, 128
 #: Rows that the quicksort leaves to a plain sort, and segments that are sorted at a time.
-SMALL, SEGMENTS = 1 << 14, 8_000
+SMALL, SEGMENTS = 1 << 10, 8_000
 
 Arrays = dict[str, np.ndarray]
 
@@ -193,16 +193,6 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
-    """A hash of each row of bytes."""
-    h = np.zeros(len(rows), np.uint64)
-    for k in range(0, rows.shape[1], 8):
-        part = np.zeros((len(rows), 8), np.uint8)
-        part[:, : rows.shape[1] - k] = rows[:, k : k + 8]
-        h = spread(h ^ part.view("<u8").ravel())
-    return h ^ (h >> np.uint64(32))
-
-
 def classes(rows: np.ndarray) -> np.ndarray:
     """Number of the class of equal rows of each row of bytes (rows x width), in sorted order."""
     n, width = rows.shape
@@ -446,8 +436,9 @@ def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -
     return by_string(docs.mapInArrow(run, PACKED), work)
 
 
-def splitters(docs: DataFrame, length: int, n: int) -> np.ndarray:
-    """Quantiles of the leading bytes of anchors, about EACH of a document, in a sample of about max(SAMPLE, n / 4) documents by a hash of the id."""
+def splitters(docs: DataFrame, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of the leading bytes of anchors and of whole strings, about EACH of a document, in a sample of about
+    max(SAMPLE, n / 4) documents by a hash of the id."""
     share = max(SAMPLE, n // 4) / max(1, docs.count())
     chosen = docs.where(shuffle_key(F.col("id")) <= share * 2.0**60).select("text")
 
@@ -457,11 +448,19 @@ def splitters(docs: DataFrame, length: int, n: int) -> np.ndarray:
                 data = [utf8(x) for x in part.column("text").to_pylist()]
                 a = anchors(data, length)
                 step = np.maximum(1, np.bincount(a["doc"], minlength=len(data)) // EACH)[a["doc"]]
-                heads = [data[d][k : k + GRAM] for d, k in zip(a["doc"][a["order"] % step == 0].tolist(), a["at"][a["order"] % step == 0].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], names=["head"])
+                own = a["order"] % step == 0
+                # Of an anchor's strings, one at a place that changes from document to document.
+                start = a["first"] + a["at"] % (a["last"] - a["first"] + 1)
+                places = list(zip(a["doc"][own].tolist(), a["at"][own].tolist(), start[own].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([data[d][k : k + GRAM] for d, k, _ in places], pa.binary()), pa.array([data[d][k : k + length] for d, _, k in places], pa.binary())], names=["head", "whole"])
+
+    rows = chosen.mapInArrow(run, "head binary, whole binary").collect()
+
+    def quantiles(found: list[bytes], size: int) -> np.ndarray:
+        s = np.sort(np.array(found, dtype=f"S{size}"))
+        return s[np.arange(1, n) * len(s) // n] if len(s) else s
 
-    heads = np.sort(np.array([bytes(r.head) for r in chosen.mapInArrow(run, "head binary").collect()], dtype=f"S{GRAM}"))
-    return heads[np.arange(1, n) * len(heads) // n] if len(heads) else heads
+    return quantiles([bytes(r.head) for r in rows], GRAM), quantiles([bytes(r.whole) for r in rows], length)
 
 
 def wanted(a: Arrays, ids: np.ndarray, c: Arrays) -> tuple[np.ndarray, np.ndarray]:
@@ -485,7 +484,7 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
     def segments(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, many: np.ndarray, head: np.ndarray, buf: np.ndarray, at: np.ndarray, route: np.ndarray | None = None) -> Iterator[tuple[int, int, Arrays]]:
         """at: place of each segment in buf; head: place in it of the bytes that equal strings share; route: bucket, if these do not tell."""
         lead = matrix(buf, at + head, np.full(len(head), GRAM), GRAM).view(f"S{GRAM}").ravel()
-        route = np.searchsorted(limits.value, lead, "right") if route is None else route
+        route = np.searchsorted(limits.value[0], lead, "right") if route is None else route
         order = np.lexsort((lead, route))
         for b, x in by_key(route[order], {"doc": doc[order], "tag": tag[order], "start": start[order], "n": many[order], "head": head[order], "at": at[order]}):
             place = x.pop("at")
@@ -509,11 +508,11 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
             d, many = np.repeat(doc[hot], last[hot] - first[hot] + 1), last[hot] - first[hot] + 1
             start = ranges(first[hot], many)
             rows = matrix(buf, edge[d] + start, np.full(len(d), length), length)
-            string, route = classes(rows), row_hash(rows) % np.uint64(n)
+            string, route = classes(rows), np.searchsorted(limits.value[1], np.ascontiguousarray(rows).view(f"S{length}").ravel(), "right")
             later = ids[d] > first_documents(string, ids[d])
             if later.any():
                 yield from to_docs(spans_of(ids[d[later]], tags[d[later]], start[later], length), n)
-            d, start, route = d[~later], start[~later], route[~later].astype(np.int64)
+            d, start, route = d[~later], start[~later], route[~later]
             yield from segments(ids[d], tags[d], start, np.ones(len(d), np.int64), np.zeros(len(d), np.int64), buf, edge[d] + start, route)
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
