@@ -17,6 +17,10 @@ UNWRAPPED = ("thead", "tbody", "tfoot", *EMPHASIS)
 WHITE = re.compile(r"\s+")
 
 
+#: Up to so many cells, or pairs of them, are compared one by one, more at once; so are contents of up to so many tokens.
+FEW_CELLS, SHORT_CELL = 256, 64
+
+
 def one_spaced(text: str) -> str:
     return WHITE.sub(" ", text).strip()
 
@@ -201,6 +205,21 @@ class Tree:
             self.left.append(len(self.labels) - 1 if first is None else first)
 
 
+    def rows(self) -> list[list[tuple]] | None:
+        """(rowspan, colspan, content) of the cells of each row, if the table holds only rows and they only cells; else None."""
+        out, row, first = [], [], 0
+        for label, content, left in zip(self.labels[:-1], self.contents, self.left, strict=False):
+            if label[0] == "td":
+                row.append((label[1], label[2], tuple(content)))
+            elif label[0] == "tr" and left == first:
+                out.append(row)
+                first += len(row) + 1
+                row = []
+            else:
+                return None
+        return None if row or not self.labels or self.labels[-1] != ("table",) or self.left[-1] != 0 else out
+
+
 def edit_distance(a: list | str, b: list | str) -> int:
     """Insertions, deletions and replacements between two sequences."""
     lo = 0
@@ -268,8 +287,58 @@ def tree_distance(a: Tree, b: Tree) -> float:
     return whole[n - 1][m - 1]
 
 
+def edit_distances(a: list, b: list) -> np.ndarray:
+    """edit_distance() of each sequence of a to each of b, those of b at once."""
+    number: dict = {}
+    coded = [np.array([number.setdefault(c, len(number)) for c in y], dtype=np.int32) for y in b]
+    long = max(map(len, b), default=0)
+    to = np.full((len(b), long), -1, dtype=np.int32)
+    for k, y in enumerate(coded):
+        to[k, : len(y)] = y
+    steps, ends = np.arange(long + 1, dtype=np.int32), np.array([len(y) for y in b], dtype=int)
+    out = np.empty((len(a), len(b)))
+    for k, x in enumerate(a):
+        last = np.tile(steps, (len(b), 1))
+        for c in x:
+            best = last + 1
+            np.minimum(best[:, 1:], last[:, :-1] + (to != number.get(c, -2)), out=best[:, 1:])
+            last = np.minimum.accumulate(best - steps, axis=1) + steps
+        out[k] = last[np.arange(len(b)), ends]
+    return out
+
+
+def cell_renames(a: list[tuple], b: list[tuple]) -> np.ndarray:
+    """The cost of a rename of each cell of a to each of b: 1 between unlike spans, else the share of content that differs."""
+    if len(a) * len(b) <= FEW_CELLS:
+        return np.array([[rename_cost(x, y) for y in b] for x in a], dtype=float).reshape(len(a), len(b))
+    spans: dict[tuple, int] = {}
+    kind = [np.array([spans.setdefault((c[0] or "1", c[1] or "1"), len(spans)) for c in t]) for t in (a, b)]
+    short = [np.array([len(c[2]) <= SHORT_CELL for c in t]) for t in (a, b)]
+    out = np.ones((len(a), len(b)))
+    at = [np.flatnonzero(x) for x in short]
+    x, y = ([t[k][2] for k in i] for t, i in zip((a, b), at, strict=True))
+    larger = np.maximum(np.array([len(s) for s in x], dtype=float)[:, None], np.array([len(s) for s in y], dtype=float)[None, :])
+    out[np.ix_(*at)] = edit_distances(x, y) / np.maximum(larger, 1.0)
+    out[kind[0][:, None] != kind[1][None, :]] = 1.0
+    for i, j in np.argwhere(~(short[0][:, None] & short[1][None, :])):
+        out[i, j] = rename_cost(a[i], b[j])
+    return out
+
+
+def rename_cost(x: tuple, y: tuple) -> float:
+    """The cost of a rename of one cell to another."""
+    if x == y:
+        return 0.0
+    s, t = x[2], y[2]
+    if (x[0] or "1", x[1] or "1") != (y[0] or "1", y[1] or "1"):
+        return 1.0
+    if not s or not t:
+        return float(bool(s) != bool(t))
+    return edit_distance(s, t) / max(len(s), len(t)) if set(s) & set(t) else 1.0
+
+
 def plain_distance(a: list[list[tuple]], b: list[list[tuple]]) -> float:
-    """tree_distance() of two plain tables, given the cells of their rows.
+    """tree_distance() of two tables of rows of cells, given the (rowspan, colspan, content) of the cells of their rows.
 
     In such trees all distances of subtrees but those of two rows have closed forms: cell to cell is
     a rename, cell to row is the row's cells and the best rename, at most 1. What is left is one
@@ -277,23 +346,30 @@ def plain_distance(a: list[list[tuple]], b: list[list[tuple]]) -> float:
     """
     known = [sorted({c for r in t for c in r}, key=str) for t in (a, b)]
     number = [{c: k for k, c in enumerate(x)} for x in known]
-
-    def rename(x: tuple, y: tuple) -> float:
-        if x == y:
-            return 0.0
-        s, t = x[2], y[2]
-        if (x[0] or "1", x[1] or "1") != (y[0] or "1", y[1] or "1"):
-            return 1.0
-        if not s or not t:
-            return float(s != t)
-        return edit_distance(s, t) / max(len(s), len(t)) if set(s) & set(t) else 1.0
-
-    renames = np.array([[rename(x, y) for y in known[1]] for x in known[0]]).reshape(len(known[0]), len(known[1]))
+    renames = cell_renames(*known)
     rows = [[[of[c] for c in r] for r in t] for t, of in zip((a, b), number, strict=True)]
     widths = [np.array([len(r) for r in t], dtype=float) for t in (a, b)]
+
+    def least(to: np.ndarray, others: list[list[int]]) -> np.ndarray:
+        """The best rename of each cell to a cell of each row, at most 1."""
+        return np.array([np.minimum(1.0, to[:, r].min(axis=1)) if r else np.ones(len(to)) for r in others]).T.reshape(len(to), len(others))
+
     # From each cell to each row of the other table, and the other way round.
-    down = widths[1] + np.array([[min(1.0, *renames[c, r]) if r else 1.0 for r in rows[1]] for c in range(len(known[0]))]).reshape(len(known[0]), len(b))
-    up = widths[0] + np.array([[min(1.0, *renames[r, c]) if r else 1.0 for r in rows[0]] for c in range(len(known[1]))]).reshape(len(known[1]), len(a))
+    down, up = widths[1] + least(renames, rows[1]), widths[0] + least(renames.T, rows[0])
+    broad = max(map(len, rows[1]), default=0)
+    padded = np.array([r + [0] * (broad - len(r)) for r in rows[1]], dtype=int).reshape(len(b), broad)
+
+    def to_rows(k: int) -> list[float] | np.ndarray:
+        """From row k of a to each row of b."""
+        if padded.size > FEW_CELLS:
+            steps = np.arange(broad + 1)
+            last = np.tile(steps.astype(float), (len(b), 1))
+            for c in rows[0][k]:
+                best = last + 1.0
+                np.minimum(best[:, 1:], last[:, :-1] + renames[c][padded], out=best[:, 1:])
+                last = np.minimum.accumulate(best - steps, axis=1) + steps
+            return last[np.arange(len(b)), widths[1].astype(int)]
+        return [0.0 if a[k] == b[j] else between(rows[0][k], y) for j, y in enumerate(rows[1])]
 
     def between(x: list[int], y: list[int]) -> float:
         last = [float(k) for k in range(len(y) + 1)]
@@ -334,7 +410,7 @@ def plain_distance(a: list[list[tuple]], b: list[list[tuple]]) -> float:
             subtree[place], subtree[is_row] = renames[c, cell], down[c]
             add(subtree, lines[-1])
         subtree[place] = up[cell, k]
-        subtree[is_row] = [0.0 if a[k] == b[j] else between(r, y) for j, y in enumerate(rows[1])]
+        subtree[is_row] = to_rows(k)
         add(subtree, start)
     return float(lines[-1][-1])
 
@@ -344,18 +420,23 @@ def nothing_to_compare(source: str) -> bool:
 
 
 def tree_score(truth: str, guess: str) -> float:
-    """1 less the tree edit distance over the larger number of nodes below `table`; 0 if a side has no row."""
+    """1 less the tree edit distance over the larger number of nodes below `table`; 0 if a side has no row. Two tables
+    without a node raise ZeroDivisionError."""
     if nothing_to_compare(truth) or nothing_to_compare(guess):
         return 0.0
+    if truth == guess and PLAIN.fullmatch(truth):
+        return 1.0
+    plain = plain_rows(truth), plain_rows(guess)
+    if plain[0] is not None and plain[1] is not None:
+        return max(0.0, 1.0 - plain_distance(*plain) / max(sum(len(r) + 1 for r in t) for t in plain))
     a = Tree(truth)
     b = a if truth == guess else Tree(guess)
     if not a.labels or not b.labels:
         return 0.0
     if truth == guess:
-        return 1.0
-    plain = plain_rows(truth), plain_rows(guess)
-    if plain[0] is not None and plain[1] is not None:
-        return max(0.0, 1.0 - plain_distance(*plain) / max(a.size, b.size))
-    return max(0.0, 1.0 - tree_distance(a, b) / max(a.size, b.size))
+        return 1.0 - 0.0 / a.size
+    flat = a.rows(), b.rows()
+    distance = plain_distance(*flat) if flat[0] is not None and flat[1] is not None else tree_distance(a, b)
+    return max(0.0, 1.0 - distance / max(a.size, b.size))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Java's Unicode class lacks the four information separators, which count as white space here.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -18,7 +20,7 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def collapse(x: Column) -> Column:

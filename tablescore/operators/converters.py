@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dom import parse
-from ..functions.text import let, lines, strip, tokens, truthy
+from ..functions.text import SPACE, let, lines, strip, tokens, truthy
 
 EMPTY = "<table></table>"
 
@@ -53,6 +53,10 @@ def table_of(rows: Column) -> Column:
     return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr>"), r, F.lit("</tr>"))), ""), F.lit("</table>"))
 
 
+#: A stripped line of three parts or more between white space.
+THREE_TOKENS = rf"(?U){SPACE}[^\s\x1c-\x1f]++{SPACE}"
+
+
 def in_one_cell(x: Column) -> Column:
     return F.concat(F.lit("<table><tr><td>"), x, F.lit("</td></tr></table>"))
 
@@ -73,8 +77,11 @@ def layout_table(table: Column) -> Column:
     )
     cells = F.filter(cells, lambda x: x["r"].between(0, rows - 1) & x["c"].between(0, columns - 1))
 
+    def in_row(cells: Column, r: Column) -> Column:
+        return F.filter(cells, lambda x: r.between(x["r"], F.greatest(x["r"], x["r"] + x["down"] - 1)))
+
     def shown(cells: Column, r: Column, c: Column) -> Column:
-        touching = F.filter(cells, lambda x: r.between(x["r"], F.greatest(x["r"], x["r"] + x["down"] - 1)) & c.between(x["c"], F.greatest(x["c"], x["c"] + x["across"] - 1)))
+        touching = F.filter(cells, lambda x: c.between(x["c"], F.greatest(x["c"], x["c"] + x["across"] - 1)))
         touching = F.filter(touching, lambda x: ((x["r"] == r) & (x["c"] == c)) | ((x["down"] > 0) & (x["across"] > 0)))
         return let(F.try_element_at(touching, F.lit(-1)), lambda last: markup(last, r, c))
 
@@ -84,7 +91,7 @@ def layout_table(table: Column) -> Column:
         cell = F.concat(F.lit("<"), tag, attribute("rowspan", last["down"]), attribute("colspan", last["across"]), F.lit(">"), last["content"], F.lit("</"), tag, F.lit(">"))
         return F.when(last.isNull(), "<td></td>").when((last["r"] == r) & (last["c"] == c), cell).otherwise("")
 
-    return let(cells, lambda own: table_of(F.transform(sequence(rows), lambda r: F.array_join(F.transform(sequence(columns), lambda c: shown(own, r, c)), ""))))
+    return let(cells, lambda own: table_of(F.transform(sequence(rows), lambda r: let(in_row(own, r), lambda near: F.array_join(F.transform(sequence(columns), lambda c: shown(near, r, c)), "")))))
 
 
 def layout_to_html(tables: Column) -> Column:
@@ -98,7 +105,7 @@ def forms_to_html(tables: Column) -> Column:
 
 def text_to_html(text: Column) -> Column:
     """Lines that look tabular, cut at tabs, else at double spaces, else at white space; without any, all text in one cell."""
-    kept = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & (any_of(x, TABULAR_WORDS) | (F.size(tokens(x)) > 2)))
+    kept = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & (any_of(x, TABULAR_WORDS) | x.rlike(THREE_TOKENS)))
 
     def cells(x: Column) -> Column:
         wide = F.filter(F.transform(F.split(x, "  "), strip), lambda c: c != "")
@@ -108,7 +115,7 @@ def text_to_html(text: Column) -> Column:
     def row(x: Column, i: Column) -> Column:
         return F.array_join(F.transform(cells(x), lambda c: tagged(F.when((i == 0) & any_of(c, HEADER_WORDS), "th").otherwise("td"), c)), "")
 
-    return F.when(F.coalesce(text, F.lit("")) == "", EMPTY).when(F.size(kept) == 0, in_one_cell(text)).otherwise(table_of(F.transform(kept, row)))
+    return F.when(F.coalesce(text, F.lit("")) == "", EMPTY).otherwise(let(kept, lambda k: F.when(F.size(k) == 0, in_one_cell(text)).otherwise(table_of(F.transform(k, row)))))
 
 
 def markdown_to_html(markdown: Column) -> Column:
@@ -120,7 +127,7 @@ def markdown_to_html(markdown: Column) -> Column:
     def row(r: Column, i: Column) -> Column:
         return F.array_join(F.transform(r, lambda c: tagged(F.when((i == 0) & any_of(c, MARKDOWN_HEADER_WORDS), "th").otherwise("td"), c)), "")
 
-    return F.when(F.coalesce(markdown, F.lit("")) == "", EMPTY).when(F.size(rows) == 0, text_to_html(markdown)).otherwise(table_of(F.transform(rows, row)))
+    return F.when(F.coalesce(markdown, F.lit("")) == "", EMPTY).otherwise(let(rows, lambda k: F.when(F.size(k) == 0, text_to_html(markdown)).otherwise(table_of(F.transform(k, row)))))
 
 
 def pages_to_html(p: Column) -> Column:

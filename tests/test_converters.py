@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablescore.functions.text import SPACES
 from tablescore.operators import converters as X
 
 ONE = "<table><tr><td>{}</td></tr></table>"
@@ -70,3 +71,7 @@ def test_payload(spark, family, payload, expected):
 
 def test_unknown_family(spark):
     assert spark.createDataFrame([("x", "y")], "f string, p string").select(X.payload_to_html(F.col("f"), F.col("p"))).first()[0] is None
+
+
+def test_white_space():
+    assert sorted(SPACES) == [c for c in map(chr, range(0x110000)) if c.isspace()]

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -155,6 +156,39 @@ def test_plain_distance_equals_the_general_one():
         assert t.plain_distance(t.plain_rows(a), t.plain_rows(b)) == pytest.approx(t.tree_distance(t.Tree(a), t.Tree(b))), (a, b)
 
 
+def test_many_cells_are_compared_alike(monkeypatch):
+    r = random.Random(7)
+    cell = lambda: f"<td{r.choice(['', '', ' rowspan=%s' % chr(34) + '2' + chr(34)])}>{''.join(r.choices('abc', k=r.choice([0, 1, 3, 6])))}{r.choice(['', '', '<sub>a</sub>'])}</td>"
+    table = lambda: "<table>" + "".join("<tr>" + "".join(cell() for _ in range(r.randint(0, 4))) + "</tr>" for _ in range(r.randint(1, 5))) + "</table>"
+    monkeypatch.setattr(t, "FEW_CELLS", 0)
+    monkeypatch.setattr(t, "SHORT_CELL", 4)
+    for _ in range(200):
+        a, b = t.Tree(table()), t.Tree(table())
+        assert t.plain_distance(a.rows(), b.rows()) == pytest.approx(t.tree_distance(a, b))
+
+
+def test_rows_of_other_trees_are_none():
+    assert t.Tree("<table><tr><td>a<b>x</b></td></tr></table>").rows() == [[("1", "1", ("a", "<b>", "x", "</b>"))]]
+    assert t.Tree("<table><tr></tr><tr><td>a</td></tr></table>").rows() == [[], [("1", "1", ("a",))]]
+    for other in ("<table><caption>x</caption><tr><td>a</td></tr></table>", "<p>x</p>", "<table><thead><tr><td>a</td></tr></thead></table>"):
+        assert t.Tree(other).rows() is None
+
+
+def test_a_large_decorated_pair_is_quick():
+    r = random.Random(8)
+    table = lambda: html([["".join(r.choices("abcdefghij", k=8)) + "<sub>1</sub>" for _ in range(8)] for _ in range(100)])
+    a, b = table(), table()
+    began = time.perf_counter()
+    assert 0 < t.tree_score(a, b) < 1
+    print(time.perf_counter() - began)
+    assert time.perf_counter() - began < 10
+
+
+@given(st.lists(st.text("abcé", max_size=6), max_size=4), st.lists(st.text("abcé", max_size=6), max_size=4))
+def test_edit_distances(a, b):
+    assert t.edit_distances(a, b).tolist() == [[t.edit_distance(x, y) for y in b] for x in a]
+
+
 @given(st.text("abcé", max_size=8), st.text("abcé", max_size=8))
 def test_edit_distance(a, b):
     d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
