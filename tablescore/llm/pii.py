@@ -2,7 +2,7 @@
 
 The base spans of the four kinds follow fixed patterns and checks and always stay. High-recall
 generators propose more spans, overlapping ones included: spelled-out addresses, numbers with
-other separators, numbers without a country code, cards and addresses beside words that announce
+other separators, numbers without a country code, each possible end of a worded domain, cards and addresses beside words that announce
 them. Gradient-boosted trees over features of their format and context score each; a threshold for each
 kind, calibrated on rows that were not trained on, selects what is added. The training rows are
 written by a seeded generator, so the model needs no corpus and is the same everywhere.
@@ -93,9 +93,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 #: Fixed patterns of the candidate generators.
-WORDED_EMAIL = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,3}", re.A)
+WORDED_EMAIL = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?P<at>\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,3}", re.A)
 NUMBER = re.compile(r"(?<![0-9A-Za-z])[(+]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
-SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3}(?![0-9.])")
+SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3} ?[.,] ?[0-9]{1,3}(?![0-9]|[.,][0-9])")
+#: Fixed value: what often ends a domain, countries aside, which have two letters.
+TOP = frozenset("com org net edu gov mil int info biz name app dev xyz online site shop cloud".split())
+#: A separator in a worded domain.
+DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?", re.A)
 
 #: Words that announce a kind, in lower case.
 CUES = {
@@ -112,7 +116,10 @@ def candidates(text: str) -> list[Span]:
     """All proposals of the generators; they may overlap each other and base spans."""
     out = []
     if "at" in text and (" at " in text or "(at)" in text or "[at]" in text or "{at}" in text):
-        out += [(m.start(), m.end(), "email") for m in WORDED_EMAIL.finditer(text) if "dot" in m.group() or "." in m.group()]
+        for m in WORDED_EMAIL.finditer(text):
+            # An address may end at each part of its domain; what follows can be a new sentence.
+            ends = [d.start() for d in DOT.finditer(text, m.end("at"), m.end())][1:]
+            out += [(m.start(), e, "email") for e in (*ends, m.end())]
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
             n = len(digits_of(m.group()))
@@ -132,6 +139,7 @@ def features(text: str, span: Span) -> list[float]:
     sizes = [len(g) for g in groups] or [0]
     near = re.split(r"[^a-z]+", before)
     cue = [any(w.startswith(c) for w in near for c in CUES[k]) for k in KINDS]
+    last = re.split(r"[^A-Za-z0-9-]+", s.rstrip(")]}"))[-1].lower()
     return [
         *(kind == k for k in KINDS),
         len(s), len(d), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1],
@@ -141,6 +149,7 @@ def features(text: str, span: Span) -> list[float]:
         *cue, any(w.startswith(o) for w in near for o in OTHERS),
         before[-1:].isalnum(), after[:1].isalnum(), ":" in before[-3:], len(set(d)),
         sizes == [3, 3, 4] or sizes == [3, 4] or sizes == [1, 3, 3, 4], sizes in ([4, 4, 4, 4], [4, 6, 5]),
+        last in TOP or (len(last) == 2 and last.isalpha()), len(last), len(re.split(r"\W+", s)), bool(re.search(r"[A-Za-z]\. ", s)), s[len(s) - len(last) :][:1].isupper(),
     ]
 
 
@@ -152,31 +161,34 @@ def training_rows(n: int = TRAINING_ROWS) -> tuple[list[tuple[str, Span]], np.nd
     word = lambda: "".join(pick(*"aeiou") if i % 2 else pick(*"bcdfglmnprst") for i in range(int(r.integers(3, 9))))
 
     def carded(valid: bool) -> str:
-        d = pick("4", "51", "37", "6011")
-        d += num(15 - len(d))
+        d = pick("4", "51", "37", "6011", "35")
+        d += num((14 if d == "37" else 15) - len(d))
         d += next(c for c in "0123456789" if luhn(d + c) == valid)
-        return pick(d, "-".join(d[i : i + 4] for i in range(0, 16, 4)), " ".join(d[i : i + 4] for i in range(0, 16, 4)), ".".join(d[i : i + 4] for i in range(0, 16, 4)))
+        parts = [d[:4], d[4:10], d[10:]] if len(d) == 15 and r.integers(2) else [d[i : i + 4] for i in range(0, len(d), 4)]
+        return pick("", "-", " ", ".", "/", "  ").join(parts)
 
     def sample() -> tuple[str, str, bool]:
         """Words before, the span, whether it is right."""
         what = int(r.integers(10))
         if what == 0:
-            return pick("write to ", "mail ", "contact: ", ""), f"{word()}.{word()}{pick(' (at) ', '(at)', ' [at] ', ' at ')}{word()}{pick(' dot ', '(dot)', ' [dot] ')}{pick('com', 'org', 'net', 'de', 'fr')}", True
+            local = pick(word(), f"{word()}.{word()}", f"{word()}{pick('_', '-')}{word()}", f"{word()}{num(2)}", f"{word()[0]}.{word()}")
+            at, dot = pick((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), ("(at)", "."), (" (at) ", "."), ("{at}", "{dot}"), (" at ", " dot "), (" at ", " dot "))
+            return pick("write to ", "mail ", "contact: ", "", word() + " "), f"{local}{at}{word()}{pick('', '', '-' + word())}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'es', 'io', 'info')}", True
         if what == 1:
-            return pick("we met ", "look ", ""), f"{word()} at {word()}.{pick('', ' ')}{word()}", False
+            return pick("we met ", "look ", "", word() + " "), f"{word()} at {word()}{pick('. ', '. ', '.', ' dot ')}{pick(word(), word().capitalize(), pick('it', 'he', 'in', 'we', 'It', 'He', 'In', 'We', 'Le', 'Der'))}", False
         if what == 2:
             sep = pick("-", ".", " ")
-            return pick("call ", "phone: ", "tel. ", "mobile ", "fax: "), pick(f"({num(3)}) {num(3)}-{num(4)}", sep.join((num(3), num(3), num(4))), sep.join(("0" + num(2), num(4), num(4))), f"0{num(9)}"), True
+            return pick("call ", "phone: ", "tel. ", "mobile ", "fax: ", "call this number: ", "phone number "), pick(f"({num(3)}) {num(3)}-{num(4)}", sep.join((num(3), num(3), num(4))), sep.join(("0" + num(2), num(4), num(4))), f"0{num(9)}"), True
         if what == 3:
-            return "", pick(f"({num(3)}) {num(3)}-{num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}"), True
+            return pick("", "", "number ", "the number is "), pick(f"({num(3)}) {num(3)}-{num(4)}", f"1-{num(3)}-{num(3)}-{num(4)}"), True
         if what == 4:
             return pick("order ", "invoice ", "id ", "isbn ", "ref: ", "serial ", "", "", word() + " "), pick(num(8), num(10), num(12), num(14), f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}-{num(1)}-{num(5)}-{num(3)}-{num(1)}", f"{num(5)}/{num(6)}", f"{num(4)}.{num(5)}"), False
         if what == 5:
-            return pick("card ", "visa: ", "credit card: ", "payment by card "), carded(bool(r.integers(4))), True
+            return pick("card ", "visa: ", "credit card: ", "payment by card ", "card number "), carded(bool(r.integers(4))), True
         if what == 6:
             return pick("", "", "order ", "serial ", "id ", word() + " "), pick(num(16), num(15), num(18), carded(False)), False
         if what == 7:
-            return pick("host ", "ip: ", "server ", "login from "), pick(", ", ". ", " . ").join(str(int(x)) for x in r.integers(0, 256, 4)), True
+            return pick("host ", "ip: ", "server ", "login from "), pick(", ", ". ", " . ", ",").join(str(int(x)) for x in r.integers(0, 256, 4)), True
         if what == 8:
             return pick("version ", "section ", "build ", ""), pick(".", ". ", ", ").join(str(int(x)) for x in r.integers(0, 999, 4)), False
         return pick("", "total ", "price "), pick(", ".join(str(int(x)) for x in r.integers(0, 99, 4)), f"{num(3)} {num(3)} {num(3)}", f"{num(1)} {num(3)} {num(3)}.{num(2)}"), False
@@ -185,7 +197,7 @@ def training_rows(n: int = TRAINING_ROWS) -> tuple[list[tuple[str, Span]], np.nd
     while len(rows) < n:
         cue, s, good = sample()
         head, tail = " ".join(word() for _ in range(int(r.integers(0, 4)))), " ".join(word() for _ in range(int(r.integers(0, 4))))
-        text = f"{head} {cue}{s} {tail}"
+        text = f"{head} {cue}{s}{pick('', '', '.', ',')} {tail}"
         start = len(head) + 1 + len(cue)
         for c in candidates(text):
             if c[0] < start + len(s) and c[1] > start:
