@@ -6,7 +6,8 @@ within CUE characters on either side, or in the name to which the run is assigne
 character, except as padding at the end. Its novelty is the marginal number of compressed bytes that it costs: zstandard, primed
 with a dictionary of identifiers, keywords and usual words, compresses the text around the candidate
 with and without it. Names, paths and prose cost little; random strings cost most of their length.
-A candidate at or above NOVELTY bits a character is reported as kind `novel`, if it overlaps no base span; a long one if any piece of MOST characters is.
+A candidate is reported as kind `novel` if that is NOVELTY of what a random character of its alphabet holds, and if it
+overlaps no base span; a long one if any piece of MOST characters is.
 
 Null texts are empty. Offsets count code points, ends are exclusive. Texts are processed whole, in
 time linear in their length. Rows that repeat are scanned one by one, an empty table gives an empty
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from itertools import accumulate
@@ -32,8 +34,10 @@ from .common import with_columns
 KINDS = ("assign", "access", "hex", "novel")
 #: Code points on either side of a candidate that are compressed with it or hold its name, and between a cue and a candidate.
 CONTEXT, CUE = 200, 48
-#: Marginal bits a character from which a candidate counts as incompressible; random hexadecimal has 4.
-NOVELTY = 3.6
+#: The share of a random character's bits from which a candidate counts as incompressible.
+NOVELTY = 0.9
+#: Characters of the alphabets that are told apart: hexadecimal, letters of one case and digits, all letters and digits.
+ALPHABETS = (16, 36, 62)
 LEAST, MOST = 16, 512
 #: A candidate has a piece of so many letters and digits; paths of short names have none.
 PIECE = 12
@@ -83,7 +87,12 @@ def base_spans(text: str) -> list[Span]:
 
 @functools.cache
 def compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    # Names in camel case are made of words that begin with a capital.
+    words = " ".join(w.capitalize() for w in DICTIONARY.split() if w.isalpha()) + " " + DICTIONARY
+    data = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # Matches of three characters, so that short words of a name are found.
+    how = zstandard.ZstdCompressionParameters.from_level(19, source_size=2 * CONTEXT + MOST, dict_size=len(words), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
 
 def novelty(text: str, start: int, end: int) -> float:
@@ -93,6 +102,16 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * (size(before + own + after) - size(before + after)) / len(own)
 
 
+def least_bits(s: str) -> float:
+    """The novelty from which s counts, by the alphabet of its long pieces; longer runs are no names and count from the least."""
+    if len(s) > MOST:
+        return NOVELTY * math.log2(ALPHABETS[0])
+    long = "".join(p for p in PIECES.findall(s) if len(p) >= PIECE)
+    one_case = long in (long.lower(), long.upper())
+    size = ALPHABETS[0] if not long.strip("0123456789abcdefABCDEF") else ALPHABETS[1 if one_case else 2]
+    return NOVELTY * math.log2(size)
+
+
 def mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and max(map(len, PIECES.findall(s))) >= PIECE
 
@@ -117,8 +136,8 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
             name = NAME.search(text[max(0, start - CONTEXT) : start])
             if not name or not CUES.search(name[1]):
                 continue
-        k = bisect_left(starts, end)
-        if not (k and reach[k - 1] > start) and any(novelty(text, a, b) >= NOVELTY for a, b in spans):
+        k, least = bisect_left(starts, end), least_bits(m.group())
+        if not (k and reach[k - 1] > start) and any(novelty(text, a, b) >= least for a, b in spans):
             out.append((start, end, "novel"))
     return out
 

@@ -126,3 +126,41 @@ def test_long_runs_are_measured_over_their_whole_length():
         x = "private key " + "A" * lead + key + "A" * 300 + " end"
         assert secrets.novel_spans(x, []) == [(12, len(x) - 4, "novel")]
     assert secrets.novel_spans("private key " + "A1" * 2_000, []) == []
+
+
+def planted(forms, prose="Nous avons vu la maison hier, und dann kam der Zug; later it rained in {} and stopped. Sie lachte."):
+    """(text, start, end) of each written form, in prose and before each usual end."""
+    for cue, own in forms:
+        for end in ("", ".", ",", " heute", ". It"):
+            text = prose.format(cue + own + end)
+            start = text.index(own)
+            yield text, start, start + len(own)
+
+
+def test_added_personal_data_in_forms_of_no_template():
+    right = {
+        "email": [("courriel ", "claire_bonnet77 (at) mairie-lyon (dot) fr"), ("mi correo es ", "lola.perez[at]correo-sur.es"), ("Kontakt ", "h-meier{at}werk{dot}de"), ("", "oscar at brightfield dot com")],
+        "phone": [("Telefon ", "0451/2298137"), ("call me: ", "(312) 844-9071"), ("mobile no ", "0171 2233 4455"), ("Fax ", "212.664.7665")],
+        "card": [("credit card ", "5500.0000.0000.0004"), ("VISA ", "4012/8888/8888/1881"), ("card no ", "3782  822463  10005")],
+        "ip": [("server ", "10 . 20 . 30 . 40"), ("login from ", "172,16,254,3")],
+    }
+    found = total = 0
+    for kind, forms in right.items():
+        for text, start, end in planted(forms):
+            base = pii.base_spans(text)
+            found += any(k == kind and abs(s - start) <= 1 and abs(e - end) <= 1 for s, e, k in base + pii.added_spans([text], [base])[0])
+            total += 1
+    assert found / total >= 0.9, (found, total)
+    wrong = [("born ", "1987-11-23"), ("ISBN ", "978-3-16-148410-0"), ("invoice ", "2024110045"), ("about ", "120 450 300"), ("she looked at ", "him. He"), ("he was at home. ", "In"), ("they work at ", "noon. We"), ("version ", "4, 11, 305, 2")]
+    seen = [(text, x) for text, start, end in planted(wrong) for x in pii.added_spans([text], [pii.base_spans(text)])[0] if x[0] < end and x[1] > start]
+    assert len(seen) <= 2, seen
+
+
+def test_added_secrets_and_names_that_are_none():
+    right = [("PRIVATE_KEY=", "q7Zp2LxV9bRt4KmW8sYc3NdF6hJg"), ("authorization: ", "9F3A7C21E8B64D05AF17C3920B6E58D4"), ("client_id: ", "k3v9x2m7q1z8w4r6t5y0"), ("credential ", "Zx81-kQpT7vLm2RsW9nYb4")]
+    texts = list(planted(right))
+    hits = sum(any(s <= start and e >= end for s, e, _ in secrets.novel_spans(t, secrets.base_spans(t))) for t, start, end in texts)
+    assert hits / len(texts) >= 0.9
+    for cue, own in [("credential ", "getUserAuthorizationContextHandler2ForRequest"), ("private ", "parseHttpRequestHeaderBuffer2FromStream"), ("private ", "createDefaultWindowWidgetLayout2"), ("private ", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1")]:
+        text = f"it was in the {cue}{own} that they found it"
+        assert secrets.novel_spans(text, secrets.base_spans(text)) == []
