@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 from conftest import SMALL
@@ -65,3 +66,42 @@ def test_unlearned_scripts_are_not_recognised(spark):
     assert not (model.predict(foreign)[1] >= langid.LEAST_SCORE).any()
     unseen = [x.text for x in docs.where(langid.held_out(langid.F.col("doc_id"))).collect()]
     assert (model.predict(unseen)[1] >= langid.LEAST_SCORE).all()
+
+
+def plain_model(rows):
+    """Languages and prototypes from (text, lang), letter by letter and trigram by trigram."""
+    sums = {}
+    for text, lang in rows:
+        sums[lang] = sums.get(lang, np.zeros(langid.DIMENSIONS)) + plain_encoding(text)
+    names = sorted(sums, key=lambda s: s.encode())
+    return names, [sums[k] / (np.linalg.norm(sums[k]) or 1) for k in names]
+
+
+def plain_encoding(text):
+    letters, total = [0], np.zeros(langid.DIMENSIONS)
+    for c in text:
+        code = ord(c.lower()[0]) if c.isalpha() else 0
+        if code or letters[-1]:
+            letters.append(code)
+    grams = Counter(zip(*(x[k:] for k, x in enumerate([(letters + [0] if letters[-1] else letters)] * 3)), strict=False))
+    for (a, b, c), n in grams.items():
+        total += n * (np.roll(langid.letter_vector(a), 2).astype(int) * np.roll(langid.letter_vector(b), 1) * langid.letter_vector(c))
+    return total
+
+
+def test_query_equals_brute_force(spark):
+    """No language of the small table has more training documents than the sample takes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    is_held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    train = [(r.text, r.lang) for r in docs if not is_held[r.doc_id] and r.lang is not None and r.text is not None]
+    assert max(Counter(lang for _, lang in train).values()) <= langid.SAMPLE
+    names, unit = plain_model(train)
+    got = {r.doc_id: r for r in queries.op3_language_id(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        x = plain_encoding(r.text or "")
+        cos = [float(x @ u) / (np.linalg.norm(x) or 1) for u in unit]
+        want = names[int(np.argmax(cos))] if x.any() else "und"
+        g = got[r.doc_id]
+        assert (g.held_out, g.lang_pred) == (is_held[r.doc_id], want)
+        assert abs(g.score - (min(max(max(cos), 0), 1) if x.any() else 0)) < 1e-9

@@ -1,6 +1,9 @@
+import base64
 import gzip
+import hashlib
 import json
 import random
+from html.parser import HTMLParser
 
 import regex
 from conftest import SMALL
@@ -37,12 +40,16 @@ def test_counts(spark):
 
 
 def test_token_query(spark):
+    """All columns, word by word without the trie."""
     model, mask = tokens.Unigram(tokens.read_ranks()), (1 << tokens.COUNT_BITS) - 1
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     split = regex.compile(tokens.PATTERN)
-    known = model.values(list({w.encode() for x in texts.values() for w in split.findall(x)}))
-    for r in queries.op9_token_counts(spark, SMALL).collect():
-        assert r.n_tokens == sum(known[w.encode()] & mask for w in split.findall(texts[r.doc_id]))
+    known = {w: brute(model, w.encode()) for w in {w for x in texts.values() for w in split.findall(x or "")}}
+    rows = queries.op9_token_counts(spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        v = [known[w] for w in split.findall(texts[r.doc_id] or "")]
+        assert (r.n_pretokens, r.n_tokens, r.cost) == (len(v), sum(x & mask for x in v), sum(x >> tokens.COUNT_BITS for x in v) / 1e6)
 
 
 def test_pieces_come_from_the_vocabulary():
@@ -103,3 +110,64 @@ def test_a_head_without_an_end_tag_ends_where_the_body_begins():
     assert warc.plain_text("<p>a<noscript>b<p>c") == "ab\nc" and warc.plain_text("a<template>b</template>c<header>d</header>") == "ac\nd"
     for x in ("<head>", "<noscript>", "<head><title>", "<head ", "<template", "<!--", "<head><meta>"):
         warc.plain_text(x * 20_000)
+
+
+HIDES = {"script", "style", "noscript", "template", "head"}
+ENDS_A_LINE = set("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
+
+class Reader(HTMLParser):
+    """Title, links and visible text of a page with all its end tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.title, self.links, self.text, self.in_title = 0, None, [], [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in HIDES
+        if tag == "title" and self.title is None:
+            self.in_title, self.title = True, ""
+        if tag == "a" and not self.hidden and (href := dict(attrs).get("href")) is not None:
+            self.links.append(href)
+        if tag in ENDS_A_LINE and not self.hidden:
+            self.text.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.hidden -= tag in HIDES
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in HIDES
+        self.in_title = self.in_title and tag != "title"
+        if tag in ENDS_A_LINE and not self.hidden:
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        if not self.hidden:
+            self.text.append(regex.sub(r"\s+", " ", data))
+
+
+def test_derivatives_equal_a_parsers(spark):
+    """Both records of every page of the small table, by a parser of its own."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    rows = {(r.page_id, r.record_type): r for r in warc.derive(warc.responses(pages.select("page_id", "url", "html"))).collect()}
+    digests = {(r.page_id, r.record_type): r for r in queries.op10_warc(spark, SMALL).collect()}
+    pages = pages.collect()
+    assert len(rows) == len(digests) == 2 * len(pages)
+    for p in pages:
+        want = Reader()
+        want.feed(p.html or "")
+        want.close()
+        lines = [regex.sub(r"\s+", " ", x).strip() for x in "".join(want.text).split("\n")]
+        text = "\n".join(x for x in lines if x)
+        meta, conversion = (bytes(rows[p.page_id, k].block) for k in ("metadata", "conversion"))
+        assert conversion.decode() == text, p.page_id
+        got = json.loads(meta)
+        assert (got["title"], got["links"]) == (want.title and want.title.strip(), list(dict.fromkeys(want.links))), p.page_id
+        payload = "sha1:" + base64.b32encode(hashlib.sha1((p.html or "").encode()).digest()).decode()
+        for kind, block in (("metadata", meta), ("conversion", conversion)):
+            d = digests[p.page_id, kind]
+            assert (d.content_length, d.block_sha256) == (len(block), hashlib.sha256(block).hexdigest())
+            assert (d.target_uri, d.payload_digest, d.refers_to) == (p.url, payload, warc.response(p.page_id, p.url, p.html)["record_id"])
