@@ -38,12 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of what cut() returned; nothing may read it afterwards."""
     file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if file.isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, file.get())
 
 
 def partitions(spark: SparkSession) -> int:
