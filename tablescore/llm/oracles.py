@@ -79,3 +79,51 @@ select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigin
        sha256(unhex(coalesce(kept, h))) as kept_sha256
 from d left join t on d.doc_id = t.doc_id
 """
+
+_CODES_ROUND = r"""
+d{k} as (
+  select p.r, p.part, c.entry, sum((p.x - c.x) * (p.x - c.x))::bigint as d from p join c{k} c using (part, pos) group by all),
+a{k} as (select r, part, min(entry) as entry, min(d) as d from (select *, min(d) over (partition by r, part) as least from d{k}) where d = least group by r, part)"""
+_CODES_MOVE = r""",
+s{k} as (select part, pos, entry, sum(x)::bigint as s, count(*) as n from p join a{k} using (r, part) group by all),
+c{next} as (
+  select c.part, c.pos, c.entry, coalesce((s - (s % n + n) % n) // n, c.x) as x from c{k} c left join s{k} s using (part, pos, entry))"""
+
+CODES = (
+    r"""
+with v as (
+  select row_number() over (order by vec_id nulls last, embedding::double[]) - 1 as r, vec_id, label, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select ((max(len(e)) + 15) // 16)::bigint as w from v),
+p as (
+  select r, i // w as part, i % w as pos, greatest(-16777216, least(16777216, floor(256 * coalesce(e[i + 1], 0))))::bigint as x
+  from v, w, unnest(range(16 * w)) as u(i)),
+c0 as (select part, pos, r as entry, x from p where r < 64),"""
+    + "".join(_CODES_ROUND.format(k=k) + (_CODES_MOVE.format(k=k, next=k + 1) + "," if k < 2 else "") for k in range(3))
+    + r""",
+o as (select r, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a2 group by r),
+b as (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from c2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from o join v using (r), b
+"""
+)
+
+PHRASES = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from documents, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as u(piece)),
+g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from pieces, unnest([1, 2, 3]) as s(k), unnest(range(1, len(w) - k + 2)) as u(i)),
+f as (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.k, c.phrase, a, x.f as l, y.f as r, cut, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+  from c, unnest(range(1, c.k)) as u(cut)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:cut], ' ') and x.k = cut
+  join f y on y.lang = c.lang and y.phrase = array_to_string(w[cut + 1:], ' ') and y.k = c.k - cut),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inside as (
+  select lang, part, max(a) as longer from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from c where k = 3) group by all),
+kept as (select b.* from best b left join inside i on i.lang = b.lang and i.part = b.phrase where longer is null or 100 * longer < 50 * a),
+ranks as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranks join n using (lang) where rank <= 2000
+"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, oracles, pii, secrets, simhash, suffixes, tokens, warc
+from . import codes, embeddings, langid, oracles, phrases, pii, secrets, simhash, suffixes, token_files, tokens, warc
+from .common import shared_folder
 from .decontaminate import decontaminate
 from .mixing import mix
 
@@ -60,9 +62,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("content_length", F.octet_length("block").cast("long")).withColumn("block_sha256", F.sha2("block", 256)).drop("block")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_files.read(spark, folder).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op6_suffix_dedup, op7_mix, op8_secrets, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_language_id, op4_pii, op5_decontaminate, op6_suffix_dedup, op7_mix, op8_secrets, op9_token_counts, op10_warc, op11_vector_codes, op12_token_files, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": oracles.EMBEDDINGS, "op5_decontaminate": oracles.DECONTAMINATE, "op6_suffix_dedup": oracles.SUFFIXES, "op7_mix": oracles.MIX}
+    return {"op1_embedding_dedup": oracles.EMBEDDINGS, "op5_decontaminate": oracles.DECONTAMINATE, "op6_suffix_dedup": oracles.SUFFIXES, "op7_mix": oracles.MIX, "op11_vector_codes": oracles.CODES, "op13_phrases": oracles.PHRASES}
