@@ -8,6 +8,8 @@ import re
 import numpy as np
 
 from .dom import Node, parse
+from .edits import edit_distances
+from .trees import tree_distance
 
 #: Tables as canonical() leaves most of them; what matches needs no parser.
 PLAIN = re.compile(r'<table>(?:<tr>(?:<td(?: rowspan="[^"<>&]+")?(?: colspan="[^"<>&]+")?>[^<>&]*</td>)*</tr>)*</table>')
@@ -17,8 +19,8 @@ UNWRAPPED = ("thead", "tbody", "tfoot", *EMPHASIS)
 WHITE = re.compile(r"\s+")
 
 
-#: Up to so many cells, or pairs of them, are compared one by one, more at once; so are contents of up to so many tokens.
-FEW_CELLS, SHORT_CELL = 256, 64
+#: Up to so many cells of a row's table are filled in one by one, more a line at once.
+FEW_CELLS = 256
 
 
 def one_spaced(text: str) -> str:
@@ -220,121 +222,29 @@ class Tree:
         return None if row or not self.labels or self.labels[-1] != ("table",) or self.left[-1] != 0 else out
 
 
-def edit_distance(a: list | str, b: list | str) -> int:
-    """Insertions, deletions and replacements between two sequences."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    a, b = a[lo:], b[lo:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) or len(b)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
-
-
-def tree_distance(a: Tree, b: Tree) -> float:
-    """Least cost of node insertions and deletions at 1 and of renames: 1 between unlike labels, else the share of content that differs."""
-    known: dict[tuple[int, int], float] = {}
-
-    def rename(i: int, j: int) -> float:
-        if a.labels[i] != b.labels[j]:
-            return 1.0
-        x, y = a.contents[i], b.contents[j]
-        if x == y or (not x and not y):
-            return 0.0
-        if (i, j) not in known:
-            known[i, j] = edit_distance(x, y) / max(len(x), len(y))
-        return known[i, j]
-
-    def roots(t: Tree) -> list[int]:
-        return sorted({left: k for k, left in enumerate(t.left)}.values())
-
-    n, m = len(a.labels), len(b.labels)
-    whole = [[0.0] * m for _ in range(n)]
-    for i in roots(a):
-        for j in roots(b):
-            li, lj = a.left[i], b.left[j]
-            if li == i and lj == j:  # two leaves; a rename costs no more than 1
-                whole[i][j] = rename(i, j)
-                continue
-            last = [float(k) for k in range(j - lj + 2)]
-            rows = [last]
-            for x in range(li, i + 1):
-                before = last[0] + 1.0
-                row = [before]
-                on_edge, apart, done = a.left[x] == li, rows[a.left[x] - li], whole[x]
-                for y in range(lj, j + 1):
-                    best = last[y - lj + 1] + 1.0
-                    if before + 1.0 < best:
-                        best = before + 1.0
-                    if on_edge and b.left[y] == lj:
-                        best = min(best, last[y - lj] + rename(x, y))
-                        done[y] = best
-                    else:
-                        other = apart[b.left[y] - lj] + done[y]
-                        if other < best:
-                            best = other
-                    row.append(best)
-                    before = best
-                rows.append(row)
-                last = row
-    return whole[n - 1][m - 1]
-
-
-def edit_distances(a: list, b: list) -> np.ndarray:
-    """edit_distance() of each sequence of a to each of b, those of b at once."""
-    number: dict = {}
-    coded = [np.array([number.setdefault(c, len(number)) for c in y], dtype=np.int32) for y in b]
-    long = max(map(len, b), default=0)
-    to = np.full((len(b), long), -1, dtype=np.int32)
-    for k, y in enumerate(coded):
-        to[k, : len(y)] = y
-    steps, ends = np.arange(long + 1, dtype=np.int32), np.array([len(y) for y in b], dtype=int)
-    out = np.empty((len(a), len(b)))
-    for k, x in enumerate(a):
-        last = np.tile(steps, (len(b), 1))
-        for c in x:
-            best = last + 1
-            np.minimum(best[:, 1:], last[:, :-1] + (to != number.get(c, -2)), out=best[:, 1:])
-            last = np.minimum.accumulate(best - steps, axis=1) + steps
-        out[k] = last[np.arange(len(b)), ends]
-    return out
-
-
 def cell_renames(a: list[tuple], b: list[tuple]) -> np.ndarray:
     """The cost of a rename of each cell of a to each of b: 1 between unlike spans, else the share of content that differs."""
-    if len(a) * len(b) <= FEW_CELLS:
-        return np.array([[rename_cost(x, y) for y in b] for x in a], dtype=float).reshape(len(a), len(b))
     spans: dict[tuple, int] = {}
-    kind = [np.array([spans.setdefault((c[0] or "1", c[1] or "1"), len(spans)) for c in t]) for t in (a, b)]
-    short = [np.array([len(c[2]) <= SHORT_CELL for c in t]) for t in (a, b)]
-    out = np.ones((len(a), len(b)))
-    at = [np.flatnonzero(x) for x in short]
-    x, y = ([t[k][2] for k in i] for t, i in zip((a, b), at, strict=True))
+    kind = [np.array([spans.setdefault((c[0] or "1", c[1] or "1"), len(spans)) for c in t], dtype=int) for t in (a, b)]
+    x, y = ([c[2] for c in t] for t in (a, b))
     larger = np.maximum(np.array([len(s) for s in x], dtype=float)[:, None], np.array([len(s) for s in y], dtype=float)[None, :])
-    out[np.ix_(*at)] = edit_distances(x, y) / np.maximum(larger, 1.0)
+    out = edit_distances(x, y) / np.maximum(larger, 1.0)
     out[kind[0][:, None] != kind[1][None, :]] = 1.0
-    for i, j in np.argwhere(~(short[0][:, None] & short[1][None, :])):
-        out[i, j] = rename_cost(a[i], b[j])
     return out
 
 
-def rename_cost(x: tuple, y: tuple) -> float:
-    """The cost of a rename of one cell to another."""
-    if x == y:
-        return 0.0
-    s, t = x[2], y[2]
-    if (x[0] or "1", x[1] or "1") != (y[0] or "1", y[1] or "1"):
-        return 1.0
-    if not s or not t:
-        return float(bool(s) != bool(t))
-    return edit_distance(s, t) / max(len(s), len(t)) if set(s) & set(t) else 1.0
+def any_distance(a: Tree, b: Tree) -> float:
+    """Least cost of node insertions and deletions at 1 and of renames: 1 between unlike labels, else the share of content that differs."""
+    sides = []
+    for t in (a, b):
+        kinds: dict[tuple, int] = {}
+        at = np.array([kinds.setdefault((label, None if content is None else tuple(content)), len(kinds)) for label, content in zip(t.labels, t.contents, strict=True)], dtype=int)
+        sides.append((list(kinds), at))
+    (x, at_x), (y, at_y) = sides
+    cells = [[k for k, (_, content) in enumerate(s) if content is not None] for s in (x, y)]
+    costs = np.array([[float(p[0] != q[0]) for q in y] for p in x]).reshape(len(x), len(y))
+    costs[np.ix_(*cells)] = cell_renames(*([(*s[k][0][1:], s[k][1]) for k in some] for s, some in zip((x, y), cells, strict=True)))
+    return tree_distance(a.left, b.left, costs[at_x[:, None], at_y[None, :]])
 
 
 def plain_distance(a: list[list[tuple]], b: list[list[tuple]]) -> float:
@@ -436,7 +346,7 @@ def tree_score(truth: str, guess: str) -> float:
     if truth == guess:
         return 1.0 - 0.0 / a.size
     flat = a.rows(), b.rows()
-    distance = plain_distance(*flat) if flat[0] is not None and flat[1] is not None else tree_distance(a, b)
+    distance = plain_distance(*flat) if flat[0] is not None and flat[1] is not None else any_distance(a, b)
     return max(0.0, 1.0 - distance / max(a.size, b.size))
 
 

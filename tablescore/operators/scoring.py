@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.align import ROW_BONUS, ROW_GAP, best_alignment, content_score, row_alignment
-from ..functions.tables import canonical, compared, compared_grids, edit_distance, grid, tree_score
+from ..functions.tables import canonical, compared, compared_grids, grid, tree_score
 
 METRICS = ("levenshtein", "teds")
 GRID = T.ArrayType(T.ArrayType(T.StringType()))

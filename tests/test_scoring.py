@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from test_tables import EX1, EX2, html
 
 from tablescore.functions.align import content_score, row_alignment
-from tablescore.functions.tables import compared, edit_distance
+from tablescore.functions.edits import edit_distance
+from tablescore.functions.tables import compared
 from tablescore.operators.scoring import align_rows, aligned, by_cost, canonical_html, comparable, score_tables
 
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tablescore.functions import edits
 from tablescore.functions import tables as t
 from tablescore.functions.dom import parse
 
@@ -126,7 +127,7 @@ def brute_distance(a, b):
             return 1.0
         if x[0] != "td" or not (x[3] or y[3]):
             return 0.0
-        return t.edit_distance(list(x[3]), list(y[3])) / max(len(x[3]), len(y[3]))
+        return edits.edit_distance(list(x[3]), list(y[3])) / max(len(x[3]), len(y[3]))
 
     @cache
     def d(f, g):
@@ -144,7 +145,67 @@ def test_tree_distance_equals_brute_force():
     table = lambda: html([["".join(r.choices("ab", k=r.randint(0, 3))) for _ in range(r.randint(0, 3))] for _ in range(r.randint(1, 3))])
     for _ in range(60):
         a, b = table(), table()
-        assert t.tree_distance(t.Tree(a), t.Tree(b)) == pytest.approx(brute_distance(a, b))
+        assert t.any_distance(t.Tree(a), t.Tree(b)) == pytest.approx(brute_distance(a, b))
+
+
+def test_distance_of_other_trees_equals_brute_force():
+    """Captions, column groups, sections and tables in rows, nested at random."""
+    r = random.Random(9)
+
+    def some(depth):
+        if depth == 0 or r.random() < 0.4:
+            return f"<td>{''.join(r.choices('ab', k=r.randint(0, 3)))}</td>"
+        tag = r.choice(["tr", "caption", "colgroup", "x", "table"])
+        return f"<{tag}>{''.join(some(depth - 1) for _ in range(r.randint(0, 3)))}</{tag}>"
+
+    made = 0
+    while made < 150:
+        a, b = (t.Tree("<table>" + "".join(some(3) for _ in range(r.randint(0, 3))) + "</table>") for _ in range(2))
+        if max(a.size, b.size) > 12:
+            continue
+        made += 1
+        known = lambda x: list(zip(x.labels, map(str, x.contents), x.left, strict=True))
+        assert t.any_distance(a, b) == pytest.approx(forest_distance(a, b)), (known(a), known(b))
+
+
+def forest_distance(a, b):
+    """The recursive definition over two trees in post-order."""
+    from functools import cache
+
+    def rename(x, y):
+        if a.labels[x] != b.labels[y]:
+            return 1.0
+        p, q = a.contents[x] or [], b.contents[y] or []
+        return edits.edit_distance(p, q) / max(len(p), len(q), 1)
+
+    def without(tree, f):
+        """A forest (roots) without its last root, whose children take its place."""
+        k, out, at = f[-1], [], f[-1] - 1
+        while at >= tree.left[k]:
+            out.append(at)
+            at = tree.left[at] - 1
+        return f[:-1], tuple(reversed(out))
+
+    nodes = lambda tree, f: sum(k - tree.left[k] + 1 for k in f)
+
+    @cache
+    def d(f, g):
+        if not f or not g:
+            return float(nodes(a, f) + nodes(b, g))
+        (f0, f1), (g0, g1) = without(a, f), without(b, g)
+        return min(d(f0 + f1, g) + 1, d(f, g0 + g1) + 1, d(f0, g0) + d(f1, g1) + rename(f[-1], g[-1]))
+
+    return d((len(a.labels) - 1,), (len(b.labels) - 1,))
+
+
+def test_long_cells_and_other_trees_are_quick():
+    r = random.Random(10)
+    table = lambda rows, cols, size, more: f"<table>{more}{''.join('<tr>' + ''.join('<td>' + ''.join(r.choices('abcdefgh ', k=size)) + '</td>' for _ in range(cols)) + '</tr>' for _ in range(rows))}</table>"
+    for rows, cols, size, more, limit in ((8, 4, 216, "", 1), (20, 4, 1000, "", 15), (100, 8, 6, "<caption>x</caption>", 5)):
+        a, b = table(rows, cols, size, more), table(rows, cols, size, more)
+        began = time.perf_counter()
+        assert 0 < t.tree_score(a, b) < 1
+        assert time.perf_counter() - began < limit
 
 
 def test_plain_distance_equals_the_general_one():
@@ -153,7 +214,7 @@ def test_plain_distance_equals_the_general_one():
     table = lambda: "<table>" + "".join("<tr>" + "".join(cell() for _ in range(r.randint(0, 4))) + "</tr>" for _ in range(r.randint(1, 5))) + "</table>"
     for _ in range(300):
         a, b = table(), table()
-        assert t.plain_distance(t.plain_rows(a), t.plain_rows(b)) == pytest.approx(t.tree_distance(t.Tree(a), t.Tree(b))), (a, b)
+        assert t.plain_distance(t.plain_rows(a), t.plain_rows(b)) == pytest.approx(t.any_distance(t.Tree(a), t.Tree(b))), (a, b)
 
 
 def test_many_cells_are_compared_alike(monkeypatch):
@@ -161,10 +222,9 @@ def test_many_cells_are_compared_alike(monkeypatch):
     cell = lambda: f"<td{r.choice(['', '', ' rowspan=%s' % chr(34) + '2' + chr(34)])}>{''.join(r.choices('abc', k=r.choice([0, 1, 3, 6])))}{r.choice(['', '', '<sub>a</sub>'])}</td>"
     table = lambda: "<table>" + "".join("<tr>" + "".join(cell() for _ in range(r.randint(0, 4))) + "</tr>" for _ in range(r.randint(1, 5))) + "</table>"
     monkeypatch.setattr(t, "FEW_CELLS", 0)
-    monkeypatch.setattr(t, "SHORT_CELL", 4)
     for _ in range(200):
         a, b = t.Tree(table()), t.Tree(table())
-        assert t.plain_distance(a.rows(), b.rows()) == pytest.approx(t.tree_distance(a, b))
+        assert t.plain_distance(a.rows(), b.rows()) == pytest.approx(t.any_distance(a, b))
 
 
 def test_rows_of_other_trees_are_none():
@@ -186,7 +246,7 @@ def test_a_large_decorated_pair_is_quick():
 
 @given(st.lists(st.text("abcé", max_size=6), max_size=4), st.lists(st.text("abcé", max_size=6), max_size=4))
 def test_edit_distances(a, b):
-    assert t.edit_distances(a, b).tolist() == [[t.edit_distance(x, y) for y in b] for x in a]
+    assert edits.edit_distances(a, b).tolist() == [[edits.edit_distance(x, y) for y in b] for x in a]
 
 
 @given(st.text("abcé", max_size=8), st.text("abcé", max_size=8))
@@ -194,7 +254,36 @@ def test_edit_distance(a, b):
     d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
         d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-    assert t.edit_distance(a, b) == d[-1][-1]
+    assert edits.edit_distance(a, b) == d[-1][-1]
+    for most in range(10):
+        assert edits.edit_distance(a, b, most) == min(d[-1][-1], most + 1)
+
+
+def test_long_edit_distances():
+    """Beyond one word, one look and the tokens that are marked one by one; against the table of all prefixes."""
+    import numpy as np
+
+    r = random.Random(11)
+    for _ in range(12):
+        a, b = (r.choices("abc", k=r.randint(200, 700)) for _ in range(2))
+        last, steps = np.arange(len(b) + 1), np.arange(len(b) + 1)
+        for x in a:
+            best = last + 1
+            best[1:] = np.minimum(best[1:], last[:-1] + np.array([x != y for y in b]))
+            last = np.minimum.accumulate(best - steps) + steps
+        assert edits.edit_distance(a, b) == edits.edit_distances([a], [[], b, ["z"]])[0, 1] == last[-1]
+        for most in (0, 100, int(last[-1]) - 1, int(last[-1]), 900):
+            assert edits.edit_distance(a, b, most) == min(last[-1], most + 1)
+
+
+def test_many_fields(monkeypatch):
+    """More sequences than one integer takes."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choices("ab", k=r.randint(0, 9))) for _ in range(n)]
+    a, b = words(20), words(60)
+    whole = edits.edit_distances(a, b)
+    monkeypatch.setattr(edits, "MOST_BITS", 40)
+    assert edits.edit_distances(a, b).tolist() == whole.tolist() == [[edits.edit_distance(x, y) for y in b] for x in a]
 
 
 CELL = st.text("ab<&- \u00a0", max_size=4).map(lambda s: s.replace("<", "&lt;").replace("&l", "&amp;l") if "<" in s else s.replace("&", "&amp;"))
