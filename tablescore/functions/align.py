@@ -22,23 +22,29 @@ def cell_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), -1.0).when(a == b, 1.0).otherwise(-1.0 + 2.0 * (1.0 - share))
 
 
-def best_alignment(matches: Column, gap: float) -> Column:
-    """Best semi-global alignment over a matrix of match values: one array for each element of the first sequence."""
+def running_max(values: Column, shifts: Column) -> Column:
+    """The greatest value up to each place: each step looks twice as far back as the one before."""
+    return F.aggregate(shifts, values, lambda done, d: F.transform(done, lambda x, j: F.greatest(x, F.get(done, j - d))))
 
-    def next_row(state: Column, row: Column) -> Column:
-        above = state["above"]
 
-        def next_cell(done: Column, at: Column) -> Column:
-            value = F.greatest(F.get(above, at["j"]) + at["match"], F.get(above, at["j"] + 1) - gap, F.get(done, at["j"]) - gap)
-            return F.concat(done, F.array(value))
+def best_alignment(matches: Column, gap: float) -> Column:
+    """Best semi-global alignment over a matrix of match values: one array for each element of the first sequence.
+
+    A gap in the first sequence costs the same wherever it is, so with gap times column added, what a cell gets from
+    its left is the running maximum of what the cells get from above; no cell is appended to a line.
+    """
 
-        cells = F.transform(row, lambda m, j: F.struct(m.alias("match"), j.alias("j")))
-        new = F.aggregate(cells, F.array(F.lit(0.0)), next_cell)
-        return F.struct(new.alias("above"), F.greatest(state["best"], F.element_at(new, -1)).alias("best"))
+    def next_row(state: Column, row: Column) -> Column:
+        above, shifts = state["above"], state["shifts"]
+        reached = F.transform(row, lambda m, j: F.greatest(F.get(above, j) + m, F.get(above, j + 1) - gap) + gap * (j + 1))
+        lifted = let(F.concat(F.array(F.lit(0.0)), reached), lambda v: F.transform(running_max(v, shifts), lambda x, j: x - gap * j))
+        return let(lifted, lambda new: F.struct(new.alias("above"), F.greatest(state["best"], F.element_at(new, -1)).alias("best"), shifts.alias("shifts")))
 
     def folded(m: Column) -> Column:
         width = F.coalesce(F.size(F.get(m, F.lit(0))), F.lit(0))
-        start = F.struct(F.array_repeat(F.lit(0.0), width + 1).alias("above"), F.lit(0.0).alias("best"))
+        steps = F.greatest(F.ceil(F.log2(width + 1.0)).cast("int") - 1, F.lit(0))
+        shifts = F.transform(F.sequence(F.lit(0), steps), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+        start = F.struct(F.array_repeat(F.lit(0.0), width + 1).alias("above"), F.lit(0.0).alias("best"), shifts.alias("shifts"))
         return F.aggregate(m, start, next_row, lambda s: F.greatest(s["best"], F.array_max(s["above"])))
 
     return let(matches, folded)
@@ -49,6 +55,25 @@ def row_alignment(a: Column, b: Column) -> Column:
     return F.when(a == b, F.size(a).cast("double")).otherwise(best_alignment(F.transform(a, lambda x: F.transform(b, lambda y: cell_similarity(x, y))), CELL_GAP))
 
 
+def row_matches(a: Column, b: Column) -> Column:
+    """Match values of all pairs of rows of two grids, with the row bonus. Where rows repeat, each distinct pair is
+    aligned once and the others look its value up by the places of their rows among the distinct ones."""
+
+    def every(x: Column, y: Column) -> Column:
+        return F.transform(x, lambda r: F.transform(y, lambda s: ROW_BONUS + row_alignment(r, s)))
+
+    def looked_up(p: Column) -> Column:
+        place = lambda rows, distinct: F.transform(rows, lambda r: (F.array_position(distinct, r) - 1).cast("int"))
+        known = F.struct(every(p["x"], p["y"]).alias("m"), place(p["b"], p["y"]).alias("at"), place(p["a"], p["x"]).alias("of"))
+        return let(known, lambda k: F.transform(k["of"], lambda i: let(F.get(k["m"], i), lambda line: F.transform(k["at"], lambda j: F.get(line, j)))))
+
+    def picked(p: Column) -> Column:
+        repeats = (F.size(p["x"]) < F.size(p["a"])) | (F.size(p["y"]) < F.size(p["b"]))
+        return F.when(repeats, looked_up(p)).otherwise(every(p["a"], p["b"]))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(a).alias("x"), F.array_distinct(b).alias("y")), picked)
+
+
 def padded(grid: Column, width: Column) -> Column:
     """Rows filled up with blanks to the width."""
     return F.transform(grid, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))))
@@ -63,9 +88,8 @@ def content_score(a: Column, b: Column) -> Column:
 
     def scored(p: Column) -> Column:
         x, y, width = p["x"], p["y"], p["width"]
-        rows = F.transform(x, lambda r: F.transform(y, lambda s: ROW_BONUS + row_alignment(r, s)))
         top = F.greatest(F.size(x), F.size(y)) * (ROW_BONUS + width)
-        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(rows, ROW_GAP) / top))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), best_alignment(row_matches(x, y), ROW_GAP) / top))
         return F.when((F.size(x) == 0) | (F.size(y) == 0) | (width == 0), 0.0).when(x == y, 1.0).otherwise(score)
 
     def filled(p: Column) -> Column:

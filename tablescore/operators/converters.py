@@ -66,24 +66,64 @@ def sequence(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+#: Positions that cells cover, for each position of the table, beyond which they are not listed.
+OVERLAP = 16
+
+
 def layout_table(table: Column) -> Column:
     """A table of positioned cells. The last cell to touch a position has it: in its own place it shows, elsewhere it
-    covers. Cells out of range are dropped, coverage ends at the border, span attributes keep their full value."""
+    covers. Cells out of range are dropped, coverage ends at the border, span attributes keep their full value.
+
+    Every position and every position that a cell covers become a number, position before ordinal of the cell; in
+    sorted order the last number of a position names its cell. Where cells lie over each other so much that
+    this would be many times the table, each position seeks its cell among those of its row instead.
+    """
     rows, columns = table["row_count"], table["column_count"]
     whole = lambda x: F.coalesce(F.nullif(x, F.lit(0)), F.lit(1))
     cells = F.transform(
         F.coalesce(table["cells"], F.array().cast(T.ArrayType(CELL))),
-        lambda c, k: F.struct(k.alias("k"), c["row_index"].alias("r"), c["column_index"].alias("c"), whole(c["row_span"]).alias("down"), whole(c["column_span"]).alias("across"), F.coalesce(c["content"], F.lit("")).alias("content"), c["kind"].alias("kind")),
+        lambda c: F.struct(c["row_index"].alias("r"), c["column_index"].alias("c"), whole(c["row_span"]).alias("down"), whole(c["column_span"]).alias("across"), F.coalesce(c["content"], F.lit("")).alias("content"), c["kind"].alias("kind")),
     )
     cells = F.filter(cells, lambda x: x["r"].between(0, rows - 1) & x["c"].between(0, columns - 1))
-
-    def in_row(cells: Column, r: Column) -> Column:
-        return F.filter(cells, lambda x: r.between(x["r"], F.greatest(x["r"], x["r"] + x["down"] - 1)))
-
-    def shown(cells: Column, r: Column, c: Column) -> Column:
-        touching = F.filter(cells, lambda x: c.between(x["c"], F.greatest(x["c"], x["c"] + x["across"] - 1)))
-        touching = F.filter(touching, lambda x: ((x["r"] == r) & (x["c"] == c)) | ((x["down"] > 0) & (x["across"] > 0)))
-        return let(F.try_element_at(touching, F.lit(-1)), lambda last: markup(last, r, c))
+    covers = lambda x: (x["down"] > 0) & (x["across"] > 0)
+    cells = F.transform(
+        cells,
+        lambda x: F.struct(
+            *(x[n].alias(n) for n in ("r", "c", "down", "across", "content", "kind")),
+            F.when(covers(x), F.least(x["down"], rows - x["r"])).otherwise(1).alias("height"), F.when(covers(x), F.least(x["across"], columns - x["c"])).otherwise(1).alias("width"),
+        ),
+    )
+    number = lambda r, c, k: F.shiftleft(r.cast("long") * columns + c, 32) + k
+
+    def covered(x: Column, k: Column) -> Column:
+        """The positions of one cell, with its ordinal."""
+        one = F.array(number(x["r"], x["c"], k + 1))
+        return F.when((x["height"] == 1) & (x["width"] == 1), one).otherwise(
+            F.flatten(F.transform(sequence(x["height"]), lambda i: F.transform(sequence(x["width"]), lambda j: number(x["r"] + i, x["c"] + j, k + 1))))
+        )
+
+    def swept(own: Column) -> Column:
+        """The HTML of each row."""
+        every = F.flatten(F.transform(sequence(rows), lambda r: F.transform(sequence(columns), lambda c: number(r, c, F.lit(0)))))
+        return let(F.array_sort(F.concat(every, F.flatten(F.transform(own, covered)))), lambda all_: let(last_of(all_), lambda last: F.transform(sequence(rows), lambda r: in_row(own, last, r))))
+
+    def last_of(numbers: Column) -> Column:
+        place = lambda x: F.shiftright(x, 32)
+        return F.filter(numbers, lambda x, i: F.coalesce(place(F.get(numbers, i + 1)) != place(x), F.lit(True)))
+
+    def in_row(own: Column, last: Column, r: Column) -> Column:
+        ordinal = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return F.array_join(F.transform(F.slice(last, r * columns + 1, columns), lambda x, c: let(F.get(own, ordinal(x) - 1), lambda cell: markup(cell, r, c))), "")
+
+    def sought(own: Column) -> Column:
+        """The same row by row, without a list of what is covered."""
+
+        def shown(near: Column, r: Column, c: Column) -> Column:
+            touching = F.filter(near, lambda x: c.between(x["c"], x["c"] + x["width"] - 1))
+            return let(F.try_element_at(touching, F.lit(-1)), lambda last: markup(last, r, c))
+
+        near = lambda r: F.filter(own, lambda x: r.between(x["r"], x["r"] + x["height"] - 1))
+        return F.transform(sequence(rows), lambda r: let(near(r), lambda some: F.array_join(F.transform(sequence(columns), lambda c: shown(some, r, c)), "")))
 
     def markup(last: Column, r: Column, c: Column) -> Column:
         tag = F.when(F.coalesce(last["kind"].isin(*HEADER_KINDS), F.lit(False)), "th").otherwise("td")
@@ -91,7 +131,11 @@ def layout_table(table: Column) -> Column:
         cell = F.concat(F.lit("<"), tag, attribute("rowspan", last["down"]), attribute("colspan", last["across"]), F.lit(">"), last["content"], F.lit("</"), tag, F.lit(">"))
         return F.when(last.isNull(), "<td></td>").when((last["r"] == r) & (last["c"] == c), cell).otherwise("")
 
-    return let(cells, lambda own: table_of(F.transform(sequence(rows), lambda r: let(in_row(own, r), lambda near: F.array_join(F.transform(sequence(columns), lambda c: shown(near, r, c)), "")))))
+    def of(own: Column) -> Column:
+        area = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["height"].cast("long") * x["width"])
+        return F.when(area <= OVERLAP * rows.cast("long") * columns, swept(own)).otherwise(sought(own))
+
+    return let(cells, lambda own: table_of(of(own)))
 
 
 def layout_to_html(tables: Column) -> Column:

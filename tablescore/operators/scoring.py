@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.align import ROW_BONUS, ROW_GAP, best_alignment, content_score, row_alignment
+from ..functions.align import ROW_GAP, best_alignment, content_score, row_matches
+from ..functions.edits import edit_distance
 from ..functions.tables import canonical, compared, compared_grids, grid, tree_score
 
 METRICS = ("levenshtein", "teds")
@@ -128,20 +129,14 @@ def by_cost(pairs: DataFrame, partitions: int, truth: str = "gt_html", guess: st
 
 
 def row_pairs(pairs: DataFrame, keys: Sequence[str], truth: str, guess: str) -> DataFrame:
-    """Every pair of rows of two grids in a row: keys, i, j and their match value with the row bonus.
+    """Every pair of rows of two grids as a row: keys, i, j and their match value with the row bonus. Nothing is shuffled."""
+    lines = pairs.select(*keys, F.posexplode(row_matches(F.col(truth), F.col(guess))).alias("i", "line"))
+    return lines.select(*keys, "i", F.posexplode("line").alias("j", "match"))
 
-    Equal pairs of rows are scored once."""
-    a = pairs.select(*keys, F.posexplode(truth).alias("i", "a"), F.col(guess).alias("rows"))
-    every = a.select(*keys, "i", "a", F.posexplode("rows").alias("j", "b"))
-    scored = every.select("a", "b").distinct().withColumn("match", ROW_BONUS + row_alignment(F.col("a"), F.col("b")))
-    return every.join(scored, ["a", "b"]).select(*keys, "i", "j", "match")
 
-
-def row_alignment_score(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best alignment of rows from row_pairs()."""
-    rows = matches.groupBy(*keys, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "match"))), lambda x: x["match"]).alias("row"))
-    grid_of = F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"])
-    return rows.groupBy(*keys).agg(grid_of.alias("m")).select(*keys, best_alignment(F.col("m"), ROW_GAP).alias("best"))
+def row_alignment_score(pairs: DataFrame, keys: Sequence[str], truth: str, guess: str) -> DataFrame:
+    """Best alignment of the rows of two grids, each distinct pair of rows scored once. Nothing is shuffled."""
+    return pairs.select(*keys, best_alignment(row_matches(F.col(truth), F.col(guess)), ROW_GAP).alias("best"))
 
 
 ALIGNED = T.StructType([T.StructField("a", T.ArrayType(T.StringType())), T.StructField("b", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
@@ -179,8 +174,14 @@ def aligned(a: list[str], b: list[str], gap: float = 1.0) -> tuple[list[str | No
 
 @F.pandas_udf(ALIGNED)
 def align_rows(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Diagnostic: how two rows align, with nulls for gaps."""
-    return pd.DataFrame([aligned(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=ALIGNED.names)
+    """Diagnostic: how two rows align, with nulls for gaps; null where a row is null. A null cell is an empty one."""
+
+    def one(x, y) -> tuple:
+        if x is None or y is None:
+            return None, None, None
+        return aligned(*([c if isinstance(c, str) else "" for c in r] for r in (x, y)))
+
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b, strict=True)], columns=ALIGNED.names)
 
 
 def quality_class(levenshtein: Column, teds: Column, threshold: float = 0.5) -> Column:

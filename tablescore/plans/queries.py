@@ -11,7 +11,7 @@ from ..functions.align import cell_similarity, content_score, floor_score, row_a
 from ..functions.text import collapse, normalised_cell, stem
 from ..operators import converters as X
 from ..operators.runs import POLICIES, records, registry, summary, validated, worst_wait
-from ..operators.scoring import canonical_html, html_grid, row_alignment_score, row_pairs, score_tables, tree_similarity
+from ..operators.scoring import canonical_html, html_grid, row_alignment_score, score_tables, tree_similarity
 from ..sources.files import encoded, paired, scaled_size
 from . import report
 from .fixtures import WRONG, decorated_html, order_tables, plain_html, run_log, scored_pairs, table
@@ -115,7 +115,7 @@ def l5_row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l7_row_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row pairs of each order with itself, every distinct pair scored once, then aligned."""
     o = order_tables(spark, sf_dir)
-    return row_alignment_score(row_pairs(o.withColumn("same", F.col("grid")), ["l_orderkey"], "grid", "same"), ["l_orderkey"])
+    return row_alignment_score(o, ["l_orderkey"], "grid", "grid")
 
 
 @query(r"select p_partkey, regexp_replace(p_name || ' -' || chr(9) || p_type || '-x ', '[\s-]+', '', 'g') as cell from part")

@@ -1,7 +1,10 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescore.functions.text import SPACES
 from tablescore.operators import converters as X
@@ -69,6 +72,63 @@ def test_payload(spark, family, payload, expected):
     assert row.select(X.payload_to_html(F.col("f"), F.col("p"))).first()[0] == expected
 
 
+def painted(t):
+    """A layout by painting its cells one after the other."""
+    rows, columns = t["row_count"], t["column_count"]
+    at = [[None] * columns for _ in range(rows)]
+    for k, c in enumerate(t["cells"]):
+        if not (0 <= c["row_index"] < rows and 0 <= c["column_index"] < columns):
+            continue
+        down, across = c["row_span"] or 1, c["column_span"] or 1
+        at[c["row_index"]][c["column_index"]] = k
+        if down > 0 and across > 0:
+            for r in range(c["row_index"], min(c["row_index"] + down, rows)):
+                at[r][c["column_index"] : c["column_index"] + across] = [k] * (min(c["column_index"] + across, columns) - c["column_index"])
+    out = []
+    for r in range(rows):
+        line = ""
+        for x in range(columns):
+            c = t["cells"][at[r][x]] if at[r][x] is not None else None
+            if c is None:
+                line += "<td></td>"
+            elif (c["row_index"], c["column_index"]) == (r, x):
+                tag = "th" if c["kind"] in X.HEADER_KINDS else "td"
+                more = "".join(f' {name}="{c[n]}"' for name, n in (("rowspan", "row_span"), ("colspan", "column_span")) if c[n] and c[n] > 1)
+                line += f"<{tag}{more}>{c['content'] or ''}</{tag}>"
+        out.append(f"<tr>{line}</tr>")
+    return f"<table>{''.join(out)}</table>"
+
+
+@pytest.mark.parametrize("overlap", [X.OVERLAP, 1, -1])
+def test_layout_equals_painting(spark, monkeypatch, overlap):
+    monkeypatch.setattr(X, "OVERLAP", overlap)
+    r = random.Random(4)
+
+    def table():
+        rows, columns = r.randint(0, 6), r.randint(0, 6)
+        some = lambda n: r.choice([None, -1, 0, 1, 1, 1, 2, 3, 50])
+        cell = lambda: {"row_index": r.randint(-1, rows), "column_index": r.randint(-1, columns), "row_span": some(rows), "column_span": some(columns), "content": r.choice([None, "a", "b<i>c</i>"]), "kind": r.choice([None, "content", "rowHeader"])}
+        return {"row_count": rows, "column_count": columns, "cells": [cell() for _ in range(r.randint(0, 12))]}
+
+    tables = [(k, [table()]) for k in range(200)]
+    df = spark.createDataFrame(tables, T.StructType([T.StructField("k", T.IntegerType()), T.StructField("t", X.LAYOUT)]))
+    got = {x.k: x.html for x in df.select("k", X.layout_to_html(F.col("t")).alias("html")).collect()}
+    assert got == {k: painted(t) for k, (t,) in tables}
+
+
+def test_large_layouts_are_quick(spark):
+    """1,000 x 50 cells, and 2,000 cells that each span all of 200 x 50."""
+    n = F.sequence(F.lit(0), F.lit(49_999))
+    cell = lambda r, c, span, k: F.struct(r.cast("int").alias("row_index"), c.cast("int").alias("column_index"), F.lit(span).alias("row_span"), F.lit(span).alias("column_span"), k.cast("string").alias("content"), F.lit("content").alias("kind"))
+    wide = F.struct(F.lit(1000).alias("row_count"), F.lit(50).alias("column_count"), F.transform(n, lambda k: cell(F.floor(k / 50), k % 50, 1, k)).alias("cells"))
+    deep = F.struct(F.lit(200).alias("row_count"), F.lit(50).alias("column_count"), F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: cell(F.lit(0), F.lit(0), 500, k)).alias("cells"))
+    spark.range(1).select(X.layout_to_html(F.array(deep))).collect()
+    began = time.perf_counter()
+    html = spark.range(1).select(X.layout_to_html(F.array(wide))).first()[0]
+    assert time.perf_counter() - began < 10
+    assert html == "<table>" + "".join("<tr>" + "".join(f"<td>{50 * r + c}</td>" for c in range(50)) + "</tr>" for r in range(1000)) + "</table>"
+
+
 def test_unknown_family(spark):
     assert spark.createDataFrame([("x", "y")], "f string, p string").select(X.payload_to_html(F.col("f"), F.col("p"))).first()[0] is None
 

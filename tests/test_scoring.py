@@ -1,13 +1,14 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from test_tables import EX1, EX2, html
 
-from tablescore.functions.align import content_score, row_alignment
+from tablescore.functions.align import best_alignment, content_score, row_alignment
 from tablescore.functions.edits import edit_distance
 from tablescore.functions.tables import compared
-from tablescore.operators.scoring import align_rows, aligned, by_cost, canonical_html, comparable, score_tables
+from tablescore.operators.scoring import align_rows, aligned, by_cost, canonical_html, comparable, row_alignment_score, row_pairs, score_tables
 
 
 def semi_global(n, m, match, gap):
@@ -51,6 +52,45 @@ def test_content_score_equals_brute_force(spark, pairs):
         assert got[k][1] == pytest.approx(got[k][0], abs=1e-9)
 
 
+def test_rows_that_repeat_are_scored_alike(spark, pairs):
+    """Every pair of rows, with and without repeats, and the alignment of all rows."""
+    ready = [(k, [[compared(c) for c in x] for x in a * (1 + k % 3)], [[compared(c) for c in x] for x in b * (1 + k % 2)]) for k, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame([*ready, (-1, [], [["a"]]), (-2, [["a"]], [])], "k int, a array<array<string>>, b array<array<string>>")
+    rows = {k: (a, b) for k, a, b in ready}
+    match = lambda x, y: 5 + semi_global(len(x), len(y), lambda i, j: like(x[i], y[j]), 1)
+    got = {(r.k, r.i, r.j): r.match for r in row_pairs(df, ["k"], "a", "b").collect()}
+    assert set(got) == {(k, i, j) for k, (a, b) in rows.items() for i in range(len(a)) for j in range(len(b))}
+    for (k, i, j), value in got.items():
+        assert value == pytest.approx(match(rows[k][0][i], rows[k][1][j]), abs=1e-9)
+    best = {r.k: r.best for r in row_alignment_score(df, ["k"], "a", "b").collect()}
+    for k, (a, b) in rows.items():
+        assert best[k] == pytest.approx(semi_global(len(a), len(b), lambda i, j, a=a, b=b: match(a[i], b[j]), 3), abs=1e-9)
+    assert best[-1] == best[-2] == 0
+
+
+def test_row_pairs_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, [["a"]], [["b"]])], "k int, a array<array<string>>, b array<array<string>>")
+    for x in (row_pairs(df, ["k"], "a", "b"), row_alignment_score(df, ["k"], "a", "b")):
+        assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (1, 9), (9, 1), (17, 33), (64, 64)])
+def test_alignment_of_any_width(spark, n, m):
+    r = random.Random(n * 100 + m)
+    values = [[r.randint(-8, 8) / 4 for _ in range(m)] for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "m array<array<double>>")
+    for gap in (1.0, 3.0):
+        assert df.select(best_alignment(F.col("m"), gap)).first()[0] == pytest.approx(semi_global(n, m, lambda i, j: values[i][j], gap), abs=1e-9)
+
+
+def test_a_wide_alignment_is_quick(spark):
+    n = F.sequence(F.lit(1), F.lit(200))
+    df = spark.range(1).select(F.transform(n, lambda i: F.transform(n, lambda j: (i * 7 + j * 13) % 17 / 8.0 - 1)).alias("m"))
+    began = time.perf_counter()
+    assert df.select(best_alignment(F.col("m"), 1.0)).first()[0] > 0
+    assert time.perf_counter() - began < 10
+
+
 def test_html_scores(spark, pairs):
     df = spark.createDataFrame([(k, html(a), html(b)) for k, (a, b) in enumerate(pairs)], "k int, gt_html string, pred_html string")
     for r in by_cost(score_tables(df, metrics=("levenshtein", "teds", "unknown")), 3).collect():
