@@ -5,7 +5,7 @@ Each task adds its n-grams up, and sends what it adds to the cells (never the n-
 tasks that own a chunk merge these sketches. Counters stop at the threshold, so a merged sketch comes down
 to one bit a cell: whether the cell has reached it. An n-gram's estimate, the lesser of its two cells, is
 never below its count, so all that occur often enough pass. The second pass sends only n-grams that pass,
-added up by task, and counts them exactly. Whatever a phrase is scored with (its parts) or subsumed by
+added up by task, packed by bucket and language, and adds them up exactly. Whatever a phrase is scored with (its parts) or subsumed by
 occurs as often as the phrase or is a candidate itself, so it has passed too.
 
 Cells follow the bytes of text (one for CELL_BYTES) up to MOST_CELLS for each row; the bits that are
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget, partitions, slices
+from .common import cut, partitions, slices
 
 LEAST, LONGEST, TOP = 10, 3, 2_000
 #: Percentage of a phrase's occurrences that a longer one needs to subsume it.
@@ -44,6 +44,8 @@ ROWS = 2
 CHUNK_CELLS = 1 << 16
 #: Bytes of text cut into words at a time, and n-grams that a task adds up before it sends them.
 CHUNK, HELD = 2 << 20, 3_000_000
+#: Bytes of phrases that a task puts together at a time, and phrases that wait until they are added to those before.
+SENT_BYTES, FOLDED = 64 << 20, 1 << 20
 #: Bits of a word's number in an n-gram's key; a task begins its numbers anew at so many words or bytes of them.
 WORD_BITS = 21
 MOST_WORDS, MOST_BYTES = 1_500_000, 64 << 20
@@ -78,7 +80,7 @@ class Words:
 
     def __init__(self):
         self.by_lang: dict[str, Numbers] = {}
-        self.texts, self.langs, self.new, self.size = [b""], [""], [0], 0
+        self.texts, self.langs, self.new, self.size = [b""], [None], [0], 0
         self.hashes = np.empty(0, dtype=np.uint64)
 
     @property
@@ -221,26 +223,53 @@ def frequent_cells(texts: DataFrame, n: int, least: int) -> np.ndarray:
     return bits
 
 
-def survivors(texts: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
-    """(lang, words, phrase, f): n-grams that pass the sketch, added up by task; 0 words and no phrase: the number of all words."""
+def pack(codec: zstandard.ZstdCompressor, counts: np.ndarray, phrases: bytes | memoryview) -> bytes:
+    """Counts and as many phrases, each of which a line end follows."""
+    return codec.compress(b"".join((len(counts).to_bytes(8, "little"), counts.astype("<i8").tobytes(), phrases)))
+
+
+def unpack(codec: zstandard.ZstdDecompressor, data: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = codec.decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    text = np.frombuffer(raw, dtype=np.uint8, offset=8 + 8 * n)
+    offsets = np.concatenate([[0], np.flatnonzero(text == ord("\n")) + 1]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes())]), np.frombuffer(raw, dtype="<i8", count=n, offset=8)
+
+
+def survivors(texts: DataFrame, bits: np.ndarray, n: int, buckets: int) -> DataFrame:
+    """(bucket, lang, packed): n-grams that pass the sketch, added up by task and dealt out by hash, and the number of all words as that of the empty phrase."""
     held = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, total = ["lang", "words", "phrase", "f"], {}
+        codec, total = zstandard.ZstdCompressor(level=1), {}
 
-        def send(words: Words, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "lang", "packed"])
+
+        def some(words: Words, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
             mask = (1 << WORD_BITS) - 1
             used, spot = np.unique(np.concatenate([keys >> (WORD_BITS * (LONGEST - 1 - k)) & mask for k in range(LONGEST)]), return_inverse=True)
-            texts = pa.array([words.texts[i] for i in used.tolist()], pa.binary())
-            langs = pa.array([words.langs[i] for i in used.tolist()], pa.string())
             spot = spot.reshape(LONGEST, -1)
+            inner, last = (pa.array([words.texts[i] + end for i in used.tolist()], pa.large_binary()) for end in (b"", b"\n"))
+            langs = list(words.by_lang)
+            number = {lang: k for k, lang in enumerate(langs)}
+            lang = np.array([number.get(words.langs[i], 0) for i in used.tolist()])[spot[0]]
             size = sum((used[s] > 0).astype(np.int32) for s in spot)
-            for k in range(1, LONGEST + 1):
-                at = np.flatnonzero(size == k)
-                for some in (at[i : i + 200_000] for i in range(0, len(at), 200_000)):
-                    each = [texts.take(pa.array(spot[j][some])) for j in range(k)]
-                    phrase = each[0] if k == 1 else pc.binary_join_element_wise(*each, b" ")
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(spot[0][some])), pa.array(np.full(len(some), k, dtype=np.int32)), phrase.cast(pa.string()), pa.array(counts[some])], names=names)
+            at = [np.flatnonzero(size == k) for k in range(1, LONGEST + 1)]
+            phrases = pa.concat_arrays([pc.binary_join_element_wise(*(inner.take(pa.array(spot[j][i])) for j in range(k - 1)), last.take(pa.array(spot[k - 1][i])), pa.scalar(b" ", pa.large_binary())) for k, i in enumerate(at, 1)])
+            at = np.concatenate(at)
+            order = np.lexsort((keys[at], lang[at], bucket[at]))
+            phrases, at = phrases.take(pa.array(order)), at[order]
+            edge = np.flatnonzero(np.diff(bucket[at], prepend=-1) | np.diff(lang[at], prepend=-1))
+            offsets, text = np.frombuffer(phrases.buffers()[1], dtype=np.int64), memoryview(phrases.buffers()[2])
+            yield batch([(int(bucket[at[i]]), langs[lang[at[i]]], pack(codec, counts[at[i:j]], text[offsets[i] : offsets[j]])) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True)])
+
+        def send(words: Words, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = (words.hash(keys) >> np.uint64(40)).astype(np.int64) % buckets
+            size = np.array([len(x) for x in words.texts])
+            ends = np.cumsum(sum(size[keys >> (WORD_BITS * k) & ((1 << WORD_BITS) - 1)] for k in range(LONGEST)) + LONGEST) // SENT_BYTES
+            for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(ends)) + 1):
+                yield from some(words, keys[part], counts[part], bucket[part])
 
         sums = Sums(send)
         for lang, words in by_language(batches, lambda: sums.words):
@@ -251,10 +280,41 @@ def survivors(texts: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
                 passes &= held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
             yield from sums.add(keys[passes], counts[passes])
         yield from sums.flush()
-        k = len(total)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(np.zeros(k, dtype=np.int32)), pa.array([""] * k, pa.string()), pa.array(list(total.values()), pa.int64())], names=names)
+        if total:
+            yield batch([(0, lang, pack(codec, np.array([k]), b"\n")) for lang, k in total.items()])
+
+    return texts.mapInArrow(run, "bucket int, lang string, packed binary")
 
-    return texts.mapInArrow(run, "lang string, words int, phrase string, f long")
+
+def added_up(packed: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(lang, words, phrase, f) of packed(): phrases with f >= least, and the number of all words as the empty phrase of 0 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, known, pending = zstandard.ZstdDecompressor(), {}, {}
+
+        def fold(lang: str) -> None:
+            t = pa.concat_tables([known[lang], *pending.pop(lang)]) if lang in known else pa.concat_tables(pending.pop(lang))
+            known[lang] = t.group_by("phrase").aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+
+        waiting: dict[str, int] = {}
+        for b in batches:
+            for lang, data in zip(b.column("lang").to_pylist(), b.column("packed"), strict=True):
+                phrases, counts = unpack(codec, data.as_py())
+                pending.setdefault(lang, []).append(pa.table({"phrase": phrases, "f": pa.array(counts)}))
+                waiting[lang] = waiting.get(lang, 0) + len(counts)
+                if waiting[lang] > max(FOLDED, known[lang].num_rows if lang in known else 0):
+                    fold(lang)
+                    waiting[lang] = 0
+        for lang in list(pending):
+            fold(lang)
+        for lang, t in known.items():
+            t = t.filter(pc.or_(pc.greater_equal(t["f"], least), pc.equal(t["phrase"], pa.scalar(b"\n", pa.large_binary()))))
+            for x in t.to_batches(max_chunksize=100_000):
+                phrase = pc.utf8_rtrim(x.column("phrase").cast(pa.large_string()), "\n").cast(pa.string())
+                words = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), words.cast(pa.int32()), phrase, x.column("f")], names=["lang", "words", "phrase", "f"])
+
+    return packed.repartitionById(buckets, "bucket").select("lang", "packed").mapInArrow(run, "lang string, words int, phrase string, f long")
 
 
 def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -262,8 +322,8 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
-    found = survivors(texts, frequent_cells(texts, n, least), n)
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
+    buckets = partitions(docs.sparkSession)
+    return added_up(survivors(texts, frequent_cells(texts, n, least), n, buckets), least, buckets)
 
 
 def score_of(a: str, l: str, r: str):
