@@ -141,11 +141,6 @@ def compared_grids(a: str, b: str) -> tuple[list[list[str]], list[list[str]]]:
     return ga, gb
 
 
-def blank_label(label: str | None) -> bool:
-    """Whether the part of a node label before the first pipe is blank."""
-    return not (label or "").split("|")[0].strip()
-
-
 def content_tokens(cell: Node) -> list[str]:
     """Characters of a cell, with one token for each start and end of inline markup."""
     out: list[str] = []

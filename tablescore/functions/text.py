@@ -55,3 +55,8 @@ def normalised_cell(x: Column) -> Column:
     """A cell as it is compared: without any white space and ASCII hyphens; null as empty. Character references are
     resolved where grids are built, as Spark has no function for them."""
     return F.coalesce(F.regexp_replace(x, rf"(?U)(?:{SPACE}|-)+", ""), F.lit(""))
+
+
+def blank_label(label: Column) -> Column:
+    """Whether the part of a node label before the first pipe is blank; that of a null is."""
+    return strip(F.split_part(F.coalesce(label, F.lit("")), F.lit("|"), F.lit(1))) == ""

@@ -119,7 +119,7 @@ def records(extracted: DataFrame, metrics: tuple[str, ...] = ("levenshtein", "te
     error = F.when(~ok, F.coalesce(F.col("error"), F.when(F.col("pred_html") == "", "empty result").otherwise("no result")))
     values = {
         "processor": F.col("family"), "grading_time": grading, "total_time": F.col("processing_time") + grading, "result": F.when(ok, F.col("pred_html")), "error": error,
-        "scores": F.when(ok, F.col("scores")), "timestamp": F.unix_micros(F.current_timestamp()) / 1e6, "success": ok,
+        "scores": F.when(ok, F.struct("scores.levenshtein", "scores.teds")), "timestamp": F.unix_micros(F.current_timestamp()) / 1e6, "success": ok,
     }
     return s.select(*(values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RUN))
 

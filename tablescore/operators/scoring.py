@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,6 @@ from ..functions.align import ROW_GAP, best_alignment, content_score, row_matche
 from ..functions.edits import edit_distance
 from ..functions.tables import canonical, compared, compared_grids, grid, tree_score
 
-METRICS = ("levenshtein", "teds")
 GRID = T.ArrayType(T.ArrayType(T.StringType()))
 PREPARED = T.StructType([T.StructField("truth", GRID), T.StructField("guess", GRID), T.StructField("teds", T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())])
 #: What a row's markup can raise: it costs that row its score, never the job.
@@ -104,20 +104,48 @@ def prepared(trees: bool):
     return run
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A score as a column of a prepared pair: a struct of truth and guess (grids as they are compared, of one width),
+    teds (the tree score, if trees), error and seconds."""
+
+    column: Callable[[Column], Column]
+    trees: bool = False
+
+
+#: Metrics by name. The first two are always among the scores, null if not asked for.
+METRICS = {"levenshtein": Metric(lambda p: content_score(p["truth"], p["guess"])), "teds": Metric(lambda p: p["teds"], trees=True)}
+STANDARD = ("levenshtein", "teds")
+
+
+def register_metric(name: str, column: Callable[[Column], Column], trees: bool = False) -> None:
+    """A further metric, or another one of the same name; it can be asked for by name from then on."""
+    METRICS[name] = Metric(column, trees)
+
+
+def cell_agreement(p: Column) -> Column:
+    """Share of the positions of the larger grid that have the same cell in both."""
+    equal = F.zip_with(p["truth"], p["guess"], lambda r, s: F.aggregate(F.zip_with(r, s, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))))
+    places = F.greatest(F.size(p["truth"]), F.size(p["guess"])) * F.size(F.get(p["truth"], F.lit(0)))
+    one_blank = F.least(F.size(p["truth"]), F.size(p["guess"])) == 0
+    return F.when(p["truth"].isNotNull() & p["guess"].isNotNull(), F.when(one_blank, 0.0).otherwise(F.aggregate(equal, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))) / places))
+
+
 def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_html", metrics: Sequence[str] = ("levenshtein",), timed: bool = False) -> DataFrame:
-    """pairs with scores, a struct of the two metrics, and score_error; with timed also grading_seconds, the wall time of
-    parsing both sides, building their grids and comparing their trees.
+    """pairs with scores, a struct of the two standard metrics and of the others that are asked for, and score_error; with
+    timed also grading_seconds, the wall time of parsing both sides, building their grids and comparing their trees.
 
-    A metric that is not asked for is null, unknown names are passed over. A metric that cannot be
+    A standard metric that is not asked for is null, unknown names are passed over. A metric that cannot be
     computed is 0 and leaves the reason in score_error. Where truth or prediction is null, so are the
     scores. Scoring needs no shuffle: a pair is a row.
     """
+    asked = [m for m in dict.fromkeys(metrics) if m in METRICS]
     # The array of one keeps Spark from merging the expressions that make the inputs into the Python call, which it
     # cannot take out of the plan if they hold nested lambdas, as those of converters do.
     p = pairs.select("*", F.explode(F.array(F.struct(F.col(truth).alias("truth"), F.col(guess).alias("guess")))).alias("scored_pair"))
-    p = p.withColumn("prepared", prepared("teds" in metrics)(F.col("scored_pair.truth"), F.col("scored_pair.guess")))
-    content = content_score(F.col("prepared.truth"), F.col("prepared.guess")) if "levenshtein" in metrics else F.lit(None).cast("double")
-    scores = F.struct(content.alias("levenshtein"), F.col("prepared.teds").alias("teds"))
+    p = p.withColumn("prepared", prepared(any(METRICS[m].trees for m in asked))(F.col("scored_pair.truth"), F.col("scored_pair.guess")))
+    value = lambda m: METRICS[m].column(F.col("prepared")) if m in asked else F.lit(None)
+    scores = F.struct(*(value(m).cast("double").alias(m) for m in dict.fromkeys((*STANDARD, *asked))))
     p = p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error"))
     return (p.withColumn("grading_seconds", F.col("prepared.seconds")) if timed else p).drop("prepared", "scored_pair")
 

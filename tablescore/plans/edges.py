@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.align import content_score
-from ..functions.tables import blank_label
+from ..functions.text import blank_label
 from ..operators import converters as X
 from ..operators.requests import SYSTEM_PROMPT, called, request
-from ..operators.runs import Fatal, Retry, attempts, records
-from ..operators.scoring import align_rows, canonical_html, comparable, html_grid, score_tables
-from ..sources.files import read_runs, samples, sending_plan, write_runs
-from .fixtures import WRONG, order_tables, plain_html, table
-from .queries import PLAIN, ROWS, query, six
+from ..operators.runs import Fatal, Retry, attempts, records, replayed
+from ..operators.scoring import align_rows, canonical_html, cell_agreement, comparable, html_grid, register_metric, score_tables
+from ..sources.files import DEFAULT_IMAGES, DEFAULT_TRUTHS, read_runs, samples, sending_plan, write_runs
+from ..sources.stores import materialised, read_payloads, shared_folder, write_files, write_payloads
+from .fixtures import WRONG, order_tables, plain_html, scored_pairs, table
+from .queries import PLAIN, ROWS, SIZES, query, six
 
 
 def next_cell(j: int) -> str:
@@ -57,75 +57,98 @@ def l6_alignment_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("l_orderkey", shown(F.col("t.a")).alias("a"), shown(F.col("t.b")).alias("b"), F.round("t.score", 4).alias("score"))
 
 
-def written(spark: SparkSession, files: dict[str, bytes]) -> str:
-    """A new folder in the warehouse, which all executors share, with these files."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/files-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    for name, content in files.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(content))
-        out.close()
+def supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    """An image and a truth for each supplier, but for every fifth, which has no truth; and what is neither. Tasks write them."""
+    s = table(spark, sf_dir, "supplier").withColumn("key", F.col("s_suppkey").cast("string"))
+    suffix = F.get(F.array(*map(F.lit, ("png", "jpg", "jpeg", "gif"))), F.pmod("s_suppkey", F.lit(4)).cast("int"))
+    truth = F.concat(F.lit("\n  <table><tr><td>"), "s_name", F.lit("</td></tr></table>\n"))
+    file = lambda name, content: F.struct(name.alias("file"), content.alias("content"))
+    found = F.array(
+        file(F.concat(F.lit("img/"), "key", F.lit("."), suffix), F.col("s_name")),
+        file(F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("gt/"), "key", F.lit(".html"))), truth),
+        file(F.concat(F.lit("img/more/"), "key", F.lit(".png")), F.lit("nested")),
+        file(F.concat(F.lit("img/"), "key", F.lit(".txt")), F.lit("x")),
+    )
+    folder = shared_folder(spark)
+    write_files(s.select(F.inline(found)).where("file is not null"), folder)
     return folder
 
 
-def nation_files(spark: SparkSession, sf_dir: str) -> str:
-    """An image and a truth for each nation, but for every fifth, which has no truth; and what is neither."""
-    files: dict[str, bytes] = {"img/notes.txt": b"x", "img/more/0.png": b"nested", "gt/other.html": b"<table></table>"}
-    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
-        files[f"img/{r.n_nationkey}.{('png', 'jpg', 'jpeg', 'gif')[r.n_nationkey % 4]}"] = r.n_name.encode()
-        if r.n_nationkey % 5:
-            files[f"gt/{r.n_nationkey}.html"] = f"\n  <table><tr><td>{r.n_name}</td></tr></table>\n".encode()
-    return written(spark, files)
+SUPPLIERS = "select s_suppkey as k, s_name as name, s_suppkey % 4 as kind from supplier where s_suppkey % 5 <> 0"
 
 
-NATIONS = "select n_nationkey as k, n_name as name, n_nationkey % 4 as kind from nation where n_nationkey % 5 <> 0"
-
-
-@query(f"select k::varchar as stem, length(name) as bytes, '<table><tr><td>' || name || '</td></tr></table>' as gt_html, ['png', 'jpg', 'jpeg'][(kind + 1)::int] as suffix from ({NATIONS}) where kind < 3")
+@query(f"select k::varchar as stem, length(name) as bytes, '<table><tr><td>' || name || '</td></tr></table>' as gt_html, ['png', 'jpg', 'jpeg'][(kind + 1)::int] as suffix from ({SUPPLIERS}) where kind < 3")
 def s1_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of a folder with their truths, stripped; other files, subfolders and images without truth are passed over."""
-    top = nation_files(spark, sf_dir)
-    return samples(spark, f"{top}/img", f"{top}/gt").select("stem", F.length("content").cast("long").alias("bytes"), "gt_html", F.regexp_extract("image_path", r"[^.]*$", 0).alias("suffix"))
-
-
-@query("select '1' as stem, n_name as content from nation where n_nationkey = 1")
-def s4_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image and one truth instead of folders."""
-    top = nation_files(spark, sf_dir)
-    return samples(spark, f"{top}/img/1.jpg", f"{top}/gt/1.html").select("stem", F.decode("content", "utf-8").alias("content"))
-
-
-LOGGED = """
-select event_type || '/x' as model, case when user_id % 7 = 0 then 'error' else 'result' end as outcome, 'vision_' || event_type || '_x' as folder, count(*) as runs, count(*) filter (where user_id % 7 <> 0) as graded,
-count(*) filter (where user_id % 7 = 0) as errors from events group by all"""
-
-
-@query(LOGGED)
-def s5_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run records written to a folder for each model and outcome, and read again."""
+    top = supplier_files(spark, sf_dir)
+    found = samples(spark, f"{top}/img", f"{top}/gt").select("stem", F.length("content").cast("long").alias("bytes"), "gt_html", F.regexp_extract("image_path", r"[^.]*$", 0).alias("suffix"))
+    return materialised(found, top)
+
+
+@query(f"select k::varchar as stem, name as content, '<table><tr><td>' || name || '</td></tr></table>' as gt_html, mode from ({SUPPLIERS}), (select unnest(['single', 'default']) as mode) where k = (select min(k) from ({SUPPLIERS}) where kind = 1)")
+def s4_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image and one truth instead of folders, of unlike names; and the folders that the session names, of which one pair is shown."""
+    top = supplier_files(spark, sf_dir)
+    least = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0 and s_suppkey % 4 = 1").agg(F.min("s_suppkey")).first()[0]
+    write_files(table(spark, sf_dir, "supplier").where(F.col("s_suppkey") == least).select(F.lit("other.html").alias("file"), F.concat(F.lit("<table><tr><td>"), "s_name", F.lit("</td></tr></table>")).alias("content")), f"{top}/one")
+    shown = lambda d, mode: d.select("stem", F.decode("content", "utf-8").alias("content"), "gt_html", F.lit(mode).alias("mode"))
+    single = shown(samples(spark, f"{top}/img/{least}.jpg", f"{top}/one/other.html"), "single")
+    spark.conf.set(DEFAULT_IMAGES, f"{top}/img")
+    spark.conf.set(DEFAULT_TRUTHS, f"{top}/gt")
+    default = shown(samples(spark).where(F.col("stem") == str(least)), "default")
+    spark.conf.unset(DEFAULT_IMAGES)
+    spark.conf.unset(DEFAULT_TRUTHS)
+    return materialised(single.unionByName(default), top)
+
+
+def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as run records; each seventh user's answer is missing."""
     e = table(spark, sf_dir, "events")
     html = F.concat(F.lit("<table><tr><td>"), F.col("event_type"), F.lit("</td></tr></table>"))
-    x = e.select(F.lit("vision").alias("family"), F.concat("event_type", F.lit("/x")).alias("model"), F.lit("i").alias("image_path"), F.lit("g").alias("ground_truth_path"), html.alias("gt_html"), F.when(F.col("user_id") % 7 != 0, html).alias("pred_html"), F.lit(None).cast("string").alias("error"), F.col("value").alias("processing_time"))
-    path = written(spark, {}) + "/log"
-    write_runs(records(x), path)
-    log = read_runs(spark, path).withColumn("path", F.input_file_name())
-    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
-    return log.groupBy("model", part("outcome").alias("outcome"), part("folder").alias("folder")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("success") & (F.col("scores.teds") == 1)).alias("graded"), F.count("error").alias("errors"))
+    x = e.select(F.lit("vision").alias("family"), F.concat("event_type", F.lit("/x")).alias("model"), F.col("event_id").cast("string").alias("image_path"), F.lit("g").alias("ground_truth_path"), html.alias("gt_html"), F.when(F.col("user_id") % 7 != 0, html).alias("pred_html"), F.lit(None).cast("string").alias("error"), F.col("value").alias("processing_time"))
+    return records(x)
 
 
-@query(f"select 'm' as model, count(*) filter (where k % 2 = 0) as successes, count(*) as runs, count(*) filter (where k % 2 = 1) as errors from ({NATIONS}) where kind < 3")
+@query("""
+with r as (select event_type || '/x' as model, case when user_id % 7 = 0 then 'error' else 'result' end as outcome, user_id from events)
+select model, 'vision_' || replace(model, '/', '_') || '_' || outcome || '.json' as file, count(*) as runs, count(*) filter (where user_id % 7 <> 0) as graded, count(*) filter (where user_id % 7 = 0) as errors from r
+where model <> 'view/x' or outcome = 'result' group by all""")
+def s5_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records in a file for each model and outcome. One model runs again without a failure: its files are replaced, and the one with its errors goes."""
+    path, runs = shared_folder(spark), logged_runs(spark, sf_dir)
+    write_runs(runs, path)
+    write_runs(runs.where("model = 'view/x' and success"), path)
+    log = read_runs(spark, path).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+    return materialised(log.groupBy("model", "file").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("success") & (F.col("scores.teds") == 1)).alias("graded"), F.count("error").alias("errors")), path)
+
+
+@query(PLAIN + " select l_orderkey, 'markdown' as family, html, 1.0::double as seconds from h where l_orderkey % 3 <> 0")
+def s10_recorded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three families in a store, of which one family's are read and converted; every third failed."""
+    o = order_tables(spark, sf_dir)
+    line = F.array_join(F.transform("grid", lambda r: F.concat(F.lit("|"), F.array_join(r, "|"), F.lit("|"))), "\n")
+    answer = lambda family, x: F.struct(F.lit(family).alias("family"), x.alias("payload"))
+    answers = F.array(answer("markdown", F.to_json(F.struct(F.array(F.struct(line.alias("markdown"))).alias("pages")))), answer("vision", plain_html(F.col("grid"))), answer("pages", F.lit("{}")))
+    rows = o.select(F.col("l_orderkey").cast("string").alias("stem"), F.lit("m").alias("model"), F.when(F.col("l_orderkey") % 3 == 0, "busy").otherwise("ok").alias("status"), F.lit(1.0).alias("seconds"), F.inline(answers))
+    path = shared_folder(spark)
+    write_payloads(rows, path)
+    pairs = o.select(F.col("l_orderkey").cast("string").alias("stem"), "l_orderkey")
+    found = replayed(pairs, read_payloads(spark, path).where("family = 'markdown'")).where("error is null")
+    return materialised(found.select("l_orderkey", "family", F.col("pred_html").alias("html"), F.col("processing_time").alias("seconds")), path)
+
+
+@query(f"select 'm' as model, count(*) filter (where k % 2 = 0) as successes, count(*) as runs, count(*) filter (where k % 2 = 1) as errors from ({SUPPLIERS}) where kind < 3")
 def s18_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way from folders and recorded answers to the log, by the command line; every other answer failed."""
+    """The whole way from folders and a store of answers to the log, by the command line; every other answer failed."""
     from ..cli import main
 
-    top = nation_files(spark, sf_dir)
-    rows = table(spark, sf_dir, "nation").collect()
-    lines = [{"stem": str(r.n_nationkey), "family": "vision", "model": "m", "payload": f"```html\n<table><tr><td>{r.n_name}</td></tr></table>\n```", "status": "busy" if r.n_nationkey % 2 else "ok", "seconds": 1.0} for r in rows]
-    recorded = written(spark, {"p.json": "\n".join(map(json.dumps, lines)).encode()})
-    main(["--image", f"{top}/img", "--ground-truth", f"{top}/gt", "--payloads", f"{recorded}/p.json", "--output", f"{top}/log", "--workers", "2"], spark)
+    top = supplier_files(spark, sf_dir)
+    html = F.concat(F.lit("```html\n<table><tr><td>"), "s_name", F.lit("</td></tr></table>\n```"))
+    answers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("stem"), F.explode(F.array(F.lit("vision"), F.lit("markdown"))).alias("family"), F.lit("m").alias("model"), html.alias("payload"), F.when(F.col("s_suppkey") % 2 == 1, "busy").otherwise("ok").alias("status"), F.lit(1.0).alias("seconds"))
+    write_payloads(answers, f"{top}/answers")
+    main(["--image", f"{top}/img", "--ground-truth", f"{top}/gt", "--payloads", f"{top}/answers", "--family", "vision", "--output", f"{top}/log"], spark)
     log = read_runs(spark, f"{top}/log")
-    return log.groupBy("model").agg(F.count_if(F.col("success") & (F.col("scores.levenshtein") == 1)).alias("successes"), F.count(F.lit(1)).alias("runs"), F.count("error").alias("errors"))
+    return materialised(log.groupBy("model").agg(F.count_if(F.col("success") & (F.col("scores.levenshtein") == 1)).alias("successes"), F.count(F.lit(1)).alias("runs"), F.count("error").alias("errors")), top)
 
 
 def quoted(x: str) -> str:
@@ -283,11 +306,17 @@ def l3_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", comparable(F.concat("p_name", F.lit(" &amp;&eacute;&#60; - "), "p_type")).alias("cell"))
 
 
-@query(ROWS + ", k as (select l_orderkey from l group by l_orderkey) select l_orderkey, 1.0::double as levenshtein, null::double as teds from k")
+@query(SIZES + """,
+n as (select l_orderkey, (a = lead(a) over w)::int + (b = lead(b) over w)::int + (c = lead(c) over w)::int + (d = lead(d) over w)::int as same from l window w as (partition by l_orderkey order by i)),
+e as (select l_orderkey, coalesce(sum(same), 0) as shifted from n group by l_orderkey)
+select l_orderkey, kind, round(levenshtein, 6) as levenshtein, null::double as teds,
+  round(case when kind = 'first row dropped' and r > 1 then shifted / (4 * r) when kind = 'last row dropped' and r > 1 then (r - 1) / r when kind = 'row added' then r / (r + 1) when kind = 'wrong cell' then 1 - 1 / (4 * r) else 1 end, 6) as agreement
+from s join k using (l_orderkey, kind) join e using (l_orderkey)""")
 def m4_metric_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metric that is not asked for is null, an unknown name is passed over."""
-    o = order_tables(spark, sf_dir).select("l_orderkey", plain_html(F.col("grid")).alias("gt_html"), plain_html(F.col("grid")).alias("pred_html"))
-    return score_tables(o, metrics=("levenshtein", "bleu")).select("l_orderkey", "scores.levenshtein", "scores.teds")
+    """A metric that is not asked for is null, an unknown name is passed over, and a third metric comes by registration."""
+    register_metric("agreement", cell_agreement)
+    s = score_tables(scored_pairs(spark, sf_dir), metrics=("levenshtein", "bleu", "agreement"))
+    return s.select("l_orderkey", "kind", six(F.col("scores.levenshtein")).alias("levenshtein"), "scores.teds", six(F.col("scores.agreement")).alias("agreement"))
 
 
 @query(PLAIN + " select l_orderkey, replace(html, '<table>', '<table><tr><td>---</td><td>:-:</td><td>---</td><td>---</td></tr>') as html from h")
@@ -311,5 +340,5 @@ def s9_sending_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_partkey, p_size % 2 = 0 as blank from part")
 def t7_blank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the part of a label before its first pipe is blank."""
-    blank = F.udf(blank_label, "boolean")
-    return table(spark, sf_dir, "part").select("p_partkey", blank(F.concat(F.when(F.col("p_size") % 2 == 0, "  ").otherwise("td"), F.lit("|"), "p_name")).alias("blank"))
+    label = F.concat(F.when(F.col("p_size") % 2 == 0, "  ").otherwise("td"), F.lit("|"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", blank_label(label).alias("blank"))

@@ -323,9 +323,10 @@ def a7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.shares(table(spark, sf_dir, "documents"), "lang").withColumn("share", six(F.col("share")))
 
 
-@query("select round(avg((quality = 1)::int), 6) as good, round(avg((toxic = 1)::int), 6) as toxic, round(avg(contains(text, '%')::int), 6) as percent, round(avg(contains(text, '|')::int), 6) as pipes from documents join labels using (doc_id)")
+@query("select round(avg((quality = 1)::int), 6) as good, round(avg((toxic = 1)::int), 6) as toxic, round(avg(contains(text, '%')::int), 6) as percent, round(avg(contains(text, '|')::int), 6) as pipes from documents left join labels using (doc_id)")
 def a8_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Labels are shares of the labelled documents, what the text shows of all."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     p = report.prevalence(d, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "percent": F.col("text").contains("%"), "pipes": F.col("text").contains("|")})
     return p.select(*(six(F.col(c)).alias(c) for c in p.columns))
 
@@ -373,4 +374,4 @@ def r7_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("model").agg(F.count_if(F.col("success") & (F.col("scores.teds") == 1)).alias("successes"), F.count(F.lit(1)).alias("runs"), six(F.avg(F.when(F.col("success") & (F.col("total_time") >= F.col("processing_time")), F.col("processing_time")))).alias("seconds"), F.count("error").alias("errors"))
 
 
-from . import edges  # noqa: E402, F401  more queries, registered by being imported
+from . import edges, structures  # noqa: E402, F401  more queries, registered by being imported

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,16 @@ def shares(samples: DataFrame, *keys: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+def breakdown(runs: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Runs, share of successes and mean scores of every set of keys in one pass: of all subsets, or of those given.
+
+    A key that a row sums over is null, and its bit in level is 1 (the last key has the lowest bit).
+    """
+    score = lambda c: F.avg(F.when(F.col("status") == "empty", 0.0).when(F.col("status") != "failed", F.col(c))).alias(c)
+    grouped = runs.cube(*keys) if sets is None else runs.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
+    return grouped.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("runs"), F.avg(F.col("success").cast("double")).alias("success_rate"), score("levenshtein"), score("teds"))
+
+
 def size_class(rows: Column, columns: Column) -> Column:
     return (
         F.when(columns == 1, "single column").when(columns > 10, "large").when(columns.between(3, 6) & rows.between(5, 15), "medium").when((rows < 5) & (columns <= 6), "small").otherwise("other")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import stem, strip
+from .stores import write_files
 
 IMAGES = "*.{png,jpg,jpeg}"
 SCORES = T.StructType([T.StructField("levenshtein", T.DoubleType()), T.StructField("teds", T.DoubleType())])
@@ -44,9 +45,27 @@ def required(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def samples(spark: SparkSession, images_at: str, truths_at: str) -> DataFrame:
-    """Pairs from two folders, or of two single files."""
-    return required(paired(images(spark, images_at), ground_truth(spark, truths_at)))
+def is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and not fs.getFileStatus(at).isDirectory()
+
+
+#: Settings of the session that name the samples to take where none are given.
+DEFAULT_IMAGES, DEFAULT_TRUTHS = "spark.tablescore.images", "spark.tablescore.truths"
+
+
+def samples(spark: SparkSession, images_at: str | None = None, truths_at: str | None = None) -> DataFrame:
+    """Pairs from two folders by name, or of two single files whatever their names. Without either, those of the
+    session's settings DEFAULT_IMAGES and DEFAULT_TRUTHS."""
+    if images_at is None and truths_at is None:
+        images_at, truths_at = spark.conf.get(DEFAULT_IMAGES, None), spark.conf.get(DEFAULT_TRUTHS, None)
+    if images_at is None or truths_at is None:
+        raise ValueError("images and ground truth are given together or by the session")
+    found, truths = images(spark, images_at), ground_truth(spark, truths_at)
+    if is_file(spark, images_at) and is_file(spark, truths_at):
+        truths = truths.withColumn("stem", stem(F.lit(images_at)))
+    return required(paired(found, truths))
 
 
 def encoded(content: Column) -> Column:
@@ -86,10 +105,22 @@ def recorded_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("stem string, family string, model string, payload string, status string, seconds double").json(path)
 
 
-def write_runs(runs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The run log as JSON, in a folder for each processor and outcome; slashes in names are underscores."""
-    named = runs.withColumn("folder", F.translate(F.concat_ws("_", "processor", "model"), "/", "_")).withColumn("outcome", F.when(F.col("success"), "result").otherwise("error"))
-    named.write.mode(mode).partitionBy("folder", "outcome").json(path)
+#: The part of a run log's file name that stands for a processor and a model.
+LOG_NAME = r"(.*)_(?:result|error)(?:\.\d+)?\.json"
+
+
+def write_runs(runs: DataFrame, path: str, files: int = 1) -> None:
+    """The run log as JSON lines, in a file for each processor, model and outcome; slashes in names are underscores.
+
+    The files of a processor and model are replaced as a whole when the job is done, those of others stay. A log whose
+    models have very many runs is dealt into so many files for each by image.
+    """
+    outcome = F.when(F.col("success"), "result").otherwise("error")
+    part = F.pmod(F.xxhash64("image_path"), F.lit(files))
+    number = F.when(part > 0, F.concat(F.lit("."), part.cast("string"))).otherwise("")
+    name = F.concat(F.translate(F.concat_ws("_", "processor", "model"), "/", "_"), F.lit("_"), outcome, number, F.lit(".json"))
+    rows = runs.select(name.alias("file"), F.to_json(F.struct(*RUN.names)).alias("content"))
+    write_files(rows.repartition("file").sortWithinPartitions("file"), path, "\n", LOG_NAME)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

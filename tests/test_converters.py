@@ -135,3 +135,10 @@ def test_unknown_family(spark):
 
 def test_white_space():
     assert sorted(SPACES) == [c for c in map(chr, range(0x110000)) if c.isspace()]
+
+
+def test_blank_label(spark):
+    from tablescore.functions.text import blank_label
+
+    for x, blank in ((None, True), ("", True), (" |x", True), ("a|", False), ("\u00a0|b|c", True), ("td", False)):
+        assert convert(spark, blank_label, x) is blank

@@ -300,10 +300,6 @@ def test_properties(a, b):
     assert t.tree_score(t.canonical(a), t.canonical(a)) == 1.0
 
 
-def test_blank_label():
-    assert t.blank_label(None) and t.blank_label(" |x") and not t.blank_label("a|")
-
-
 PIECE = st.sampled_from(["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", '<td rowspan="2">', '<td colspan="2">', '<td rowspan="" colspan="3">', "a", " b\n", "é", "&amp;", "<b>", "<p>"])
 
 
