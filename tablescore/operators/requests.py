@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import data_uri, encoded
+from ..sources.stores import Ledger
 from .converters import TABLE_PROMPT, payload_to_html
-from .runs import POLICIES, Fatal, call
+from .runs import POLICIES, Fatal, call, noted
 
 #: Fixed value: the role of models that see the page.
 SYSTEM_PROMPT = "You are an expert at analyzing documents and extracting table data. Extract all tables from the provided images and return them in clean HTML table format. If no tables are found, return an empty table."  # noqa: E501
@@ -85,20 +86,23 @@ class Call:
         return answer if self.refresh is None else json.dumps(polled(lambda: json.loads(answer), self.refresh, every=self.every))
 
 
-def called(samples: DataFrame, family: str, model: str, send: Callable[[str, bytes], str], prompt: str | None = None, refresh: Callable[[dict], dict] | None = None, every: float = 1.0) -> DataFrame:
+def called(samples: DataFrame, family: str, model: str, send: Callable[[str, bytes], str], prompt: str | None = None, refresh: Callable[[dict], dict] | None = None, every: float = 1.0, ledger: str | None = None) -> DataFrame:  # noqa: E501
     """samples (image_path, content, ...) with family, model, pred_html, error and processing_time; refresh asks for the
-    state of a task anew, every so many seconds."""
+    state of a task anew, every so many seconds. Slots and ledger are those of attempts()."""
     policy, slots = POLICIES[family]
     asked = samples.withColumn("request", request(family, F.col("image_path"), F.col("content"), F.lit(model), F.lit(prompt) if prompt else None))
     kept = [c for c in samples.columns if c != "content"]
     schema = ", ".join(f"`{c}` {t}" for c, t in samples.dtypes if c != "content") + ", payload string, error string, processing_time double"
 
+    book = Ledger(ledger) if ledger else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [call(lambda body=body: Call(send, body, refresh, every), c, p, policy) for body, c, p in zip(b["request"], b["content"], b["image_path"], strict=True)]
+            one = lambda body, c, p: noted(book, f"{family}/{model}\n{p}", lambda: call(lambda: Call(send, body, refresh, every), c, p, policy))
+            found = [one(*x) for x in zip(b["request"], b["content"], b["image_path"], strict=True)]
             yield b[kept].assign(payload=[f[0] for f in found], error=[f[1] for f in found], processing_time=[f[2] for f in found])
 
-    out = asked.repartition(slots).mapInPandas(run, schema)
+    out = asked.coalesce(slots).mapInPandas(run, schema)
     return out.select(*kept, F.lit(family).alias("family"), F.lit(model).alias("model"), payload_to_html(F.lit(family), F.col("payload")).alias("pred_html"), "error", "processing_time")
 
 

@@ -2,14 +2,14 @@
 
 An extractor is any object with `extract(image: bytes, path: str) -> str`; a factory of such objects
 stands for a model. Services are out of reach here, so recorded answers stand in for them
-(replayed()); attempts() runs live ones, with bounded concurrency and a retry policy of its own, so
-that a lost task repeats no more calls than it must.
+(replayed(), resolved()); attempts() runs live ones, with bounded concurrency, a retry policy of its own
+and a ledger of answers, so that a lost task repeats no more calls than it must.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import RUN
+from ..sources.stores import Ledger
 from .converters import payload_to_html
 from .scoring import score_tables
 
@@ -83,17 +84,51 @@ def call(make: Callable[[], Extractor], image: bytes, path: str, policy: Retry,
     return None, error, time.time() - began
 
 
-def attempts(samples: DataFrame, make: Callable[[], Extractor], policy: Retry = Retry(), slots: int = 1) -> DataFrame:
-    """samples (image_path, content, ...) with pred_html, error and processing_time; as many calls at a time as there are slots."""
+def noted(ledger: Ledger | None, key: str, answer: Callable[[], tuple]) -> tuple:
+    """The answer that the ledger has for a key, or a new one, which it gets."""
+    if ledger is None:
+        return answer()
+    known = ledger.get(key)
+    if known is None:
+        ledger.put(key, known := {"answer": list(answer())})
+    return tuple(known["answer"])
+
+
+def attempts(samples: DataFrame, make: Callable[[], Extractor], policy: Retry = Retry(), slots: int = 1, ledger: str | None = None, name: str = "") -> DataFrame:
+    """samples (image_path, content, ...) with pred_html, error and processing_time; as many calls at a time as there are slots.
+
+    Partitions are read one after the other in so many tasks; images are not shuffled for it. With a ledger, a folder that
+    all executors reach, each outcome is noted below name and image_path as soon as it is known, and no call is made for
+    an image that has one: a lost task repeats one call, and a run that is started again goes on where it ended.
+    """
     kept = [c for c in samples.columns if c != "content"]
     schema = ", ".join(f"`{c}` {t}" for c, t in samples.dtypes if c != "content") + ", pred_html string, error string, processing_time double"
+    book = Ledger(ledger) if ledger else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [call(make, c, p, policy) for c, p in zip(batch["content"], batch["image_path"], strict=True)]
+            found = [noted(book, f"{name}\n{p}", lambda c=c, p=p: call(make, c, p, policy)) for c, p in zip(batch["content"], batch["image_path"], strict=True)]
             yield batch[kept].assign(pred_html=[f[0] for f in found], error=[f[1] for f in found], processing_time=[f[2] for f in found])
 
-    return samples.repartition(slots).mapInPandas(run, schema)
+    return samples.coalesce(slots).mapInPandas(run, schema)
+
+
+def resolved(log: DataFrame, keys: Sequence[str], policy: Retry = Retry()) -> DataFrame:
+    """What a retry policy makes of recorded attempts (keys, attempt, result, error, fatal, seconds): keys with pred_html, error,
+    attempts (those made) and processing_time with the waits between them.
+
+    A sample's attempts are made in their order until one has no error, is fatal, or the policy's number is
+    reached; those recorded beyond that are not looked at, and no attempts are kept beyond it.
+    """
+    one = F.struct("attempt", "result", "error", F.coalesce("fatal", F.lit(False)).alias("fatal"), "seconds")
+    tried = F.slice(F.array_sort(F.collect_list(one)), 1, policy.attempts)
+    ends = F.transform("tried", lambda x: x["error"].isNull() | x["fatal"])
+    n = F.when(F.array_position(ends, True) > 0, F.array_position(ends, True)).otherwise(F.size("tried")).cast("int")
+    waits = F.lit(policy.first_wait) * (F.pow(F.lit(2.0), F.col("n") - 1) - 1)
+    last = F.element_at("tried", F.col("n"))
+    seconds = F.aggregate(F.slice("tried", 1, F.col("n")), F.lit(0.0), lambda s, x: s + x["seconds"])
+    d = log.groupBy(*keys).agg(tried.alias("tried")).withColumn("n", n)
+    return d.select(*keys, F.when(last["error"].isNull(), last["result"]).alias("pred_html"), last["error"].alias("error"), F.col("n").alias("attempts"), (seconds + waits).alias("processing_time"))
 
 
 def replayed(pairs: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from ..functions.align import content_score
 from ..functions.text import blank_label
 from ..operators import converters as X
 from ..operators.requests import SYSTEM_PROMPT, called, request
-from ..operators.runs import Fatal, Retry, attempts, records, replayed
+from ..operators.runs import Fatal, Retry, attempts, records, replayed, resolved
 from ..operators.scoring import align_rows, canonical_html, cell_agreement, comparable, html_grid, register_metric, score_tables
 from ..sources.files import DEFAULT_IMAGES, DEFAULT_TRUTHS, read_runs, samples, sending_plan, write_runs
 from ..sources.stores import materialised, read_payloads, shared_folder, write_files, write_payloads
+from ..streaming.polling import run_through, track, with_state
 from .fixtures import WRONG, order_tables, plain_html, scored_pairs, table
 from .queries import PLAIN, ROWS, SIZES, query, six
 
@@ -86,7 +87,7 @@ def s1_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select k::varchar as stem, name as content, '<table><tr><td>' || name || '</td></tr></table>' as gt_html, mode from ({SUPPLIERS}), (select unnest(['single', 'default']) as mode) where k = (select min(k) from ({SUPPLIERS}) where kind = 1)")
-def s4_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s4_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image and one truth instead of folders, of unlike names; and the folders that the session names, of which one pair is shown."""
     top = supplier_files(spark, sf_dir)
     least = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0 and s_suppkey % 4 = 1").agg(F.min("s_suppkey")).first()[0]
@@ -342,3 +343,38 @@ def t7_blank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the part of a label before its first pipe is blank."""
     label = F.concat(F.when(F.col("p_size") % 2 == 0, "  ").otherwise("td"), F.lit("|"), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", blank_label(label).alias("blank"))
+
+
+@query("""
+with a as (select user_id, row_number() over (partition by user_id order by ts, event_id) as k, event_type, value from events),
+e as (select *, min(case when event_type <> 'error' or value > 90 then k end) over (partition by user_id) as first_end, count(*) over (partition by user_id) as n_all from a where k <= 3),
+n as (select *, coalesce(first_end, least(n_all, 3)) as n from e),
+s as (select user_id, max(n) as n, sum(value) filter (where k <= n) as seconds, max(case when k = n then event_type end) as last, max(case when k = n then value end) as v from n group by user_id)
+select user_id, case when last <> 'error' then last end as pred_html, case when last = 'error' then case when v > 90 then 'no key' else 'busy' end end as error, n::int as attempts, round(seconds + 2 * (power(2, n - 1) - 1), 6) as processing_time from s""")
+def r1_recorded_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as attempts at one answer: errors are tried again, up to three attempts, unless they are refusals."""
+    e = table(spark, sf_dir, "events")
+    failed = F.col("event_type") == "error"
+    fatal = failed & (F.col("value") > 90)
+    log = e.select("user_id", F.struct("ts", "event_id").alias("attempt"), F.when(~failed, F.col("event_type")).alias("result"), F.when(fatal, "no key").when(failed, "busy").alias("error"), fatal.alias("fatal"), F.col("value").alias("seconds"))
+    return resolved(log, ["user_id"], Retry(first_wait=2.0)).withColumn("processing_time", six(F.col("processing_time")))
+
+
+@query("""
+with t as (select user_id || '/' || strftime(ts, '%Y-%m-%d') as task, ts, event_type, min(ts) over (partition by user_id, date_trunc('day', ts)) as started from events),
+e as (select task, started, min(ts) filter (where event_type in ('purchase', 'error') and ts <= started + interval 6 hour) as ended, max(event_type) filter (where false) as x from t group by task, started),
+n as (select t.task, t.started, e.ended, count(*) as looks, max(case when t.ts = e.ended and event_type = 'purchase' then 1 else 0 end) as bought from t join e using (task, started) where t.ts <= coalesce(e.ended, t.started + interval 6 hour) group by all)
+select task, strftime(started, '%Y-%m-%d %H:%M:%S.%f') as started_at, strftime(coalesce(ended, started + interval 6 hour), '%Y-%m-%d %H:%M:%S.%f') as finished_at, looks, case when ended is null then 'expired' when bought = 1 then 'completed' else 'failed' end as outcome
+from n where ended is not null or started + interval 6 hour < (select max(ts) from events)""")
+def s16_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events of a day as states of a task, as a stream: a purchase completes it, an error fails it, and a timer ends it after six hours."""
+    with_state(spark)
+    # A pattern, as the source takes any other path for a folder.
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, "ts"))
+    states = e.select(F.concat("user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("task"), at.alias("at"), F.col("event_type").alias("state"))
+    folder = shared_folder(spark)
+    found = run_through(track(states, {"purchase": "completed", "error": "failed"}, 6 * 3600.0), folder)
+    shown = lambda c: F.date_format(F.timestamp_add("MICROSECOND", F.unix_micros(c), zero), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return materialised(found.select("task", shown("started_at"), shown("finished_at"), "looks", "outcome"), folder)

@@ -7,6 +7,7 @@ moved into place file by file; a job that fails leaves what was there before.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -226,3 +227,39 @@ def is_store(path: str) -> bool:
     if fs.get_file_info(top).type != pfs.FileType.Directory:
         return False
     return any(f.type == pfs.FileType.File and f.extension == "jsonl" for f in fs.get_file_info(pfs.FileSelector(top, recursive=True)))
+
+
+class Ledger:
+    """Answers of paid calls by key, each a file of its own that is there as soon as the call is over.
+
+    A task that is run again finds what it has been answered and repeats at most the call that it died in. Two
+    attempts at a time may both call; the last answer stays. Keys are hashed, and their text is checked.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.fs = path.rstrip("/"), None
+
+    def place(self, key: str) -> str:
+        if self.fs is None:
+            self.fs, self.top = pfs.FileSystem.from_uri(self.path)
+        name = hashlib.sha256(key.encode()).hexdigest()
+        return f"{self.top}/{name[:2]}/{name}.json"
+
+    def get(self, key: str) -> dict | None:
+        at = self.place(key)
+        try:
+            with self.fs.open_input_stream(at, compression=None) as f:
+                found = json.loads(f.read())
+        except FileNotFoundError:
+            return None
+        return found["answer"] if found["key"] == key else None
+
+    def put(self, key: str, answer: dict) -> None:
+        at = self.place(key)
+        self.fs.create_dir(at.rpartition("/")[0])
+        with self.fs.open_output_stream(new := f"{at}.{uuid.uuid4().hex}", compression=None) as f:
+            f.write(json.dumps({"key": key, "answer": answer}).encode())
+        self.fs.move(new, at)
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "fs": None}
