@@ -134,7 +134,7 @@ def s10_recorded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_payloads(rows, path)
     pairs = o.select(F.col("l_orderkey").cast("string").alias("stem"), "l_orderkey")
-    found = replayed(pairs, read_payloads(spark, path).where("family = 'markdown'")).where("error is null")
+    found = replayed(pairs, read_payloads(spark, path, families=["markdown"])).where("error is null")
     return materialised(found.select("l_orderkey", "family", F.col("pred_html").alias("html"), F.col("processing_time").alias("seconds")), path)
 
 

@@ -13,7 +13,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pfs
@@ -156,8 +156,8 @@ class PayloadFile(D.InputPartition):
 class PayloadReader(D.DataSourceReader):
     """One partition for each file."""
 
-    def __init__(self, path: str):
-        self.path, self.families, self.stems = path, None, None
+    def __init__(self, path: str, families: set[str] | None, stems: set[str] | None):
+        self.path, self.families, self.stems = path, families, stems
 
     def partitions(self) -> Sequence[PayloadFile]:
         fs, top = pfs.FileSystem.from_uri(self.path)
@@ -186,23 +186,10 @@ class PayloadReader(D.DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-class FilteredPayloads(PayloadReader):
-    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
-        """Equality and membership of family pick folders, those of stem the files that may hold it; the latter are checked again."""
-        for f in filters:
-            name, wanted = getattr(f, "attribute", None), {f.value} if isinstance(f, D.EqualTo) else set(f.value) if isinstance(f, D.In) else None
-            if wanted is None or name not in (("family",), ("stem",)):
-                yield f
-            elif name == ("family",):
-                self.families = wanted if self.families is None else self.families & wanted
-            else:
-                self.stems = {s for s in wanted if s is not None} if self.stems is None else self.stems & wanted
-                yield f
-
-
 class Payloads(D.DataSource):
-    """format("payloads"): reads what write_payloads() has written. Where the session sets
-    spark.sql.python.filterPushdown.enabled, filters by family and stem decide which files are read."""
+    """format("payloads"): reads what write_payloads() has written. The options families and stems (JSON lists) pick the folders,
+    and the files that may hold a stem. They are options, as Spark keeps the filters that such a source has taken for
+    later scans of the same DataFrame without them."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,13 +199,16 @@ class Payloads(D.DataSource):
         return PAYLOAD
 
     def reader(self, schema: T.StructType) -> PayloadReader:
-        return (FilteredPayloads if self.options.get("pushdown") == "true" else PayloadReader)(self.options["path"].rstrip("/"))
+        chosen = lambda name: set(json.loads(self.options[name])) if name in self.options else None
+        return PayloadReader(self.options["path"].rstrip("/"), chosen("families"), chosen("stems"))
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """All recorded answers of a store."""
+def read_payloads(spark: SparkSession, path: str, families: Sequence[str] | None = None, stems: Sequence[str] | None = None) -> DataFrame:
+    """Recorded answers of a store: all, or those of these families and stems, of which only their partitions are read."""
     spark.dataSource.register(Payloads)
-    return spark.read.format("payloads").option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled")).load(path)
+    chosen = {k: json.dumps(list(v)) for k, v in (("families", families), ("stems", stems)) if v is not None}
+    found = spark.read.format("payloads").options(**chosen).load(path)
+    return found if stems is None else found.where(F.col("stem").isin(list(stems)))
 
 
 def is_store(path: str) -> bool:

@@ -162,3 +162,26 @@ def test_no_markup_stops_the_job(spark):
 def test_comparable(spark):
     df = spark.createDataFrame([("&amp;-x y",), (None,)], "c string")
     assert [r[0] for r in df.select(comparable("c")).collect()] == ["&xy", ""]
+
+
+def test_metrics_by_registration(spark):
+    from tablescore.operators import scoring
+
+    df = spark.createDataFrame([(html([["a", "b"], ["c", "d"]]), html([["a", "x"], ["c", "d"], ["e", "f"]])), (html([["a"]]), "no table"), (html([["a"]]), None)], "gt_html string, pred_html string")
+    score_tables(df, metrics=("levenshtein", "agreement_of_test"))
+    scoring.register_metric("agreement_of_test", scoring.cell_agreement)
+    try:
+        rows = score_tables(df, metrics=("agreement_of_test",)).select("scores.*").collect()
+    finally:
+        del scoring.METRICS["agreement_of_test"]
+    assert [tuple(r) for r in rows] == [(None, None, 0.5), (None, None, 0.0), (None, None, None)]
+
+
+def test_rows_of_tables_by_a_lateral_join(spark):
+    from tablescore.operators.rows import register, table_rows
+
+    df = spark.createDataFrame([(1, html([["a", "b"], ["c"]])), (2, None), (3, "no table"), (4, '<table><tr><td colspan="inf">x</td></tr></table>')], "k int, h string")
+    assert [tuple(r)[::2] for r in table_rows(df, "h").orderBy("row_index").collect()] == [(1, 0), (1, 1)]
+    assert [r.cells for r in table_rows(df, "h").orderBy("row_index").collect()] == [["a", "b"], ["c", ""]]
+    register(spark)
+    assert spark.sql("select k, count(*) from {d} d, lateral table_rows(d.h) group by k", d=df).collect() == [(1, 2)]

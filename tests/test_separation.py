@@ -24,11 +24,12 @@ def test_entry_without_it(tmp_path):
 
 
 def test_the_rest_of_the_tests_pass_without_it(tmp_path):
-    """All other test modules; the comparisons of queries with their SQL are left to the whole run."""
+    """All other test modules, with the comparisons of queries with their SQL."""
     skip = shutil.ignore_patterns("llm", "__pycache__", ".pytest_cache", "test_separation.py")
     for name in ("tablescore", "tests"):
         shutil.copytree(ROOT / name, tmp_path / name, ignore=skip)
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
-    found = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider", "-k", "not test_query_equals_its_sql"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    inherited = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not pathlib.Path(p).resolve().is_relative_to(ROOT)]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(tmp_path), *inherited])}
+    found = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert found.returncode == 0, found.stdout[-3000:]
