@@ -29,9 +29,12 @@ import struct
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 import xxhash
 import zstandard
@@ -47,15 +50,17 @@ END = 1
 LEVEL = 3
 #: A file ends at so many compressed bytes or documents; a reader fetches so many bytes at a time.
 FILE_BYTES, FILE_DOCS, FETCH = 256 << 20, 1 << 20, 4 << 20
+#: Bytes of text that are encoded at a time.
+SLICE = 8 << 20
 #: Distinct words whose ids a worker keeps from one slice to the next.
-WORDS = 500_000
+WORDS = 700_000
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer, the descriptor of a table with sums.
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = "index.json"
 
 
 def vocabulary() -> str:
-    """The path of the vocabulary file."""
+    """The path of the default tokenizers file."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -93,16 +98,35 @@ class Known(dict):
     def of(self, at: np.ndarray) -> np.ndarray:
         return self.ids[ragged(self.starts[at], self.sizes[at])]
 
+    def only(self, some: list[str]) -> Known:
+        """What is known of these distinct strings."""
+        out, have = Known(), [w for w in some if w in self]
+        at = self.numbers(have)
+        out.update(zip(have, range(len(have)), strict=True))
+        out.add(self.of(at), self.sizes[at])
+        return out
+
 
 def joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64)
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
+#: The normalizer and the pre-tokenizer of the default vocabulary.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
     """Ids of whole texts by a tokenizers file whose normalizer and pre-tokenizer see no further than white space and drop it.
 
-    New words are normalized and cut into pieces by the library all at once, and the model encodes each
-    distinct piece; words with other white space or the text of an added token are encoded one by one.
+    Of the distinct words of a slice those that are new are normalized and cut into pieces by the library all
+    at once, and the model encodes each new piece; words with other white space or the text of an added token
+    are encoded one by one. Beyond the most words that are kept only those of the present slice stay.
+
+    Where the file has the default's rules, case does not tell ASCII words apart, a word of ASCII letters is one piece,
+    and a full stop or comma between a letter and a blank is a piece of its own; then there are fewer distinct words.
+    Texts that may hold an added token are left as they are.
     """
 
     def __init__(self, spec: str, words: int = WORDS):
@@ -110,51 +134,71 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_str(spec), words
         self.model, self.added = self.tokenizer.model, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        rules = json.loads(spec)
+        cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.plain = (rules.get("normalizer") or {}).get("normalizers") == NORMALIZERS and cut[0].get("pattern") == {"Regex": PIECES} and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
         self.words, self.pieces = Known(), Known()
 
     def learn(self) -> None:
         """The ids of the new words."""
         new = self.words.new
-        odd = np.array([w.split() != [w] or any(a in w for a in self.added) for w in new], dtype=bool)
-        sizes, ids = np.zeros(len(new), dtype=np.int64), np.empty(0, np.uint32)
-        even = [w for w, x in zip(new, odd.tolist(), strict=True) if not x]
-        if even:
-            text = self.tokenizer.normalizer.normalize_str(" ".join(even))
-            begin = np.cumsum([0, *(len(w) + 1 for w in text.split(" ")[:-1])])
-            if len(begin) != len(even):
-                raise ValueError("the normalizer does not keep words apart")
-            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-            if len(self.pieces) > self.most:
-                self.pieces = Known()
-            at = self.pieces.numbers([x for x, _ in found])
-            if self.pieces.new:
-                self.pieces.add(*joined([[t.id for t in self.model.tokenize(x)] for x in self.pieces.new]))
-            word = np.searchsorted(begin, [a for _, (a, _) in found], side="right") - 1
-            sizes[~odd], ids = np.bincount(word, weights=self.pieces.sizes[at], minlength=len(even)), self.pieces.of(at)
-        if odd.any():
-            some, n = joined([self.tokenizer.encode(w, add_special_tokens=False).ids for w, x in zip(new, odd.tolist(), strict=True) if x])
-            sizes[odd] = n
-            # The ids of both kinds in the order of the words.
-            whole, mine = np.empty(sizes.sum(), dtype=np.uint32), np.repeat(odd, sizes)
-            whole[mine], whole[~mine] = some, ids
-            ids = whole
+        kind = np.array([0 if self.plain and w.isascii() and w.isalpha() and w.islower() else 1 if w.split() == [w] and not any(a in w for a in self.added) else 2 for w in new])
+        of = [[w for w, k in zip(new, kind.tolist(), strict=True) if k == j] for j in range(3)]
+        found = [joined([[t.id for t in self.model.tokenize(w)] for w in of[0]]), self.even(of[1]), joined([self.tokenizer.encode(w, add_special_tokens=False).ids for w in of[2]])]
+        sizes = np.empty(len(new), dtype=np.int64)
+        for k, (_, n) in enumerate(found):
+            sizes[kind == k] = n
+        # The ids of all kinds in the order of the words.
+        ids, mine = np.empty(sizes.sum(), dtype=np.uint32), np.repeat(kind, sizes)
+        for k, (some, _) in enumerate(found):
+            ids[mine == k] = some
         self.words.add(ids, sizes)
 
-    def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
-        """The ids of each text and the end id."""
+    def even(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and how many each has."""
+        if not words:
+            return joined([])
+        text = self.tokenizer.normalizer.normalize_str(" ".join(words))
+        begin = np.cumsum([0, *(len(w) + 1 for w in text.split(" ")[:-1])])
+        if len(begin) != len(words):
+            raise ValueError("the normalizer does not keep words apart")
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        if len(self.pieces) > self.most // 2:
+            self.pieces = Known()
+        at = self.pieces.numbers([x for x, _ in found])
+        if self.pieces.new:
+            self.pieces.add(*joined([[t.id for t in self.model.tokenize(x)] for x in self.pieces.new]))
+        word = np.searchsorted(begin, np.fromiter((a for _, (a, _) in found), dtype=np.int64, count=len(found)), side="right") - 1
+        return self.pieces.of(at), np.bincount(word, weights=self.pieces.sizes[at], minlength=len(words)).astype(np.int64)
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Words of each text."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not self.plain or any(pc.any(pc.match_substring(texts, a[:2])).as_py() for a in self.added):
+            return pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, r"([A-Za-z])([.,]) ", r"\1 \2 "), " ")
+        words = lists.flatten()
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        return pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py()), words)
+
+    def encode(self, texts: pa.Array, end: int = END) -> pa.Array:
+        """The ids of each text and the end id, as bytes."""
+        lists = self.cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.words) > self.most:
-            self.words = Known()
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        at = self.words.numbers([w for c in cut for w in c])
+            self.words = self.words.only(distinct)
+        at = self.words.numbers(distinct)
         if self.words.new:
             self.learn()
-        ids = self.words.of(at).astype("<u4").tobytes()
-        ends = 4 * np.cumsum(self.words.sizes[at])[np.cumsum([len(c) for c in cut], dtype=np.int64) - 1] if cut else []
-        last, out, a = np.array([end], dtype="<u4").tobytes(), [], 0
-        for z in map(int, ends):
-            out.append(ids[a:z] + last)
-            a = z
-        return out
+        at = at[np.asarray(coded.indices)]
+        edges = np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()
+        ends = np.concatenate([[0], np.cumsum(self.words.sizes[at])])[edges] + np.arange(len(edges))
+        out = np.empty(ends[-1], dtype="<u4")
+        last = np.zeros(len(out), dtype=bool)
+        last[ends[1:] - 1] = True
+        out[last], out[~last] = end, self.words.of(at)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
 
 
 class FileWriter:
@@ -165,13 +209,13 @@ class FileWriter:
         self.table, self.known, self.doc_ids = array("I"), bytearray(), array("q")
         self.bytes = self.n_ids = 0
 
-    def frame(self, data: bytes) -> None:
+    def frame(self, data: bytes | memoryview) -> None:
         packed = self.pack.compress(data)
         self.out.write(packed)
         self.bytes += len(packed)
         self.table.extend((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         self.frame(ids)
         self.known.append(doc_id is not None)
         self.doc_ids.append(doc_id or 0)
@@ -235,11 +279,27 @@ class Written(D.WriterCommitMessage):
         self.files = files
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """That of the vocabulary file at path, which a Python worker keeps from one task to the next."""
+    fs, place = pfs.FileSystem.from_uri(path)
+    with fs.open_input_stream(place) as f:
+        return Encoder(f.read().decode())
+
+
 class TokenWriter(D.DataSourceArrowWriter):
-    """One task's rows (doc_id, ids) into files of its own."""
+    """One task's rows (doc_id, and ids or a text that is encoded) into files of its own."""
+
+    def __init__(self, path: str, vocabulary: str | None, end: int):
+        self.path, self.vocabulary, self.end = path, vocabulary, end
 
-    def __init__(self, path: str):
-        self.path = path
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, memoryview]]:
+        for whole in batches:
+            for part in slices(whole, "text" if self.vocabulary else "ids", SLICE):
+                ids = encoder(self.vocabulary).encode(part.column("text"), self.end) if self.vocabulary else part.column("ids").cast(pa.large_binary())
+                edges, data = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1].tolist(), memoryview(ids.buffers()[2] or b"")
+                for doc_id, a, z in zip(part.column("doc_id").to_pylist(), edges, edges[1:], strict=False):
+                    yield doc_id, data[a:z]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = pfs.FileSystem.from_uri(self.path)
@@ -252,15 +312,15 @@ class TokenWriter(D.DataSourceArrowWriter):
                 files.append({"name": name, "part": part, **file.close()})
                 file = None
 
-        for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if file is None:
-                    name = f"{part:06d}-{len(files):04d}-{attempt}.ids.zst"
-                    file = FileWriter(fs.open_output_stream(f"{folder}/{name}", compression=None, buffer_size=1 << 20))
-                file.add(doc_id, ids.as_py())
-                if file.bytes >= FILE_BYTES or len(file.known) >= FILE_DOCS:
-                    close()
+        for doc_id, ids in self.documents(iterator):
+            if file is None:
+                name = f"{part:06d}-{len(files):04d}-{attempt}.ids.zst"
+                file = FileWriter(fs.open_output_stream(f"{folder}/{name}", compression=None, buffer_size=1 << 20))
+            file.add(doc_id, ids)
+            if file.bytes >= FILE_BYTES or len(file.known) >= FILE_DOCS:
+                close()
         close()
+        pa.default_memory_pool().release_unused()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -287,14 +347,11 @@ class Part(D.InputPartition):
 
 
 class TokenReader(D.DataSourceReader):
-    """One partition for each file that may hold a document asked for."""
-
-    def __init__(self, path: str):
-        self.path, self.ids, self.low, self.high = path, None, -(1 << 63), (1 << 63) - 1
+    """One partition for each file that may hold a document asked for: one of ids, if given, from low to high."""
 
-    @property
-    def filtered(self) -> bool:
-        return self.ids is not None or self.low > -(1 << 63) or self.high < (1 << 63) - 1
+    def __init__(self, path: str, ids: set[int] | None, low: int | None, high: int | None):
+        self.path, self.ids, self.filtered = path, ids, (ids, low, high) != (None, None, None)
+        self.low, self.high = -(1 << 63) if low is None else low, (1 << 63) - 1 if high is None else high
 
     def partitions(self) -> Sequence[Part]:
         fs, folder = pfs.FileSystem.from_uri(self.path)
@@ -325,30 +382,11 @@ class TokenReader(D.DataSourceReader):
                 )
 
 
-class FilteredReader(TokenReader):
-    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
-        """Takes comparisons of doc_id with values; the others are left to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) != ("doc_id",):
-                yield f
-            elif isinstance(f, (D.EqualTo, D.In)):
-                some = {f.value} if isinstance(f, D.EqualTo) else {v for v in f.value if v is not None}
-                self.ids = some if self.ids is None else self.ids & some
-            elif isinstance(f, D.GreaterThan):
-                self.low = max(self.low, f.value + 1)
-            elif isinstance(f, D.GreaterThanOrEqual):
-                self.low = max(self.low, f.value)
-            elif isinstance(f, D.LessThan):
-                self.high = min(self.high, f.value - 1)
-            elif isinstance(f, D.LessThanOrEqual):
-                self.high = min(self.high, f.value)
-            else:
-                yield f
-
-
 class TokenFiles(D.DataSource):
-    """format("token_files"): writes (doc_id, ids), reads (doc_id, start, ids). Where the session sets
-    spark.sql.python.filterPushdown.enabled, comparisons of doc_id decide which files and frames are read."""
+    """format("token_files"): writes (doc_id, ids), or (doc_id, text) with the option vocabulary, the path of a tokenizers file
+    that all executors reach, and the option end; reads (doc_id, start, ids). The options doc_ids (separated by commas), low and
+    high choose the documents, and only their frames are read. They are options, as Spark keeps the filters that such
+    a source has taken for later scans of the same DataFrame without them."""
 
     @classmethod
     def name(cls) -> str:
@@ -358,44 +396,38 @@ class TokenFiles(D.DataSource):
         return "doc_id bigint, start bigint, ids binary"
 
     def reader(self, schema: T.StructType) -> TokenReader:
-        return (FilteredReader if self.options.get("pushdown") == "true" else TokenReader)(self.options["path"])
+        o = self.options
+        number = lambda name: int(o[name]) if name in o else None
+        return TokenReader(o["path"], {int(x) for x in o["doc_ids"].split(",") if x} if "doc_ids" in o else None, number("low"), number("high"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> TokenWriter:
         if not overwrite:
             raise ValueError("the files of a folder are one sequence and replaced as a whole: mode overwrite")
         fs, folder = pfs.FileSystem.from_uri(self.options["path"])
         fs.create_dir(folder)
-        return TokenWriter(self.options["path"])
-
-
-def encode(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """(doc_id, ids) of docs (doc_id, text), by the tokenizers file at path."""
-    with open(path or vocabulary(), encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    state: dict = {}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state["encoder"] = Encoder(spec.value)
-        for whole in batches:
-            for part in slices(whole, "text", 4 << 20):
-                ids = state["encoder"].encode(part.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+        return TokenWriter(self.options["path"], self.options.get("vocabulary") if "text" in schema.names else None, int(self.options.get("end", END)))
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> None:
-    """The ids of all docs (doc_id, text) into files in folder, in ascending order of doc_id."""
+    """The ids of all docs (doc_id, text), by the tokenizers file at path, into files in folder, in ascending order of
+    doc_id. The folder gets a copy of the vocabulary, which the executors read."""
     spark = docs.sparkSession
     spark.dataSource.register(TokenFiles)
+    fs, place = pfs.FileSystem.from_uri(folder)
+    fs.create_dir(place)
+    with open(path or vocabulary(), "rb") as f:
+        spec = f.read()
+    name = f"vocabulary-{xxhash.xxh64_hexdigest(spec)}.json"
+    with fs.open_output_stream(f"{place}/{name}", compression=None) as out:
+        out.write(spec)
     order = [F.asc_nulls_last("doc_id"), F.asc("hash"), F.asc("place")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
-    dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    encode(dealt, path, end).write.format("token_files").mode("overwrite").save(folder)
+    dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt.write.format("token_files").option("vocabulary", f"{folder}/{name}").option("end", end).mode("overwrite").save(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of all documents in the files of folder."""
+def read(spark: SparkSession, folder: str, doc_ids: Iterable[int] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(doc_id, start, ids) of the documents in the files of folder: all, or those of these ids, from low to high."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("token_files").option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled")).load(folder)
+    chosen = {"doc_ids": None if doc_ids is None else ",".join(map(str, doc_ids)), "low": low, "high": high}
+    return spark.read.format("token_files").options(**{k: v for k, v in chosen.items() if v is not None}).load(folder)
