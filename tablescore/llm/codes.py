@@ -79,7 +79,7 @@ def assigned(column: pa.Array, books: np.ndarray) -> Iterator[tuple[slice, np.nd
     parts, _, width = books.shape
     for at in range(0, len(column), PIECE):
         rows = slice(at, min(at + PIECE, len(column)))
-        x = scaled(column.slice(at, PIECE), parts * width).reshape(-1, parts, width)
+        x = scaled(column.slice(at, PIECE), parts * width).reshape(rows.stop - rows.start, parts, width)
         found = [nearest(np.ascontiguousarray(x[:, k]), books[k]) for k in range(parts)]
         yield rows, x, np.stack([f[0] for f in found], axis=1), np.stack([f[1] for f in found], axis=1)
 
