@@ -42,16 +42,17 @@ HEADERS = {
     "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "page_id": "X-Page-ID",
 }
 
-#: Starts of what is not shown, and what a head can hold; its end tag may be left out.
-HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^<>]*>", re.I)
-HELD = re.compile(r"\s+|<!--|<(script|style|noscript|template|title|noframes)\b[^<>]*>|</?(?:base|basefont|bgsound|link|meta|title|noscript|template|noframes)\b[^<>]*>|<[!?][^<>]*>", re.I)
-HEAD_END = re.compile(r"</head\s*>", re.I)
-ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title", "noframes")} | {None: re.compile("-->")}
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
+#: A comment's start; a declaration or other tag without a name; a tag with its name, what stands in it, and its end if it has one.
+#: Quotes count after an equals sign only, where a value in them may hold any character; nothing here is tried twice.
+TOKEN = re.compile(r"""<(?:(!--)|([!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)(>?))""")
+ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*+)(?:\s*+(=)\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+#: Elements that are hidden with all up to their end tag; the first two run to the end of the page without one.
+HIDDEN = ("script", "style", "noscript", "template")
+#: What a head can hold; its end tag may be left out.
+IN_HEAD = frozenset(("base", "basefont", "bgsound", "link", "meta", "title", "noframes", *HIDDEN))
+ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*+>", re.I) for n in (*HIDDEN, "title", "noframes")}
+BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 BLANKS, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-TITLE = re.compile(r"<title\b[^<>]*>", re.I)
-LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>]+))""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -62,52 +63,82 @@ def identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
 
 
-def shown(page: str) -> str:
-    """page without comments, heads and hidden elements.
+def href(body: str) -> str | None:
+    """The value of the first attribute of that name in what stands in a tag."""
+    for m in ATTRIBUTE.finditer(body):
+        if m[1].lower() == "href":
+            return html_entities.unescape(m[3] or m[4] or m[5] or "") if m[2] else None
+    return None
 
-    A head ends at the first text or element that it cannot hold, as in a browser; comments, scripts
-    and styles without an end run to the end of the page.
+
+def scan(page: str) -> tuple[str, str | None, list[str]]:
+    """Visible text, title and links of a page, in one pass over its tags.
+
+    Comments, heads and hidden elements are left out. A head ends at the first text or element that it cannot hold, as
+    in a browser; comments, scripts, styles and tags without an end run to the end of the page. Block elements
+    end a line, blanks collapse, character references are resolved. The title is the first that has an end tag.
     """
-    out, at = [], 0
+    out: list[str] = []
+    links: dict[str, None] = {}
+    title, at, head, search = None, 0, False, TOKEN.search
     endless: set[str] = set()
 
-    def end(m: re.Match) -> int:
-        name = m[1] and m[1].lower()
-        found = None if name in endless else ENDS[name].search(page, m.end())
-        if found:
-            return found.end()
-        if name in (None, "script", "style"):
-            return len(page)
-        endless.add(name)
-        return m.end()
-
-    while m := HIDDEN.search(page, at):
-        out.append(page[at : m.start()])
-        if m[1] and m[1].lower() == "head":
-            at = m.end()
-            while h := HELD.match(page, at):
-                at = end(h) if h[1] or h[0] == "<!--" else h.end()
-            if h := HEAD_END.match(page, at):
-                at = h.end()
-        else:
-            at = end(m)
-    return "".join(out) + page[at:]
+    def past(name: str) -> re.Match | None:
+        """The next end tag of that name; it is sought once where there is none."""
+        found = None if name in endless else ENDS[name].search(page, at)
+        if not found:
+            endless.add(name)
+        return found
+
+    while True:
+        m = search(page, at)
+        if not m or m.start() > at:
+            text = page[at : m.start()] if m else page[at:]
+            head = head and not text.strip()
+            if not head:
+                out.append(text.replace("\n", " "))
+        if not m:
+            break
+        at = m.end()
+        if m[1]:
+            at = page.find("-->", at) + 3
+            if at < 3:
+                break
+            continue
+        if m[2]:
+            continue
+        if not m[6]:
+            break
+        name = m[4].lower()
+        if name == "head":
+            head = not m[3]
+            continue
+        head = head and name in IN_HEAD
+        if not m[3]:
+            if name in HIDDEN or (head and name == "noframes"):
+                if end := past(name):
+                    at = end.end()
+                elif name in ("script", "style"):
+                    break
+                continue
+            if name == "title" and (title is None or head) and (end := past(name)):
+                title = page[at : end.start()] if title is None else title
+                if head:
+                    at = end.end()
+            elif name == "a" and not head and (link := href(m[5])) is not None:
+                links[link] = None
+        if name in BREAKS and not head:
+            out.append("\n")
+    text = BLANKS.sub(" ", "".join(out))
+    if "&" in text:
+        text = html_entities.unescape(text)
+    if title is not None:
+        title = html_entities.unescape(TOKEN.sub("", title)).strip()
+    return LINES.sub("\n", BLANKS.sub(" ", text)).strip(), title, list(links)
 
 
 def plain_text(page: str) -> str:
-    """Visible text: block elements end a line, blanks collapse, character references are resolved."""
-    x = shown(page)
-    x = TAG.sub("", BREAK.sub("\n", BLANKS.sub(" ", x.replace("\n", " "))))
-    if "&" in x:
-        x = html_entities.unescape(x)
-    return LINES.sub("\n", BLANKS.sub(" ", x)).strip()
-
-
-def title_of(page: str) -> str | None:
-    """What stands between the first title tag and the next end tag of that name, which is sought once."""
-    begin = TITLE.search(page)
-    end = ENDS["title"].search(page, begin.end()) if begin else None
-    return html_entities.unescape(TAG.sub("", page[begin.end() : end.start()])).strip() if end else None
+    return scan(page)[0]
 
 
 def split_http(block: bytes) -> tuple[str, list[list[str]], bytes]:
@@ -130,14 +161,14 @@ def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of a response."""
     status, headers, payload = split_http(r["block"] or b"")
     page = payload.decode("utf-8", "replace")
-    links = list(dict.fromkeys(html_entities.unescape(a or b or c) for a, b, c in LINK.findall(shown(page))))
+    text, title, links = scan(page)
     meta = {
         "refers-to": r["record_id"], "target-uri": r["target_uri"], "date": r["date"], "payload-digest": r["payload_digest"], "block-digest": r["block_digest"],
         "warc-headers": [[HEADERS[k], str(r[k])] for k in HEADERS if r[k] is not None], "http-status": status, "http-headers": headers,
-        "title": title_of(page), "links": links,
+        "title": title, "links": links,
     }
     out = []
-    for kind, mime, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False).encode("utf-8", "surrogatepass")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "surrogatepass"))):
+    for kind, mime, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False).encode("utf-8", "surrogatepass")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"))):
         own = identifier(kind, r["record_id"] or "")
         out.append({"page_id": r["page_id"], "record_type": kind, "record_id": own, "refers_to": r["record_id"], "target_uri": r["target_uri"], "date": r["date"], "content_type": mime, "block_digest": digest(block), "payload_digest": r["payload_digest"], "block": block})
     return out

@@ -3,8 +3,10 @@ import gzip
 import hashlib
 import json
 import random
+import time
 from html.parser import HTMLParser
 
+import pytest
 import regex
 from conftest import SMALL
 
@@ -112,6 +114,39 @@ def test_a_head_without_an_end_tag_ends_where_the_body_begins():
         warc.plain_text(x * 20_000)
 
 
+@pytest.mark.parametrize(
+    ("page", "text", "title", "links"),
+    [
+        ('<p title="a>b">Hello</p>', "Hello", None, []),
+        ("<!-- <title>old</title> <a href=no> --><title>new</title>", "new", "new", []),
+        ('<a data-href="x" href="y">t</a>', "t", None, ["y"]),
+        ('<a-card href="q">t</a-card><A HREF=Q class=x>u</A>', "tu", None, ["Q"]),
+        ("<a title='href=\"no\"' href='a>b'>t</a>", "t", None, ["a>b"]),
+        ("<a href = x href=y>t<a href>u<a href=''>v", "tuv", None, ["x", ""]),
+        ("<p it's>a</p><p x=it's>b</p>", "a\nb", None, []),
+        ("<script>if (a<b) x='</p>'</script>a<style>p>q{}</style >b", "ab", None, []),
+        ('<template><a href="no"><title>no</title></template><title>yes</title>', "yes", "yes", []),
+        ("<script>var t='<title>no</title>'</script><head><title>a &lt; b</title></head>c", "c", "a < b", []),
+        ("a < b <= c <3 &lt;p&gt;", "a < b <= c <3 <p>", None, []),
+        ("a<br/>b<BR>c<div\nclass=x>d", "a\nb\nc\nd", None, []),
+        ("a<p x='never closed>b</p>c", "a", None, []),
+        ("a<!doctype html>b<?xml x?>c</>d</ 3>e<!", "abcde", None, []),
+        ("a<svg><title>in a picture</title></svg>b", "ain a pictureb", "in a picture", []),
+        ("<head><meta content='<p>'><title>t</title><link href=x></head><body>b", "b", "t", []),
+        ("<title>never closed <p>a", "never closed\na", None, []),
+    ],
+)
+def test_tags_as_a_browser_sees_them(page, text, title, links):
+    assert warc.scan(page) == (text, title, links)
+
+
+def test_scanning_is_linear():
+    for x in ("<a href=\"", "<a href='x' ", "<a =", "<p>", "<title>", "<a href=x>", "<!", "</", "<a b", "= \"", "<head><p>", "<script", "<noscript>", "<noframes>", "<head><noframes>", "<!-->"):
+        began = time.perf_counter()
+        warc.scan(x * 100_000)
+        assert time.perf_counter() - began < 5, x
+
+
 HIDES = {"script", "style", "noscript", "template", "head"}
 ENDS_A_LINE = set("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 
