@@ -245,20 +245,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; each is a join and an aggregation with map-side
     combining, and ends in a reliable checkpoint. Edges stay linear in the number of nodes, and only
-    counts and a checksum reach the driver. The centres of large stars are joined by join_keyed(), so
-    that no task gets a whole star.
+    counts and a checksum reach the driver. The centres of large stars are joined by join_keyed() in both
+    steps, whatever their ids, so that no task gets a whole star.
     """
     e = cut(edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen, total = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_keyed(both, low, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        large = cut(join_keyed(both, low, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        rest = join_keyed(large, least, "u", "n", large.count()).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         before, e = e, cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         forget(before)
+        forget(large)
         if now == seen:
             break
         seen, total = now, now[0]

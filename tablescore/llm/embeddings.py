@@ -4,18 +4,22 @@ A table hashes a vector to the floors of k random projections, shifted and divid
 Gaussian projections two unit vectors at distance c share a floor with a probability that falls with
 c only. Vectors meet in a bucket of any table (same label, same length, same floors).
 
+How many floors a table takes follows the number of vectors of the largest label, so that about NODE unrelated
+vectors share a bucket whatever that number, and the number of tables follows from the floors and RECALL
+(see tables_for()): comparisons grow with the power 1.2 of the number of vectors.
+
 What is shuffled stays small. A bucket gets a node number (64 bits of a digest of label and vector)
 and a sketch (the signs of 128 more projections), never the vector; each task sends a vector it has
 had before only once. Sketches that differ in more than SKETCH_BITS places are no pair: at cosine
-0.93 that befalls one pair in 10^7, and of unrelated pairs it leaves one in 10^6. What meets so hangs
-together in clusters, of which each bucket returns a spanning forest. Then every vector of a cluster is
+0.93 that befalls three pairs in 10^6, and of unrelated pairs it leaves one in 10^7, so that false partners, 0.003 for each
+of 10^8 vectors, form no clusters. What meets so hangs together in clusters, of which each bucket returns a spanning forest. Then every vector of a cluster is
 sent once, to its cluster, and all pairs there are compared by cosine in double precision, so a pair
 counts once, whatever tables it met in. Buckets with more than a few tasks' worth of rows and large
 clusters are dealt out as pairs of blocks; nothing is listed pair by pair. Equal vectors are one class
 with a size.
 
-With the default tables a pair at cosine 0.93 meets with probability 0.985, one at 0.97 with over 0.9999
-(see recall()); no pair below the limit is ever linked.
+A pair at cosine 0.93 meets with probability RECALL or more, one at 0.97 with over 0.999 (see recall()); no pair below
+the limit is ever linked.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label
 or a null vec_id, link with nothing. Repeated rows are vectors of their own that link with each other.
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import erf, exp, pi, sqrt
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,12 @@ from pyspark.sql import types as T
 
 from .common import connected_components, cut, groups, hamming, join_keyed, local_stars, partitions, run_forest, whole_groups
 
-TABLES = 16
-PROJECTIONS = 9
 WIDTH = 2.0
 SEED = 20_240_501
+#: Unrelated vectors that share a bucket on average, at most; probability that a pair at the limit meets; the least number of floors.
+NODE, RECALL, PROJECTIONS = 512, 0.985, 9
 #: Bits of a sketch (two words), and those in which a pair may differ.
-SKETCH, SKETCH_BITS = 128, 38
+SKETCH, SKETCH_BITS = 128, 34
 #: Vectors of a cluster that are compared in one piece: four times the root of its size, within these bounds.
 LEAST_BLOCK, BLOCK = 64, 4_096
 #: Sketches of a bucket that are compared in one piece, and vectors hashed at a time.
@@ -55,11 +59,22 @@ BROADCAST_ROWS = 100_000
 STRIP = 512
 
 
-def recall(cosine: float, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> float:
-    """Probability that a pair at this cosine meets in at least one table."""
+def share(cosine: float, width: float = WIDTH) -> float:
+    """Probability that a pair at this cosine has the same floor of a projection."""
     u = width / sqrt(2 - 2 * cosine)
-    share = erf(u / sqrt(2)) - 2 / (sqrt(2 * pi) * u) * (1 - exp(-u * u / 2))
-    return 1 - (1 - share**projections) ** tables
+    return erf(u / sqrt(2)) - 2 / (sqrt(2 * pi) * u) * (1 - exp(-u * u / 2))
+
+
+def recall(cosine: float, tables: int, projections: int, width: float = WIDTH) -> float:
+    """Probability that a pair at this cosine meets in at least one table."""
+    return 1 - (1 - share(cosine, width) ** projections) ** tables
+
+
+def tables_for(n: int, cosine: float, width: float = WIDTH) -> tuple[int, int]:
+    """(tables, projections) for n vectors that may be links of each other: floors that leave NODE unrelated vectors in a
+    bucket, in as many tables as give RECALL at the limit."""
+    floors = max(PROJECTIONS, ceil(log(max(n, 1) / NODE) / -log(share(0.0, width))))
+    return ceil(log(1 - RECALL) / log(1 - share(cosine, width) ** floors)), floors
 
 
 def projections_of(dim: int, tables: int, projections: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,13 +261,14 @@ def links(members: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> D
     return m.mapInArrow(run, "id long, d1 long, weight long, head long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
     vectors = vectors.select("vec_id", "embedding", "label")
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     light = with_digests(vectors)
     classes = cut(light.where("d1 is not null").groupBy("label", *LIGHT).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
-    clusters = connected_components(meetings(vectors, tables, projections, width)).select(F.col("id").alias("d1"), F.col("component").alias("cluster"))
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    clusters = connected_components(meetings(vectors, *tables_for(most, cosine, width), width)).select(F.col("id").alias("d1"), F.col("component").alias("cluster"))
     found = cut(classes.join(clusters, "d1"))
     count = found.count()
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"))

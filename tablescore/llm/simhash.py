@@ -31,7 +31,7 @@ from math import acos, ceil, log, log2, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,8 @@ NODE, MISSED = 256, 3.5e-4
 LEAST_BLOCK, BLOCK, BLOCK_HASHES, COLUMNS = 256, 1_024, 1 << 21, 4_096
 #: Members of families up to which they are broadcast (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Sets that a task remembers having sent.
+SENT = 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -348,9 +350,15 @@ def similar(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     asked = spark.sparkContext.broadcast(Maybe(members, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()  # a task sends a set of a document once, unless it has sent SENT others since
         for batch in batches:
             for part in slices(batch.filter(pa.array(asked.value.has(batch.column("doc_id")))), "text", 4 << 20):
                 found = [shingle_set(x) for x in part.column("text").to_pylist()]
+                names = [(i, set_key(s)) for i, s in zip(part.column("doc_id").to_pylist(), found, strict=True)]
+                new = [k for k, x in enumerate(names) if x not in sent and not sent.add(x)]
+                if len(sent) > SENT:
+                    sent.clear()
+                part, found = part.take(pa.array(new, pa.int64())), [found[k] for k in new]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.array([set_key(s) for s in found], dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "key", "hashes"])
 
     named = join_keyed(members.select("key", "id", "family"), sizes, "family", "rows", count)
@@ -393,6 +401,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     sure = filter_rows(docs, "text", lambda batch: ~unsure.value.has(batch.column("doc_id")))
     rest = filter_rows(docs, "text", lambda batch: unsure.value.has(batch.column("doc_id")))
     plain = [f.name for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "void"))]
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*plain))
-    kept = rest.join(heads, "doc_id", "left_semi").withColumn("_near_number", F.row_number().over(order)).where("_near_number = 1")
-    return sure.unionByName(kept.select(*docs.columns))
+    # Each task keeps one row of an id before any text moves.
+    one = rest.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_near_row"))
+    return sure.unionByName(one.join(heads, "doc_id", "left_semi").select("_near_row.*"))

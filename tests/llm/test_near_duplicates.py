@@ -145,7 +145,10 @@ def test_embeddings_rerun_repeat_and_empty(spark):
 
 
 def test_embedding_recall_of_the_production_tables():
-    assert embeddings.recall(0.95) > 0.99 and embeddings.recall(0.93) > 0.95
+    for n in (0, 1, 1_000, 10**5, 10**6, 10**8):
+        tables, floors = embeddings.tables_for(n, 0.93)
+        assert embeddings.recall(0.93, tables, floors) >= 0.985 and embeddings.recall(0.97, tables, floors) > 0.999 and n * embeddings.share(0.0) ** floors <= embeddings.NODE
+    assert embeddings.tables_for(1, 0.93) == (16, 9) and embeddings.tables_for(10**8, 0.93)[0] < 80
 
 
 @pytest.mark.parametrize("bucket", [4_096, 8])
@@ -192,3 +195,44 @@ def test_one_of_each_joins_what_has_four_fifths_of_its_five_word_shingles_in_com
     want = reachable(adjacent, range(len(rows)))
     got = sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted(set(want))
+
+
+def test_unrelated_vectors_meet_seldom(spark, monkeypatch):
+    """Random vectors of one label, some near copies among them: all links are found, and buckets stay small."""
+    monkeypatch.setattr(embeddings, "NODE", 2)
+    r = np.random.default_rng(4)
+    v = r.standard_normal((1500, 32))
+    v[1000:1400] = v[:400] + 0.15 * r.standard_normal((400, 32))
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(4)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+    assert near.sum() > 500
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()}
+    want = dict(enumerate(zip(near.sum(axis=1).tolist(), reachable(near, list(range(len(v)))), strict=True)))
+    # RECALL is a probability for each pair at the limit; most of these are well above it.
+    assert sum(got[k] == want[k] for k in want) >= 0.985 * len(want) and all(got[k][0] <= want[k][0] for k in want)
+    tables, floors = embeddings.tables_for(1500, 0.93)
+    sizes = embeddings.memberships(df, tables, floors, embeddings.WIDTH).groupBy("slot").count()
+    pairs = sum(x["count"] * (x["count"] - 1) // 2 for x in sizes.collect())
+    assert pairs < 1500 * tables * 2
+
+
+def test_a_star_of_the_largest_id(spark, monkeypatch):
+    """Its centre is joined apart in both steps."""
+    from tablescore.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    edges = [(1000, k) for k in range(300)] + [(2000, 1000 + k) for k in range(500, 520)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.id: x.component for x in connected_components(df).collect()}
+    assert got == {k: 0 for k in (*range(300), 1000)} | {k: 1500 for k in (*range(1500, 1520), 2000)}
+
+
+def test_many_rows_of_one_id(spark):
+    """One row of an id stays, whatever the number of its rows and texts; extra columns are kept."""
+    rows = [(7, "a b c d e f g", "x", {"k": 1})] * 300 + [(7, f"other words {k} here now and then", "y", None) for k in range(50)] + [(8, "a b c d e f g", "z", None), (9, "not alike in any way at all", "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _near_number string, extra map<string, int>").repartition(6)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [7, 9]
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
