@@ -9,8 +9,8 @@ doc_id goes. Of all suffixes, only those that can matter are sorted:
 2. Suffixes. The strings around each anchor that is left go to a bucket by the leading bytes of the
    anchor's suffix: splitters are quantiles of a bounded sample. An anchor with more than HOT
    occurrences cannot be split by these; its suffixes are dealt out one by one, by longer splitters
-   that compare all bytes of a string, and equal strings of a slice are reduced to their first document
-   before. Splitters lie between strings, never within a run of equal ones, so what a comparison across
+   that compare all bytes of a string, and equal strings are reduced to their first document, in each slice
+   before and again as they come in, so a line that stands in every slice is never held whole. Splitters lie between strings, never within a run of equal ones, so what a comparison across
    a bucket's boundary would have to find, equal strings on both sides, is always on one side.
 3. Each bucket sorts its suffixes with multikey quicksort, eight bytes at a time; runs of equal
    strings give the first document of each. Runs of up to SMALL rows are left to a plain sort.
@@ -51,6 +51,8 @@ PIECE, SLICE = 1 << 16, 4 << 20
 HOT, OFTEN = 4_096, 64
 #: Documents in the sample from which splitters are taken, and anchors of each.
 SAMPLE, EACH = 1_000, 128
+#: Bytes of a bucket that a task holds before it settles what it can.
+HELD_BYTES = 256 << 20
 #: Rows that the quicksort leaves to a plain sort, and segments that are sorted at a time.
 SMALL, SEGMENTS = 1 << 10, 8_000
 
@@ -369,11 +371,15 @@ def with_blocks(docs: DataFrame, blocks: DataFrame, n: int, work: Callable[[list
     return rows.mapInArrow(run, out)
 
 
-def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, int, Arrays]]]) -> DataFrame:
-    """work on the arrays of each bucket of anchors or strings; rows for documents pass through."""
+def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, int, Arrays]]], settle: Callable[[Arrays], tuple[Arrays, Iterator[tuple[int, int, Arrays]]]]) -> DataFrame:
+    """work on the arrays of each bucket of anchors or strings; rows for documents pass through.
+
+    Each time a bucket holds HELD_BYTES, settle returns what has still to be held of it, and the rows for documents that
+    need not wait: so what stands in every slice of the documents is reduced as it comes, and never held whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blocks = None, []
+        bucket, held, size, bound = None, [], 0, HELD_BYTES
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             if (kind == TO_DOCS).any():
@@ -381,16 +387,40 @@ def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, in
             mine = batch.filter(pa.array(kind == TO_STRINGS))
             for b, block in zip(mine.column("bucket").to_pylist(), mine.column("block").to_pylist(), strict=True):
                 if b != bucket:
-                    if blocks:
-                        yield from packed_rows(work(gathered(blocks)))
-                    bucket, blocks = b, []
-                blocks.append(block)
-        if blocks:
-            yield from packed_rows(work(gathered(blocks)))
+                    if held:
+                        yield from packed_rows(work(joined(held)))
+                    bucket, held, size, bound = b, [], 0, HELD_BYTES
+                held.append(unpack(block))
+                size += bytes_of(held[-1])
+                if size > bound:
+                    left, rows = settle(joined(held))
+                    yield from packed_rows(rows)
+                    held, size = [left], bytes_of(left)
+                    bound = max(HELD_BYTES, 2 * size)
+        if held:
+            yield from packed_rows(work(joined(held)))
 
     return dealt(packed).sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
 
+def bytes_of(a: Arrays) -> int:
+    return sum(v.nbytes for v in a.values())
+
+
+def settled_strings(a: Arrays, length: int, n: int) -> tuple[Arrays, Iterator[tuple[int, int, Arrays]]]:
+    """Of strings that were dealt out one by one, only those of the first document with each are held on."""
+    size = a["n"].astype(np.int64) + length - 1
+    at = np.cumsum(size) - size
+    data = padded(a["data"])
+    one = np.flatnonzero((a["n"] == 1) & (a["head"] == 0))
+    doc = a["doc"][one]
+    gone = one[doc > first_documents(classes(matrix(data, at[one], size[one], length)), doc)]
+    keep = np.ones(len(size), bool)
+    keep[gone] = False
+    left = {k: a[k][keep] for k in a if k != "data"} | {"data": data[ranges(at[keep], size[keep])]}
+    return left, to_docs(spans_of(a["doc"][gone], a["tag"][gone], a["start"][gone], length), n) if len(gone) else iter(())
+
+
 def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -> DataFrame:
     """Packed (doc, order, hot) of the anchors that may be in several documents, for buckets of documents.
 
@@ -421,19 +451,35 @@ def shared_anchors(docs: DataFrame, length: int, n: int, often: int, hot: int) -
             for part in slices(whole, "text", SLICE):
                 yield from packed_rows(found(part))
 
-    def work(x: Arrays) -> Iterator[tuple[int, int, Arrays]]:
+    def judged(x: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the rows by anchor; for each in that order whether it is the first of its anchor, and whether that is shared and hot."""
         h = (x["low"].astype(np.uint64) << np.uint64(16)) | x["mid"]
         order = np.argsort(h, kind="stable")
         h, doc = h[order], x["doc"][order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        edge = np.flatnonzero(first)
         count = np.diff(np.append(edge, len(h)))
         told = np.maximum.reduceat(x["hot"][order], edge) > 0
         shared = np.repeat(told | (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)), count)
-        is_hot = np.repeat(told | (count > hot), count).astype(np.uint8)
-        if shared.any():
-            yield from to_docs({"doc": doc[shared], "order": x["order"][order][shared], "hot": is_hot[shared]}, n)
+        return order, first, shared, np.repeat(told | (count > hot), count)
 
-    return by_string(docs.mapInArrow(run, PACKED), work)
+    def answers(x: Arrays, order: np.ndarray, is_hot: np.ndarray) -> Iterator[tuple[int, int, Arrays]]:
+        if len(order):
+            yield from to_docs({"doc": x["doc"][order], "order": x["order"][order], "hot": is_hot.astype(np.uint8)}, n)
+
+    def work(x: Arrays) -> Iterator[tuple[int, int, Arrays]]:
+        order, _, shared, is_hot = judged(x)
+        yield from answers(x, order[shared], is_hot[shared])
+
+    def settle(x: Arrays) -> tuple[Arrays, Iterator[tuple[int, int, Arrays]]]:
+        """Of an anchor that is shared and hot for certain, one row is held on, which tells so."""
+        order, first, shared, is_hot = judged(x)
+        sure = shared & is_hot
+        x["hot"][order[sure]] = 1
+        left = order[~sure | first]
+        return {k: v[left] for k, v in x.items()}, answers(x, order[sure & ~first], is_hot[sure & ~first])
+
+    return by_string(docs.mapInArrow(run, PACKED), work, settle)
 
 
 def splitters(docs: DataFrame, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -463,18 +509,21 @@ def splitters(docs: DataFrame, length: int, n: int) -> tuple[np.ndarray, np.ndar
     return quantiles([bytes(r.head) for r in rows], GRAM), quantiles([bytes(r.whole) for r in rows], length)
 
 
-def wanted(a: Arrays, ids: np.ndarray, c: Arrays) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors in a that c asks for, and whether they are hot."""
+def wanted(a: Arrays, ids: np.ndarray, c: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in a that c asks for, and whether they are hot, and cool. Where rows of one id have different texts, c cannot
+    tell their anchors apart, and one may be asked for as both."""
     known, rank = np.unique(c["doc"], return_inverse=True)
     key = (rank.astype(np.int64) << 32) | c["order"]
-    order = np.lexsort((-c["hot"].astype(np.int8), key))
-    key, hot = key[order], c["hot"][order]
+    order = np.argsort(key, kind="stable")
+    key, hot = key[order], c["hot"][order] > 0
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, any_hot, all_hot = key[edge], np.logical_or.reduceat(hot, edge), np.logical_and.reduceat(hot, edge)
     own = ids[a["doc"]]
     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
     mine = np.where(known[at] == own, (at << 32) | a["order"], -1)
     place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
     pick = np.flatnonzero(key[place] == mine)
-    return pick, hot[place[pick]] > 0
+    return pick, any_hot[place[pick]], ~all_hot[place[pick]]
 
 
 def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFrame:
@@ -494,13 +543,12 @@ def strings(docs: DataFrame, shared: DataFrame, length: int, n: int) -> DataFram
         data = [x for _, x in held]
         ids, tags = np.array([i for i, _ in held], np.int64), np.array([tag_of(x) for x in data], np.uint32)
         a = anchors(data, length)
-        pick, hot = wanted(a, ids, c)
+        pick, hot, cool = wanted(a, ids, c)
         if not len(pick):
             return
         buf = padded(np.frombuffer(b"".join(data), np.uint8))
         edge = np.cumsum([0, *map(len, data)])
         doc, first, last, at = (a[k][pick] for k in ("doc", "first", "last", "at"))
-        cool = ~hot
         if cool.any():
             d = doc[cool]
             yield from segments(ids[d], tags[d], first[cool], last[cool] - first[cool] + 1, at[cool] - first[cool], buf, edge[d] + first[cool])
@@ -558,7 +606,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, often: int = OFTEN, ho
     n = partitions(docs.sparkSession)
     every = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     known = every.where("id is not null")
-    spans = by_string(strings(known, shared_anchors(known, length, n, often, hot), length, n), lambda x: to_docs(joined(list(resolve(x, length))), n))
+    found = strings(known, shared_anchors(known, length, n, often, hot), length, n)
+    spans = by_string(found, lambda x: to_docs(joined(list(resolve(x, length))), n), lambda x: settled_strings(x, length, n))
 
     def work(held: list[tuple[int, bytes]], c: Arrays | None) -> Iterator[pa.RecordBatch]:
         rows = []

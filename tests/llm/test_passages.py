@@ -190,3 +190,43 @@ def test_anchors_do_not_depend_on_how_texts_are_cut(monkeypatch):
     cut = suffixes.anchors(data, 50)
     covered = lambda a: {(d, p): k for d, x, y, k in zip(a["doc"], a["first"], a["last"], a["at"], strict=True) for p in range(x, y + 1)}
     assert covered(whole) == covered(cut)
+
+
+@pytest.mark.parametrize("held", [1, 3_000, 1 << 28])
+def test_a_line_in_every_slice(spark, monkeypatch, held):
+    """1,000 documents in as many slices share a line; buckets settle what they can as it comes, with the same result."""
+    monkeypatch.setattr(suffixes, "SLICE", 100)
+    monkeypatch.setattr(suffixes, "HELD_BYTES", held)
+    r = random.Random(8)
+    line = "Licensed under the terms that stand in the file that came with it. "
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(0, 60))) + line * r.choice([0, 1, 1, 1, 3]) + "".join(r.choices("abcdefgh ", k=r.randint(0, 60))) for _ in range(1000)]
+    docs = [(r.choice([k, k, k // 2]), t) for k, t in enumerate(texts)] + [(None, line * 2), (5, "é" * 400), (6, "é" * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = suffixes.remove_repeats(df, 50, 2, 16)
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == brute_cut(docs, 50)
+
+
+def test_settled_strings_change_nothing():
+    """What is settled early and what is left give the spans of all at once."""
+    r = np.random.default_rng(2)
+    kinds = [bytes(r.integers(97, 100, 50, dtype=np.uint8)) for _ in range(6)]
+    pick = r.integers(0, 6, 400)
+    a = {"doc": r.integers(0, 60, 400), "tag": np.zeros(400, np.uint32), "start": r.integers(0, 5, 400) * 1000, "n": np.ones(400, np.uint8), "head": np.zeros(400, np.uint8), "data": np.frombuffer(b"".join(kinds[k] for k in pick), np.uint8)}
+    covered = lambda parts: {(d, p) for x in parts for d, s, e in zip(x["doc"].tolist(), x["from"].tolist(), x["to"].tolist(), strict=True) for p in range(s, e)}
+    whole = covered(suffixes.resolve(dict(a), 50))
+    left, rows = suffixes.settled_strings(dict(a), 50, 3)
+    early = covered(x for _, _, x in rows)
+    assert early and len(left["doc"]) < 200 and early | covered(suffixes.resolve(dict(left), 50)) == whole
+    again, rows = suffixes.settled_strings(suffixes.joined([dict(left), dict(a)]), 50, 3)
+    assert covered(x for _, _, x in rows) | covered(suffixes.resolve(again, 50)) == whole
+
+
+def test_a_very_long_text_through_spark(spark):
+    """Longer than a piece and than a slice, with a passage of another document far inside."""
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefghijklmnop ", k=300))
+    long = "".join(r.choices("abcdefghijklmnop ", k=5_000_000))
+    docs = [(1, passage), (2, long[:3_000_000] + passage + long[3_000_000:]), (3, long[:70_000])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: (300, 0, 0), 2: (5_000_300, 300, 1), 3: (70_000, 70_000, 1)}
