@@ -3,11 +3,13 @@
 Each shard (a few MB of documents) gets a suffix array over its words: the places of its suffixes, sorted
 by their words as far as the longest test item goes. Every suffix of every test item is sought in it by
 binary search, for all suffixes at once: by its first window, which gives the range of the places where a
-match of at least a window's length starts, and from there on to the matches' whole length (longest()).
-As each window of a longest match is itself found, the ranges cover just the words that longest matches
-cover, and name every item that matches. Only words of the benchmark's own vocabulary can match; others end a suffix, which
-loses nothing. Test suffixes with the same window are sought as one, and windows of the same items name
-them as one set, so a passage that stands in m documents and n items costs m + n, not m times n.
+match of at least a window's length starts. The longest match of such a place is found by going on with the
+binary search, word by word, among the sorted test suffixes, until none agrees (reach()); the words that longest
+matches cover are what counts. A place inside a match found before is skipped (in TURNS turns): what starts there either ends
+with that match or is found at the first place after it. Only words of the benchmark's own vocabulary can match; others
+end a suffix, which loses nothing. Test suffixes with the same window are sought as one, and windows of the
+same items name them as one set, so a passage that stands in m documents and n items costs m + n, not m times
+n. longest_matches() lists every place with every item.
 
 Lower-cases A-Z; words are runs of ASCII letters and digits and of all characters from U+0080. Null
 and empty texts have no words. Rows that repeat an item_id are one item, rows that repeat a doc_id
@@ -32,6 +34,8 @@ from .common import filter_rows, slices, with_columns
 
 #: Words of a window.
 WINDOW = 10
+#: How often the first place of each run of matching places is taken before all of them are.
+TURNS = 8
 #: Bytes of benchmark texts in one index; a larger benchmark is sought block by block.
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents in a shard, and in those that are held while several blocks are sought one after the other.
@@ -117,6 +121,47 @@ class Index:
                 groups.append(named.setdefault(own, len(named)))
             self.by_size.append((size, self.packed(np.array(order, dtype=self.kind)), np.array(groups), [at[k] for k in order]))
         self.sets = list(named)
+        # All test suffixes in their order, and for each window the range of those that begin with it.
+        self.words = np.concatenate([np.append(t.astype(np.uint32), np.uint32(0)) for t in self.texts] or [np.zeros(1, np.uint32)])
+        self.suffixes, _ = suffix_array(self.words, 1, max(self.depth, 1))
+        self.begin = {size: (np.searchsorted(heads, windows, "left"), np.searchsorted(heads, windows, "right")) for size, windows, _, _ in self.by_size for heads in [self.packed(self.leading(size))]}
+
+    def leading(self, size: int) -> np.ndarray:
+        """The first words of each test suffix, 0 behind its end."""
+        out = np.zeros((len(self.suffixes), size), dtype=self.kind)
+        alive = np.ones(len(self.suffixes), dtype=bool)
+        for k in range(size):
+            w = self.words[np.minimum(self.suffixes + k, len(self.words) - 1)]
+            alive &= w > 0
+            out[:, k] = np.where(alive, w, 0)
+        return out
+
+    def reach(self, ids: np.ndarray, place: np.ndarray, size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Words of the longest match of each place of ids with a test suffix, given the range of those that agree in size words."""
+        n, on, k = np.full(len(place), size), np.arange(len(place)), size
+        low, high = low.copy(), high.copy()
+        last = len(self.words) - 1
+
+        def bound(word: np.ndarray, a: np.ndarray, z: np.ndarray, right: bool) -> np.ndarray:
+            """The first suffix of each range whose word k is not less than word, or more."""
+            a, z = a.copy(), z.copy()
+            while (open_ := a < z).any():
+                mid = (a + z) >> 1
+                w = self.words[np.minimum(self.suffixes[np.minimum(mid, len(self.suffixes) - 1)] + k, last)]
+                less = open_ & ((w <= word) if right else (w < word))
+                a, z = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, z)
+            return a
+
+        while len(on):
+            word = ids[np.minimum(place[on] + k, len(ids) - 1)]
+            a = bound(word, low[on], high[on], False)
+            z = bound(word, a, high[on], True)
+            go = (z > a) & (word > 0)
+            on = on[go]
+            low[on], high[on] = a[go], z[go]
+            k += 1
+            n[on] = k
+        return n
 
     def packed(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{rows.shape[1] * self.kind.itemsize}").ravel()
@@ -147,13 +192,24 @@ class Index:
         return starts, ids, place, out
 
     def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts; (place, size) of each window that occurs, once per place; distinct (document, number of a set of items)."""
-        starts, _, place, ranges = self.search(docs)
+        """starts; (place, words) of longest matches that cover all that match; distinct (document, number of a set of items)."""
+        starts, ids, place, ranges = self.search(docs)
         hits, sets = [np.zeros((0, 2), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
         for (_, _, groups, _), (size, there, left, right) in zip(self.by_size, ranges, strict=False):
             n = right - left
             pos = place[np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            hits.append(np.stack([pos, np.full(len(pos), size)], axis=1))
+            low, high = (np.repeat(x[there], n) for x in self.begin[size])
+            order = np.argsort(pos)
+            rest, low, high = pos[order], low[order], high[order]
+            for turn in range(TURNS + 1):
+                # The first place of each run of neighbours, as what its match holds is done with; in the end all that is left.
+                first = np.flatnonzero(np.diff(rest, prepend=-2) > 1) if turn < TURNS else np.arange(len(rest))
+                # An item of fewer words than a window counts as a whole only.
+                long = self.reach(ids, rest[first], size, low[first], high[first]) if size == self.window else np.full(len(first), size)
+                hits.append(np.stack([rest[first], long], axis=1))
+                run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rest))))
+                left_over = rest > (rest[first] + long - size)[run]
+                rest, low, high = rest[left_over], low[left_over], high[left_over]
             sets.append(np.unique(np.stack([np.searchsorted(starts, pos, "right") - 1, np.repeat(groups[there], n)], axis=1), axis=0))
         return starts, np.concatenate(hits), np.concatenate(sets)
 

@@ -99,12 +99,37 @@ def test_longest_matches_equal_brute_force():
     assert set(got) == want and len(got) == len(want) and max(x[-1] for x in got) > 10
 
 
+@pytest.mark.parametrize("window", [2, 3, 10])
+def test_found_matches_are_longest_and_cover_all(window):
+    """Each found match is the longest at its place, and what they cover is what windows cover."""
+    r = random.Random(window)
+    text = lambda k: " ".join(r.choices("abcd", k=k))
+    for _ in range(40):
+        items = [(k, text(r.choice([0, 1, 2, 5, 12, 30]))) for k in range(r.randint(0, 6))]
+        docs = [(text(r.randint(0, 40)) + " x " + r.choice([i for _, i in items] or [""]) + " " + text(3)).split() for _ in range(5)]
+        index = D.Index(items, window)
+        coded = [[w.encode() for w in d] for d in docs]
+        starts, hits, _ = index.find(coded)
+        tests = [i.split() for _, i in items if i]
+        same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        covered = set()
+        for p, n in hits.tolist():
+            k = int(np.searchsorted(starts, p, "right")) - 1
+            d = docs[k][p - starts[k] :]
+            fits = [same(d, t[j:]) for t in tests for j in range(len(t)) if same(d, t[j:]) >= min(window, len(t))]
+            assert n == max(fits) if n >= window else any(t == d[:n] for t in tests)
+            covered |= {p + z for z in range(n)}
+        want = {int(starts[k]) + i + z for k, d in enumerate(docs) for i in range(len(d)) for t in tests for j in range(len(t) - min(window, len(t)) + 1) for z in range(min(window, len(t))) if d[i : i + min(window, len(t))] == t[j : j + min(window, len(t))]}
+        assert covered == want
+
+
 def test_a_passage_in_many_documents_and_items_is_listed_once_each():
     passage = " ".join(f"w{k}" for k in range(40))
     index = D.Index([(k, passage) for k in range(500)])
     docs = [D.words(passage)] * 500
     starts, hits, sets = index.find(docs)
-    assert len(hits) == 500 * 31 and len(sets) == 500 and len(index.sets) == 1
+    # One longest match in each document, whatever the number of items.
+    assert hits[:, 1].tolist() == [40] * 500 and len(sets) == 500 and len(index.sets) == 1
 
 
 def test_a_very_long_text():
@@ -113,7 +138,11 @@ def test_a_very_long_text():
     index = D.Index(items)
     docs = [D.words("w3 w9 " * 300_000 + items[0][1]), D.words("z " * 200_000)]
     starts, hits, sets = index.find(docs)
-    assert len(hits) == 21 + 200_000 - 9 and [[index.ids[i] for i in index.sets[k]] for _, k in sets] == [["1"], ["2"]]
+    assert len(hits) <= 200_000 and hits[0].tolist() == [600_000, 30] and hits[:, 1].max() == 30
+    edge = np.zeros(800_100, dtype=np.int64)
+    np.add.at(edge, hits[:, 0], 1)
+    np.add.at(edge, hits.sum(axis=1), -1)
+    assert (np.cumsum(edge) > 0).sum() == 30 + 200_000 and [[index.ids[i] for i in index.sets[k]] for _, k in sets] == [["1"], ["2"]]
 
 
 def brute_cut(docs, length):
