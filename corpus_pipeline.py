@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but
 the last return the columns of documents. run() applies them in order and hands each the Parquet
 files that the one before has written to the shared folder.
+
+Every stage keeps all columns, whatever their names and whatever else they are called by the operators, but that the
+last one sets the column copy. An empty table passes as an empty one. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,27 +19,31 @@ from tablescore.llm.common import delete, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fit a learned language."""
+    """Documents that fit a learned language. A null text and one without a letter fit none. Rows that repeat a doc_id are judged
+    each by its text; without any lang to learn from nothing fits."""
     return langid.recognised(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest doc_id. Of rows that share a doc_id one stays, that
+    whose columns have the smallest hash; rows without doc_id all stay. Null and empty texts are near-duplicates of each other."""
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. A null or empty text has none; rows that repeat a doc_id are judged each by
+    its text; items without words mark nothing."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced; none is left out. A null text stays null, and of overlapping spans the first names the run."""
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each copy."""
+    """The documents that the mix takes, a row for each copy, numbered in the column copy. A null source is one of its own, a
+    text without words is never taken; equal finish times go by source, and rows alike in id, source and size by their texts' hash."""
     return mixing.mixed_documents(docs)
 
 

@@ -7,8 +7,11 @@ given the language whose prototype has the largest cosine with it.
 
 Training texts are a bounded sample: at most SAMPLE documents of each language, in the order of a
 hash of the id, out of those that are not held out and have a language and a text. Prediction reads
-whole texts and nothing else. Null texts and texts without a letter are `und` with score 0, as is
-everything if there is nothing to learn from. Ties go to the first language in code-point order.
+whole texts and nothing else, in blocks of trigrams, so that a very long one takes no more memory.
+Null texts and texts without a letter are `und` with score 0, as is everything if there is nothing to
+learn from. Ties go to the first language in code-point order. Rows that repeat a doc_id are documents of
+their own; in training all of them count where the id is in the sample. An empty table gives an empty one.
+Columns that identify() adds replace those of the same names; recognised() adds none and keeps all.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ BROADCAST_ROWS = 200_000
 #: Distinct trigrams whose vectors are held at a time.
 HELD = 4_096
 #: Texts below this score fit no learned language; see recognised(). Scores of unlearned scripts are noise with a standard
-#: deviation of 0.031 and reached 0.115; the lowest of 3,000 texts that no prototype contains was 0.134.
-LEAST_SCORE = 0.12
+#: deviation of 0.031 and reached 0.115; the lowest of 3,000 texts that no prototype contains was 0.134. With fewer than
+#: FULL_LETTERS letters clean texts score lower, so the bound falls with the root of their number.
+LEAST_SCORE, FULL_LETTERS = 0.12, 25
 
 
 @functools.cache
@@ -159,12 +163,25 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return with_columns(docs, "text", PREDICTED, run, 1 << 20)
 
 
+def few_letters(text: str | None) -> int:
+    """Number of letters, FULL_LETTERS at most."""
+    n = 0
+    for c in text or "":
+        n += c.isalpha()
+        if n == FULL_LETTERS:
+            break
+    return n
+
+
 def recognised(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without the documents that fit no learned language: those that are `und` or score below least."""
+    """docs without the documents that fit no learned language: those that are `und` or score below least, or below as
+    much less as their letters are few."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
-        lang, score = model.value.predict(batch.column("text").to_pylist())
-        return (np.array(lang, dtype=object) != "und") & (score >= least)
+        texts = batch.column("text").to_pylist()
+        lang, score = model.value.predict(texts)
+        letters = np.array([few_letters(x) for x in texts], dtype=float)
+        return (np.array(lang, dtype=object) != "und") & (score >= least * np.sqrt(letters / FULL_LETTERS))
 
     return filter_rows(docs, "text", keep, 1 << 20)

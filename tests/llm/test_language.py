@@ -105,3 +105,18 @@ def test_query_equals_brute_force(spark):
         g = got[r.doc_id]
         assert (g.held_out, g.lang_pred) == (is_held[r.doc_id], want)
         assert abs(g.score - (min(max(max(cos), 0), 1) if x.any() else 0)) < 1e-9
+
+
+def test_short_clean_texts_stay(spark):
+    """The bound falls with the letters: most single words of unseen documents stay, and noise of some words goes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.learn(docs)
+    words = [w for r in docs.where(langid.held_out(docs.doc_id)).collect() for w in (r.text or "").split() if w.isalpha()]
+    assert [langid.few_letters(x) for x in (None, "", "1 a-b", "x" * 99)] == [0, 0, 2, langid.FULL_LETTERS]
+    bound = lambda texts: langid.LEAST_SCORE * np.sqrt([langid.few_letters(x) / langid.FULL_LETTERS for x in texts])
+    for k, share in ((1, 0.88), (3, 0.97), (8, 0.995)):
+        texts = [" ".join(words[i : i + k]) for i in range(0, len(words) - k, 7)][:1500]
+        assert (model.predict(texts)[1] >= bound(texts)).mean() > share
+    r = np.random.default_rng(3)
+    noise = ["".join(chr(c) if c % 7 else " " for c in r.integers(0x430, 0x450, 60)) for _ in range(500)]
+    assert (model.predict(noise)[1] >= bound(noise)).mean() < 0.01
