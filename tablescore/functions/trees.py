@@ -4,19 +4,28 @@ For every node that has a left sibling (and the root) there is a table of distan
 of its subtree and those of such a node of the other tree. For one node of the first tree the tables with
 all nodes of the second are filled together: a line holds the distances of one forest to all forests of
 all those subtrees, side by side, and takes a handful of array operations. Subtrees of the second tree are
-grouped by how deep others are nested in them, as those inside come first, and by size.
+grouped by how deep others are nested in them, as those inside come first, and by size. Small trees are filled in
+place by place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Places in all tables of two trees up to which they are filled in one by one.
+FEW_PLACES = 20_000
+
+
+def roots_of(left: list[int]) -> list[int]:
+    """The nodes that have a left sibling, and the root."""
+    return sorted({l: k for k, l in enumerate(left)}.values())
+
 
 class Side:
     """The second tree's subtrees with a left sibling above them, in groups that are filled at once."""
 
     def __init__(self, left: list[int]):
-        roots = sorted({l: k for k, l in enumerate(left)}.values())
+        roots = roots_of(left)
         # How many subtrees of the list are nested in one another at most, below each.
         height = [0] * len(roots)
         open_: list[int] = []  # roots of which none is inside a later one so far
@@ -45,6 +54,9 @@ def tree_distance(left_a: list[int], left_b: list[int], renames: np.ndarray) ->
     n, m = len(left_a), len(left_b)
     if not n or not m:
         return float(max(n, m))
+    size = lambda left: sum(k - left[k] + 2 for k in roots_of(left))
+    if size(left_a) * size(left_b) <= FEW_PLACES:
+        return by_place(left_a, left_b, renames.tolist())
     groups = Side(left_b).groups
     whole = np.zeros((n, m))
     last_use = {l: k for k, l in enumerate(left_a)}  # the last node with this leftmost leaf
@@ -76,3 +88,28 @@ def tree_distance(left_a: list[int], left_b: list[int], renames: np.ndarray) ->
                 new.append(best)
             lines = new
     return float(whole[n - 1, m - 1])
+
+
+def by_place(left_a: list[int], left_b: list[int], renames: list[list[float]]) -> float:
+    """tree_distance() with a step for each place."""
+    whole = [[0.0] * len(left_b) for _ in left_a]
+    for i in roots_of(left_a):
+        li = left_a[i]
+        for j in roots_of(left_b):
+            lj = left_b[j]
+            last = [float(k) for k in range(j - lj + 2)]
+            lines = [last]
+            for x in range(li, i + 1):
+                on_edge, apart, done, cost = left_a[x] == li, lines[left_a[x] - li], whole[x], renames[x]
+                before = last[0] + 1.0
+                line = [before]
+                for y in range(lj, j + 1):
+                    k = y - lj
+                    edge = on_edge and left_b[y] == lj
+                    before = min(last[k + 1] + 1.0, before + 1.0, last[k] + cost[y] if edge else apart[left_b[y] - lj] + done[y])
+                    if edge:
+                        done[y] = before
+                    line.append(before)
+                lines.append(line)
+                last = line
+    return whole[-1][-1]

@@ -156,6 +156,7 @@ def quoted(x: str) -> str:
     return json.dumps(x, ensure_ascii=False).replace("'", "''")
 
 
+#: The field names of the services' requests.
 CONTENT = "replace(to_base64(encode(p_name)), chr(10), '')"
 REQUESTS = f"""
 select p_partkey, f.family, sha256(case f.family when 'layout' then '{{"model":"prebuilt-layout"}}' when 'forms' then '{{"features":["TABLES"]}}'
@@ -286,9 +287,10 @@ def t2_degenerate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_partkey, 0.0::double as both, 0.0::double as one, round(1 - 27.0::double / 29, 6) as capped from part")
 def t5_empty_and_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two empty tables are no match; a table of 29 nodes against one of 2 has 27 nodes too many, and no score is below 0."""
-    wide = "<table><tr><td>@</td></tr>" + "<tr><td>@</td><td>@</td></tr>" * 9 + "</table>"
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<table><tr><td>"), F.lit("@"), F.lit("</td></tr></table>")).alias("t"))
-    for name, a, b in (("both", F.lit("<table></table>"), F.lit("<table> </table>")), ("one", F.col("t"), F.lit("<table></table>")), ("capped", F.col("t"), F.lit(wide))):
+    row = F.concat(F.lit("<tr><td>"), "p_brand", F.lit("</td><td>"), "p_type", F.lit("</td></tr>"))
+    one = F.concat(F.lit("<table><tr><td>"), "p_name", F.lit("</td></tr>"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(one, F.lit("</table>")).alias("t"), F.concat(one, F.repeat(row, 9), F.lit("</table>")).alias("wide"))
+    for name, a, b in (("both", F.lit("<table></table>"), F.lit("<table> </table>")), ("one", F.col("t"), F.lit("<table></table>")), ("capped", F.col("t"), F.col("wide"))):
         p = score_tables(p.withColumns({"gt_html": a, "pred_html": b}), metrics=("teds",)).withColumn(name, six(F.col("scores.teds"))).drop("scores", "score_error", "gt_html", "pred_html")
     return p.select("p_partkey", "both", "one", "capped")
 
