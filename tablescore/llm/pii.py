@@ -219,8 +219,8 @@ def model() -> tuple[Boosted, dict[str, float]]:
     return b, {k: max(0.5, least_threshold(p[held & (kinds == k)], y[held & (kinds == k)], PRECISION)) for k in KINDS}
 
 
-def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """The selected candidates of each text that overlap neither a base span nor a better candidate."""
+def added_spans(texts: list[str], base: list[list[Span]], fitted: tuple[Boosted, dict[str, float]] | None = None) -> list[list[Span]]:
+    """The selected candidates of each text that overlap neither a base span nor a better candidate, by a model(), which is fitted if not given."""
     rows, at = [], []
     for i, t in enumerate(texts):
         starts, reach = [s for s, _, _ in base[i]], list(accumulate((e for _, e, _ in base[i]), max))
@@ -232,7 +232,7 @@ def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     if not rows:
         return out
-    trees, least = model()
+    trees, least = fitted or model()
     p = trees.probability(np.array([features(texts[i], c) for i, c in zip(at, rows, strict=True)], dtype=float))
     for k in np.argsort(-p, kind="stable").tolist():
         c, own = rows[k], out[at[k]]
@@ -251,11 +251,12 @@ FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T
 
 def find(docs: DataFrame) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans, all of them; columns of these names are replaced."""
+    fitted = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [x or "" for x in batch.column("text").to_pylist()]
         base = [base_spans(x) for x in texts]
-        every = [sorted(b + a, key=lambda s: (s[0], KINDS.index(s[2]))) for b, a in zip(base, added_spans(texts, base), strict=True)]
+        every = [sorted(b + a, key=lambda s: (s[0], KINDS.index(s[2]))) for b, a in zip(base, added_spans(texts, base, fitted.value), strict=True)]
         out = {f"n_{k}": pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS}
         return out | {"base_sha256": pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), "spans": pa.array([joined(x) for x in every], pa.string())}
 
@@ -274,12 +275,13 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with all spans in text replaced; null stays null, and n_chars, where there is one, follows a changed text."""
+    fitted = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batch: pa.RecordBatch) -> dict:
         raw = batch.column("text").to_pylist()
         texts = [x or "" for x in raw]
         base = [base_spans(x) for x in texts]
-        clean = [None if x is None else redacted(x, b + a) for x, b, a in zip(raw, base, added_spans(texts, base), strict=True)]
+        clean = [None if x is None else redacted(x, b + a) for x, b, a in zip(raw, base, added_spans(texts, base, fitted.value), strict=True)]
         out = {"text": pa.array(clean, batch.column("text").type)}
         if "n_chars" in batch.schema.names:
             n = batch.column("n_chars")
