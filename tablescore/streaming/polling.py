@@ -21,6 +21,15 @@ TRACKED = "task string, started_at timestamp, finished_at timestamp, looks long,
 POLLED = "task string, payload string, error string, looks long"
 
 
+def available() -> bool:
+    """Spark talks to such state by protocol buffers, for which it asks a package."""
+    try:
+        import google.protobuf  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
 def with_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

@@ -245,6 +245,7 @@ def test_polled_tasks_start_once(spark, tmp_path):
     import os
     import time
 
+    pytest.importorskip("google.protobuf")
     polling.with_state(spark)
     (tmp_path / "in").mkdir()
     (tmp_path / "starts").mkdir()
