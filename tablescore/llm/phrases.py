@@ -10,9 +10,10 @@ occurs as often as the phrase or is a candidate itself, so it has passed too.
 
 Cells follow the bytes of text (one for CELL_BYTES) up to MOST_CELLS for each row; the bits that are
 broadcast are 64 MB then. On more text than that more rare n-grams pass, which costs shuffled rows in
-proportion to the text and changes no result. Phrases are joined with the counts of their parts by
-shuffles whose large partitions Spark splits; the ranks of a language come from its best rows of each of
-SALTS parts.
+proportion to the text and changes no result. Phrases of three words are joined with the counts of the
+pairs in them by a shuffle whose large partitions Spark splits, all phrases with those of their words by a broadcast
+up to BROADCAST_ROWS words; the ranks of a language come from its best rows of each of SALTS parts. Counts wait in a
+table in the shared folder, which is deleted when the result is in its checkpoint.
 
 A text is lower-cased (A-Z), cut at any of .,;:!? and line ends into pieces, and these at blanks and tabs
 into words. A null text is empty, a null language is und. Rows that repeat a doc_id are documents of their
@@ -22,6 +23,7 @@ phrase in byte order. An empty table gives an empty one. Columns other than text
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, delete, partitions, shared_folder, slices
 
 LEAST, LONGEST, TOP = 10, 3, 2_000
 #: Percentage of a phrase's occurrences that a longer one needs to subsume it.
@@ -43,13 +45,15 @@ ROWS = 2
 #: Cells of a chunk.
 CHUNK_CELLS = 1 << 16
 #: Bytes of text cut into words at a time, and n-grams that a task adds up before it sends them.
-CHUNK, HELD = 2 << 20, 3_000_000
+CHUNK, HELD = 2 << 20, 2_500_000
 #: Bytes of phrases that a task puts together at a time, and phrases that wait until they are added to those before.
-SENT_BYTES, FOLDED = 64 << 20, 1 << 20
+SENT_BYTES, FOLDED = 32 << 20, 1 << 19
 #: Bits of a word's number in an n-gram's key; a task begins its numbers anew at so many words or bytes of them.
 WORD_BITS = 21
-MOST_WORDS, MOST_BYTES = 1_500_000, 64 << 20
+MOST_WORDS, MOST_BYTES = 600_000, 32 << 20
 SALTS = 8
+#: Words whose counts are broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -334,21 +338,23 @@ def score_of(a: str, l: str, r: str):
 
 def scored(counts: DataFrame) -> DataFrame:
     """(lang, words, phrase, a, l, r, score) of the phrases of two or three words in counts that none subsumes."""
-    phrases = counts.where("words > 1").withColumnRenamed("f", "a")
-    first, last = F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)
-    part = lambda x, role: F.struct(x.alias("part"), F.lit(role).alias("role"))
-    two = F.array(part(first, "l1"), part(last, "r1"))
-    three = F.array(part(first, "l1"), part(F.substring_index("phrase", " ", -2), "r1"), part(F.substring_index("phrase", " ", 2), "l2"), part(last, "r2"))
-    needs = phrases.select("lang", "phrase", "words", "a", F.explode(F.when(F.col("words") == 2, two).otherwise(three)).alias("p")).select("lang", "phrase", "words", "a", "p.part", "p.role")
-    parts = counts.where("words > 0").select("lang", F.col("phrase").alias("part"), "f")
-    whole = needs.join(parts, ["lang", "part"]).groupBy("lang", "phrase", "words", "a").agg(*(F.max(F.when(F.col("role") == r, F.col("f"))).alias(r) for r in ("l1", "r1", "l2", "r2")))
-    whole = whole.withColumn("s1", score_of("a", "l1", "r1")).withColumn("s2", score_of("a", "l2", "r2"))
-    second = F.coalesce(F.col("s2") < F.col("s1"), F.lit(False))
-    pick = lambda a, b: F.when(second, F.col(b)).otherwise(F.col(a))
-    whole = whole.select("lang", "words", "phrase", "a", pick("l1", "l2").alias("l"), pick("r1", "r2").alias("r"), pick("s1", "s2").alias("score"))
-    inside = F.explode(F.array(F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2)))
-    longer = phrases.where("words = 3").select("lang", inside.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    return whole.join(longer, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {SUBSUMED} * a").drop("longer")
+    known = counts.where("words = 1").select("lang", F.col("phrase").alias("word"), F.col("f").alias("of_word"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    with_word = lambda d, word, name: d.join(known.select("lang", F.col("word").alias(word), F.col("of_word").alias(name)), ["lang", word])
+    ends = (F.substring_index("phrase", " ", 1).alias("first"), F.substring_index("phrase", " ", -1).alias("last"))
+    of_words = lambda d: with_word(with_word(d.select("*", *ends), "first", "of_first"), "last", "of_last")
+    two, three = (counts.where(F.col("words") == k).select("lang", "words", "phrase", F.col("f").alias("a")) for k in (2, 3))
+    # Of each phrase of three words both pairs in it: they are counted, and it may subsume them.
+    pairs = three.select("lang", "phrase", "a", F.posexplode(F.array(F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2))).alias("tail", "part"))
+    found = pairs.join(two.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")), ["lang", "part"])
+    whole = found.groupBy("lang", "phrase", "a").agg(*(F.max(F.when(F.col("tail") == k, F.col("f"))).alias(n) for k, n in ((0, "head"), (1, "tail"))))
+    whole = of_words(whole).withColumn("s1", score_of("a", "of_first", "tail")).withColumn("s2", score_of("a", "head", "of_last"))
+    pick = lambda x, y: F.when(F.col("s2") < F.col("s1"), F.col(y)).otherwise(F.col(x))
+    whole = whole.select("lang", F.lit(3).alias("words"), "phrase", "a", pick("of_first", "head").alias("l"), pick("tail", "of_last").alias("r"), pick("s1", "s2").alias("score"))
+    longer = pairs.groupBy("lang", F.col("part").alias("phrase")).agg(F.max("a").alias("longer"))
+    free = two.join(longer, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {SUBSUMED} * a").drop("longer")
+    short = of_words(free).select("lang", "words", "phrase", "a", F.col("of_first").alias("l"), F.col("of_last").alias("r"), score_of("a", "of_first", "of_last").alias("score"))
+    return whole.unionByName(short)
 
 
 def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
@@ -361,8 +367,11 @@ def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of each language of docs (text, lang)."""
-    found = counted(docs, least)
-    counts = cut(found)
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
+    counted(docs, least).write.parquet(folder)
+    counts = spark.read.parquet(folder)
     n = counts.where("words = 0").select("lang", F.col("f").alias("n"))
-    best = ranked(scored(counts), top)
-    return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = cut(ranked(scored(counts), top).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    delete(spark, folder)
+    return best
