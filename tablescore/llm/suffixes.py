@@ -379,7 +379,15 @@ def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, size, bound = None, [], 0, HELD_BYTES
+        # Blocks stay packed until they are worked on; left is what settle has left of those before.
+        bucket, blocks, left, size, bound = None, [], [], 0, HELD_BYTES
+
+        def whole() -> Arrays:
+            parts = left + [unpack(b) for b in blocks]
+            blocks.clear()
+            left.clear()
+            return joined(parts)
+
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             if (kind == TO_DOCS).any():
@@ -387,18 +395,19 @@ def by_string(packed: DataFrame, work: Callable[[Arrays], Iterator[tuple[int, in
             mine = batch.filter(pa.array(kind == TO_STRINGS))
             for b, block in zip(mine.column("bucket").to_pylist(), mine.column("block").to_pylist(), strict=True):
                 if b != bucket:
-                    if held:
-                        yield from packed_rows(work(joined(held)))
-                    bucket, held, size, bound = b, [], 0, HELD_BYTES
-                held.append(unpack(block))
-                size += bytes_of(held[-1])
+                    if blocks or left:
+                        yield from packed_rows(work(whole()))
+                    bucket, size, bound = b, 0, HELD_BYTES
+                blocks.append(block)
+                size += zstandard.frame_content_size(block)
                 if size > bound:
-                    left, rows = settle(joined(held))
+                    rest, rows = settle(whole())
                     yield from packed_rows(rows)
-                    held, size = [left], bytes_of(left)
+                    left.append(rest)
+                    size = bytes_of(rest)
                     bound = max(HELD_BYTES, 2 * size)
-        if held:
-            yield from packed_rows(work(joined(held)))
+        if blocks or left:
+            yield from packed_rows(work(whole()))
 
     return dealt(packed).sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
@@ -413,11 +422,19 @@ def settled_strings(a: Arrays, length: int, n: int) -> tuple[Arrays, Iterator[tu
     at = np.cumsum(size) - size
     data = padded(a["data"])
     one = np.flatnonzero((a["n"] == 1) & (a["head"] == 0))
-    doc = a["doc"][one]
-    gone = one[doc > first_documents(classes(matrix(data, at[one], size[one], length)), doc)]
-    keep = np.ones(len(size), bool)
-    keep[gone] = False
-    left = {k: a[k][keep] for k in a if k != "data"} | {"data": data[ranges(at[keep], size[keep])]}
+    # In runs of whole leading bytes, so that little is sorted at a time.
+    head = matrix(data, at[one], np.full(len(one), 8), 8).view(">u8").ravel()
+    order = np.argsort(head, kind="stable")
+    ends = np.append(np.flatnonzero(head[order][1:] != head[order][:-1]) + 1, len(order))
+    del head
+    keep, lo = np.ones(len(size), bool), 0
+    while lo < len(order):
+        hi = int(ends[min(np.searchsorted(ends, lo + SEGMENTS), len(ends) - 1)])
+        own = one[order[lo:hi]]
+        keep[own] = a["doc"][own] <= first_documents(classes(matrix(data, at[own], size[own], length)), a["doc"][own])
+        lo = hi
+    gone = np.flatnonzero(~keep)
+    left = {k: a[k][keep] for k in a if k != "data"} | {"data": a["data"][np.repeat(keep, size)]}
     return left, to_docs(spans_of(a["doc"][gone], a["tag"][gone], a["start"][gone], length), n) if len(gone) else iter(())
 
 
