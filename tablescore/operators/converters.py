@@ -68,6 +68,8 @@ def sequence(n: Column) -> Column:
 
 #: Positions that cells cover, for each position of the table, beyond which they are not listed.
 OVERLAP = 16
+#: Positions of a table up to which each seeks its cell.
+FEW_POSITIONS = 64
 
 
 def layout_table(table: Column) -> Column:
@@ -75,8 +77,8 @@ def layout_table(table: Column) -> Column:
     covers. Cells out of range are dropped, coverage ends at the border, span attributes keep their full value.
 
     Every position and every position that a cell covers become a number, position before ordinal of the cell; in
-    sorted order the last number of a position names its cell. Where cells lie over each other so much that
-    this would be many times the table, each position seeks its cell among those of its row instead.
+    sorted order the last number of a position names its cell. In small tables, and where cells lie over each other so
+    much that this would be many times the table, each position seeks its cell among those of its row instead.
     """
     rows, columns = table["row_count"], table["column_count"]
     whole = lambda x: F.coalesce(F.nullif(x, F.lit(0)), F.lit(1))
@@ -133,7 +135,8 @@ def layout_table(table: Column) -> Column:
 
     def of(own: Column) -> Column:
         area = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["height"].cast("long") * x["width"])
-        return F.when(area <= OVERLAP * rows.cast("long") * columns, swept(own)).otherwise(sought(own))
+        positions = rows.cast("long") * columns
+        return F.when((positions > FEW_POSITIONS) & (area <= OVERLAP * positions), swept(own)).otherwise(sought(own))
 
     return let(cells, lambda own: table_of(of(own)))
 

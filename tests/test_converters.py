@@ -102,6 +102,7 @@ def painted(t):
 @pytest.mark.parametrize("overlap", [X.OVERLAP, 1, -1])
 def test_layout_equals_painting(spark, monkeypatch, overlap):
     monkeypatch.setattr(X, "OVERLAP", overlap)
+    monkeypatch.setattr(X, "FEW_POSITIONS", -1)
     r = random.Random(4)
 
     def table():
