@@ -30,12 +30,19 @@ def shares(samples: DataFrame, *keys: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of values as decimals, to 15 places: the same in any order of the rows, which a sum of doubles is not. Values
+    that no such decimal holds (over 10^10, NaN, infinite) are summed as doubles."""
+    d = value.try_cast("decimal(28, 18)")
+    return F.when(F.count(d) == F.count(value), F.round(F.avg(d), 15).cast("double")).otherwise(F.avg(value))
+
+
 def breakdown(runs: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Runs, share of successes and mean scores of every set of keys in one pass: of all subsets, or of those given.
 
     A key that a row sums over is null, and its bit in level is 1 (the last key has the lowest bit).
     """
-    score = lambda c: F.avg(F.when(F.col("status") == "empty", 0.0).when(F.col("status") != "failed", F.col(c))).alias(c)
+    score = lambda c: exact_mean(F.when(F.col("status") == "empty", 0.0).when(F.col("status") != "failed", F.col(c).cast("double"))).alias(c)
     grouped = runs.cube(*keys) if sets is None else runs.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
     return grouped.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("runs"), F.avg(F.col("success").cast("double")).alias("success_rate"), score("levenshtein"), score("teds"))
 
