@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.align import ROW_GAP, best_alignment, content_score, row_matches
+from ..functions.align import content_score, row_matches, rows_alignment
 from ..functions.edits import edit_distance
 from ..functions.tables import canonical, compared, compared_grids, grid, tree_score
 
@@ -163,8 +163,8 @@ def row_pairs(pairs: DataFrame, keys: Sequence[str], truth: str, guess: str) ->
 
 
 def row_alignment_score(pairs: DataFrame, keys: Sequence[str], truth: str, guess: str) -> DataFrame:
-    """Best alignment of the rows of two grids, each distinct pair of rows scored once. Nothing is shuffled."""
-    return pairs.select(*keys, best_alignment(row_matches(F.col(truth), F.col(guess)), ROW_GAP).alias("best"))
+    """Best alignment of the rows of two grids, each distinct pair of rows that can matter scored once. Nothing is shuffled."""
+    return pairs.select(*keys, rows_alignment(F.col(truth), F.col(guess)).alias("best"))
 
 
 ALIGNED = T.StructType([T.StructField("a", T.ArrayType(T.StringType())), T.StructField("b", T.ArrayType(T.StringType())), T.StructField("score", T.DoubleType())])
