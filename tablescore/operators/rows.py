@@ -13,9 +13,10 @@ from .scoring import FAILURES
 NAME = "table_rows"
 
 
-@F.udtf(returnType="row_index int, cells array<string>", useArrow=True)
+@F.udtf(returnType="row_index int, cells array<string>", useArrow=False)
 class TableRows:
-    """(row_index, cells) of each span-expanded row of an HTML text; none of a null or of one whose grid cannot be built."""
+    """(row_index, cells) of each span-expanded row of an HTML text; none of a null or of one whose grid cannot be built.
+    Without Arrow, as it would make a batch of each single text."""
 
     def eval(self, html: str) -> Iterator[tuple[int, list[str]]]:
         try:

@@ -102,3 +102,23 @@ def test_other_trees_take_time_in_proportion_to_what_differs():
     began = time.process_time()
     assert all(t.tree_score(a, b) == 1 - 2 / 43 for a, b in zip(tables[::2], tables[1::2], strict=True))
     assert time.process_time() - began < 0.2
+
+
+def test_several_plain_tables_are_read_without_a_parser(monkeypatch):
+    rng = random.Random(6)
+    tables = ["".join(t.canonical(given(rng)) for _ in range(rng.randrange(1, 4))) for _ in range(600)]
+    found, plain = [t.grid(x) for x in tables], sum(t.PLAIN_TABLES.fullmatch(x) is not None for x in tables)
+    monkeypatch.setattr(t, "PLAIN_TABLES", re.compile("(?!)"))
+    assert [t.grid(x) for x in tables] == found and plain > 200
+
+
+def test_table_function_takes_many_texts_at_once(spark):
+    """With Arrow each text is a batch of its own."""
+    from pyspark.util import PythonEvalType
+
+    from tablescore.operators.rows import TableRows, table_rows
+
+    assert TableRows.evalType == PythonEvalType.SQL_TABLE_UDF
+    df = spark.range(300).selectExpr("id", "if(id % 3 = 0, null, concat('<table><tr><td colspan=\"2\">', id, '</td></tr></table><table><tr><td>x</td></tr></table>')) as html")
+    got = {(r.id, r.row_index): r.cells for r in table_rows(df, "html").collect()}
+    assert got == {(k, i): [[str(k)] * 2, ["x", ""]][i] for k in range(300) if k % 3 for i in (0, 1)}
