@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 from ..functions.align import content_score, row_matches, rows_alignment
 from ..functions.edits import edit_distance
-from ..functions.tables import canonical, compared, compared_grids, grid, tree_score
+from ..functions.tables import CELL_MARK, ROW_MARK, canonical, compared, compared_texts, grid, tree_score
+from ..functions.text import let
 
 GRID = T.ArrayType(T.ArrayType(T.StringType()))
-PREPARED = T.StructType([T.StructField("truth", GRID), T.StructField("guess", GRID), T.StructField("teds", T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())])
+#: Grids as compared_texts() gives them: columns of strings are passed on at a fraction of the cost of nested lists.
+PREPARED = T.StructType([T.StructField("truth", T.StringType()), T.StructField("guess", T.StringType()), T.StructField("teds", T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())])
 #: What a row's markup can raise: it costs that row its score, never the job.
 FAILURES = (ValueError, ArithmeticError, RecursionError, AssertionError, AttributeError, IndexError, KeyError, TypeError, MemoryError)
 
@@ -86,12 +88,12 @@ def prepared(trees: bool):
                 ca = canonical(a)
                 cb = ca if a == b else canonical(b)
             except FAILURES as e:
-                rows.append(([], [], 0.0 if trees else None, f"{type(e).__name__}: {e}", time.perf_counter() - began))
+                rows.append(("", "", 0.0 if trees else None, f"{type(e).__name__}: {e}", time.perf_counter() - began))
                 continue
             try:
-                ga, gb = compared_grids(ca, cb)
+                ga, gb = compared_texts(ca, cb)
             except FAILURES as e:
-                ga, gb, error = [], [], str(e)
+                ga, gb, error = "", "", str(e)
             score = None
             if trees:
                 try:
@@ -104,17 +106,43 @@ def prepared(trees: bool):
     return run
 
 
+def after_marks(text: Column, mark: str) -> Column:
+    """What stands after each mark of a text that begins with one; nothing of an empty text."""
+    return F.slice(F.split(text, mark), 2, 1 << 30)
+
+
+def grid_of(text: Column) -> Column:
+    """The grid that is written as one text."""
+    return F.transform(after_marks(text, ROW_MARK), lambda r: after_marks(r, CELL_MARK))
+
+
+def text_score(a: Column, b: Column) -> Column:
+    """content_score() of two grids that are written as texts. Where one is the beginning or the end of the other, its rows
+    get the most that they can, and no cell is looked at."""
+
+    def scored(p: Column) -> Column:
+        n, m = F.size(p["x"]), F.size(p["y"])
+        k = F.least(n, m)
+        part = (F.slice(p["x"], F.lit(1), k) == F.slice(p["y"], F.lit(1), k)) | (F.slice(p["x"], n - k + 1, k) == F.slice(p["y"], m - k + 1, k))
+        cells = lambda rows: F.transform(rows, lambda r: after_marks(r, CELL_MARK))
+        every = let(F.struct(cells(p["x"]).alias("a"), cells(p["y"]).alias("b")), lambda g: content_score(g["a"], g["b"]))
+        return F.when(k == 0, 0.0).when(part, k / F.greatest(n, m)).otherwise(every)
+
+    rows = F.struct(after_marks(a, ROW_MARK).alias("x"), after_marks(b, ROW_MARK).alias("y"))
+    return F.when(a.isNotNull() & b.isNotNull(), let(rows, scored))
+
+
 @dataclass(frozen=True)
 class Metric:
     """A score as a column of a prepared pair: a struct of truth and guess (grids as they are compared, of one width),
-    teds (the tree score, if trees), error and seconds."""
+    truth_text and guess_text (the same as texts), teds (the tree score, if trees), error and seconds."""
 
     column: Callable[[Column], Column]
     trees: bool = False
 
 
 #: Metrics by name. The first two are always among the scores, null if not asked for.
-METRICS = {"levenshtein": Metric(lambda p: content_score(p["truth"], p["guess"])), "teds": Metric(lambda p: p["teds"], trees=True)}
+METRICS = {"levenshtein": Metric(lambda p: text_score(p["truth_text"], p["guess_text"])), "teds": Metric(lambda p: p["teds"], trees=True)}
 STANDARD = ("levenshtein", "teds")
 
 
@@ -144,10 +172,13 @@ def score_tables(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_ht
     # cannot take out of the plan if they hold nested lambdas, as those of converters do.
     p = pairs.select("*", F.explode(F.array(F.struct(F.col(truth).alias("truth"), F.col(guess).alias("guess")))).alias("scored_pair"))
     p = p.withColumn("prepared", prepared(any(METRICS[m].trees for m in asked))(F.col("scored_pair.truth"), F.col("scored_pair.guess")))
-    value = lambda m: METRICS[m].column(F.col("prepared")) if m in asked else F.lit(None)
+    p = p.withColumns({f"prepared_{side}": grid_of(F.col(f"prepared.{side}")) for side in ("truth", "guess")})
+    grids = [F.col(f"prepared_{side}").alias(side) for side in ("truth", "guess")]
+    pair = F.struct(*grids, F.col("prepared.truth").alias("truth_text"), F.col("prepared.guess").alias("guess_text"), "prepared.teds", "prepared.error", "prepared.seconds")
+    value = lambda m: METRICS[m].column(pair) if m in asked else F.lit(None)
     scores = F.struct(*(value(m).cast("double").alias(m) for m in dict.fromkeys((*STANDARD, *asked))))
     p = p.withColumn("scores", scores).withColumn("score_error", F.col("prepared.error"))
-    return (p.withColumn("grading_seconds", F.col("prepared.seconds")) if timed else p).drop("prepared", "scored_pair")
+    return (p.withColumn("grading_seconds", F.col("prepared.seconds")) if timed else p).drop("prepared", "prepared_truth", "prepared_guess", "scored_pair")
 
 
 def by_cost(pairs: DataFrame, partitions: int, truth: str = "gt_html", guess: str = "pred_html") -> DataFrame:
