@@ -36,3 +36,11 @@ def test_scores_of_texts(spark):
     got = df.select("a", "b", grid_of(F.col("x")).alias("ga"), grid_of(F.col("y")).alias("gb"), text_score(F.col("x"), F.col("y")).alias("s"), content_score(F.col("a"), F.col("b")).alias("want")).collect()
     assert len(got) > 300 and all(r.ga == r.a and r.gb == r.b for r in got)
     assert all(r.s == (None if r.want is None else pytest.approx(r.want, abs=1e-12)) for r in got)
+
+
+def test_equal_grids_are_read_once(monkeypatch):
+    """Before: the second of two equal tables was cleaned like the first."""
+    read = []
+    monkeypatch.setattr(t, "plain_lines", lambda x, f=t.plain_lines: read.append(x) or f(x))
+    table = "<table><tr><td>a b</td><td>-1</td></tr></table>"
+    assert t.compared_texts(table, table) == ("\n ab 1",) * 2 and read == [table]
