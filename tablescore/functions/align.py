@@ -96,13 +96,14 @@ def rows_alignment(a: Column, b: Column) -> Column:
     A row gets at most its bonus and its number of cells. One of the two diagonals, from the first or to the last rows, is
     summed up, the one with more equal rows. What it lacks to the most that the grid with fewer rows could get bounds
     all others: an alignment that leaves the strip between both diagonals by e places leaves out e of these rows. Where
-    nothing can have more, the sum is the result, else what lies in the strip or near enough is compared.
+    nothing can have more, the sum is the result, else what lies in the strip or near enough is compared. Equal grids get the most.
     """
+    most_of = lambda row: ROW_BONUS + F.greatest(F.coalesce(F.size(row), F.lit(0)), F.lit(0))
 
     def bounds(p: Column) -> Column:
         n, m = F.size(p["a"]), F.size(p["b"])
         k = F.least(n, m)
-        fewer = F.transform(F.when(n <= m, p["a"]).otherwise(p["b"]), lambda r: ROW_BONUS + F.greatest(F.coalesce(F.size(r), F.lit(0)), F.lit(0)))
+        fewer = F.transform(F.when(n <= m, p["a"]).otherwise(p["b"]), most_of)
         firsts, lasts = ([F.slice(g, at, k) for g, at in zip((p["a"], p["b"]), ats, strict=True)] for ats in ((F.lit(1), F.lit(1)), (n - k + 1, m - k + 1)))
         equal = lambda d: F.aggregate(F.zip_with(*d, lambda r, s: F.coalesce((r == s).cast("int"), F.lit(0))), F.lit(0), lambda x, y: x + y)
         best = F.when((n == m) | (equal(firsts) >= equal(lasts)), F.struct(firsts[0].alias("x"), firsts[1].alias("y"))).otherwise(F.struct(lasts[0].alias("x"), lasts[1].alias("y")))
@@ -117,7 +118,9 @@ def rows_alignment(a: Column, b: Column) -> Column:
         return F.when(lacks <= F.when(p["off"] == 0, p["row"]).otherwise(0.0), p["diagonal"]).otherwise(F.greatest(p["diagonal"], best_alignment(row_matches(p["a"], p["b"], band), ROW_GAP)))
 
     def unequal(p: Column) -> Column:
-        return F.when(p["a"].isNotNull() & p["b"].isNotNull(), F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), 0.0).otherwise(let(bounds(p), scored)))
+        most = F.aggregate(p["a"], F.lit(0.0), lambda s, r: s + F.when(r.isNotNull(), most_of(r)))
+        alike = F.when(p["a"] == p["b"], most)  # null with a null row, which matches nothing
+        return F.when(p["a"].isNotNull() & p["b"].isNotNull(), F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), 0.0).otherwise(F.coalesce(alike, let(bounds(p), scored))))
 
     return let(F.struct(a.alias("a"), b.alias("b")), unequal)
 

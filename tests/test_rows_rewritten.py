@@ -27,3 +27,13 @@ def test_few_rows_are_remembered(monkeypatch):
     assert len(t.ROWS) <= 3
     monkeypatch.setattr(t, "quick_canonical", lambda x: None)
     assert [t.canonical(x) for x in tables] == found
+
+
+def test_equal_grids_get_the_most(spark):
+    """Nulls and blank rows among them; results only, as before."""
+    from pyspark.sql import functions as F
+
+    from tablescore.functions.align import rows_alignment
+
+    df = spark.createDataFrame([([["a", None], ["b"], []],), ([["a"], None],), ([None],), (None,), ([],), ([["a"]] * 3,)], "g array<array<string>>")
+    assert [r[0] for r in df.select(rows_alignment(F.col("g"), F.col("g"))).collect()] == [18.0, 5.0, 0.0, None, 0.0, 18.0]
