@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.align import content_score, row_matches, rows_alignment
 from ..functions.edits import edit_distance
-from ..functions.tables import CELL_MARK, ROW_MARK, canonical, compared, compared_texts, grid, tree_score
+from ..functions.tables import CELL_MARK, ROW_MARK, canonical, canonical_alike, compared, compared_texts, grid, tree_score
 from ..functions.text import let
 
 GRID = T.ArrayType(T.ArrayType(T.StringType()))
@@ -73,6 +73,66 @@ def tree_similarity(truth: pd.Series, guess: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(truth, guess, strict=True)], dtype="float64")
 
 
+#: Tables of printable ASCII with a row, without spans and references: what canonical() leaves as it is, but for spaces in a row. Nothing is
+#: tried twice, so that tables of any length take no stack. A class of all other characters but white space is some seven times as slow.
+SIMPLE = r"\A<table>(?:<tr>(?:<td>[ -%'-;=?-~]*+</td>)*+</tr>)++</table>\z"
+#: Cells up to so many characters are compared by Spark, longer ones in Python, where many characters are compared at once.
+SHORT_CELL = 64
+
+
+def simple_tree_score(truth: Column, guess: Column) -> Column:
+    """tree_score() of two simple tables that are equal, of which one is the beginning or the end of the other, or which differ in
+    one short cell; null of all others."""
+    simple = lambda t: t.rlike(SIMPLE) & ~t.contains("  ")
+    # Two tags for each node and for the table.
+    nodes = lambda t: F.shiftright(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(">"))), 1) - 1
+    head = lambda t: F.substr(t, F.lit(1), F.length(t) - len("</table>"))
+    tail = lambda t: F.substr(t, F.lit(len("<table>") + 1))
+    text = lambda x: F.substring_index(x, ">", -1)
+    tags = lambda x: F.substr(x, F.lit(1), F.length(x) - F.length(text(x)))
+
+    def cell(p: Column, q: Column) -> Column:
+        """The share that differs of two texts, each after the tags before it, if these are the same."""
+        x, y = text(p), text(q)
+        short = (F.length(x) <= SHORT_CELL) & (F.length(y) <= SHORT_CELL)
+        return F.when((tags(p) == tags(q)) & short, F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+
+    apart = F.zip_with(F.split(truth, "</td>"), F.split(guess, "</td>"), lambda p, q: F.when(~p.eqNullSafe(q), F.struct(p.alias("p"), q.alias("q"))))
+    one_cell = let(F.filter(apart, lambda d: d.isNotNull()), lambda d: F.when(F.size(d) == 1, cell(d[0]["p"], d[0]["q"])))
+    part = truth.startswith(head(guess)) | guess.startswith(head(truth)) | truth.endswith(tail(guess)) | guess.endswith(tail(truth))
+    score = F.when(part, 1.0 - F.abs(nodes(truth) - nodes(guess)) / F.greatest(nodes(truth), nodes(guess))).when(nodes(truth) == nodes(guess), 1.0 - one_cell / nodes(truth))
+    return F.when(truth == guess, F.when(simple(truth), 1.0)).when(simple(guess) & simple(truth), score)
+
+
+@F.pandas_udf(T.DoubleType())
+def given_tree_similarity(truth: pd.Series, guess: pd.Series) -> pd.Series:
+    """Tree score of a canonical HTML text and of the canonical form of another; null where there is none, 0 where it cannot be computed."""
+
+    def one(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        try:
+            b = canonical_alike(b)
+        except FAILURES:
+            return None
+        try:
+            return tree_score(a, b)
+        except FAILURES:
+            return 0.0
+
+    return pd.Series([one(a, b) for a, b in zip(truth, guess, strict=True)], dtype="float64")
+
+
+def with_tree_score(pairs: DataFrame, truth: str = "gt_html", guess: str = "pred_html", to: str = "teds") -> DataFrame:
+    """pairs with tree_similarity() of truth, in canonical form, and of guess, of which the canonical form is taken.
+
+    Spark scores what needs neither parser nor alignment; only the other pairs' texts go to Python.
+    """
+    p = pairs.withColumn("simple_score", simple_tree_score(F.col(truth), F.col(guess)))
+    left = [F.when(F.col("simple_score").isNull(), F.col(c)) for c in (truth, guess)]
+    return p.withColumn(to, F.coalesce("simple_score", given_tree_similarity(*left))).drop("simple_score")
+
+
 def prepared(trees: bool):
     """One pass over a pair: both canonical forms once, the grids to compare, and the tree score if asked for."""
 

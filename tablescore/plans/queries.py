@@ -11,10 +11,10 @@ from ..functions.align import cell_similarity, content_score, floor_score, row_a
 from ..functions.text import collapse, normalised_cell, stem
 from ..operators import converters as X
 from ..operators.runs import POLICIES, records, registry, summary, validated, worst_wait
-from ..operators.scoring import canonical_html, html_grid, row_alignment_score, score_tables, tree_similarity
+from ..operators.scoring import canonical_html, html_grid, row_alignment_score, score_tables, with_tree_score
 from ..sources.files import encoded, paired, scaled_size
 from . import report
-from .fixtures import WRONG, decorated_html, order_tables, plain_html, run_log, scored_pairs, table
+from .fixtures import WRONG, decorated_html, html_pairs, order_tables, plain_html, run_log, scored_pairs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,8 +72,8 @@ def l10_table_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SIZES + " select l_orderkey, kind, round(teds, 6) as teds from s")
 def t4_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored_pairs(spark, sf_dir)
-    return p.select("l_orderkey", "kind", six(tree_similarity(F.col("gt_html"), canonical_html("pred_html"))).alias("teds"))
+    p = with_tree_score(html_pairs(spark, sf_dir))
+    return p.select("l_orderkey", "kind", six(F.col("teds")).alias("teds"))
 
 
 @query(ROWS + ", r as (select l_orderkey, count(*)::double as r from l group by l_orderkey) select l_orderkey, round(4 * 5 * least(r, 1) / 4 / (r * 9), 6) as levenshtein from r")
